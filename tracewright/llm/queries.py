@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewright.llm.bpe import round_trip_digests
 from tracewright.llm.common import table
 from tracewright.llm.packing import pack
+from tracewright.llm.quality import judge
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -22,10 +23,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_bpe": op6_bpe,
+        "op7_quality_rules": op7_quality_rules,
     }
 
 
