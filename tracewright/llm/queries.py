@@ -11,6 +11,7 @@ from tracewright.llm.bpe import round_trip_digests
 from tracewright.llm.common import table
 from tracewright.llm.packing import pack
 from tracewright.llm.quality import judge
+from tracewright.llm.toxicity import score as score_toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -27,11 +28,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_bpe": op6_bpe,
         "op7_quality_rules": op7_quality_rules,
+        "op10_toxicity": op10_toxicity,
     }
 
 
