@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewright.llm.bpe import round_trip_digests
 from tracewright.llm.common import table
 from tracewright.llm.packing import pack
+from tracewright.llm.pii import find as find_personal_data
 from tracewright.llm.quality import judge
 from tracewright.llm.toxicity import score as score_toxicity
 
@@ -28,6 +29,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_bpe": op6_bpe,
         "op7_quality_rules": op7_quality_rules,
+        "op9_personal_data": op9_personal_data,
         "op10_toxicity": op10_toxicity,
     }
 
