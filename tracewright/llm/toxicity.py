@@ -12,9 +12,10 @@ about the class, while forms of an expression that is typical of a class still s
 ``n`` is of both classes together. The strength ``S`` (as in the Pitman-Yor form of these models) keeps a class with
 few texts close to what both share.
 
-The evidence of a text is the difference of its length-normalised log-likelihoods, toxic less ordinary, per word. The
-score is a logistic function of it and of its product with the length and the length's root, fitted on training rows
-that the counts didn't use.
+The evidence of a text is the difference of its length-normalised log-likelihoods, toxic less ordinary; beside it
+stands the part of that difference that comes from marked expressions, whose own difference exceeds ``MARGIN``, since
+thousands of ordinary words would drown a few of those. The score is a logistic function of both, per word, per root
+of the length and (the marked part) as a logarithm of the sum, fitted on training rows that the counts didn't use.
 
 The model is fitted on a bounded sample of labelled rows: of the training rows at most ``MAX_TOXIC`` toxic and
 ``MAX_ORDINARY`` ordinary ones, those with the least hash of doc_id. It keeps at most ``MAX_GRAMS`` sequences, the most
@@ -46,12 +47,16 @@ ORDER = 6
 #: Discount of every order.
 DISCOUNT = 0.75
 #: How many observations of a context the shared counts are worth against a class's own.
-STRENGTH = 20.0
+STRENGTH = 60.0
+#: A word is a marked expression where its log-likelihoods differ by more than this.
+MARGIN = 1.0
+#: Number of features.
+FEATURES = 6
 #: Before and after a word.
 PAD, STOP = "\x02", "\x03"
 #: Outer characters that don't belong to a word.
 _EDGES = ".,;:!?\"'()[]{}<>|*#$%&"
-#: Longer words are scored by their first and last letters only in the memo's key; the whole word is read.
+#: A task remembers so many words, none longer than so many letters.
 MEMO_ROWS, MEMO_CHARS = 400_000, 48
 
 
@@ -118,13 +123,14 @@ class Scorer(dict):
         return found
 
     def features(self, text: str) -> np.ndarray:
-        """A constant, the evidence per word, by the root of the length, and in all (bounded)."""
+        """A constant; the evidence per word and per root of the length; the marked part likewise, and the logarithm of its sum."""
         words = words_of(text)
         if len(self) > MEMO_ROWS:
             self.clear()
         n = max(1, len(words))
-        evidence = sum(map(self.__getitem__, words)) / n
-        return np.array([1.0, evidence, evidence * math.sqrt(n), min(20.0, max(-20.0, evidence * n))])
+        found = np.fromiter(map(self.__getitem__, words), dtype=float, count=len(words))
+        evidence, marked = found.sum() / n, np.maximum(found - MARGIN, 0).sum()
+        return np.array([1.0, evidence, evidence * math.sqrt(n), marked / n, marked / math.sqrt(n), math.log1p(marked)])
 
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.model.weights @ self.features(text), -40, 40))))
@@ -199,7 +205,7 @@ def smoothed(counts: dict[str, tuple[int, int]]) -> Model:
         followers = set(continued)
     letters = len(by_order[-1]) + 1
     floor = 1.0 / letters
-    model = Model({}, {}, shared, shared_weight, floor, np.zeros(4))
+    model = Model({}, {}, shared, shared_weight, floor, np.zeros(FEATURES))
     for continued in reversed(by_order):
         total, kinds = Counter(), Counter()
         for gram, n in continued.items():
@@ -226,7 +232,7 @@ def smoothed(counts: dict[str, tuple[int, int]]) -> Model:
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
     """Weights of a ridge-penalised logistic regression by Newton steps; columns are scaled meanwhile."""
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
     z, w = x / scale, np.zeros(x.shape[1])
