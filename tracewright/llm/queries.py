@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.llm.bpe import round_trip_digests
 from tracewright.llm.common import table
+from tracewright.llm.jaccard import classes as similar_classes
 from tracewright.llm.packing import pack
 from tracewright.llm.pii import find as find_personal_data
 from tracewright.llm.quality import judge
@@ -17,6 +18,10 @@ from tracewright.llm.toxicity import score as score_toxicity
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -39,6 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_bpe": op6_bpe,
         "op7_quality_rules": op7_quality_rules,
