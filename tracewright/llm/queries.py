@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tracewright.llm import chat, urls
 from tracewright.llm.bpe import round_trip_digests
 from tracewright.llm.common import table
+from tracewright.llm.hmm import score as score_language
 from tracewright.llm.jaccard import classes as similar_classes
 from tracewright.llm.packing import pack
 from tracewright.llm.pii import find as find_personal_data
@@ -91,6 +92,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language(table(spark, sf_dir, "documents"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -107,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_bpe": op6_bpe,
         "op7_quality_rules": op7_quality_rules,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_personal_data": op9_personal_data,
         "op10_toxicity": op10_toxicity,
     }
