@@ -12,6 +12,7 @@ from tracewright.llm.bpe import round_trip_digests
 from tracewright.llm.common import table
 from tracewright.llm.hmm import score as score_language
 from tracewright.llm.jaccard import classes as similar_classes
+from tracewright.llm.neighbours import search as search_neighbours
 from tracewright.llm.packing import pack
 from tracewright.llm.pii import find as find_personal_data
 from tracewright.llm.quality import judge
@@ -76,6 +77,10 @@ FROM ruled
 """
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents"))
 
@@ -108,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat,
         "op5_url_filters": op5_url_filters,
+        "op2_neighbours": op2_neighbours,
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_bpe": op6_bpe,
