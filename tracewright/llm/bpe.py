@@ -31,14 +31,15 @@ from tracewright.llm.common import batches
 
 #: From this many bytes on a word is merged with a heap.
 LONG_WORD = 160
-#: A worker remembers so many chunks, none longer than so many characters.
-MEMO_ROWS, MEMO_CHARS = 500_000, 48
+#: A worker remembers so many chunks and words, none longer than so many characters.
+MEMO_ROWS, WORD_ROWS, MEMO_CHARS = 800_000, 400_000, 48
 _NONE = 1 << 60
 _ID_BITS = 20
 #: White space as the tokenizer's patterns see it.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: Where str.split() sees white space and the patterns don't.
-_ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
+_ODD_SPACES = "\x1c\x1d\x1e\x1f"
+_STOPS = frozenset(".,")
 
 
 def byte_letters() -> list[str]:
@@ -50,7 +51,7 @@ def byte_letters() -> list[str]:
 
 def chunks(text: str) -> list[str]:
     """The parts between white space, each of which is encoded without regard to the others."""
-    return text.split() if _ODD_SPACE.search(text) is None else _SPACE.split(text)
+    return _SPACE.split(text) if any(x in text for x in _ODD_SPACES) else text.split()
 
 
 class _Memo(dict):
@@ -95,7 +96,7 @@ class Codec:
         self.names = [""] * (1 + max([*vocab.values(), *special.values()]))
         for name, i in [*vocab.items(), *special.items()]:
             self.names[i] = name
-        self.word_memo: dict[str, tuple[int, ...]] = {}
+        self.word_memo: dict[str, bytes] = {}
         self.memo = _Memo(self._chunk)
 
     def merge_word(self, word: str) -> list[int]:
@@ -151,33 +152,38 @@ class Codec:
                 offer(before[i])
         return [x for x in live if x is not None]
 
-    def _plain(self, piece: str) -> list[int]:
+    def _plain(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-        out: list[int] = []
-        for word in self.words.findall(piece.lower()):
+        piece = piece.lower()
+        if piece.isalpha():  # one word, or one with a stop behind it: no need to ask the pattern
+            found = [piece]
+        elif piece[-1:] in _STOPS and piece[:-1].isalpha():
+            found = [piece[:-1], piece[-1]]
+        else:
+            found = self.words.findall(piece)
+        out = []
+        for word in found:
             ids = self.word_memo.get(word)
             if ids is None:
-                ids = tuple(self.merge_word(word))
+                parts = self.merge_word(word)
+                ids = struct.pack(f"<{len(parts)}I", *parts)
                 if len(word) <= MEMO_CHARS:
-                    if len(self.word_memo) > MEMO_ROWS:
+                    if len(self.word_memo) > WORD_ROWS:
                         self.word_memo.clear()
                     self.word_memo[word] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return b"".join(out)
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a text without white space."""
         if self.hint is None or self.hint not in chunk:
-            ids = self._plain(chunk)
-        else:
-            ids, at = [], 0
-            for m in self.special_at.finditer(chunk):
-                ids += self._plain(chunk[at : m.start()])
-                ids.append(self.special[m[0]])
-                at = m.end()
-            ids += self._plain(chunk[at:])
-        return struct.pack(f"<{len(ids)}I", *ids)
+            return self._plain(chunk)
+        ids, at = b"", 0
+        for m in self.special_at.finditer(chunk):
+            ids += self._plain(chunk[at : m.start()]) + struct.pack("<I", self.special[m[0]])
+            at = m.end()
+        return ids + self._plain(chunk[at:])
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""

@@ -16,8 +16,6 @@ other columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import os
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tracewright.llm.bpe import MEMO_CHARS, MEMO_ROWS, chunks
+from tracewright.llm.bpe import Codec, byte_letters
 from tracewright.llm.common import batches, cut
 
 CAPACITY = 2048
@@ -36,32 +34,18 @@ END = b"\0\0\0\0"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class LibraryTokens:
-    """Ids by the tokenizers library; what lies between white space is encoded once and remembered."""
+class LibraryTokens(Codec):
+    """Ids by the tokenizers library's model, which is asked once for every word that a worker remembers."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [chunks(x) for x in texts]
-        if len(self.known) > MEMO_ROWS:
-            self.known.clear()
-        new = list(set().union(*parts).difference(self.known))
-        found = {}
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for x, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                found[x] = struct.pack(f"<{len(ids := e.ids)}I", *ids)
-        self.known.update(found)
-        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
-        for x in found:
-            if len(x) > MEMO_CHARS:
-                del self.known[x]
-        return out
+        super().__init__(path)
+        self.model = Tokenizer.from_file(path).model
+        self.letters = byte_letters()
+
+    def merge_word(self, word: str) -> list[int]:
+        return [x.id for x in self.model.tokenize("".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass"))))]
 
 
 @lru_cache(maxsize=4)
@@ -76,12 +60,10 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
         use = library_tokens(vocabulary)
         step = 4 * capacity
         for batch in rows:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for first in range(0, len(texts), 250):
+            for first in range(0, batch.num_rows, 250):
                 doc, piece, start, length, crc, kept = [], [], [], [], [], []
-                ids_of = use.encode(texts[first : first + 250])
-                for d, ids in zip(batch.column(0).slice(first, 250).to_pylist(), ids_of):
-                    ids += END
+                for d, text in zip(batch.column(0).slice(first, 250).to_pylist(), batch.column(1).slice(first, 250)):
+                    ids = use.encode(text.as_py() or "") + END
                     for k, at in enumerate(range(0, len(ids), step)):
                         own = ids[at : at + step]
                         doc.append(d)
@@ -97,6 +79,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
                     columns.append(pa.array(kept, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+            use.memo.trim()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return batches(source, tokenize, PIECES + (", ids binary" if keep_ids else ""))
