@@ -121,7 +121,8 @@ def register_pandas_parser(name: str, supports: Callable[[Column], Column], pars
 
     @F.pandas_udf(shape)
     def read(lines: pd.Series) -> pd.DataFrame:
-        return parse(lines.fillna("")).reindex(columns=shape.fieldNames())
+        found = parse(lines.fillna("")).reindex(columns=shape.fieldNames()).astype(object)
+        return found.where(found.notna(), None)
 
     def columns(line: Column) -> Column:
         own = read(line)

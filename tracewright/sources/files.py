@@ -19,7 +19,10 @@ def glob_pattern(glob: str) -> str:
 
 
 def list_files(spark: SparkSession, roots: str | list[str], extensions: tuple[str, ...] = EXTENSIONS, hidden: tuple[str, ...] = HIDDEN, dotfiles: bool = False, driver: str = "local") -> DataFrame:
-    """All files below the roots with one of the extensions (none given: all), newest first; contents aren't read."""
+    """All files below the roots with one of the extensions (none given: all), newest first; contents aren't read.
+
+    Spark's own listing never shows names that begin with a dot or an underscore; ``dotfiles`` is for listings of other sources.
+    """
     found = []
     for root in [roots] if isinstance(roots, str) else roots:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
