@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tracewright.llm.common import batches, cut, runs, written
+from tracewright.llm.common import batches, cut, fresh, runs, written
 from tracewright.llm.graph import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -256,6 +256,6 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
 def deduplicate(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The documents without near copies: of each class the one with the least doc_id stays, with all its columns."""
     stay = classes(docs, words, threshold, recall).filter("doc_id = class_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi").withColumn("_first", first).filter("_first = 1").select(*docs.columns)
+    first, place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")), fresh(docs, "_place")
+    kept = docs.filter(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi").withColumn(place, first).filter(F.col(place) == 1).select(*docs.columns)
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))

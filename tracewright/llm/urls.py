@@ -20,7 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracewright.llm.common import cut
+from tracewright.llm.common import cut, fresh
 
 #: Bits and hash positions of a key in each level.
 BITS_PER_KEY, HASHES = 10, 5
@@ -117,8 +117,9 @@ class Cascade:
 
 def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame) -> DataFrame:
     """``pages`` with host, path, rule (null where none fits) and verdict: the rule's, else ``block`` where the host is listed, else ``allow``."""
-    parsed = pages.withColumns({"_host": host(F.col("url").cast("string")), "_path": path(F.col("url").cast("string"))})
-    flagged = Cascade(parsed.select("_host"), listed).flag(parsed.withColumn("_rule", rule(F.col("_host"), F.col("_path"), rules)), "_host", "_listed")
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_listed"), "block").otherwise("allow"))
+    h, p, r, hit = (fresh(pages, x) for x in ("_host", "_path", "_rule", "_listed"))
+    parsed = pages.withColumns({h: host(F.col("url").cast("string")), p: path(F.col("url").cast("string"))})
+    flagged = Cascade(parsed.select(h), listed).flag(parsed.withColumn(r, rule(F.col(h), F.col(p), rules)), h, hit)
+    verdict = F.coalesce(F.col(r)["verdict"], F.when(F.col(hit), "block").otherwise("allow"))
     others = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return flagged.select(*others, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"), verdict.alias("verdict"))
+    return flagged.select(*others, F.col(h).alias("host"), F.col(p).alias("path"), F.col(r)["rule"].alias("rule"), verdict.alias("verdict"))
