@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from tracewright.functions.scalar import ascii_lower, is_json
+from tracewright.functions.scalar import ascii_lower, is_json, let
 
 PARSED = StructType([StructField(x, StringType()) for x in ("parser", "level", "datetime", "channel", "message", "context")] + [StructField("extra", ArrayType(StringType()))])
 #: The shape of a bracketed application header, and the keys of JSON records in order of precedence.
@@ -18,6 +18,8 @@ LEVEL_KEYS = ("level", "level_name", "severity")
 TIME_KEYS = ("datetime", "time", "timestamp", "@timestamp")
 CHANNEL_KEYS = ("channel", "logger")
 MESSAGE_KEYS = ("message", "msg")
+#: What is trimmed at a message's end.
+BLANKS = r"[ \t\n\r\x00\x0B]+\z"
 ACCESS = r'^(\S+) \S+ (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) (\d+|-)'
 SYSLOG = r"^<(\d{1,3})>1? ?(\S+) (\S+) ([^:\s\[]+)(?:\[\d+\])?:? (.*)$"
 
@@ -38,11 +40,14 @@ def parsed(parser: str, level: Column | None = None, datetime: Column | None = N
 
 def trailing_context(message: Column) -> Column:
     """struct<message, context>: JSON from the first brace or bracket to the end leaves the message, if it is valid."""
-    own = F.regexp_replace(message, r"[ \t\n\r\x00\x0B]+$", "")
-    found = F.regexp_extract(own, r"(?s)[{\[].*$", 0)
-    holds = own.rlike(r"(?s)[}\]]\z") & (found != "") & is_json(found)
-    head = F.regexp_replace(F.substring(own, F.lit(1), F.length(own) - F.length(found)), r"[ \t\n\r\x00\x0B]+$", "")
-    return F.struct(F.when(holds, head).otherwise(message).alias("message"), F.when(holds, found).alias("context"))
+
+    def split(own: Column) -> Column:
+        at = F.regexp_instr(own, F.lit(r"[{\[]"))
+        return let(F.substring(own, at, F.length(own)), lambda found: F.when((at > 0) & is_json(found), F.struct(F.regexp_replace(F.substring(own, F.lit(1), at - 1), BLANKS, "").alias("message"), found.alias("context"))))
+
+    ends = F.regexp_replace(message, BLANKS, "")
+    whole = F.struct(message.alias("message"), F.lit(None).cast("string").alias("context"))
+    return F.when(message.rlike(r"[}\]][ \t\n\r\x00\x0B]*\z"), F.coalesce(let(ends, split), whole)).otherwise(whole)
 
 
 def supports_app(line: Column) -> Column:
@@ -51,9 +56,9 @@ def supports_app(line: Column) -> Column:
 
 def parse_app(line: Column) -> Column:
     """``[datetime] channel.LEVEL: message``, with a JSON context at the message's end."""
-    part = [F.regexp_extract(line, APP_HEADER, i) for i in range(5)]
-    split = trailing_context(part[4])
-    return parsed("app", ascii_lower(part[3]), part[1], part[2], split["message"], split["context"])
+    # one match gives all groups; only the last one may hold the separator
+    parts = F.split(F.regexp_replace(line, APP_HEADER, "$1\x01$2\x01$3\x01$4"), "\x01", 4)
+    return let(parts, lambda p: let(trailing_context(p[3]), lambda c: parsed("app", ascii_lower(p[2]), p[0], p[1], c["message"], c["context"])))
 
 
 def supports_json(line: Column) -> Column:
@@ -72,19 +77,21 @@ def _first(value: Column, keys: tuple[str, ...]) -> Column:
 
 def parse_json(line: Column) -> Column:
     """A JSON object: known keys, and as context its ``context`` or all keys that aren't known."""
-    value = F.try_parse_json(line)
-    text = lambda v: v.try_cast("string")
+    return let(F.try_parse_json(line), lambda value: _read_json(line, value))
+
+
+def _read_json(line: Column, value: Column) -> Column:
     kind = F.schema_of_variant
-    level, time, channel, message = (_first(value, x) for x in (LEVEL_KEYS, TIME_KEYS, CHANNEL_KEYS, MESSAGE_KEYS))
-    only_text = lambda v: F.when(kind(v) == "STRING", text(v))
-    level = F.when(kind(level) == "STRING", ascii_lower(text(level))).when(kind(level) == "BIGINT", text(level))
-    message = F.when(message.isNull(), "null").when(kind(message) == "STRING", text(message)).otherwise(F.to_json(message))
-    context = _first(value, ("context",))
+    text = lambda v: F.when(kind(v) == "STRING", v.try_cast("string"))
+    level = let(_first(value, LEVEL_KEYS), lambda v: F.when(kind(v) == "STRING", ascii_lower(v.try_cast("string"))).when(kind(v) == "BIGINT", v.try_cast("string")))
+    time = let(_first(value, TIME_KEYS), text)
+    channel = let(_first(value, CHANNEL_KEYS), text)
+    message = let(_first(value, MESSAGE_KEYS), lambda v: F.when(v.isNull(), "null").when(kind(v) == "STRING", v.try_cast("string")).otherwise(F.to_json(v)))
     known = F.array(*map(F.lit, LEVEL_KEYS + TIME_KEYS + CHANNEL_KEYS + MESSAGE_KEYS))
     rest = F.map_filter(F.from_json(line, "map<string,variant>"), lambda k, _: ~F.array_contains(known, k))
-    nested = kind(context).startswith("OBJECT") | kind(context).startswith("ARRAY")
-    context = F.when(context.isNull(), F.to_json(rest)).when(nested, F.to_json(context)).otherwise(F.to_json(F.struct(context.alias("value"))))
-    return parsed("json", level, only_text(time), only_text(channel), message, context)
+    nested = lambda v: kind(v).startswith("OBJECT") | kind(v).startswith("ARRAY")
+    context = let(_first(value, ("context",)), lambda v: F.when(v.isNull(), F.to_json(rest)).when(nested(v), F.to_json(v)).otherwise(F.to_json(F.struct(v.alias("value")))))
+    return parsed("json", level, time, channel, message, context)
 
 
 def parse_access(line: Column) -> Column:
@@ -149,6 +156,14 @@ def classify(line: Column, use: list[Parser] | None = None) -> Column:
     return F.lit(None).cast(PARSED) if out is None else out
 
 
+def is_header(line: Column, use: list[Parser] | None = None) -> Column:
+    """Whether some parser claims the line."""
+    out = F.lit(False)
+    for p in use if use is not None else parsers():
+        out = out | F.coalesce(p.supports(line), F.lit(False))
+    return out
+
+
 def plain(line: Column) -> Column:
     """The struct of a line that no parser claims and that follows no header."""
     return parsed("plain", message=line)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -12,6 +13,11 @@ BUCKETS = {"minute": ("yyyy-MM-dd HH:mm", 16), "hour": ("yyyy-MM-dd HH:00", 13),
 UNITS = ["B", "KB", "MB", "GB", "TB"]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all other letters kept."""
     return F.translate(text, UPPER, LOWER)
@@ -59,9 +65,8 @@ def cap_bytes(text: Column, limit: int | None) -> tuple[Column, Column]:
 
 def is_json(text: Column) -> Column:
     """Whether the whole text is one strict JSON value: as the only element of an array it must still parse."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    one = F.try_variant_get(wrapped, "$[0]", "variant").isNotNull() & F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    return F.coalesce(wrapped.isNotNull() & one, F.lit(False))
+    one = lambda v: F.try_variant_get(v, "$[0]", "variant").isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull()
+    return F.coalesce(let(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), one), F.lit(False))
 
 
 def fingerprint(size: Column, mtime: Column) -> Column:

@@ -2,8 +2,8 @@
 
 A file's lines lie in blocks. Within a block the last header is found by a window; what a block inherits comes from a
 row per block (its last header), carried along the file. Lines then belong to (file, header, chunk), chunks being cuts
-after ``max_continuation`` lines. Records inside a block are assembled where the block lies; only those that touch a
-block's edge move on.
+after ``max_continuation`` lines, and are brought together by that key. Lines are only told apart as headers and
+others; what a header says is read once, from the assembled record.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tracewright.functions.parsers import Parser, classify, plain
+from tracewright.functions.parsers import PARSED, Parser, classify, is_header, plain
 from tracewright.functions.scalar import to_ts
 
 MAX_CONTINUATION = 200
@@ -26,14 +26,13 @@ def classify_lines(lines: DataFrame, parsers: Sequence[Parser] | None = None) ->
 
 
 def line_keys(lines: DataFrame, parsers: Sequence[Parser] | None = None, max_continuation: int | None = MAX_CONTINUATION, plain_records: bool = True) -> DataFrame:
-    """Classified lines with the record they belong to: ``head`` (line_no of its group's first line) and ``chunk``."""
-    lines = classify_lines(lines, parsers)
+    """Lines with ``is_header`` and the record they belong to: ``head`` (line_no of its group's first line) and ``chunk``."""
+    lines = lines.withColumn("is_header", is_header(F.col("raw"), None if parsers is None else list(parsers)))
     within = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_header = F.col("parsed").isNotNull()
-    lines = lines.withColumn("_own", F.last(F.when(is_header, F.col("line_no")), ignorenulls=True).over(within))
+    lines = lines.withColumn("_own", F.last(F.when(F.col("is_header"), F.col("line_no")), ignorenulls=True).over(within))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = lines.groupBy("file", "block").agg(F.max("_own").alias("_last"), F.min("line_no").alias("_low"), F.max("line_no").alias("_high"))
-    carried = last.select("file", "block", "_low", "_high", F.last("_last", ignorenulls=True).over(before).alias("_before"))
+    last = lines.groupBy("file", "block").agg(F.max(F.when(F.col("is_header"), F.col("line_no"))).alias("_last"))
+    carried = last.select("file", "block", F.last("_last", ignorenulls=True).over(before).alias("_before"))
     lines = lines.join(carried, ["file", "block"])
     # lines above the first header are one group that begins at line 1
     lines = lines.withColumn("_header", F.coalesce("_own", "_before")).withColumn("head", F.coalesce("_header", F.lit(1).cast("long")))
@@ -46,39 +45,32 @@ def line_keys(lines: DataFrame, parsers: Sequence[Parser] | None = None, max_con
     return lines
 
 
-def _joined(groups: DataFrame, keys: list[str], of: str) -> DataFrame:
-    return groups.groupBy(*keys).agg(F.sort_array(F.collect_list(of)).alias("_parts"), F.max(F.col("line_no") == F.col("_high")).alias("_to_edge"))
-
-
 def fold_records(lines: DataFrame, parsers: Sequence[Parser] | None = None, max_continuation: int | None = MAX_CONTINUATION, plain_records: bool = True) -> DataFrame:
     """Records of the lines, at most ``max_continuation`` continuation lines each; the rest makes plain records of the same size.
 
     ``plain_records=False`` leaves lines without a header as rows of their own without anything parsed.
     """
-    keyed = line_keys(lines, parsers, max_continuation, plain_records)
-    part = F.struct("line_no", "offset", "end_offset", "raw", "truncated", "parsed").alias("part")
-    pieces = keyed.select("file", "block", "head", "chunk", "line_no", "_low", "_high", part)
-    pieces = _joined(pieces, ["file", "block", "head", "chunk", "_low"], "part")
-    # a piece is open where lines of its record may lie in a neighbouring block
-    open_piece = F.col("_to_edge") | (F.col("_parts")[0]["line_no"] == F.col("_low"))
-    whole = pieces.filter(~open_piece).select("file", "_parts")
-    edges = pieces.filter(open_piece).groupBy("file", "head", "chunk").agg(F.sort_array(F.flatten(F.collect_list("_parts"))).alias("_parts")).select("file", "_parts")
-    return _records(whole.union(edges), plain_records)
-
-
-def _records(grouped: DataFrame, plain_records: bool) -> DataFrame:
-    parts = F.col("_parts")
-    first = parts[0]
-    head = F.coalesce(first["parsed"], plain(first["raw"])) if plain_records else first["parsed"]
-    rows = grouped.withColumn("_head", head).select(
-        "file",
-        first["offset"].alias("offset"),
-        parts[F.size(parts) - 1]["end_offset"].alias("end_offset"),
-        F.array_join(F.transform(parts, lambda x: x["raw"]), "\n").alias("raw"),
-        F.exists(parts, lambda x: x["truncated"]).alias("truncated"),
-        F.size(parts).alias("n_lines"),
-        *(F.col("_head")[x].alias(x) for x in FIELDS[:-1]),
-        F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda x: x["raw"]).alias("extra"),
+    return _records(line_keys(lines, parsers, max_continuation, plain_records), parsers, plain_records)
+
+
+def _records(keyed: DataFrame, parsers: Sequence[Parser] | None, plain_records: bool) -> DataFrame:
+    """A row for each (file, head, chunk)."""
+    line = F.struct("line_no", "raw")
+    grouped = keyed.groupBy("file", "head", "chunk").agg(
+        F.min("offset").alias("offset"),
+        F.max("end_offset").alias("end_offset"),
+        F.transform(F.sort_array(F.collect_list(line)), lambda x: x["raw"]).alias("_raws"),
+        F.bool_or("truncated").alias("truncated"),
+        F.bool_or("is_header").alias("_headed"),
+    )
+    first = F.col("_raws")[0]
+    none = F.lit(None).cast(PARSED)
+    head = F.when(F.col("_headed"), classify(first, None if parsers is None else list(parsers))).otherwise(plain(first) if plain_records else none)
+    # a generator of one row, so that the header is read once and not once for each of its fields
+    rows = grouped.select("file", "offset", "end_offset", "truncated", "_raws", F.inline(F.array(head)))
+    rows = rows.select(
+        "file", "offset", "end_offset", F.array_join("_raws", "\n").alias("raw"), "truncated", F.size("_raws").alias("n_lines"),
+        *FIELDS[:-1], F.slice("_raws", 2, F.greatest(F.size("_raws"), F.lit(1))).alias("extra"),
     )
     return rows.withColumn("ts", to_ts(F.col("datetime"))).select(RECORDS)
 
@@ -101,5 +93,4 @@ def line_hits_to_records(lines: DataFrame, hit, parsers: Sequence[Parser] | None
     """The records that hold a line for which ``hit`` (a predicate on a line's columns) is true, each once."""
     keyed = line_keys(lines, parsers, max_continuation)
     touched = keyed.filter(hit).select("file", "head", "chunk").distinct()
-    grouped = keyed.join(touched, ["file", "head", "chunk"], "left_semi").groupBy("file", "head", "chunk").agg(F.sort_array(F.collect_list(F.struct("line_no", "offset", "end_offset", "raw", "truncated", "parsed"))).alias("_parts"))
-    return _records(grouped, True)
+    return _records(keyed.join(touched, ["file", "head", "chunk"], "left_semi"), parsers, True)

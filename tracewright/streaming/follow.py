@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewright.functions.criteria import Criteria
-from tracewright.functions.parsers import classify, plain
+from tracewright.functions.parsers import classify, is_header, plain
 from tracewright.functions.scalar import to_ts
 from tracewright.operators.fold import FIELDS, MAX_CONTINUATION, RECORDS
 from tracewright.streaming.tail_source import AppendedLines, MAX_BYTES
@@ -39,7 +39,7 @@ def follow_records(lines: DataFrame, parsers=None, max_continuation: int = MAX_C
     It comes out at the next header, at the limit of lines, on rotation, or after ``timeout`` without a line (given as
     a duration; None keeps it until then).
     """
-    own = lines.withColumn("is_header", F.coalesce(classify(F.col("raw"), parsers).isNotNull(), F.lit(False)))
+    own = lines.withColumn("is_header", is_header(F.col("raw"), parsers))
     own = own.select("file", "event", "offset", "end_offset", "raw", "is_header")
     wait = None if timeout is None else int(pd.Timedelta(timeout).total_seconds() * 1000)
 
@@ -78,8 +78,9 @@ def follow_records(lines: DataFrame, parsers=None, max_continuation: int = MAX_C
     kind = GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout
     folded = own.groupBy("file").applyInPandasWithState(fold, _FOLDED, _OPEN, "append", kind)
     first = F.col("lines")[0]
-    folded = folded.withColumn("_head", F.coalesce(classify(first, parsers), plain(first)))
-    rows = folded.select("file", "offset", "end_offset", F.array_join("lines", "\n").alias("raw"), F.lit(False).alias("truncated"), F.size("lines").alias("n_lines"), *(F.col("_head")[x].alias(x) for x in FIELDS[:-1]), F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))).alias("extra"))
+    head = F.coalesce(classify(first, parsers), plain(first))
+    rows = folded.select("file", "offset", "end_offset", "lines", F.inline(F.array(head)))
+    rows = rows.select("file", "offset", "end_offset", F.array_join("lines", "\n").alias("raw"), F.lit(False).alias("truncated"), F.size("lines").alias("n_lines"), *FIELDS[:-1], F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))).alias("extra"))
     return rows.withColumn("ts", to_ts(F.col("datetime"))).select(RECORDS)
 
 
