@@ -73,6 +73,7 @@ def test_record_at_and_hits(spark):
     own = lines(spark, with_stack_trace())
     records = fold.fold_records(own)
     probes = own.select("file", (F.col("end_offset") - 1).alias("byte"))
+    assert sorted(map(tuple, fold.record_at(records, probes, 50).collect())) == sorted(map(tuple, fold.record_at(records, probes).collect()))
     found = fold.record_at(records, probes).collect()
     assert all(r["offset"] <= r["byte"] < r["end_offset"] for r in found) and len(found) == 9
     assert fold.line_hits_to_records(own, F.col("raw").contains("Handler")).count() == 1

@@ -75,16 +75,21 @@ def _records(keyed: DataFrame, parsers: Sequence[Parser] | None, plain_records:
     return rows.withColumn("ts", to_ts(F.col("datetime"))).select(RECORDS)
 
 
-def record_at(records: DataFrame, probes: DataFrame) -> DataFrame:
+def record_at(records: DataFrame, probes: DataFrame, block_bytes: int = 64 << 20) -> DataFrame:
     """The record that holds each probe's byte (file, byte): the probes with offset and end_offset, null where none does.
 
-    Probes and records meet by a window over both, ordered by byte; no range join.
+    Probes and records meet by a window over both, ordered by byte, within ``block_bytes`` of a file; the record that
+    reaches into a block comes from a row per block. No range join, and no file in one task.
     """
     both = records.select("file", F.col("offset").alias("_at"), F.struct("offset", "end_offset").alias("_record"), F.lit(None).cast("long").alias("byte")).unionByName(
         probes.select("file", F.col("byte").cast("long").alias("byte")).withColumns({"_at": F.col("byte"), "_record": F.lit(None).cast("struct<offset:long,end_offset:long>")})
     )
-    order = Window.partitionBy("file").orderBy("_at", F.col("_record").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = both.withColumn("_found", F.last("_record", ignorenulls=True).over(order)).filter(F.col("byte").isNotNull())
+    both = both.withColumn("_block", F.floor(F.col("_at") / block_bytes))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy("file", "_block").agg(F.max("_record").alias("_last")).select("file", "_block", F.last("_last", ignorenulls=True).over(before).alias("_before"))
+    order = Window.partitionBy("file", "_block").orderBy("_at", F.col("_record").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("_own", F.last("_record", ignorenulls=True).over(order)).filter(F.col("byte").isNotNull()).join(carried, ["file", "_block"])
+    met = met.withColumn("_found", F.coalesce("_own", "_before"))
     inside = F.col("byte") < F.col("_found.end_offset")
     return met.select("file", "byte", F.when(inside, F.col("_found.offset")).alias("offset"), F.when(inside, F.col("_found.end_offset")).alias("end_offset"))
 

@@ -81,6 +81,14 @@ def write_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"), F.sum(F.octet_length("raw")).cast("long").alias("bytes"))
 
 
+@query("search_stored", V.EVENTS_SQL + f" SELECT {SHOWN_SQL} FROM r WHERE level = 'error' AND {WINDOW_SQL}")
+def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records kept by day, of which a search with bounds reads three."""
+    path, criteria = V.scratch(spark, "records"), Criteria(level="error", date_from=DAY10, date_to=DAY12)
+    X.write_records(V.event_records(spark, sf_dir), path)
+    return X.read_records(spark, path, criteria).filter(criteria.predicate()).select(SHOWN)
+
+
 over_records("to_result_json", lambda r: X.to_result_json(r).select("file", "offset", F.get_json_object("json", "$.parsed.context.k").alias("k"), F.get_json_object("json", "$.parsed.level").alias("level"), F.get_json_object("json", "$.raw").alias("raw")), "SELECT file, \"offset\", json_extract_string(context, '$.k') AS k, level, raw FROM r")
 query("export_tail", "WITH " + V.EVENT_LINES_SQL + ' SELECT file, "offset", raw AS value FROM event_lines QUALIFY row_number() OVER (PARTITION BY file ORDER BY "offset" DESC) <= 50')(lambda spark, sf_dir: X.export_tail(V.event_lines(spark, sf_dir), 50))
 query("export_full", V.DOCUMENT_LINES_SQL + ' SELECT file, "offset", raw AS value FROM d')(lambda spark, sf_dir: X.export_full(V.document_lines(spark, sf_dir)))
@@ -124,7 +132,7 @@ query("fold_no_plain", V.DOCUMENT_LINES_SQL + ' SELECT file, "offset", end_offse
 @query("record_at", V.EVENTS_SQL + ', p AS (SELECT file, "offset" + 7 AS byte FROM event_lines WHERE line_no % 5 = 0) SELECT p.file, CAST(p.byte AS BIGINT) AS byte, CASE WHEN p.byte < r.end_offset THEN r."offset" END AS "offset", CASE WHEN p.byte < r.end_offset THEN r.end_offset END AS end_offset FROM p ASOF LEFT JOIN r ON p.file = r.file AND p.byte >= r."offset"')
 def record_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = V.event_lines(spark, sf_dir)
-    return fold.record_at(fold.fold_records(lines), lines.filter("line_no % 5 = 0").select("file", (F.col("offset") + 7).alias("byte")))
+    return fold.record_at(fold.fold_records(lines), lines.filter("line_no % 5 = 0").select("file", (F.col("offset") + 7).alias("byte")), ZONE_BYTES)
 
 
 query("line_hits_to_records", V.EVENTS_SQL + f" SELECT {SHOWN_SQL} FROM r WHERE raw LIKE '%Handler.php%'")(lambda spark, sf_dir: fold.line_hits_to_records(V.event_lines(spark, sf_dir), F.col("raw").contains("Handler.php")).select(SHOWN))

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tracewright.functions.criteria import Criteria
 from tracewright.functions.scalar import file_identifier, fingerprint, size_human
 
 EXTENSIONS, HIDDEN = ("log", "txt"), ("*.key", "*.pem", ".env*")
@@ -78,6 +79,19 @@ def write_records(records: DataFrame, path: str, format: str = "parquet", mode:
     by_day.repartitionByRange("day", "file", "offset").sortWithinPartitions("day", "file", "offset").write.format(format).mode(mode).partitionBy("day").save(path)
 
 
+def read_records(spark: SparkSession, path: str, criteria: Criteria, format: str = "parquet") -> DataFrame:
+    """Kept records of the days that the criteria's bounds touch, and undated ones; other days aren't read. The criteria themselves are still to be applied."""
+    rows = spark.read.format(format).load(path)
+    day = F.col("day").cast("string")
+    low, high = (None if x is None else x.strftime("%Y-%m-%d") for x in criteria.bounds())
+    dated = F.lit(True)
+    if low is not None:
+        dated &= day >= low
+    if high is not None:
+        dated &= day <= high
+    return rows.filter(dated | (day == "undated"))
+
+
 def to_result_json(records: DataFrame) -> DataFrame:
     """file, offset and ``json``: the record as the API's nested object, absent values as null."""
     head = F.struct("parser", "level", "datetime", "channel", "message", F.try_parse_json("context").alias("context"), "extra")
