@@ -363,7 +363,9 @@ def test_pii_base_spans():
     assert list(pii.emails("a" * 200_000)) == []
 
 
-def test_pii_terms_that_disclose(spark, clashing):
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_pii_terms_that_disclose(spark, clashing, monkeypatch, sent):
+    monkeypatch.setattr(pii, "MAX_SENT_PAIRS", sent)  # 0: pairs and terms are joined
     near = [(2000 + i, f"{prose(i, 5)} the Brankov office {prose(i + 50, 2)} mail jo@brank.example today", "en") for i in range(6)]
     other = [(100 + i, prose(i, 60) + (" the" if i % 2 else ""), "en") for i in range(60)]
     copies = [(300 + i, "call Zubkin at +1 (555) 010-4477 now", "en") for i in range(9)]
