@@ -100,10 +100,12 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("export_policy", f"SELECT doc_id, size, CASE WHEN size > 100 * 1048576 THEN 'blocked' WHEN size > 25 * 1048576 THEN 'confirm' ELSE 'full' END AS policy FROM ({_SIZES})")(lambda spark, sf_dir: X.export_policy(_sizes(spark, sf_dir)))
+_HUMAN = """CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN regexp_replace(CAST(CAST(round(size / 1024.0, 2) AS DECIMAL(20,2)) AS STRING), '\\.?0+$', '') || ' KB' WHEN size < 1073741824 THEN regexp_replace(CAST(CAST(round(size / 1048576.0, 2) AS DECIMAL(20,2)) AS STRING), '\\.?0+$', '') || ' MB' ELSE regexp_replace(CAST(CAST(round(size / 1073741824.0, 2) AS DECIMAL(20,2)) AS STRING), '\\.?0+$', '') || ' GB' END"""
 query(
     "file_info",
-    f"SELECT doc_id, size, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN regexp_replace(CAST(CAST(round(size / 1024.0, 2) AS DECIMAL(20,2)) AS STRING), '\\.?0+$', '') || ' KB' WHEN size < 1073741824 THEN regexp_replace(CAST(CAST(round(size / 1048576.0, 2) AS DECIMAL(20,2)) AS STRING), '\\.?0+$', '') || ' MB' ELSE regexp_replace(CAST(CAST(round(size / 1073741824.0, 2) AS DECIMAL(20,2)) AS STRING), '\\.?0+$', '') || ' GB' END AS size_human, size <= 104857600 AS downloadable FROM ({_SIZES})",
+    f"SELECT doc_id, size, {_HUMAN} AS size_human, size <= 104857600 AS downloadable FROM ({_SIZES})",
 )(lambda spark, sf_dir: X.file_info(_sizes(spark, sf_dir)))
+query("size_human", f"SELECT doc_id, {_HUMAN} AS size_human FROM ({_SIZES})")(lambda spark, sf_dir: _sizes(spark, sf_dir).select("doc_id", S.size_human(F.col("size")).alias("size_human")))
 
 # lines to records
 query("parse_app", V.EVENTS_SQL + f" SELECT file, \"offset\", 'app' AS parser, lower(regexp_extract(raw, '{V.HEADER_SQL}', 3)) AS level, regexp_extract(raw, '{V.HEADER_SQL}', 1) AS datetime, regexp_extract(raw, '{V.HEADER_SQL}', 2) AS channel FROM event_lines WHERE regexp_matches(raw, '{V.HEADER_SQL}')")(
@@ -269,6 +271,9 @@ query("file_identifier", f"SELECT page_id, {_CURSOR.format(chr(39) + 'local:' +
 query("bucket_label", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute, strftime(ts, '%Y-%m-%d %H:00') AS hour, strftime(ts, '%Y-%m-%d') AS day FROM events")(
     lambda spark, sf_dir: V.table(spark, sf_dir, "events").withColumn("minute", S.bucket_label(F.col("ts").cast("timestamp"), "minute")).select("event_id", "minute", S.coarsen_label(F.col("minute"), "hour").alias("hour"), S.coarsen_label(F.col("minute"), "day").alias("day"))
 )
+query("coarsen_label", "SELECT strftime(ts, '%Y-%m-%d %H:00') AS hour, count(DISTINCT strftime(ts, '%Y-%m-%d %H:%M')) AS minutes FROM events GROUP BY 1")(
+    lambda spark, sf_dir: V.table(spark, sf_dir, "events").select(S.bucket_label(F.col("ts").cast("timestamp"), "minute").alias("minute")).distinct().groupBy(S.coarsen_label(F.col("minute"), "hour").alias("hour")).agg(F.count("*").alias("minutes"))
+)
 
 # formats that are added through the registry
 _ACCESS = "'10.0.0.' || CAST(user_id % 250 AS STRING) || ' - user' || CAST(user_id AS STRING) || ' [' || {0} || ' +0000] \"GET /' || event_type || ' HTTP/1.1\" ' || CASE event_type WHEN 'error' THEN '500' WHEN 'view' THEN '404' ELSE '200' END || ' ' || CAST(event_id AS STRING)"
