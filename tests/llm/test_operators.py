@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracewright.llm import bpe, chat, graph, hmm, jaccard, neighbours, packing, pii, quality, toxicity, urls
+from tracewright.llm import bpe, chat, common, graph, hmm, jaccard, neighbours, packing, pii, quality, toxicity, urls
 from tracewright.llm.queries import CHAT_RANKS, RULES, VOCABULARY
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -48,6 +48,14 @@ def labels(spark):
     return spark.createDataFrame([(10 + i, 1, i % 2) for i in range(20)] + [(None, 1, 1), (11, None, None)], "doc_id long, quality int, toxic int")
 
 
+def test_likely_sample_is_the_sample(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "k")
+    near = common.likely_sample(rows, "k", 50, 20_000)
+    take = lambda df: df.orderBy(*common.by_hash("k")).limit(50).collect()
+    assert near.count() < 400 and take(near) == take(rows)
+    assert common.likely_sample(rows.limit(60), "k", 50, 20_000).count() == 60  # fewer than said: all rows
+
+
 def test_bpe_equals_the_library(spark, clashing):
     library = Tokenizer.from_file(VOCABULARY)
     found = {r["doc_id"]: r for r in bpe.round_trip_digests(clashing, VOCABULARY).collect()}

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 #: A batch handed to Python holds at most so many rows and so many bytes.
@@ -22,15 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one of this session where it is unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given
     sc = spark.sparkContext
-    set_before = sc._jsc.sc().getCheckpointDir()
-    if set_before.isDefined():
-        return set_before.get()
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        known = sc._jsc.sc().getCheckpointDir()
+    return given or known.get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -46,6 +44,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def likely_sample(df: DataFrame, key: str, k: int, n: int) -> DataFrame:
+    """Of ``n`` rows, those whose hash of ``key`` is in a share that holds about ``4 k`` of them; all rows where that gives fewer than ``k``.
+
+    Ordering what is left by the hash and taking ``k`` gives the same rows as ordering all, but tasks don't each send
+    ``k`` rows: what they send in all stays near ``4 k``, however many tasks there are.
+    """
+    if n <= 4 * k:
+        return df
+    near = df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < int((1 << 31) * 4 * k / n))
+    return near if near.select(key).count() >= k else df
+
+
+def by_hash(key: str) -> list:
+    """The order that samples are taken in."""
+    return [F.pmod(F.xxhash64(key), F.lit(1 << 31)), F.col(key)]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracewright.llm.common import batches, written
+from tracewright.llm.common import batches, by_hash, likely_sample, written
 
 STATES, ROUNDS, SAMPLE, SAMPLE_ROUNDS = 8, 2, 600, 12
 HEAD, CLASSES = 32_000, 512
@@ -97,11 +97,19 @@ def _class_of(word: Column) -> Column:
 def symbols(counts: DataFrame, head: int = HEAD) -> Symbols:
     """The symbols from the words' counts."""
     total, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0))).first()
-    top = counts.filter(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(head).collect()  # at most HEAD rows
+    # words below the class of counts that the head ends in can't be in it; so tasks send few words each
+    words_only = counts.filter(F.col("word") != F.lit(END))
+    size_class = F.floor(F.log2("n") * 8)
+    least, held = 0, 0
+    for r in sorted(words_only.groupBy(size_class.alias("c")).count().collect(), reverse=True):  # a row for each class, 8 a doubling
+        least, held = r["c"], held + r["count"]
+        if held >= head:
+            break
+    top = words_only.filter(size_class >= least).orderBy(F.desc("n"), "word").limit(head).collect()  # at most HEAD rows
     numbers = {bytes(r["word"]): i for i, r in enumerate(top, 1)}
     all_of = np.zeros(CLASSES)
     words = np.zeros(CLASSES)
-    for r in counts.filter(F.col("word") != F.lit(END)).groupBy(_class_of(F.col("word")).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # CLASSES rows
+    for r in words_only.groupBy(_class_of(F.col("word")).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # CLASSES rows
         all_of[r["k"]], words[r["k"]] = r["n"], r["v"]
     for r in top:
         k = word_class(bytes(r["word"]))
@@ -278,7 +286,9 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head: int
     counts = written(word_counts(texts), "lm-words")
     known = symbols(counts, head)
     coded = written(encoded(texts, known), "lm-symbols")
-    picked = coded.filter("not held_out").orderBy(F.xxhash64("doc_id"), "row_id").limit(SAMPLE).select("symbols").collect()
+    training = coded.filter("not held_out").select("doc_id", "row_id", "symbols")
+    near = likely_sample(training, "doc_id", SAMPLE, int(known.counts[0]))  # as many end tokens as training rows
+    picked = near.orderBy(*by_hash("doc_id"), "row_id").limit(SAMPLE).select("symbols").collect()
     model = first_model([np.frombuffer(bytes(r["symbols"]), "<u2").astype(np.int64) for r in picked], known, states)
     for _ in range(rounds if known.total else 0):
         model = baum_welch(coded, model, known)
