@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tracewright.llm.common import batches, cut, runs
+from tracewright.llm.common import batches, by_hash, cut, likely_sample, runs
 
 SAMPLE = 4096
 #: About so many different vectors make a part; there are at most so many parts.
@@ -177,7 +177,8 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, target: float = TARG
     different = cut(usable.withColumn("_rank", order).filter(F.col("_rank") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")))
     n = different.count()
     # at most 2 * SAMPLE vectors
-    sample = different.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(2 * SAMPLE).select("vector").collect()
+    first = different.select(F.col("ids")[0].alias("first"), "vector")
+    sample = likely_sample(first, "first", 2 * SAMPLE, n).orderBy(*by_hash("first")).limit(2 * SAMPLE).select("vector").collect()
     router = fit(np.array([r["vector"] for r in sample], dtype=float), min(MAX_PARTS, math.ceil(n / PART_VECTORS)), k, target)
 
     def index(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
