@@ -36,9 +36,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tracewright.llm.common import batches, cut
+from tracewright.llm.common import batches, by_hash, cut, likely_sample
 
 MAX_TOXIC, MAX_ORDINARY = 3000, 6000
 MAX_GRAMS = 300_000
@@ -140,8 +140,12 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The bounded sample: text, toxic, and whether a row is for the weights rather than the counts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("_fold", fold(F.col("doc_id"))).filter("_fold <> 2")
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    known = known.withColumn("_rank", rank).filter((F.col("_rank") <= MAX_TOXIC) | (F.col("toxic") == 0) & (F.col("_rank") <= MAX_ORDINARY)).select("doc_id", "toxic", (F.col("_fold") == 3).alias("for_weights"))
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    parts = []
+    for toxic, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY)):
+        near = likely_sample(known.filter(F.col("toxic") == toxic), "doc_id", most, sizes.get(toxic, 0))
+        parts.append(near.orderBy(*by_hash("doc_id")).limit(most))
+    known = parts[0].union(parts[1]).select("doc_id", "toxic", (F.col("_fold") == 3).alias("for_weights"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # at most MAX_TOXIC + MAX_ORDINARY rows of three numbers
     return texts.join(F.broadcast(known), "doc_id")
