@@ -198,6 +198,30 @@ def test_quality_counts_and_verdicts(spark, clashing):
     assert quality.js_distance(np.array([1.0, 0]), np.array([0, 1.0])) == 1 and quality.js_distance(np.array([0.5, 0.5]), np.array([0.5, 0.5])) == 0
 
 
+@pytest.mark.parametrize("sent", [(1000, 1_000_000), (0, 0)])
+def test_quality_references_are_of_their_own_language(spark, monkeypatch, sent):
+    monkeypatch.setattr(quality, "MAX_SENT_LANGUAGES", sent[0])  # 0: references are joined, and all texts shuffled
+    monkeypatch.setattr(quality, "MAX_SENT_HASHES", sent[1])
+
+    def speak(seed, letters, n=90):
+        rng = random.Random(seed)
+        return " ".join(rng.choice([a + b + letters for a in letters for b in letters]) for _ in range(n))
+
+    large = [(i, speak(i, "bcdf"), "en") for i in range(120)]
+    small = [(1000 + 10 * k + i, speak(i, x), f"l{k}") for k, x in enumerate(("ГДЖЗ", "KLMN", "αβγδ")) for i in range(4)]
+    without = [(2000, speak(1, "ПРСТ"), None), (2001, speak(2, "QRST"), ""), (2002, "ab " * 90, None)]
+    copied = [(3000 + i, speak(0, "GHJK"), "fr") for i in range(500)] + [(4000 + i, speak(i, "vwxz"), "fr") for i in range(40)]
+    source = docs(spark, large + small + without + copied).repartition(7)
+    rows = {r["doc_id"]: r for r in quality.judge(source).collect()}
+    dropped = {i for i, r in rows.items() if not r["kept"]}
+    assert 2002 in dropped and not dropped & {i for i, _, _ in large + small + without[:2] + copied[500:]}
+    assert all(rows[i]["class_distance"] is None for i in (2000, 2001)) and all(rows[i]["class_distance"] is not None for i, _, _ in small)
+    alone = {r["doc_id"]: r for r in quality.judge(source.filter("doc_id not between 3001 and 3499")).collect()}
+    assert all(abs(alone[i][c] - rows[i][c]) < 1e-12 for i, _, _ in copied[500:] for c in ("class_distance", "word_distance"))
+    kept = quality.filter_quality(source)
+    assert {r["doc_id"] for r in kept.collect()} == set(rows) - dropped and kept.columns == source.columns
+
+
 def test_toxicity_learns_marked_words(spark, labels, clashing):
     rows, marks = [], []
     for i in range(400):

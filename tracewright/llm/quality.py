@@ -6,32 +6,37 @@ either histogram to its language's exceeds ``floor + slack / sqrt(n_words)``: th
 texts differ by chance. Documents under ``min_words`` words aren't judged by distance (the length guard), nor are any
 where no reference exists. Plain counts (symbols, repeated lines and words) come with the verdict.
 
-Languages beyond the ``MAX_LANGUAGES`` with the most words, those with fewer than ``MIN_REFERENCE_WORDS`` words, and
-documents without a language are compared to the reference of all documents together.
+Every language has its own reference, of however few words: a document is part of it, so what the two differ by by
+chance is never more than against a reference without end. Copies of a text count once in it. A document without a
+language (null or empty) has no reference, so it is judged by its counts alone.
 
-Defined results: a null text has no words; an empty text fails the length rule; a null language is the pooled one;
+Defined results: a null text has no words; an empty text fails the length rule; a null or empty language has no reference;
 ties between common words go to the smaller word; repeated rows give repeated results; other columns are kept by
 ``filter_quality`` and ignored by ``judge``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tracewright.llm.common import batches, written
+from tracewright.llm.common import batches, cut, fresh, written
 
 COMMON = 40
-MAX_LANGUAGES = 256
-MIN_REFERENCE_WORDS = 2000
+#: References are sent to tasks up to this number; more of them are joined.
+MAX_SENT_LANGUAGES = 1000
+#: Hashes of the texts that have copies are sent to tasks up to this number; beyond it all texts are shuffled to find copies.
+MAX_SENT_HASHES = 1_000_000
 #: A task's word counts are passed on when it holds so many different words.
 FLUSH_WORDS = 300_000
-POOLED = ""
+#: A task forgets the texts that it has seen when they are so many.
+SEEN_TEXTS = 200_000
 SYMBOLS = b"#*$%&|<>"
 #: Character classes: lower and upper case, digits, symbols, blanks, line breaks, other ASCII, other characters; the rest of a character's bytes don't count.
 _LOWER, _UPPER, _DIGIT, _SYMBOL, _BLANK, _BREAK, _OTHER, _BEYOND, _REST = range(9)
@@ -112,69 +117,138 @@ def repeated_lines(raw: bytes) -> int:
     return len(with_word) - len(set(with_word))
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """Per language: class shares, common words, their shares with the others' last. ``POOLED`` is all documents together."""
+Reference = tuple[np.ndarray, dict[bytes, int], np.ndarray]
 
-    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
-        totals: Counter = Counter()
 
-        def held() -> Iterator[pa.RecordBatch]:
-            out = [(lang, w.decode(), n) for lang, own in words.items() for w, n in own.items() if w.isalpha() or not w.isascii() and w.decode().isalpha()]
-            out += [(lang, f" {kind}", n) for (lang, kind), n in totals.items()]
-            words.clear()
-            totals.clear()
-            for i in range(0, len(out), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 50_000]), (pa.string(), pa.string(), pa.int64()))], ["lang", "key", "n"])
+def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and character classes of (lang, raw), by language."""
+    words: dict[str, Counter] = {}
+    totals: Counter = Counter()
+
+    def held() -> Iterator[pa.RecordBatch]:
+        out = [(lang, w.decode(), n) for lang, own in words.items() for w, n in own.items() if w.isalpha() or not w.isascii() and w.decode().isalpha()]
+        out += [(lang, f" {kind}", n) for (lang, kind), n in totals.items()]
+        words.clear()
+        totals.clear()
+        for i in range(0, len(out), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 50_000]), (pa.string(), pa.string(), pa.int64()))], ["lang", "key", "n"])
+
+    for batch in rows:
+        by_lang: dict[str, list[bytes]] = {}
+        for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            by_lang.setdefault(lang, []).append(raw)
+        for lang, texts in by_lang.items():
+            own = b"\n".join(texts).lower().split()
+            words.setdefault(lang, Counter()).update(own)
+            totals[lang, "words"] += len(own)
+            for kind, n in enumerate(sum(class_histogram(x) for x in texts).tolist()):
+                totals[lang, kind] += n
+        if len(totals) + sum(map(len, words.values())) > FLUSH_WORDS:
+            yield from held()
+    yield from held()
 
-        for batch in rows:
-            by_lang: dict[str, list[bytes]] = {}
-            for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if raw:
-                    by_lang.setdefault(lang or POOLED, []).append(raw)
-            for lang, texts in by_lang.items():
-                own = b"\n".join(texts).lower().split()
-                words.setdefault(lang, Counter()).update(own)
-                totals[lang, "words"] += len(own)
-                for kind, n in enumerate(sum(class_histogram(x) for x in texts).tolist()):
-                    totals[lang, kind] += n
-            if sum(map(len, words.values())) > FLUSH_WORDS:
-                yield from held()
-        yield from held()
 
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, key, n) of the different texts of each language; texts without copies are counted where they lie."""
     source = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").cast("binary").alias("raw"))
-    counts = batches(source, count, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    counts = written(counts, "quality-words")
-    totals = counts.filter(F.col("key") == " words")
-    large = [r["lang"] for r in totals.filter((F.col("n") >= MIN_REFERENCE_WORDS) & (F.col("lang") != POOLED)).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    named = counts.filter(F.col("lang").isin(large)) if large else counts.limit(0)
-    pooled = counts.groupBy("key").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "key", "n")
-    both = named.unionByName(pooled)
+    source = source.filter("lang <> '' and length(raw) > 0").withColumn("hash", F.xxhash64("lang", "raw"))
+    repeated = cut(source.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
+    # at most MAX_SENT_HASHES numbers
+    few = repeated.count() <= MAX_SENT_HASHES
+    twice = np.sort(repeated.toArrow().column(0).to_numpy()) if few else None
+
+    def is_repeated(batch: pa.RecordBatch) -> np.ndarray:
+        return np.isin(batch.column(2).to_numpy(), twice)
+
+    def alone(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _count(batch.filter(pa.array(~is_repeated(batch))) for batch in rows if batch.num_rows)
+
+    def copies(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that may be copies, those of one task once."""
+        seen: set[bytes] = set()
+        for batch in rows:
+            if twice is not None and batch.num_rows:
+                batch = batch.filter(pa.array(is_repeated(batch)))
+            new = []
+            for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                digest = hashlib.blake2b(lang.encode() + b"\n" + raw, digest_size=16).digest()
+                new.append(digest not in seen)
+                seen.add(digest)
+            yield batch.filter(pa.array(new, pa.bool_()))
+            if len(seen) > SEEN_TEXTS:
+                seen.clear()
+
+    def once(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def first() -> Iterator[pa.RecordBatch]:
+            seen: set[tuple] = set()  # the different texts of one hash
+            last = None
+            for batch in rows:
+                new = []
+                for key in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if key[0] != last:
+                        seen.clear()
+                        last = key[0]
+                    new.append(key not in seen)
+                    seen.add(key)
+                yield batch.filter(pa.array(new, pa.bool_()))
+
+        return _count(first())
+
+    shape = "lang string, key string, n long"
+    dealt = batches(source, copies, "lang string, raw binary, hash long").repartition("hash").sortWithinPartitions("hash")
+    counts = batches(dealt, once, shape)
+    if twice is not None:
+        counts = counts.unionByName(batches(source, alone, shape))
+    return counts.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+
+
+def _reference(items: list) -> Reference | None:
+    """Class shares, common words, their shares with the others' last, from pairs of key and n; None without words."""
+    own = dict(sorted(((r["key"], r["n"]) for r in items), key=lambda x: (-x[1], x[0])))
+    total = own.get(" words", 0)
+    if not total:
+        return None
+    classes = np.array([own.get(f" {k}", 0) for k in range(CLASSES)], dtype=float)
+    common = [k for k in own if not k.startswith(" ")]
+    shares = np.array([own[k] for k in common] + [0], dtype=float)
+    shares[-1] = max(0.0, total - shares.sum())
+    return classes / classes.sum(), {k.encode(): i for i, k in enumerate(common)}, shares / total
+
+
+def references(docs: DataFrame) -> DataFrame:
+    """Per language: lang, items (key and n of its common words, its classes and its words' number)."""
+    counts = written(_word_counts(docs), "quality-words")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
-    top = both.filter(~F.col("key").startswith(" ")).withColumn("rank", rank).filter(F.col("rank") <= COMMON).drop("rank")
-    found: dict[str, dict[str, int]] = {}
-    for r in top.unionByName(both.filter(F.col("key").startswith(" "))).orderBy("lang", F.desc("n"), "key").collect():  # at most COMMON + CLASSES + 1 rows a language
-        found.setdefault(r["lang"], {})[r["key"]] = r["n"]
-    out = {}
-    for lang, own in found.items():
-        total = own.get(" words", 0)
-        if total < MIN_REFERENCE_WORDS and lang != POOLED or not total:
-            continue
-        classes = np.array([own.get(f" {k}", 0) for k in range(CLASSES)], dtype=float)
-        common = [k for k in own if not k.startswith(" ")]
-        shares = np.array([own[k] for k in common] + [0], dtype=float)
-        shares[-1] = max(0.0, total - shares.sum())
-        out[lang] = (classes / classes.sum(), {k.encode(): i for i, k in enumerate(common)}, shares / total)
-    return out
+    top = counts.filter(~F.col("key").startswith(" ")).withColumn("rank", rank).filter(F.col("rank") <= COMMON).drop("rank")
+    found = top.unionByName(counts.filter(F.col("key").startswith(" ")))  # at most COMMON + CLASSES + 1 rows a language
+    return cut(found.groupBy("lang").agg(F.collect_list(F.struct("key", "n")).alias("items")))
+
+
+def _attached(docs: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch, list], list[Reference | None]]]:
+    """``docs`` and what gives its batches' references by their languages; where there are many, each row's own is added as the last column."""
+    found = references(docs)
+    if found.count() <= MAX_SENT_LANGUAGES:
+        known = {r["lang"]: _reference(r["items"]) for r in found.collect()}
+        return docs, lambda batch, langs: [known.get(x) for x in langs]
+
+    def own(batch: pa.RecordBatch, langs: list) -> list[Reference | None]:
+        first = {lang: i for i, lang in enumerate(langs)}
+        items = batch.column(batch.num_columns - 1)
+        made = {lang: _reference(items[i].as_py() or ()) for lang, i in first.items()}
+        return [made[x] for x in langs]
+
+    lang, column = fresh(docs, "_language"), fresh(docs, "_reference")
+    found = found.select(F.col("lang").alias(lang), F.col("items").alias(column))
+    return docs.join(found, docs["lang"].cast("string") == found[lang], "left").select(*(docs[x] for x in docs.columns), column), own
 
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double, base_failed boolean, kept boolean"
 
 
-def _measured(langs: list[str | None], raws: list[bytes | None], known: dict, limits: Limits) -> list[tuple]:
-    """Values of ``COUNTS`` for some documents."""
+def _measured(raws: list[bytes | None], known: list[Reference | None], limits: Limits) -> list[tuple]:
+    """Values of ``COUNTS`` for some documents and their references."""
     out = []
-    for lang, raw in zip(langs, raws):
+    for raw, reference in zip(raws, known):
         raw = raw or b""
         words = raw.split()
         n = len(words)
@@ -183,7 +257,6 @@ def _measured(langs: list[str | None], raws: list[bytes | None], known: dict, li
         repeats = repeated_words(words)
         failed = n < limits.min_words or 100 * repeats > limits.max_repeat_percent * n
         by_class = by_word = None
-        reference = known.get(lang or POOLED) or known.get(POOLED)
         if n >= max(1, limits.min_words) and reference is not None:
             shares, common, word_shares = reference
             by_class = js_distance(classes[:CLASSES] / classes[:CLASSES].sum(), shares)
@@ -199,29 +272,29 @@ def _measured(langs: list[str | None], raws: list[bytes | None], known: dict, li
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Per document: doc_id, the counts, both distances (null where not judged), base_failed, kept."""
-    known = references(docs)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    given, of = _attached(source)
 
     def measure(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()] * 2
         names = ["doc_id", *(x.split()[0] for x in COUNTS.split(", "))]
         for batch in rows:
             if batch.num_rows:
-                out = _measured(batch.column(1).to_pylist(), batch.column(2).to_pylist(), known, limits)
+                out = _measured(batch.column(2).cast(pa.binary()).to_pylist(), of(batch, batch.column(1).to_pylist()), limits)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*out), kinds))], names)
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").cast("binary").alias("raw"))
-    return batches(source, measure, "doc_id long, " + COUNTS)
+    return batches(given, measure, "doc_id long, " + COUNTS)
 
 
 def filter_quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The kept documents with all their columns; verdicts are made where the rows lie, without a join."""
-    known = references(docs)
-    lang, text = docs.columns.index("lang"), docs.columns.index("text")
+    """The kept documents with all their columns; verdicts are made where the rows lie, unless there are very many languages."""
+    given, of = _attached(docs)
+    names, lang, text = docs.columns, docs.columns.index("lang"), docs.columns.index("text")
 
     def keep(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             raws = batch.column(text).cast(pa.binary()).to_pylist()
-            kept = [x[-1] for x in _measured(batch.column(lang).to_pylist(), raws, known, limits)]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            kept = [x[-1] for x in _measured(raws, of(batch, batch.column(lang).cast(pa.string()).to_pylist()), limits)]
+            yield batch.filter(pa.array(kept, pa.bool_())).select(names)
 
-    return batches(docs, keep, docs.schema)
+    return batches(given, keep, docs.schema)
