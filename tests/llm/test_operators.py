@@ -411,3 +411,13 @@ def test_pii_terms_that_disclose(spark, clashing, monkeypatch, sent):
     assert "Brankov" not in clean[2000] and "[email]" in clean[2000] and "@" not in clean[2001] and clean[100] == other[0][1]
     assert pii.sanitise(source).columns == source.columns and pii.find(source.limit(0)).count() == 0
     assert pii.sanitise(clashing).filter("doc_id = 2").first()["text"] == ""
+
+
+def test_pii_counts_every_surrounding_of_a_document(spark):
+    head = "write to the archive jo@brank.example or leave it there please at any hour of the day "
+    places = [" ".join([prose(10 + i, 12), f"Brankov {prose(i + 90, 3)} jo@brank.example", prose(50 + i, 12)]) for i in range(6)]
+    other = [(100 + i, prose(i, 60), "en") for i in range(60)]
+    for rows in ([(1, head + " ".join(places), "en")], [(1 + i, head + prose(70 + i, 12) + " " + " ".join(places[2 * i : 2 * i + 2]), "en") for i in range(3)]):
+        pairs = {(r["entity"], r["term"]): r["disclosure"] for r in pii.disclosing(docs(spark, rows + other)).collect()}
+        assert pairs["email:jo@brank.example", "brankov"] == pytest.approx(1)  # it stands nowhere else
+        assert ("email:jo@brank.example", "archive") not in pairs  # one surrounding in all

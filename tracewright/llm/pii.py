@@ -34,6 +34,8 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW = 8
 #: Disclosing pairs are sent to tasks up to this number; more of them are joined.
 MAX_SENT_PAIRS = 200_000
+#: A task passes on so many mentions at a time.
+MENTIONS = 50_000
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -130,26 +132,38 @@ def disclosing(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Pairs that disclose: entity, term, disclosure. Counts are of all documents."""
 
     def mentions(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            kinds = {"entity": pa.string(), "term": pa.string(), "place": pa.int64(), "n": pa.int64()}
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds.values())], list(kinds))
+
+        out: list[tuple] = []
         for batch in rows:
-            out = []
             for text in batch.column(0):
                 text = text.as_py()
-                spans = base_spans(text)
-                seen: dict[tuple[str, str], bytes] = {}
-                for span in spans:
+                pairs: set[tuple[str, str]] = set()
+                seen: set[tuple[str, int]] = set()
+                for span in base_spans(text):
                     near = sorted({t for t, _, _ in surroundings(text, span)})
-                    place = hashlib.blake2b(" ".join(near).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                    place = int.from_bytes(hashlib.blake2b(" ".join(near).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
                     key = entity_key(text, span)
-                    seen.setdefault((key, ""), place)
-                    for term in near:
-                        seen.setdefault((key, term), place)
-                out += [(e, t, int.from_bytes(p, "little", signed=True)) for (e, t), p in seen.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int64())], ["entity", "term", "place"])
+                    if (key, place) in seen:
+                        continue
+                    seen.add((key, place))
+                    for term in ("", *near):
+                        # the document counts once for each pair, at the first place; an entity's own row needs no place
+                        first = (key, term) not in pairs
+                        pairs.add((key, term))
+                        if first or term:
+                            out.append((key, term, place if term else 0, int(first)))
+                    if len(out) >= MENTIONS:
+                        yield made(out)
+                        out = []
+        yield made(out)
 
     texts = _texts(docs)
     # copies of a passage first shrink to one row for each place, then places are counted
-    places = batches(texts.select("text"), mentions, "entity string, term string, place long").groupBy("entity", "term", "place").agg(F.count("*").alias("n"))
-    pairs = cut(places.groupBy("entity", "term").agg(F.sum("n").alias("docs"), F.count("*").alias("places")).filter((F.col("places") >= rules.min_support)))
+    places = batches(texts.select("text"), mentions, "entity string, term string, place long, n long").groupBy("entity", "term", "place").agg(F.sum("n").alias("n"))
+    pairs = cut(places.groupBy("entity", "term").agg(F.sum("n").alias("docs"), F.count("*").alias("places")).filter((F.col("term") == "") | (F.col("places") >= rules.min_support)))
     candidates = pairs.filter("term <> ''").select("term").distinct()
     entities = pairs.filter("term = ''").select("entity", F.col("docs").alias("entity_docs"))
     total = docs.count()
