@@ -421,3 +421,17 @@ def test_pii_counts_every_surrounding_of_a_document(spark):
         pairs = {(r["entity"], r["term"]): r["disclosure"] for r in pii.disclosing(docs(spark, rows + other)).collect()}
         assert pairs["email:jo@brank.example", "brankov"] == pytest.approx(1)  # it stands nowhere else
         assert ("email:jo@brank.example", "archive") not in pairs  # one surrounding in all
+
+
+def test_pii_terms_are_counted_alike_sent_or_joined(spark, monkeypatch):
+    near = [(i, f"{prose(i, 5)} Brankov İlgaz {prose(i + 50, 2)} mail jo@brank.example today", "en") for i in range(6)]
+    other = [(100 + i, prose(i, 60) + (" x,brankov brankov.y brankov\u00a0z (Brankov)" if i < 9 else " q,Brankov brankov\u2003q"), "en") for i in range(60)]
+    found = []
+    for sent in (200_000, 0):
+        monkeypatch.setattr(pii, "MAX_SENT_PAIRS", sent)
+        found.append({(r["entity"], r["term"]): r["disclosure"] for r in pii.disclosing(docs(spark, near + other), pii.Rules(threshold=0.0)).collect()})
+    assert found[0].keys() == found[1].keys() and all(found[1][k] == pytest.approx(v) for k, v in found[0].items())
+    # of 66 documents 6 hold the pair and 15 the term as a word of its own
+    assert found[0]["email:jo@brank.example", "brankov"] == pytest.approx(np.log(6 * 66 / (6 * 15)) / np.log(66 / 6))
+    words = ["a\u2003b", "İI", "x,foo", "(foo)", "foo\x0bbar", "foo\x1cbar", "Σας."]
+    assert pii.terms(" ".join(words)) == {t for w in pii._WORD.findall(" ".join(words)) if (t := pii._term(w))}

@@ -36,6 +36,8 @@ WINDOW = 8
 MAX_SENT_PAIRS = 200_000
 #: A task passes on so many mentions at a time.
 MENTIONS = 50_000
+#: A task's term counts are passed on when it holds so many different terms.
+FLUSH_TERMS = 300_000
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -106,6 +108,11 @@ def _term(word: str) -> str | None:
     return own if len(own) >= 3 and own.isalpha() else None
 
 
+def terms(text: str) -> set[str]:
+    """The different terms of a text; bytes are split where ``_WORD`` splits."""
+    return {found for w in set(text.encode().split()) if (found := _term(w.decode())) is not None}
+
+
 def surroundings(text: str, span: Span, window: int = WINDOW) -> list[tuple[str, int, int]]:
     """Terms within ``window`` words before and after an entity: (term, start, end). Only that part of the text is cut."""
     _, a, b = span
@@ -168,23 +175,28 @@ def disclosing(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     entities = pairs.filter("term = ''").select("entity", F.col("docs").alias("entity_docs"))
     total = docs.count()
     n_terms = candidates.count()
-    if n_terms <= MAX_SENT_PAIRS:
-        wanted = frozenset(r["term"] for r in candidates.collect())  # at most MAX_SENT_PAIRS words
-
-        def held(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts: dict[str, int] = {}
-            for batch in rows:
-                for text in batch.column(0):
-                    for term in wanted.intersection(w.strip(_TERM_EDGES) for w in text.as_py().lower().split()):
-                        counts[term] = counts.get(term, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
-
-        frequency = batches(texts.select("text"), held, "term string, n long") if wanted else None
-    else:
-        word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[\s.,;:!?\"'()\[\]{}<>|*#$%&]+"))).alias("term")
-        frequency = texts.select(word).join(candidates, "term", "left_semi").select("term", F.lit(1).alias("n"))
-    if frequency is None:
+    if not n_terms:
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
+    wanted = frozenset(r["term"] for r in candidates.collect()) if n_terms <= MAX_SENT_PAIRS else None  # at most MAX_SENT_PAIRS words
+
+    def held(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+
+        counts: dict[str, int] = {}
+        for batch in rows:
+            for text in batch.column(0):
+                found = terms(text.as_py())
+                for term in found if wanted is None else wanted & found:
+                    counts[term] = counts.get(term, 0) + 1
+                if len(counts) >= FLUSH_TERMS:
+                    yield made()
+                    counts.clear()
+        yield made()
+
+    frequency = batches(texts.select("text"), held, "term string, n long")
+    if wanted is None:
+        frequency = frequency.join(candidates, "term", "left_semi")
     frequency = frequency.groupBy("term").agg(F.sum("n").alias("term_docs"))
     n = F.lit(float(max(total, 2)))
     pmi = F.log(F.col("docs") * n / (F.col("entity_docs") * F.greatest("term_docs", "docs")))
