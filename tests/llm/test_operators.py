@@ -286,6 +286,14 @@ def test_jaccard_equals_brute_force(spark, clashing, monkeypatch, block):
         assert jaccard.classes(source.limit(0)).count() == 0
 
 
+def test_jaccard_counts_links_once_with_empty_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 100)  # components of two or three texts in several blocks, some of them empty
+    rows = [(10 * i + k, prose(500 + i, 100) + f" tail{k}") for i in range(8) for k in range(2 + i % 2)]
+    root, links = brute_classes(rows)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.classes(docs(spark, [(i, t, "en") for i, t in rows])).collect()}
+    assert got == {i: (root[i], links[i]) for i, _ in rows}
+
+
 def test_band_choice():
     bands, rows = jaccard.choose_bands(0.8, 0.9999)
     assert bands * rows <= jaccard.MAX_VALUES and 1 - (1 - 0.8**rows) ** bands >= 0.9999

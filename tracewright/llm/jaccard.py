@@ -192,7 +192,7 @@ def verified(docs: DataFrame, members: DataFrame, words: int = WORDS, threshold:
     """(node, root, links) for every place where a node was compared; members: node, copies, component, blocks."""
 
     def compare(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(rows: list[tuple]) -> pa.RecordBatch:
+        def settle(rows: list[tuple], low: int, high: int) -> pa.RecordBatch | None:
             seen, kept = set(), []
             sets = shingle_sets([r[2] for r in rows], words)
             for r, x in zip(rows, sets):
@@ -208,20 +208,22 @@ def verified(docs: DataFrame, members: DataFrame, words: int = WORDS, threshold:
             inter = intersections([x for _, x in kept])
             links = inter >= threshold * (size[:, None] + size[None, :] - inter) - 1e-9
             links &= nodes[:, None] != nodes[None, :]
-            if len(set(block.tolist())) > 1:  # pairs within a block are compared where the block meets itself
+            if low != high:  # pairs within a block are compared where the block meets itself, also if its partner here is empty
                 links &= block[:, None] != block[None, :]
             some = links.any(axis=1)
             roots = _local_roots(links, nodes)
             return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(roots[some]), pa.array((links @ copies)[some])], ["node", "root", "links"])
 
         held: list[tuple] = []
-        for _, part, new in runs(source, ["component", "low", "high"]):
+        last = None
+        for key, part, new in runs(source, ["component", "low", "high"]):
             if new and held:
-                if (done := settle(held)) is not None:
+                if (done := settle(held, *last[1:])) is not None:
                     yield done
                 held = []
+            last = key
             held += zip(*(part.column(part.schema.get_field_index(x)).to_pylist() for x in ("node", "copies", "raw", "block")))
-        if held and (done := settle(held)) is not None:
+        if held and (done := settle(held, *last[1:])) is not None:
             yield done
 
     texts = _raw(docs).withColumnRenamed("doc_id", "node").join(members, "node")
