@@ -340,6 +340,21 @@ def test_neighbours_recall_and_odd_vectors(spark, monkeypatch):
     assert neighbours.search(df.limit(0)).count() == 0 and neighbours.search(df.filter("vec_id = 100")).count() == 0
 
 
+def test_neighbours_ties_between_different_vectors(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=16).astype(np.float32)
+    tied = [(i, (base * np.float32(2.0 ** ((i * 7) % 40 - 20))).tolist()) for i in range(40)]  # exact powers: equal cosines
+    rows = tied + [(100 + i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(30)]
+    binary = [(i, [float(c) for c in f"{i + 1:08b}"]) for i in range(255)]
+    for given, asked in ((rows, 0), (binary, 50)):
+        got = neighbours.search(spark.createDataFrame(given, "vec_id long, embedding array<float>")).filter(F.col("query_id") == asked).orderBy("rank").collect()
+        x = np.array([v for _, v in given])
+        ids = np.array([i for i, _ in given])
+        near = np.round(x @ x[ids == asked][0] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[ids == asked][0]), 12)
+        near[ids == asked] = -2
+        assert [r["vec_id"] for r in got] == ids[np.lexsort((ids, -near))[:5]].tolist()
+
+
 def test_balanced_parts():
     x = neighbours.unit(np.random.default_rng(0).normal(size=(600, 8)))
     part = neighbours.balanced_parts(x, neighbours.neighbour_graph(x), 6)

@@ -34,6 +34,8 @@ SAMPLE = 4096
 PART_VECTORS, MAX_PARTS = 1500, 256
 #: A block of a part holds about so many vectors; so many queries at a time are held against it.
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
+#: More than what a block's cosines by a matrix product may differ from exact ones.
+ROUNDING = 1e-9
 NEIGHBOURS, HIDDEN, STEPS = 10, 64, 150
 TARGET_RECALL = 0.95
 
@@ -215,10 +217,12 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, target: float = TARG
                     norms = np.linalg.norm(block, axis=1)
                 asked = np.stack([v for _, v in waiting])
                 near = (asked @ block.T) / norms
-                take = min(k + 3, len(block))
-                some = np.argpartition(-near, take - 1, axis=1)[:, :take]
+                # all that may be as near as the last of k + 1 (the query may be among them), however many tie there
+                at_least = len(block) - min(k + 1, len(block))
+                least = np.partition(near, at_least, axis=1)[:, at_least] - ROUNDING * np.linalg.norm(asked, axis=1)
                 out: list[tuple[int, int, float]] = []
-                for (query, vector), at in zip(waiting, some):
+                for i, (query, vector) in enumerate(waiting):
+                    at = np.flatnonzero(near[i] >= least[i])
                     exact = (block[at] * vector).sum(axis=1) / (norms[at] * np.linalg.norm(vector))
                     pairs = sorted((-s, i) for s, a in zip(exact.tolist(), at.tolist()) for i in ids[a] if i != query)
                     out += [(query, i, -s) for s, i in pairs[:k]]
