@@ -6,13 +6,21 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 #: A batch handed to Python holds at most so many rows and so many bytes.
 BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every bit of the result depends on every bit given."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one of this session where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one, in local mode alone."""
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None)
     known = sc._jsc.sc().getCheckpointDir()
     if known.isEmpty():
+        if not given and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-checkpoint-"))
         known = sc._jsc.sc().getCheckpointDir()
     return given or known.get()
@@ -37,11 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """As ``cut``, for larger data: a Parquet table in the shared folder, compressed and read by column."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """As ``cut``, for larger data: a Parquet table in the shared folder, compressed and read by column, with a folder for each value of ``by``."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def likely_sample(df: DataFrame, key: str, k: int, n: int) -> DataFrame:
@@ -70,11 +80,19 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with batches bounded in rows and bytes, for texts may be long."""
+    """``mapInArrow`` with batches bounded in rows and bytes, for texts may be long; a task gives its free memory back when it ends.
+
+    The bounds are the session's: they hold whenever the plan runs, which is after this call.
+    """
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(rows)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def runs(rows: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch, bool]]:

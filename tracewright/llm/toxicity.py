@@ -18,30 +18,31 @@ thousands of ordinary words would drown a few of those. The score is a logistic
 of the length and (the marked part) as a logarithm of the sum, fitted on training rows that the counts didn't use.
 
 The model is fitted on a bounded sample of labelled rows: of the training rows at most ``MAX_TOXIC`` toxic and
-``MAX_ORDINARY`` ordinary ones, those with the least hash of doc_id. It keeps at most ``MAX_GRAMS`` sequences, the most
-frequent ones, so what is sent to tasks is bounded. Everything is scored: whole texts of all documents. Labels,
-language, source and doc_id are no inputs of a score.
+``MAX_ORDINARY`` ordinary ones, those with the least hash of doc_id, and of these in that order as many as hold
+``MAX_CHARS`` characters together. All of their sequences are in the model; tasks hold it as two sorted arrays of 64-bit
+hashes with a value each, 12 bytes a sequence. Everything is scored: whole texts of all documents. Labels, language,
+source and doc_id are no inputs of a score.
 
 Defined results: a null text counts as empty; an empty text has no evidence and gets the fitted intercept; without
-labelled rows of both classes every score is 0; a document labelled twice counts as toxic if one label says so; other
+labelled rows of both classes, both among the rows to count and among those to weigh, nothing is known and every score
+is 0; a document labelled twice counts as toxic if one label says so; of rows that repeat a labelled doc_id the one with
+the least text is learnt from, and all are scored; a very long text is scored whole, its words a part at a time; other
 columns are ignored by ``score`` and kept by ``filter_toxic``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tracewright.llm.common import batches, by_hash, cut, likely_sample
+from tracewright.llm.common import batches, by_hash, cut, likely_sample, mix
 
-MAX_TOXIC, MAX_ORDINARY = 3000, 6000
-MAX_GRAMS = 300_000
+MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 3000, 6000, 64_000_000
 #: Letters in a sequence of the highest order.
 ORDER = 6
 #: Discount of every order.
@@ -50,14 +51,19 @@ DISCOUNT = 0.75
 STRENGTH = 60.0
 #: A word is a marked expression where its log-likelihoods differ by more than this.
 MARGIN = 1.0
-#: Number of features.
-FEATURES = 6
 #: Before and after a word.
 PAD, STOP = "\x02", "\x03"
 #: Outer characters that don't belong to a word.
 _EDGES = ".,;:!?\"'()[]{}<>|*#$%&"
-#: A task remembers so many words, none longer than so many letters.
-MEMO_ROWS, MEMO_CHARS = 400_000, 48
+#: A task remembers so many words, none longer than so many letters; longer and newer ones are worked out again.
+MEMO_WORDS, MEMO_CHARS = 200_000, 48
+#: A task's counts are passed on when it holds so many different items.
+FLUSH_ITEMS = 100_000
+#: A text's words are taken in parts of so many characters.
+_PART = 1 << 20
+#: About so many words are scored at a time.
+_WORDS = 50_000
+_LETTER = mix(np.arange(1, ORDER + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def fold(doc_id: F.Column) -> F.Column:
@@ -65,9 +71,21 @@ def fold(doc_id: F.Column) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
+def parts_of(text: str) -> Iterator[str]:
+    """A text in parts that end at white space, so that a very long one is never a list of words as a whole."""
+    at = 0
+    while len(text) - at > _PART:
+        end = at + _PART
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
 def words_of(text: str) -> list[str]:
     """Lower-cased words without outer punctuation; what is left empty is dropped."""
-    return [w for w in [x.strip(_EDGES) for x in text.lower().split()] if w]
+    return [w for x in text.lower().split() if (w := x.strip(_EDGES))]
 
 
 def grams_of(word: str) -> list[str]:
@@ -76,37 +94,45 @@ def grams_of(word: str) -> list[str]:
     return [padded[i : i + ORDER] for i in range(len(word) + 1)]
 
 
+def hashes(letters: np.ndarray) -> np.ndarray:
+    """64 bits for each row of letters (code points)."""
+    out = np.full(len(letters), letters.shape[1], np.uint64)
+    for k in range(letters.shape[1]):
+        out = mix(out + letters[:, k].astype(np.uint64) * _LETTER[k])
+    return out
+
+
 @dataclass
 class Model:
-    """Probabilities of seen sequences, back-off weights of seen contexts (ordinary, toxic), shared lower orders, logistic weights."""
-
-    seen: dict[str, float]
-    weight: dict[str, tuple[float, float]]
-    shared: dict[str, float]
-    shared_weight: dict[str, float]
-    floor: float
-    weights: np.ndarray
-
-    def lower(self, gram: str) -> float:
-        """The shared probability of a sequence's last letter after the others."""
-        factor = 1.0
-        while gram:
-            if (found := self.shared.get(gram)) is not None:
-                return factor * found
-            factor *= self.shared_weight.get(gram[:-1], 1.0)
-            gram = gram[1:]
-        return factor * self.floor
-
-    def ratio(self, word: str) -> float:
-        """Log-likelihood of a word, toxic less ordinary. What isn't seen differs by the contexts' back-off weights alone."""
-        total = 0.0
-        for gram in grams_of(word):
-            found = self.seen.get(gram)
-            if found is None:
-                back = self.weight.get(gram[:-1])
-                found = 0.0 if back is None else math.log(back[1] / back[0])
-            total += found
-        return total
+    """Hashes of seen sequences and of seen contexts, both sorted, with log-likelihoods toxic less ordinary; logistic weights."""
+
+    seen: np.ndarray
+    values: np.ndarray
+    contexts: np.ndarray
+    backs: np.ndarray
+    weights: np.ndarray | None = None
+
+    def ratios(self, words: list[str]) -> np.ndarray:
+        """Log-likelihoods of words, toxic less ordinary. What isn't seen differs by the contexts' back-off weights alone."""
+        if not words:
+            return np.zeros(0)
+        pad = PAD * (ORDER - 1)
+        code = np.frombuffer((pad + (STOP + pad).join(words) + STOP).encode("utf-32-le"), np.uint32)
+        length = np.fromiter(map(len, words), np.int64, len(words)) + 1  # as many sequences as letters, and one for the end
+        starts = np.cumsum(length) - length
+        at = np.arange(int(length.sum())) + np.repeat(np.arange(len(words)) * (ORDER - 1), length)
+        windows = np.lib.stride_tricks.sliding_window_view(code, ORDER)[at]
+        found, value = _lookup(hashes(windows), self.seen, self.values)
+        if not found.all():
+            value[~found] = _lookup(hashes(windows[~found, :-1]), self.contexts, self.backs)[1]
+        return np.add.reduceat(value, starts)
+
+
+def _lookup(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are known, and their values; 0 for others."""
+    at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+    found = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+    return found, np.where(found, values[at].astype(float) if len(known) else 0.0, 0.0)
 
 
 class Scorer(dict):
@@ -116,24 +142,53 @@ class Scorer(dict):
         super().__init__()
         self.model = model
 
-    def __missing__(self, word: str) -> float:
-        found = self.model.ratio(word)
-        if len(word) <= MEMO_CHARS:
-            self[word] = found
-        return found
-
-    def features(self, text: str) -> np.ndarray:
-        """A constant; the evidence per word and per root of the length; the marked part likewise, and the logarithm of its sum."""
-        words = words_of(text)
-        if len(self) > MEMO_ROWS:
+    def _evidence(self, words: list[str]) -> np.ndarray:
+        new = list({w for w in words if w not in self})
+        if len(self) + len(new) > MEMO_WORDS:
             self.clear()
-        n = max(1, len(words))
-        found = np.fromiter(map(self.__getitem__, words), dtype=float, count=len(words))
-        evidence, marked = found.sum() / n, np.maximum(found - MARGIN, 0).sum()
-        return np.array([1.0, evidence, evidence * math.sqrt(n), marked / n, marked / math.sqrt(n), math.log1p(marked)])
+            new = list(set(words))
+        self.update(zip(new, self.model.ratios(new).tolist()))
+        found = np.fromiter(map(self.__getitem__, words), float, len(words))
+        for w in new:
+            if len(w) > MEMO_CHARS:
+                del self[w]
+        return found
 
-    def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.model.weights @ self.features(text), -40, 40))))
+    def features(self, texts: Iterable[str]) -> np.ndarray:
+        """By text: a constant; the evidence per word and per root of the length; the marked part likewise, and the logarithm of its sum."""
+        n, total, marked = [], [], []
+        words: list[str] = []
+        owners: list[int] = []
+        lengths: list[int] = []
+
+        def add() -> None:
+            found = self._evidence(words)
+            owner = np.repeat(owners, lengths)
+            for sums, values in ((total, found), (marked, np.maximum(found - MARGIN, 0))):
+                for i, x in enumerate(np.bincount(owner, values, len(n))[owners[0] :].tolist(), owners[0]):
+                    sums[i] += x
+            words.clear()
+            owners.clear()
+            lengths.clear()
+
+        for i, text in enumerate(texts):
+            for sums in (n, total, marked):
+                sums.append(0)
+            for part in parts_of(text):
+                own = words_of(part)
+                n[i] += len(own)
+                words += own
+                owners.append(i)
+                lengths.append(len(own))
+                if len(words) > _WORDS:
+                    add()
+        if words:
+            add()
+        n, total, marked = np.maximum(1, n), np.array(total, float), np.array(marked, float)
+        return np.stack([np.ones(len(n)), total / n, total / np.sqrt(n), marked / n, marked / np.sqrt(n), np.log1p(marked)], axis=1)
+
+    def scores(self, texts: Iterable[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.model.weights, -40, 40)))
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -145,22 +200,28 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for toxic, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY)):
         near = likely_sample(known.filter(F.col("toxic") == toxic), "doc_id", most, sizes.get(toxic, 0))
         parts.append(near.orderBy(*by_hash("doc_id")).limit(most))
-    known = parts[0].union(parts[1]).select("doc_id", "toxic", (F.col("_fold") == 3).alias("for_weights"))
+    known = parts[0].union(parts[1]).select("doc_id", (F.col("_fold") == 3).alias("for_weights"), "toxic")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # at most MAX_TOXIC + MAX_ORDINARY rows of three numbers
-    return texts.join(F.broadcast(known), "doc_id")
+    # at most MAX_TOXIC + MAX_ORDINARY rows of three numbers; an id that repeats is one row behind this
+    rows = cut(texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "for_weights", "toxic").agg(F.min("text").alias("text")))
+    upto = F.sum(F.length("text")).over(Window.orderBy(*by_hash("doc_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.join(F.broadcast(rows.select("doc_id", upto.alias("_upto")).filter(F.col("_upto") <= MAX_CHARS).select("doc_id")), "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model, or None without rows of both classes."""
-    rows = cut(sample(docs, labels))
+    """The model, or None without rows of both classes to count and to weigh."""
+    rows = sample(docs, labels)
+    shape = "toxic int, item string, n long"
 
     def count_words(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches_in:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                found.update((toxic, w) for w in words_of(text.as_py()))
-        yield from _counted(found, ["toxic", "item", "n"])
+                for part in parts_of(text.as_py()):
+                    found.update((toxic, w) for w in words_of(part))
+                    if len(found) > FLUSH_ITEMS:
+                        yield from _counted(found)
+        yield from _counted(found)
 
     def count_grams(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -168,72 +229,77 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
             for toxic, word, n in zip(*(x.to_pylist() for x in batch.columns)):
                 for gram in grams_of(word):
                     found[toxic, gram] += n
-        yield from _counted(found, ["toxic", "item", "n"])
+                if len(found) > FLUSH_ITEMS:
+                    yield from _counted(found)
+        yield from _counted(found)
 
     kept = rows.filter(~F.col("for_weights")).select("text", "toxic")
-    shape = "toxic int, item string, n long"
     words = batches(kept, count_words, shape).groupBy("toxic", "item").agg(F.sum("n").alias("n"))
     grams = batches(words, count_grams, shape).groupBy("item").agg(F.sum(F.expr("if(toxic = 0, n, 0)")).alias("n0"), F.sum(F.expr("if(toxic = 1, n, 0)")).alias("n1"))
-    top = grams.orderBy(F.desc(F.col("n0") + F.col("n1")), "item").limit(MAX_GRAMS).collect()
-    if not any(r["n0"] for r in top) or not any(r["n1"] for r in top):
+    found = grams.toArrow()  # at most as many rows as the sample has characters and words, MAX_CHARS in all
+    counts = np.stack([found.column(x).to_numpy().astype(np.int64) for x in ("n0", "n1")], axis=1)
+    if not counts.any(axis=0).all():
         return None
-    model = smoothed({r["item"]: (r["n0"], r["n1"]) for r in top})
+    letters = np.frombuffer("".join(found.column("item").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+    model = smoothed(letters, counts)
 
     def weigh(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches_in:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([scorer.features(x.as_py()) for x in batch.column(0)], pa.list_(pa.float64()))], ["toxic", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(scorer.features(x.as_py() for x in batch.column(0))), pa.list_(pa.float64()))], ["toxic", "features"])
 
-    seen = batches(rows.filter("for_weights").select("text", "toxic"), weigh, "toxic int, features array<double>").collect()  # at most the sample's rows
-    if seen:
-        model.weights = logistic(np.array([r["features"] for r in seen]), np.array([r["toxic"] for r in seen], dtype=float))
+    # at most MAX_TOXIC + MAX_ORDINARY rows
+    seen = batches(rows.filter("for_weights").select("text", "toxic"), weigh, "toxic int, features array<double>").collect()
+    if len({r["toxic"] for r in seen}) < 2:
+        return None
+    model.weights = logistic(np.array([r["features"] for r in seen]), np.array([r["toxic"] for r in seen], dtype=float))
     return model
 
 
-def _counted(found: Counter, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _counted(found: Counter) -> Iterator[pa.RecordBatch]:
+    """Counts by (toxic, item), which are forgotten."""
     out = list(found.items())
+    found.clear()
     for i in range(0, len(out), 50_000):
         part = out[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.int32()), pa.array([k[1] for k, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names)
-
-
-def smoothed(counts: dict[str, tuple[int, int]]) -> Model:
-    """The two models from counts (ordinary, toxic) of sequences of the highest order."""
-    shared: dict[str, float] = {}
-    shared_weight: dict[str, float] = {}
-    followers = set(counts)
-    by_order: list[Counter] = []
-    for _ in range(ORDER - 1):  # continuation counts: how many different letters stand before a sequence
-        continued = Counter(gram[1:] for gram in followers)
-        by_order.append(continued)
-        followers = set(continued)
-    letters = len(by_order[-1]) + 1
-    floor = 1.0 / letters
-    model = Model({}, {}, shared, shared_weight, floor, np.zeros(FEATURES))
-    for continued in reversed(by_order):
-        total, kinds = Counter(), Counter()
-        for gram, n in continued.items():
-            total[gram[:-1]] += n
-            kinds[gram[:-1]] += 1
-        below = {gram: model.lower(gram[1:]) for gram in continued}
-        for h, n in total.items():
-            shared_weight[h] = DISCOUNT * kinds[h] / n
-        for gram, n in continued.items():
-            shared[gram] = max(n - DISCOUNT, 0) / total[gram[:-1]] + shared_weight[gram[:-1]] * below[gram]
-    total = [Counter(), Counter(), Counter()]
-    kinds = [Counter(), Counter(), Counter()]
-    for gram, (n0, n1) in counts.items():
-        for c, n in enumerate((n0, n1, n0 + n1)):
-            total[c][gram[:-1]] += n
-            kinds[c][gram[:-1]] += n > 0
-    for h in total[2]:
-        model.weight[h] = tuple((DISCOUNT * kinds[c][h] + STRENGTH) / (total[c][h] + STRENGTH) for c in (0, 1))
-    for gram, pair in counts.items():
-        h = gram[:-1]
-        both = (sum(pair) - DISCOUNT + DISCOUNT * kinds[2][h] * model.lower(gram[1:])) / total[2][h]
-        p = [max(pair[c] - DISCOUNT, 0) / (total[c][h] + STRENGTH) + model.weight[h][c] * both for c in (0, 1)]
-        model.seen[gram] = math.log(p[1] / p[0])
-    return model
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.int32()), pa.array([k[1] for k, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], ["toxic", "item", "n"])
+
+
+def lower_orders(letters: np.ndarray) -> tuple[np.ndarray, float]:
+    """The shared probability of each sequence's last letter after all others but the first, and that of an unknown letter."""
+    levels = []
+    rows = letters
+    while rows.shape[1] > 1:  # continuation counts: how many different letters stand before a sequence
+        rows = rows[:, 1:]
+        _, first, which, continued = np.unique(hashes(rows), return_index=True, return_inverse=True, return_counts=True)
+        rows = rows[first]
+        levels.append((rows, which, continued))
+    floor = 1.0 / (len(rows) + 1)
+    below = np.full(len(rows), floor)
+    for rows, which, n in reversed(levels):
+        _, context = np.unique(hashes(rows[:, :-1]), return_inverse=True)
+        total, kinds = np.bincount(context, n)[context], np.bincount(context)[context]
+        own = (n - DISCOUNT + DISCOUNT * kinds * below) / total
+        below = own[which]
+    return below, floor
+
+
+def smoothed(letters: np.ndarray, counts: np.ndarray) -> Model:
+    """The two models from different sequences of the highest order and their counts (ordinary, toxic)."""
+    below, _ = lower_orders(letters)
+    contexts, context = np.unique(hashes(letters[:, :-1]), return_inverse=True)
+    every = counts.sum(axis=1)
+    kinds = np.bincount(context)
+    both = (every - DISCOUNT + DISCOUNT * kinds[context] * below) / np.bincount(context, every)[context]
+    logs, backs = [], []
+    for own in counts.T:
+        total = np.bincount(context, own) + STRENGTH
+        back = (DISCOUNT * np.bincount(context, own > 0) + STRENGTH) / total
+        logs.append(np.log(np.maximum(own - DISCOUNT, 0) / total[context] + back[context] * both))
+        backs.append(np.log(back))
+    keys = hashes(letters)
+    order = np.argsort(keys)
+    return Model(keys[order], (logs[1] - logs[0])[order].astype(np.float32), contexts, (backs[1] - backs[0]).astype(np.float32))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
@@ -256,8 +322,8 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
     def rate(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in rows:
-            found = [0.0 if model is None else scorer.score(x.as_py() or "") for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array([int(x >= threshold) for x in found], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+            found = np.zeros(batch.num_rows) if model is None else scorer.scores(x.as_py() or "" for x in batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array((found >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(fold(F.col("doc_id").cast("long")), F.lit(0)) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
     return batches(source, rate, "doc_id long, held_out boolean, score double, predicted int")
@@ -271,6 +337,6 @@ def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     def keep(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in rows:
-            yield batch.filter(pa.array([model is None or scorer.score(x.as_py() or "") < threshold for x in batch.column(text)], pa.bool_()))
+            yield batch if model is None else batch.filter(pa.array(scorer.scores(x.as_py() or "" for x in batch.column(text)) < threshold))
 
     return batches(docs, keep, docs.schema)
