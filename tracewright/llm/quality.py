@@ -18,6 +18,7 @@ ties between common words go to the smaller word; repeated rows give repeated re
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -34,13 +35,14 @@ MAX_SENT_LANGUAGES = 1000
 #: Hashes of the texts that have copies are sent to tasks up to this number; beyond it all texts are shuffled to find copies.
 MAX_SENT_HASHES = 1_000_000
 #: A task's word counts are passed on when it holds so many different words.
-FLUSH_WORDS = 300_000
+FLUSH_WORDS = 100_000
 #: A task forgets the texts that it has seen when they are so many.
-SEEN_TEXTS = 200_000
+SEEN_TEXTS = 100_000
 SYMBOLS = b"#*$%&|<>"
 #: Character classes: lower and upper case, digits, symbols, blanks, line breaks, other ASCII, other characters; the rest of a character's bytes don't count.
-_LOWER, _UPPER, _DIGIT, _SYMBOL, _BLANK, _BREAK, _OTHER, _BEYOND, _REST = range(9)
+_LOWER, _UPPER, _DIGIT, _SYMBOL, _BLANK_CLASS, _BREAK, _OTHER, _BEYOND, _REST = range(9)
 CLASSES = 8
+_BLANK_CLASSES = [_BLANK_CLASS, _BREAK]
 
 
 @dataclass(frozen=True)
@@ -61,7 +63,7 @@ def _class_table() -> np.ndarray:
     table[ord("A") : ord("Z") + 1] = _UPPER
     table[ord("0") : ord("9") + 1] = _DIGIT
     table[list(SYMBOLS)] = _SYMBOL
-    table[[0x20, 0x09]] = _BLANK
+    table[[0x20, 0x09]] = _BLANK_CLASS
     table[0x0A:0x0E] = _BREAK
     table[0x80:0xC0] = _REST
     table[0xC0:] = _BEYOND
@@ -69,12 +71,25 @@ def _class_table() -> np.ndarray:
 
 
 _CLASS_OF = _class_table()
-_SPACES = np.zeros(256, dtype=bool)
-_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: Texts are taken in parts of so many bytes.
+_PART = 1 << 20
+
+
+def parts_of(raw: bytes) -> Iterator[bytes]:
+    """A text in parts that end at white space, so that a very long one is never a list of words as a whole."""
+    at = 0
+    while len(raw) - at > _PART and (found := _BLANK.search(raw, at + _PART)):
+        yield raw[at : found.start()]
+        at = found.start()
+    yield raw[at:] if at else raw
 
 
 def class_histogram(raw: bytes) -> np.ndarray:
-    return np.bincount(_CLASS_OF[np.frombuffer(raw, np.uint8)], minlength=CLASSES + 1)[:CLASSES]
+    found = np.zeros(CLASSES + 1, np.int64)
+    for at in range(0, len(raw), _PART):
+        found += np.bincount(_CLASS_OF[np.frombuffer(raw, np.uint8, min(_PART, len(raw) - at), at)], minlength=CLASSES + 1)
+    return found[:CLASSES]
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -134,14 +149,16 @@ def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 50_000]), (pa.string(), pa.string(), pa.int64()))], ["lang", "key", "n"])
 
     for batch in rows:
-        by_lang: dict[str, list[bytes]] = {}
-        for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            by_lang.setdefault(lang, []).append(raw)
-        for lang, texts in by_lang.items():
-            own = b"\n".join(texts).lower().split()
-            words.setdefault(lang, Counter()).update(own)
-            totals[lang, "words"] += len(own)
-            for kind, n in enumerate(sum(class_histogram(x) for x in texts).tolist()):
+        for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            raw = raw.as_py()
+            own = words.setdefault(lang, Counter())
+            n = 0
+            for part in parts_of(raw):
+                found = part.lower().split()
+                own.update(found)
+                n += len(found)
+            totals[lang, "words"] += n
+            for kind, n in enumerate(class_histogram(raw).tolist()):
                 totals[lang, kind] += n
         if len(totals) + sum(map(len, words.values())) > FLUSH_WORDS:
             yield from held()
@@ -218,8 +235,16 @@ def _reference(items: list) -> Reference | None:
 def references(docs: DataFrame) -> DataFrame:
     """Per language: lang, items (key and n of its common words, its classes and its words' number)."""
     counts = written(_word_counts(docs), "quality-words")
+    words = counts.filter(~F.col("key").startswith(" "))
+    # words below the class of counts that a language's common ones end in can't be among them; so few words of a language meet
+    size_class = F.floor(F.log2("n") * 8)
+    above = F.sum("held").over(Window.partitionBy("lang").orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = words.groupBy("lang", size_class.alias("class")).agg(F.count("*").alias("held")).withColumn("above", F.coalesce(above, F.lit(0)))
+    least = cut(sizes.filter(F.col("above") < COMMON).groupBy("lang").agg(F.min("class").alias("least")))  # a row a language
+    if least.count() <= MAX_SENT_LANGUAGES:
+        least = F.broadcast(least)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
-    top = counts.filter(~F.col("key").startswith(" ")).withColumn("rank", rank).filter(F.col("rank") <= COMMON).drop("rank")
+    top = words.join(least, "lang").filter(size_class >= F.col("least")).withColumn("rank", rank).filter(F.col("rank") <= COMMON).select("lang", "key", "n")
     found = top.unionByName(counts.filter(F.col("key").startswith(" ")))  # at most COMMON + CLASSES + 1 rows a language
     return cut(found.groupBy("lang").agg(F.collect_list(F.struct("key", "n")).alias("items")))
 
@@ -245,29 +270,25 @@ def _attached(docs: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch, lis
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double, base_failed boolean, kept boolean"
 
 
-def _measured(raws: list[bytes | None], known: list[Reference | None], limits: Limits) -> list[tuple]:
-    """Values of ``COUNTS`` for some documents and their references."""
-    out = []
-    for raw, reference in zip(raws, known):
-        raw = raw or b""
-        words = raw.split()
-        n = len(words)
-        bytes_of = np.frombuffer(raw, np.uint8)
-        classes = np.bincount(_CLASS_OF[bytes_of], minlength=CLASSES + 1)
-        repeats = repeated_words(words)
-        failed = n < limits.min_words or 100 * repeats > limits.max_repeat_percent * n
-        by_class = by_word = None
-        if n >= max(1, limits.min_words) and reference is not None:
-            shares, common, word_shares = reference
-            by_class = js_distance(classes[:CLASSES] / classes[:CLASSES].sum(), shares)
-            at = [i for i in map(common.get, raw.lower().split()) if i is not None]
-            own = np.bincount(at, minlength=len(word_shares)).astype(float)
-            own[-1] = n - len(at)
-            by_word = js_distance(own / n, word_shares)
-        distant = by_class is not None and (by_class > limits.class_floor + limits.class_slack / n**0.5 or by_word > limits.word_floor + limits.word_slack / n**0.5)
-        chars = int(classes[:CLASSES].sum()) - int(_SPACES[bytes_of].sum())
-        out.append((n, chars, int(classes[_SYMBOL]), repeated_lines(raw), repeats, by_class, by_word, failed, not (failed or distant)))
-    return out
+def _measured(raw: bytes | None, reference: Reference | None, limits: Limits) -> tuple:
+    """Values of ``COUNTS`` for a document and its reference."""
+    raw = raw or b""
+    words = raw.split()
+    n = len(words)
+    classes = class_histogram(raw)
+    repeats = repeated_words(words)
+    failed = n < limits.min_words or 100 * repeats > limits.max_repeat_percent * n
+    by_class = by_word = None
+    if n >= max(1, limits.min_words) and reference is not None:
+        shares, common, word_shares = reference
+        by_class = js_distance(classes / classes.sum(), shares)
+        at = [i for i in map(common.get, raw.lower().split()) if i is not None]
+        own = np.bincount(at, minlength=len(word_shares)).astype(float)
+        own[-1] = n - len(at)
+        by_word = js_distance(own / n, word_shares)
+    distant = by_class is not None and (by_class > limits.class_floor + limits.class_slack / n**0.5 or by_word > limits.word_floor + limits.word_slack / n**0.5)
+    chars = int(classes.sum()) - int(classes[_BLANK_CLASSES].sum())
+    return n, chars, int(classes[_SYMBOL]), repeated_lines(raw), repeats, by_class, by_word, failed, not (failed or distant)
 
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -280,7 +301,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         names = ["doc_id", *(x.split()[0] for x in COUNTS.split(", "))]
         for batch in rows:
             if batch.num_rows:
-                out = _measured(batch.column(2).cast(pa.binary()).to_pylist(), of(batch, batch.column(1).to_pylist()), limits)
+                out = [_measured(x.as_py(), own, limits) for x, own in zip(batch.column(2).cast(pa.binary()), of(batch, batch.column(1).to_pylist()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*out), kinds))], names)
 
     return batches(given, measure, "doc_id long, " + COUNTS)
@@ -293,8 +314,8 @@ def filter_quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     def keep(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            raws = batch.column(text).cast(pa.binary()).to_pylist()
-            kept = [x[-1] for x in _measured(raws, of(batch, batch.column(lang).cast(pa.string()).to_pylist()), limits)]
+            known = of(batch, batch.column(lang).cast(pa.string()).to_pylist())
+            kept = [_measured(x.as_py(), own, limits)[-1] for x, own in zip(batch.column(text).cast(pa.binary()), known)]
             yield batch.filter(pa.array(kept, pa.bool_())).select(names)
 
     return batches(given, keep, docs.schema)
