@@ -32,7 +32,7 @@ from tracewright.llm.common import batches
 #: From this many bytes on a word is merged with a heap.
 LONG_WORD = 160
 #: A worker remembers so many chunks and words, none longer than so many characters.
-MEMO_ROWS, WORD_ROWS, MEMO_CHARS = 800_000, 400_000, 48
+MEMO_ROWS, WORD_ROWS, MEMO_CHARS = 200_000, 100_000, 48
 _NONE = 1 << 60
 _ID_BITS = 20
 #: White space as the tokenizer's patterns see it.
