@@ -12,21 +12,25 @@
 
 Words are what lies between ASCII white space, A-Z lower-cased. A text of fewer than n words is one shingle.
 
-Defined results: a text without words (null, empty) is a class of its own without links; a doc_id stands for one
-document, so rows that repeat an id pool their links; a row without doc_id has no class and no links; other columns are
-ignored by ``classes`` and kept by ``deduplicate``; an empty table gives an empty table.
+Defined results: a text without words (null, empty) is a class of its own without links; every row is a document, so
+rows that repeat an id are judged by their own texts each, and equal ones are linked; a row without doc_id has no class
+and no links; a very long text is hashed a part at a time, words of any length by all of their letters; other columns
+are ignored by ``classes`` and kept by ``deduplicate``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tracewright.llm.common import batches, cut, fresh, runs, written
+from tracewright.llm.common import batches, cut, fresh, mix, runs, written
 from tracewright.llm.graph import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -59,60 +63,83 @@ _XOR = _rng.integers(0, 1 << 32, 4096, dtype=np.uint32)
 _ODD = _rng.integers(0, 1 << 31, 4096, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SPACES = [bytes([x]) for x in np.flatnonzero(_SPACE).tolist()]
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every bit of the result depends on every bit given."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def shingle_sets(raws: list[bytes], words: int = WORDS) -> list[np.ndarray]:
-    """Sorted 64-bit hashes of the shingles of every text."""
-    out: list[np.ndarray] = []
+def shingle_sets(raws: list[bytes], words: int = WORDS) -> Iterator[np.ndarray]:
+    """Sorted 64-bit hashes of the shingles of every text, in turn."""
     first = 0
     while first < len(raws):
         last, size = first, 0
         while last < len(raws) and (last == first or size + len(raws[last]) < _PIECE):
             size += len(raws[last]) + 1
             last += 1
-        out += _piece_sets(raws[first:last], words)
+        if last == first + 1:
+            hashed = np.concatenate([word_hashes([x])[0] for x in _parts(raws[first])])
+            counts = [len(hashed)]
+        else:
+            hashed, counts = word_hashes(raws[first:last])
+        yield from _shingled(hashed, counts, words)
         first = last
-    return out
 
 
-def _piece_sets(raws: list[bytes], words: int) -> list[np.ndarray]:
+def _parts(raw: bytes) -> Iterator[bytes]:
+    """A text in parts of whole words; a word that is longer than a part is one of its own."""
+    at = 0
+    while len(raw) - at > _PIECE:
+        end = 1 + max(raw.rfind(x, at, at + _PIECE) for x in _SPACES)
+        if end <= at:
+            after = _BLANK.search(raw, at + _PIECE)
+            end = len(raw) if after is None else after.start()
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
+def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """Hashes of the words of all texts, and how many each text has. A letter counts by its place in the word; words of more letters than there are places are hashed as a whole."""
+    if len(raws) == 1 and len(raws[0]) > _PIECE:  # one long word
+        own = raws[0].split()
+        return np.array([_whole(w.lower()) for w in own], np.uint64), [len(own)]
     text = np.frombuffer(b" ".join([*raws, b""]).lower(), np.uint8)
     space = _SPACE[text]
     starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     ends_of_docs = np.cumsum([len(x) + 1 for x in raws])
     n_words = np.diff(np.searchsorted(starts, ends_of_docs), prepend=0)
     if not len(starts):
-        return [np.empty(0, np.uint64)] * len(raws)
+        return np.empty(0, np.uint64), [0] * len(raws)
+    ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
     at = np.arange(len(text), dtype=np.int64)
-    begin = np.zeros(len(text), dtype=np.int64)
-    begin[starts] = starts
-    begin = np.maximum.accumulate(begin)
-    value = (text.astype(np.uint64) + np.uint64(1)) * _POSITION[(at - begin) & 0xFFFF]
+    at[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(text))))
+    value = (text.astype(np.uint64) + np.uint64(1)) * _POSITION[at & 0xFFFF]
     value[space] = 0
     word = mix(np.add.reduceat(value, starts))
+    for i in np.flatnonzero(ends - starts > len(_POSITION)).tolist():
+        word[i] = _whole(text[starts[i] : ends[i]].tobytes())
+    return word, n_words.tolist()
+
+
+def _whole(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
+def _shingled(word: np.ndarray, counts: list[int], words: int) -> Iterator[np.ndarray]:
     n = len(word)
     padded = np.concatenate([word, np.zeros(words, np.uint64)])
     gram = np.zeros(n, np.uint64)
     for k in range(words):
         gram += padded[k : k + n] * _ORDER[k]
     gram = mix(gram)
-    out, a = [], 0
-    for count in n_words.tolist():
+    a = 0
+    for count in counts:
         if count >= words:
-            out.append(np.unique(gram[a : a + count - words + 1]))
+            yield np.unique(gram[a : a + count - words + 1])
         elif count:
-            out.append(mix(np.array([(word[a : a + count] * _ORDER[8 : 8 + count]).sum(dtype=np.uint64) + np.uint64(count)], np.uint64)))
+            yield mix(np.array([(word[a : a + count] * _ORDER[8 : 8 + count]).sum(dtype=np.uint64) + np.uint64(count)], np.uint64))
         else:
-            out.append(np.empty(0, np.uint64))
+            yield np.empty(0, np.uint64)
         a += count
-    return out
 
 
 def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
@@ -139,7 +166,7 @@ def signed(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, re
     def sign(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             ids, raws = batch.column(0).to_pylist(), [x or b"" for x in batch.column(1).to_pylist()]
-            sets = shingle_sets(raws, words)
+            sets = list(shingle_sets(raws, words))
             full = [i for i, x in enumerate(sets) if len(x)]
             prints: list[bytes | None] = [None] * len(sets)
             own: list[np.ndarray | None] = [None] * len(sets)
@@ -147,7 +174,7 @@ def signed(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, re
                 some = full[first : first + 100]
                 for i, band in zip(some, signatures([sets[i] for i in some], bands, rows).view(np.int64)):
                     own[i] = band
-                    prints[i] = np.array([sets[i].sum(dtype=np.uint64), mix(sets[i] + _ORDER[9]).sum(dtype=np.uint64)], np.uint64).tobytes()
+                    prints[i] = print_of(sets[i])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "print", "shingles", "bands"])
 
     return batches(_raw(docs), sign, "doc_id long, print binary, shingles long, bands array<long>")
@@ -188,26 +215,29 @@ def _local_roots(links: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         root = new
 
 
+def print_of(shingles: np.ndarray) -> bytes | None:
+    """128 bits that stand for a shingle set; None for an empty one."""
+    if not len(shingles):
+        return None
+    return np.array([shingles.sum(dtype=np.uint64), mix(shingles + _ORDER[9]).sum(dtype=np.uint64)], np.uint64).tobytes()
+
+
 def verified(docs: DataFrame, members: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, root, links) for every place where a node was compared; members: node, copies, component, blocks."""
+    """(node, root, links) for every place where a node was compared; members: node, first (its doc_id), print, copies, component, blocks."""
 
     def compare(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(rows: list[tuple], low: int, high: int) -> pa.RecordBatch | None:
-            seen, kept = set(), []
-            sets = shingle_sets([r[2] for r in rows], words)
-            for r, x in zip(rows, sets):
-                if len(x) and (r[0], x.tobytes()) not in seen:
-                    seen.add((r[0], x.tobytes()))
-                    kept.append((r, x))
+            # rows that repeat the id of a node may have another text
+            kept = {r[0]: (r, x) for r, x in zip(rows, shingle_sets([r[2] for r in rows], words)) if print_of(x) == r[4]}
             if len(kept) < 2:
                 return None
-            nodes = np.array([r[0] for r, _ in kept], np.int64)
-            copies = np.array([r[1] for r, _ in kept], np.int64)
-            block = np.array([r[3] for r, _ in kept], np.int64)
-            size = np.array([len(x) for _, x in kept], np.float64)
-            inter = intersections([x for _, x in kept])
+            nodes = np.array(list(kept), np.int64)
+            copies = np.array([r[1] for r, _ in kept.values()], np.int64)
+            block = np.array([r[3] for r, _ in kept.values()], np.int64)
+            size = np.array([len(x) for _, x in kept.values()], np.float64)
+            inter = intersections([x for _, x in kept.values()])
             links = inter >= threshold * (size[:, None] + size[None, :] - inter) - 1e-9
-            links &= nodes[:, None] != nodes[None, :]
+            np.fill_diagonal(links, False)
             if low != high:  # pairs within a block are compared where the block meets itself, also if its partner here is empty
                 links &= block[:, None] != block[None, :]
             some = links.any(axis=1)
@@ -215,49 +245,92 @@ def verified(docs: DataFrame, members: DataFrame, words: int = WORDS, threshold:
             return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(roots[some]), pa.array((links @ copies)[some])], ["node", "root", "links"])
 
         held: list[tuple] = []
+        seen: set[tuple] = set()
         last = None
         for key, part, new in runs(source, ["component", "low", "high"]):
-            if new and held:
-                if (done := settle(held, *last[1:])) is not None:
+            if new:
+                if held and (done := settle(held, *last[1:])) is not None:
                     yield done
                 held = []
+                seen.clear()
             last = key
-            held += zip(*(part.column(part.schema.get_field_index(x)).to_pylist() for x in ("node", "copies", "raw", "block")))
+            for row in zip(*(part.column(part.schema.get_field_index(x)).to_pylist() for x in ("node", "copies", "raw", "block", "print"))):
+                once = row[0], hashlib.blake2b(row[2] or b"", digest_size=16).digest()
+                if once not in seen:
+                    seen.add(once)
+                    held.append(row)
         if held and (done := settle(held, *last[1:])) is not None:
             yield done
 
-    texts = _raw(docs).withColumnRenamed("doc_id", "node").join(members, "node")
+    texts = _raw(docs).withColumnRenamed("doc_id", "first").join(members, "first")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     placed = texts.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("node", "copies", "raw", "block", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    placed = placed.select("node", "copies", "raw", "block", "print", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     keys = ["component", "low", "high"]
     return batches(placed.repartition(*keys).sortWithinPartitions(*keys), compare, "node long, root long, links long")
 
 
-def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Per document: doc_id, class_id (the least doc_id of its class), n_links (documents it is linked to)."""
+def _classified(docs: DataFrame, words: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Signatures (doc_id, print, shingles, bands) of all documents, and per shingle set: print, first (least doc_id), component, links, copies."""
     sign = written(signed(docs, words, threshold, recall), "signatures")
     usable = sign.filter(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
-    reps = written(usable.groupBy("print", "bands", "shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "representatives")
+    sets = usable.groupBy("print", "bands", "shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    # a set's number is written with it, so that it is the same in all that follows
+    reps = written(sets.withColumn("node", F.monotonically_increasing_id()), "representatives")
     banded = reps.select("node", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
-    links = banded.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    found = components(links)
-    weight = reps.groupBy("node").agg(F.sum("copies").alias("copies"), F.max("shingles").alias("shingles"))
-    members = cut(found.join(weight, "node"))
+    found = components(banded.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    members = cut(found.join(reps.select("node", "first", "print", "copies", "shingles"), "node"))
     blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    checked = cut(verified(docs, members.join(blocks, "component").select("node", "copies", "component", "blocks"), words, threshold))
+    checked = cut(verified(docs, members.join(blocks, "component").drop("shingles"), words, threshold))
     linked = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    n_links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    known = linked.join(n_links, "node", "left")
-    per_set = reps.select("print", "node", "copies").join(known, "node", "left").select("print", F.coalesce("component", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    paired = sign.select("doc_id", "print").join(per_set, "print", "left")
+    known = linked.join(checked.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
+    per_set = reps.select("print", "first", "node", "copies").join(known, "node", "left")
+    return sign, per_set.select("print", "first", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """Per document: doc_id, class_id (the least doc_id of its class), n_links (documents it is linked to)."""
+    sign, per_set = _classified(docs, words, threshold, recall)
+    per_set = cut(per_set)
+    least = per_set.groupBy("component").agg(F.min("first").alias("class_id"))
+    of_set = per_set.join(least, "component").select("print", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    paired = sign.select("doc_id", "print").join(of_set, "print", "left")
     return paired.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"))
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The documents without near copies: of each class the one with the least doc_id stays, with all its columns."""
-    stay = classes(docs, words, threshold, recall).filter("doc_id = class_id").select("doc_id").distinct()
-    first, place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")), fresh(docs, "_place")
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi").withColumn(place, first).filter(F.col(place) == 1).select(*docs.columns)
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The documents without near copies: of each class the one with the least doc_id stays, with all its columns.
+
+    Where an id repeats, its rows' texts are judged each on its own; of rows with that id and one set of words the one
+    with the least text stays. Documents without words or without doc_id are no copies and stay, without words one a doc_id.
+    """
+    sign, per_set = _classified(docs, words, threshold, recall)
+    of_class = per_set.groupBy("component").agg(F.min(F.struct("first", "print")).alias("_least")).select(F.col("_least.first").alias("doc_id"), F.col("_least.print").alias("print"))
+    wordless = sign.filter(F.col("print").isNull() & F.col("doc_id").isNotNull()).select("doc_id", "print").distinct()
+    stay = cut(of_class.union(wordless))
+    again = sign.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    again = cut(again.join(stay.select("doc_id").distinct(), "doc_id", "left_semi"))
+    once = docs.join(stay.join(again, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi")
+    if again.isEmpty():
+        several = docs.limit(0)
+    else:
+        several = _of_repeated_ids(docs.join(again, "doc_id", "left_semi"), stay, words)
+    return once.unionByName(several).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def _of_repeated_ids(docs: DataFrame, stay: DataFrame, words: int) -> DataFrame:
+    """Of rows whose id repeats those whose own set of words stays, one for each id and set."""
+    own, place = fresh(docs, "_print"), fresh(docs, "_place")
+    text = docs.columns.index("text")
+
+    def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            sets = shingle_sets([x.as_py() or b"" for x in batch.column(text).cast(pa.binary())], words)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(map(print_of, sets)), pa.binary())], [*batch.schema.names, own])
+
+    told = batches(docs, add, StructType([*docs.schema.fields, StructField(own, BinaryType())]))
+    stay = stay.select(F.col("doc_id").alias("_id"), F.col("print").alias("_kept"))
+    told = told.join(stay, (F.col("doc_id") == F.col("_id")) & F.col(own).eqNullSafe(F.col("_kept")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", own).orderBy("text"))
+    return told.withColumn(place, first).filter(F.col(place) == 1).select(*docs.columns)
