@@ -1,20 +1,24 @@
 """Approximate nearest neighbours by learned partitions, nearness being cosine.
 
 1. Of a bounded sample of vectors the graph of nearest neighbours is made and cut into balanced parts: vectors move to
-   the part that holds most of their neighbours, as long as it has room.
-2. A small classifier (one hidden layer) learns, from a vector, how its neighbours spread over the parts.
-3. Every vector of the table is indexed in its most probable part. Every query goes to several most probable parts; how
+   the part that holds most of their neighbours, as long as it has room. A sample tells only so many parts apart, so
+   where the table needs more, several cuts are made, each from another start, and a combination of their parts is a
+   cell: there are as many cells as the table's size asks for.
+2. For each cut a small classifier (one hidden layer) learns, from a vector, how its neighbours spread over the parts.
+   A cell's probability is the product of its parts'.
+3. Every vector of the table is indexed in its most probable cell. Every query goes to several most probable cells; how
    many is the least number that reaches ``target`` recall on a second sample, none of whose vectors trained anything.
-4. In a part all of its vectors are ranked by their exact cosine in double precision. A part is cut into blocks of a
-   bounded size, so neither a crowded part nor a crowded query list comes together in one task.
+4. In a cell all of its vectors are ranked by their exact cosine in double precision. A cell is cut into blocks of a
+   bounded size, so neither a crowded cell nor a crowded query list comes together in one task.
 
-Equal vectors are indexed once, with the ``k + 1`` least ids that hold them: no more of them can be among a query's
-``k`` nearest, since equal vectors are equally near and ties go to the smaller id.
+Vectors are first scaled by a power of two, which changes no cosine, so that squares of very large or small components
+neither overflow nor vanish. Equal vectors (so scaled) are indexed once, with the ``k + 1`` least ids that hold them: no
+more of them can be among a query's ``k`` nearest, since equal vectors are equally near and ties go to the smaller id.
 
 The sample is of ``2 * SAMPLE`` vectors, those with the least hash of vec_id. Defined results: vectors that are null,
-zero, of another length than most, or hold null or non-finite components take no part; a vec_id that repeats is
-answered once, for its least vector, and is never its own neighbour; other columns are ignored; an empty table gives an
-empty table.
+zero, of another length than most (for which no cosine is defined), or hold null or non-finite components take no part;
+a vec_id that repeats is answered once, for its least vector, and is never its own neighbour; other columns are ignored;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,8 +34,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tracewright.llm.common import batches, by_hash, cut, likely_sample, runs
 
 SAMPLE = 4096
-#: About so many different vectors make a part; there are at most so many parts.
-PART_VECTORS, MAX_PARTS = 1500, 256
+#: About so many different vectors make a cell.
+PART_VECTORS = 1500
+#: The blocks of so many cells are sent to tasks; of more cells they are joined.
+MAX_SENT_CELLS = 100_000
+#: Scores of so many pairs of vector and cell are held at a time.
+HELD_SCORES = 1 << 21
 #: A block of a part holds about so many vectors; so many queries at a time are held against it.
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
 #: More than what a block's cosines by a matrix product may differ from exact ones.
@@ -42,16 +50,46 @@ TARGET_RECALL = 0.95
 
 @dataclass
 class Router:
-    """The classifier and the number of parts a query goes to."""
+    """A classifier for each cut, the numbers of the cuts' parts, and the number of cells a query goes to."""
 
-    layers: list[np.ndarray]
-    parts: int
+    layers: list[list[np.ndarray]]
+    parts: list[int]
     probes: int
 
-    def scores(self, unit: np.ndarray) -> np.ndarray:
-        """Logits of the parts, vector by part."""
-        w, b, v, c = self.layers
-        return np.maximum(unit @ w + b, 0) @ v + c
+    @property
+    def cells(self) -> int:
+        return math.prod(self.parts)
+
+    def scores(self, unit: np.ndarray) -> list[np.ndarray]:
+        """Log-probabilities of the parts of each cut, vector by part."""
+        out = []
+        for w, b, v, c in self.layers:
+            logits = np.maximum(unit @ w + b, 0) @ v + c
+            logits -= logits.max(axis=1, keepdims=True)
+            out.append(logits - np.log(np.exp(logits).sum(axis=1, keepdims=True)))
+        return out
+
+    def own(self, unit: np.ndarray) -> np.ndarray:
+        """The most probable cell of each vector: of every cut the most probable part."""
+        found = np.zeros(len(unit), np.int64)
+        for own in self.scores(unit):
+            found = found * own.shape[1] + own.argmax(axis=1)
+        return found
+
+    def by_cell(self, unit: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Log-probabilities of all cells for some vectors at a time, with the first one's place."""
+        step = max(1, HELD_SCORES // self.cells)
+        for first in range(0, len(unit), step):
+            every = np.zeros((len(unit[first : first + step]), 1))
+            for own in self.scores(unit[first : first + step]):
+                every = (every[:, :, None] + own[:, None, :]).reshape(len(every), -1)
+            yield first, every
+
+    def best(self, unit: np.ndarray) -> np.ndarray:
+        """The ``probes`` most probable cells of each vector."""
+        if self.probes == self.cells:
+            return np.broadcast_to(np.arange(self.cells), (len(unit), self.cells))
+        return np.concatenate([np.argpartition(-every, self.probes - 1, axis=1)[:, : self.probes] for _, every in self.by_cell(unit)])
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -126,29 +164,37 @@ def train(x: np.ndarray, spread: np.ndarray, steps: int = STEPS, seed: int = 6)
     return [layers[0] * math.sqrt(d), *layers[1:]]
 
 
-def fit(sample: np.ndarray, parts: int, k: int, target: float = TARGET_RECALL) -> Router:
-    """A router from a sample: its first half trains, the second half finds the number of probes."""
+def fit(sample: np.ndarray, cells: int, k: int, target: float = TARGET_RECALL) -> Router:
+    """A router to about so many cells from a sample: its first half trains, the second half finds the number of probes."""
     dims = sample.shape[1] if sample.ndim == 2 else 1
     x = unit(sample) if len(sample) else np.zeros((0, dims))
     half = len(x) // 2
     own, other = x[:half], x[half:]
-    parts = min(parts, max(1, half // (4 * NEIGHBOURS)))
-    if parts < 2:
-        return Router([np.zeros((dims, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1, 1)
+    most = max(1, half // (4 * NEIGHBOURS))  # so many parts a sample tells apart
+    if min(cells, most) < 2:
+        return Router([[np.zeros((dims, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)]], [1], 1)
+    cuts = 1
+    while most**cuts < cells:
+        cuts += 1
+    parts = min(most, math.ceil(cells ** (1 / cuts)))
     graph = neighbour_graph(own)
-    part = balanced_parts(own, graph, parts)
-    spread = np.zeros((half, parts))
-    np.add.at(spread, (np.repeat(np.arange(half), graph.shape[1]), part[graph.ravel()]), 1 / graph.shape[1])
-    spread = 0.8 * spread
-    spread[np.arange(half), part] += 0.2
-    router = Router(train(own, spread), parts, parts)
-    scores = router.scores(other)
-    best = scores.argmax(axis=1)
+    router = Router([], [parts] * cuts, 1)
+    for cut_no in range(cuts):
+        part = balanced_parts(own, graph, parts, seed=5 + 2 * cut_no)
+        spread = np.zeros((half, parts))
+        np.add.at(spread, (np.repeat(np.arange(half), graph.shape[1]), part[graph.ravel()]), 1 / graph.shape[1])
+        spread = 0.8 * spread
+        spread[np.arange(half), part] += 0.2
+        router.layers.append(train(own, spread, seed=6 + 2 * cut_no))
     asked = np.arange(min(len(other), 800))
     near = neighbour_graph_of(other, asked, k)
-    place = np.argsort(np.argsort(-scores[asked], axis=1), axis=1)  # by query, each part's place in the queue
-    at = np.take_along_axis(place, best[near], axis=1).ravel()
-    router.probes = next(p for p in range(1, parts + 1) if (at < p).mean() >= target or p == parts)
+    cell = router.own(other)[near]
+    before = []  # for each neighbour of a query, how many cells are likelier than its own
+    for first, every in router.by_cell(other[asked]):
+        own_score = np.take_along_axis(every, cell[first : first + len(every)], axis=1)
+        before += [(every > own_score[:, [j]]).sum(axis=1) for j in range(own_score.shape[1])]
+    at = np.sort(np.concatenate(before))
+    router.probes = min(router.cells, 1 + int(at[math.ceil(target * len(at)) - 1]))
     return router
 
 
@@ -165,7 +211,10 @@ def _usable(vectors: DataFrame) -> DataFrame:
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & sound)
     length = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("vector") == (length["n"] if length else 0))
+    rows = rows.filter(F.size("vector") == (length["n"] if length else 0))
+    # the power of two below the largest component
+    power = F.least(F.floor(F.log2(F.array_max(F.transform("vector", F.abs)))), F.lit(1023))
+    return rows.withColumn("_scale", F.pow(F.lit(2.0), power)).select("vec_id", F.transform("vector", lambda x: x / F.col("_scale")).alias("vector"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -181,27 +230,29 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, target: float = TARG
     # at most 2 * SAMPLE vectors
     first = different.select(F.col("ids")[0].alias("first"), "vector")
     sample = likely_sample(first, "first", 2 * SAMPLE, n).orderBy(*by_hash("first")).limit(2 * SAMPLE).select("vector").collect()
-    router = fit(np.array([r["vector"] for r in sample], dtype=float), min(MAX_PARTS, math.ceil(n / PART_VECTORS)), k, target)
+    router = fit(np.array([r["vector"] for r in sample], dtype=float), math.ceil(n / PART_VECTORS), k, target)
 
     def index(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             if batch.num_rows:
-                part = router.scores(unit(_matrix(batch.column(0)))).argmax(axis=1)
+                part = router.own(unit(_matrix(batch.column(0))))
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *batch.columns], ["part", "vector", "ids"])
 
     def route(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             if batch.num_rows:
-                best = np.argsort(-router.scores(unit(_matrix(batch.column(1)))), axis=1)[:, : router.probes]
+                best = router.best(unit(_matrix(batch.column(1))))
                 who = pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(best.ravel(), pa.int64()), batch.column(1).take(who), batch.column(0).take(who)], ["part", "vector", "query_id"])
 
     indexed = cut(batches(different.select("vector", "ids"), index, "part long, vector array<double>, ids array<long>"))
-    blocks = indexed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_VECTORS).alias("blocks"))  # a row for each part
+    blocks = indexed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_VECTORS).alias("blocks"))  # a row for each cell
+    if router.cells <= MAX_SENT_CELLS:
+        blocks = F.broadcast(blocks)
     queries = usable.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    asked = batches(queries.select("vec_id", "vector"), route, "part long, vector array<double>, query_id long").join(F.broadcast(blocks), "part")
+    asked = batches(queries.select("vec_id", "vector"), route, "part long, vector array<double>, query_id long").join(blocks, "part")
     asked = asked.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("query_id"), "vector", F.array().cast("array<long>").alias("ids"))
-    stored = indexed.join(F.broadcast(blocks), "part").select("part", F.pmod(F.xxhash64("vector"), F.col("blocks")).alias("block"), F.lit(None).cast("long").alias("query_id"), "vector", "ids")
+    stored = indexed.join(blocks, "part").select("part", F.pmod(F.xxhash64("vector"), F.col("blocks")).alias("block"), F.lit(None).cast("long").alias("query_id"), "vector", "ids")
 
     def rank(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
