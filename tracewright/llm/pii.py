@@ -1,29 +1,34 @@
 """Personal data: patterns, and terms that the corpus shows to reveal a protected entity.
 
-Protected entities are the e-mail addresses, IP addresses, card and phone numbers that plain patterns find. A term
-that stands near an entity may reveal it although the entity itself is masked. How strongly is estimated from the
-corpus: with p(e), p(t) and p(e, t) the shares of documents that hold the entity, the term, and both close together,
+Protected entities are the e-mail addresses, IP addresses, card and phone numbers that plain patterns find, and what
+several of them share: an address's host, an IP's first two parts, a card's first six digits (its issuer), a phone's
+first four (country and area). A term that stands near an entity may reveal it, or the group that it belongs to,
+although the entity itself is masked. How strongly is estimated from the corpus: with p(e), p(t) and p(e, t) the shares
+of documents that hold the entity, the term, and both close together,
 
     disclosure(t, e) = PMI(t, e) / IC(e) = log(p(e, t) / (p(e) p(t))) / -log p(e)
 
 which is 0 for an independent term and 1 for one that stands nowhere but beside the entity. A term discloses where
 this is at least ``threshold`` and at least ``min_support`` different surroundings of the entity hold it: copies of one
-passage are one surrounding. In the window of an entity it discloses, such a term becomes a span of kind ``term`` and
-is removed or, at the lower half of the scale, generalised to its shape; entities are replaced by their kind.
+passage are one surrounding. In the window of an entity that it discloses, or whose group it does, such a term becomes a
+span of kind ``term`` and is removed or, at the lower half of the scale, generalised to its shape; entities are replaced
+by their kind.
 
 Defined results: a null text counts as empty and a null stays null when sanitised; terms are letters-only words of
-three letters or more, lower-cased; repeated rows count as documents of their own but not as surroundings; other
-columns are kept by ``sanitise`` and ignored by ``find``; an empty table gives an empty table.
+three letters or more, lower-cased; repeated rows count as documents of their own but not as surroundings; a very long
+text is taken whole, in time that grows with its length; other columns are kept by ``sanitise`` and ignored by ``find``;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,14 +42,14 @@ MAX_SENT_PAIRS = 200_000
 #: A task passes on so many mentions at a time.
 MENTIONS = 50_000
 #: A task's term counts are passed on when it holds so many different terms.
-FLUSH_TERMS = 300_000
+FLUSH_TERMS = 100_000
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match can only begin where a run of digits does: a later begin in the run would need the same dot behind it.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TERM_EDGES = ".,;:!?\"'()[]{}<>|*#$%&"
 
 
@@ -103,32 +108,50 @@ def entity_key(text: str, span: Span) -> str:
     return f"{kind}:{own.lower() if kind in ('email', 'ip') else ''.join(_DIGIT.findall(own))}"
 
 
+def group_key(key: str) -> str:
+    """What an entity shares with others of its kind: host, first two parts, first six or four digits."""
+    kind, _, own = key.partition(":")
+    if kind == "email":
+        return f"host:{own.rpartition('@')[2]}"
+    if kind == "ip":
+        return f"net:{'.'.join(own.split('.')[:2])}"
+    return f"{'issuer' if kind == 'card' else 'area'}:{own[: 6 if kind == 'card' else 4]}"
+
+
 def _term(word: str) -> str | None:
-    own = word.strip(_TERM_EDGES).lower()
-    return own if len(own) >= 3 and own.isalpha() else None
+    own = word.strip(_TERM_EDGES)
+    return own.lower() if len(own) >= 3 and own.isalpha() and len(own.lower()) == len(own) else None
 
 
 def terms(text: str) -> set[str]:
-    """The different terms of a text; bytes are split where ``_WORD`` splits."""
+    """The different terms of a text."""
     return {found for w in set(text.encode().split()) if (found := _term(w.decode())) is not None}
 
 
-def surroundings(text: str, span: Span, window: int = WINDOW) -> list[tuple[str, int, int]]:
-    """Terms within ``window`` words before and after an entity: (term, start, end). Only that part of the text is cut."""
-    _, a, b = span
-    reach = 40 * window
-    left = [(m[0], m.start(), m.end()) for m in _WORD.finditer(text, max(0, a - reach), a)]
-    if left and left[0][1] == a - reach and a > reach and not text[a - reach - 1].isspace():
-        left = left[1:]
-    right = [(m[0], m.start(), m.end()) for m in _WORD.finditer(text, b, min(len(text), b + reach))]
-    if right and right[-1][2] == b + reach and b + reach < len(text) and not text[b + reach].isspace():
-        right = right[:-1]
-    out = []
-    for word, start, end in left[-window:] + right[:window]:
-        if (found := _term(word)) is not None:
-            lead = len(word) - len(word.lstrip(_TERM_EDGES))
-            out.append((found, start + lead, start + lead + len(found)))
-    return [x for x in out if len(text[x[1] : x[2]]) == len(x[0])]
+class Surroundings:
+    """The words of a text by place, found once, so that what stands about an entity costs no search."""
+
+    def __init__(self, text: str, window: int = WINDOW):
+        self.text, self.window = text, window
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        blank = np.concatenate([[True], (code == 0x20) | (code >= 0x09) & (code <= 0x0D), [True]])
+        self.starts = np.flatnonzero(blank[:-1] & ~blank[1:])
+        self.ends = np.flatnonzero(~blank[:-1] & blank[1:])
+
+    def of(self, span: Span) -> list[tuple[str, int, int]]:
+        """Terms within ``window`` words before and after an entity, (term, start, end); a word that the entity cuts counts with what lies outside."""
+        _, a, b = span
+        left = int(np.searchsorted(self.starts, a))
+        right = int(np.searchsorted(self.ends, b, side="right"))
+        near = [(int(self.starts[i]), min(a, int(self.ends[i]))) for i in range(max(0, left - self.window), left)]
+        near += [(max(b, int(self.starts[i])), int(self.ends[i])) for i in range(right, min(len(self.ends), right + self.window))]
+        out = []
+        for start, end in near:
+            word = self.text[start:end]
+            if (found := _term(word)) is not None:
+                start += len(word) - len(word.lstrip(_TERM_EDGES))
+                out.append((found, start, start + len(found)))
+        return out
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -147,21 +170,26 @@ def disclosing(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         for batch in rows:
             for text in batch.column(0):
                 text = text.as_py()
+                base = base_spans(text)
+                if not base:
+                    continue
+                about = Surroundings(text)
                 pairs: set[tuple[str, str]] = set()
                 seen: set[tuple[str, int]] = set()
-                for span in base_spans(text):
-                    near = sorted({t for t, _, _ in surroundings(text, span)})
+                for span in base:
+                    near = sorted({t for t, _, _ in about.of(span)})
                     place = int.from_bytes(hashlib.blake2b(" ".join(near).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                    key = entity_key(text, span)
-                    if (key, place) in seen:
-                        continue
-                    seen.add((key, place))
-                    for term in ("", *near):
-                        # the document counts once for each pair, at the first place; an entity's own row needs no place
-                        first = (key, term) not in pairs
-                        pairs.add((key, term))
-                        if first or term:
-                            out.append((key, term, place if term else 0, int(first)))
+                    own = entity_key(text, span)
+                    for key in (own, group_key(own)):
+                        if (key, place) in seen:
+                            continue
+                        seen.add((key, place))
+                        for term in ("", *near):
+                            # the document counts once for each pair, at the first place; an entity's own row needs no place
+                            first = (key, term) not in pairs
+                            pairs.add((key, term))
+                            if first or term:
+                                out.append((key, term, place if term else 0, int(first)))
                     if len(out) >= MENTIONS:
                         yield made(out)
                         out = []
@@ -177,7 +205,7 @@ def disclosing(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     n_terms = candidates.count()
     if not n_terms:
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
-    wanted = frozenset(r["term"] for r in candidates.collect()) if n_terms <= MAX_SENT_PAIRS else None  # at most MAX_SENT_PAIRS words
+    wanted = frozenset(candidates.toArrow().column(0).to_pylist()) if n_terms <= MAX_SENT_PAIRS else None  # at most MAX_SENT_PAIRS words
 
     def held(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> pa.RecordBatch:
@@ -204,50 +232,83 @@ def disclosing(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return found.filter(F.col("disclosure") >= rules.threshold).select("entity", "term", "disclosure")
 
 
+Known = dict[str, dict[str, float]]
+
+
 def _spans(text: str, known: Known) -> list[tuple[str, int, int, float]]:
     """All spans of a text by start, then kind; a term's carries its disclosure, an entity's 1."""
     base = base_spans(text)
     out = {span: 1.0 for span in base}
-    if known:
+    if known and base:
+        about = None
+        covered = _covered(base)
         for span in base:
-            own = known.get(entity_key(text, span))
+            key = entity_key(text, span)
+            own = [x for k in (key, group_key(key)) if (x := known.get(k))]
             if own:
-                for term, a, b in surroundings(text, span):
-                    if term in own and not any(x[1] < b and a < x[2] for x in base):
-                        out["term", a, b] = max(own[term], out.get(("term", a, b), 0.0))
+                about = about or Surroundings(text)
+                for term, a, b in about.of(span):
+                    value = max(x.get(term, -1.0) for x in own)
+                    if value >= 0 and not _overlaps(covered, a, b):
+                        out["term", a, b] = max(value, out.get(("term", a, b), 0.0))
     order = (*KINDS, "term")
     return sorted(((*span, value) for span, value in out.items()), key=lambda x: (x[1], order.index(x[0])))
 
 
-Known = dict[str, dict[str, float]]
+def _covered(base: list[Span]) -> tuple[list[int], list[int]]:
+    """Begins and ends of what the spans cover together."""
+    begins: list[int] = []
+    ends: list[int] = []
+    for _, a, b in base:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    return begins, ends
+
+
+def _overlaps(covered: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    at = bisect_right(covered[1], a)
+    return at < bisect_left(covered[0], b)
 
 
-def _as_known(pairs: Iterable) -> Known:
+def _as_known(pairs: Iterable[tuple[str, str, float]]) -> Known:
     known: Known = {}
-    for r in pairs:
-        known.setdefault(r["entity"], {})[r["term"]] = r["disclosure"]
+    for entity, term, disclosure in pairs:
+        known.setdefault(entity, {})[term] = disclosure
     return known
 
 
 def _attached(docs: DataFrame, rules: Rules) -> tuple[DataFrame, Known | None, str]:
-    """``docs``, and the disclosing pairs for all tasks if they are few; else None, and each row's own pairs in the named column."""
+    """``docs``, and the disclosing pairs for all tasks if they are few; else None, and in the named column those of a row's own entities and terms."""
     pairs = cut(disclosing(docs, rules))
     column, row = fresh(docs, "_pairs"), fresh(docs, "_row")
     if pairs.count() <= MAX_SENT_PAIRS:
-        return docs, _as_known(pairs.collect()), column
+        found = pairs.toArrow()
+        return docs, _as_known(zip(*(found.column(x).to_pylist() for x in ("entity", "term", "disclosure")))), column
 
-    def entities(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mentions(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            found = [(i, e) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for e in {entity_key(text or "", s) for s in base_spans(text or "")}]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([e for _, e in found], pa.string())], ["row", "entity"])
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py() or ""
+                base = base_spans(text)
+                if base:
+                    about = Surroundings(text)
+                    found = {(k, t) for s in base for t, _, _ in about.of(s) for key in (entity_key(text, s),) for k in (key, group_key(key))}
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), pa.int64()), pa.array([k for k, _ in found], pa.string()), pa.array([t for _, t in found], pa.string())], ["row", "entity", "term"])
 
     # numbers of rows must not change between the two uses, so they are written with the rows
     kept = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    own = batches(kept.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")), entities, "row long, entity string")
-    own = own.join(pairs, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "term", "disclosure")).alias(column)).withColumnRenamed("row", row)
+    own = batches(kept.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")), mentions, "row long, entity string, term string")
+    own = own.join(pairs, ["entity", "term"]).groupBy("row").agg(F.collect_list(F.struct("entity", "term", "disclosure")).alias(column)).withColumnRenamed("row", row)
     return kept.join(own, row, "left").select(*docs.columns, column), None, column
 
 
+def _own(cell: pa.Scalar) -> Known:
+    return _as_known((r["entity"], r["term"], r["disclosure"]) for r in cell.as_py() or ())
+
+
 def find(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Per document: n_email, n_ip, n_card, n_phone, base_sha256 and spans (``kind:start:end``, comma-joined, code points)."""
     given, known, _ = _attached(docs.select("doc_id", "text"), rules)
@@ -256,7 +317,7 @@ def find(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         for batch in rows:
             counts, digests, spans = [[] for _ in KINDS], [], []
             for i, text in enumerate(batch.column(1)):
-                found = _spans(text.as_py() or "", known if known is not None else _as_known(batch.column(2)[i].as_py() or ()))
+                found = _spans(text.as_py() or "", known if known is not None else _own(batch.column(2)[i]))
                 base = ",".join(f"{k}:{a}:{b}" for k, a, b, _ in found if k != "term")
                 for kind, own in zip(KINDS, counts):
                     own.append(sum(x[0] == kind for x in found))
@@ -292,7 +353,7 @@ def sanitise(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             new = []
             for i, text in enumerate(batch.column(text_at)):
                 text = text.as_py()
-                spans = _spans(text, known if known is not None else _as_known(batch.column(len(names))[i].as_py() or ())) if text else []
+                spans = _spans(text, known if known is not None else _own(batch.column(len(names))[i])) if text else []
                 new.append(masked(text, spans, rules) if spans else text)
             own = batch.set_column(text_at, batch.schema.field(text_at), pa.array(new, batch.schema.field(text_at).type))
             yield own.select(names)
