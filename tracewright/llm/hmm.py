@@ -7,12 +7,13 @@ frequency (c + 0.1) / (C + 0.1 (V + 1)) among the class's training words, an unk
 is that of its symbols, summed over all state sequences, times that of its rare words given their classes.
 
 What tasks hold is bounded by ``HEAD + CLASSES``; counts of rare words stay distributed and meet the texts in a join.
-Training starts from a bounded sample of ``SAMPLE`` texts; each of the ``ROUNDS`` re-estimations then sums expected
-counts over all training texts: tasks add up their own, a shuffle by symbol adds up the tasks'.
+Training starts from a bounded sample of ``SAMPLE`` texts of ``SAMPLE_TOKENS`` tokens at most; each re-estimation then
+sums expected counts over all training texts: tasks add up their own, a shuffle by symbol adds up the tasks'. They end
+when one has raised the training texts' log-likelihood by less than ``TOLERANCE`` a token.
 
 Defined results: a null text counts as empty; an empty text is the end token alone; a null doc_id is a training row;
-every row is scored on its own, also repeated ones; other columns are ignored; an empty table gives an empty table, and
-without training rows all counts are 0.
+every row is scored on its own, also repeated ones; a very long text passes the recursions in segments, with the same
+results; other columns are ignored; an empty table gives an empty table, and without training rows all counts are 0.
 """
 
 from __future__ import annotations
@@ -24,17 +25,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.llm.common import batches, by_hash, likely_sample, written
 
-STATES, ROUNDS, SAMPLE, SAMPLE_ROUNDS = 8, 2, 600, 12
+STATES, SAMPLE, SAMPLE_TOKENS, SAMPLE_ROUNDS = 8, 600, 1_000_000, 12
+#: Re-estimation ends where the log-likelihood (natural logarithm) of a training token rises by less.
+TOLERANCE = 0.01
 HEAD, CLASSES = 32_000, 512
 #: Mass of the corpus-wide distribution in each state's emissions, in tokens.
 PRIOR = 50.0
 #: Texts pass through the recursions together, about so many tokens at a time.
 GROUP_TOKENS = 400_000
-FLUSH_WORDS = 300_000
+#: The recursions keep values of about so many tokens; longer groups pass in segments.
+SEGMENT_TOKENS = 1_000_000
+FLUSH_WORDS = 100_000
 ADDED = 0.1
 END = b"\n"
 
@@ -168,14 +173,22 @@ class Group:
         self.text = np.empty(len(text), np.int64)
         self.text[where] = text
 
-    def forward(self, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled forward values and scales by token, and the emissions."""
-        emission = model.emit[self.symbols]
+    def segments(self) -> list[tuple[int, int]]:
+        """Ranges of positions with about ``SEGMENT_TOKENS`` tokens each."""
+        bounds = [0]
+        while bounds[-1] < len(self.active):
+            bounds.append(max(bounds[-1] + 1, int(np.searchsorted(self.at, self.at[bounds[-1]] + SEGMENT_TOKENS, side="right")) - 1))
+        return list(zip(bounds, bounds[1:]))
+
+    def forward(self, model: Hmm, first: int, last: int, now: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled forward values and scales by token, and the emissions, for positions from first up to last; ``now``: the values before."""
+        base = self.at[first]
+        emission = model.emit[self.symbols[base : self.at[last]]]
         values = np.empty_like(emission)
         scales = np.empty(len(emission), emission.dtype)
-        now = None
-        for t, n in enumerate(self.active.tolist()):
-            a, b = self.at[t], self.at[t] + n
+        for t in range(first, last):
+            n = self.active[t]
+            a, b = self.at[t] - base, self.at[t] - base + n
             now = emission[a:b] * (model.start if now is None else now[:n] @ model.move)
             scale = now.sum(axis=1)
             now /= scale[:, None]
@@ -185,32 +198,45 @@ class Group:
 
     def log_likelihood(self, model: Hmm) -> np.ndarray:
         """Natural logarithm of each text's probability, in the given order."""
-        _, scales, _ = self.forward(model)
+        total, now = np.zeros(len(self.order)), None
+        for first, last in self.segments():
+            values, scales, _ = self.forward(model, first, last, now)
+            now = values[self.at[last - 1] - self.at[first] :]
+            total += np.bincount(self.text[self.at[first] : self.at[last]], weights=np.log(scales), minlength=len(total))
         out = np.empty(len(self.order))
-        out[self.order] = np.bincount(self.text, weights=np.log(scales), minlength=len(self.order))
+        out[self.order] = total
         return out
 
-    def expected(self, model: Hmm, counts: np.ndarray) -> None:
-        """Add expected counts: rows of ``counts`` are symbols' emissions by state, then transitions from each state, then starts."""
-        values, scales, emission = self.forward(model)
+    def expected(self, model: Hmm, counts: np.ndarray) -> float:
+        """Add expected counts: rows of ``counts`` are symbols' emissions by state, then transitions from each state, then starts. Returns the log-likelihood."""
         states, size = model.move.shape[0], model.emit.shape[0]
-        last = np.zeros((self.active[0], states), emission.dtype)
+        parts = self.segments()
+        before: list[np.ndarray | None] = [None]
+        for first, last in parts[:-1]:  # a segment's forward values are made again when the backward ones come to it
+            before.append(self.forward(model, first, last, before[-1])[0][self.at[last - 1] - self.at[first] :].copy())
         moves = np.zeros((states, states))
-        for t in range(len(self.active) - 1, -1, -1):
-            n = self.active[t]
-            a, b = self.at[t], self.at[t] + n
-            here = np.ones((n, states), emission.dtype)
-            if t + 1 < len(self.active):
-                m = self.active[t + 1]
-                here[:m] = last[:m] @ model.move.T
-                moves += values[a : a + m].T.astype(float) @ last[:m]
-            # emission times backward value over scale, as the step before needs it
-            last = emission[a:b] * here / scales[a:b, None]
-            values[a:b] *= here
-        for s in range(states):
-            counts[:size, s] += np.bincount(self.symbols, weights=values[:, s], minlength=size)
+        likely, after = 0.0, None
+        for (first, last), start in zip(reversed(parts), reversed(before)):
+            values, scales, emission = self.forward(model, first, last, start)
+            likely += float(np.log(scales).sum(dtype=float))
+            base = self.at[first]
+            for t in range(last - 1, first - 1, -1):
+                n = self.active[t]
+                a, b = self.at[t] - base, self.at[t] - base + n
+                here = np.ones((n, states), emission.dtype)
+                if after is not None:
+                    m = len(after)
+                    here[:m] = after @ model.move.T
+                    moves += values[a : a + m].T.astype(float) @ after
+                # emission times backward value over scale, as the step before needs it
+                after = emission[a:b] * here / scales[a:b, None]
+                values[a:b] *= here
+            for s in range(states):
+                counts[:size, s] += np.bincount(self.symbols[base : self.at[last]], weights=values[:, s], minlength=size)
+            if first == 0:
+                counts[size + states] += values[: self.active[0]].sum(axis=0)
         counts[size : size + states] += moves * model.move
-        counts[size + states] += values[: self.active[0]].sum(axis=0)
+        return likely
 
 
 def groups(texts: list[np.ndarray]) -> Iterator[tuple[list[int], Group]]:
@@ -256,17 +282,17 @@ def _texts_of(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in batch.column(batch.schema.get_field_index(name))]
 
 
-def baum_welch(coded: DataFrame, model: Hmm, known: Symbols) -> Hmm:
-    """One re-estimation over all training texts."""
+def baum_welch(coded: DataFrame, model: Hmm, known: Symbols) -> tuple[Hmm, float]:
+    """One re-estimation over all training texts, and their log-likelihood by the model before it."""
     states = len(model.start)
     rows_of = known.size + states + 1
     small = Hmm(model.start.astype(np.float32), model.move.astype(np.float32), model.emit.astype(np.float32))
 
     def expect(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((rows_of, states))
+        counts = np.zeros((rows_of + 1, states))
         for batch in rows:
             for _, group in groups(_texts_of(batch, "symbols")):
-                group.expected(small, counts)
+                counts[rows_of, 0] += group.expected(small, counts)
         some = np.flatnonzero(counts.any(axis=1))
         for i in range(0, len(some), 10_000):
             part = some[i : i + 10_000]
@@ -274,24 +300,34 @@ def baum_welch(coded: DataFrame, model: Hmm, known: Symbols) -> Hmm:
 
     shape = "row long, " + ", ".join(f"s{s} double" for s in range(states))
     summed = batches(coded.filter("not held_out").select("symbols"), expect, shape).groupBy("row").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states)))
-    counts = np.zeros((rows_of, states))
-    for r in summed.toLocalIterator():  # at most HEAD + CLASSES + STATES + 2 rows
-        counts[r[0]] = r[1:]
-    return estimated(counts, known.share, states)
+    found = summed.toArrow()  # at most HEAD + CLASSES + STATES + 3 rows
+    counts = np.zeros((rows_of + 1, states))
+    counts[found.column("row").to_numpy()] = np.stack([found.column(f"s{s}").to_numpy() for s in range(states)], axis=1)
+    return estimated(counts[:-1], known.share, states), float(counts[-1, 0])
 
 
-def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head: int = HEAD) -> DataFrame:
+def trained(coded: DataFrame, known: Symbols, states: int = STATES, tolerance: float = TOLERANCE) -> tuple[Hmm, list[float]]:
+    """The model, and the log-likelihoods of a training token before each re-estimation."""
+    training = coded.filter("not held_out").select("doc_id", "row_id", "symbols")
+    near = likely_sample(training, "doc_id", SAMPLE, int(known.counts[0]))  # as many end tokens as training rows
+    order = [*by_hash("doc_id"), "row_id"]
+    upto = F.sum(F.octet_length("symbols") / 2).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    picked = near.orderBy(*order).limit(SAMPLE).withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_TOKENS).select("symbols").toArrow()
+    model = first_model([np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in picked.column(0).combine_chunks()] if picked.num_rows else [], known, states)
+    likely: list[float] = []
+    while known.total and (len(likely) < 2 or likely[-1] - likely[-2] >= tolerance):
+        model, total = baum_welch(coded, model, known)
+        likely.append(total / known.total)
+    return model, likely
+
+
+def score(docs: DataFrame, states: int = STATES, tolerance: float = TOLERANCE, head: int = HEAD) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (smoothed unigrams), score; log10."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
     counts = written(word_counts(texts), "lm-words")
     known = symbols(counts, head)
     coded = written(encoded(texts, known), "lm-symbols")
-    training = coded.filter("not held_out").select("doc_id", "row_id", "symbols")
-    near = likely_sample(training, "doc_id", SAMPLE, int(known.counts[0]))  # as many end tokens as training rows
-    picked = near.orderBy(*by_hash("doc_id"), "row_id").limit(SAMPLE).select("symbols").collect()
-    model = first_model([np.frombuffer(bytes(r["symbols"]), "<u2").astype(np.int64) for r in picked], known, states)
-    for _ in range(rounds if known.total else 0):
-        model = baum_welch(coded, model, known)
+    model, _ = trained(coded, known, states, tolerance)
 
     total, distinct, first = known.total, known.distinct, len(known.numbers) + 1
     all_words = total + ADDED * (distinct + 1)
