@@ -6,11 +6,13 @@ the corpus took part, membership is exact for all of them, without a join: a key
 0) isn't listed, one that fails an odd level is.
 
 Everything is DataFrame expressions. A level is one array of 64-bit words, made by a distributed ``bit_or`` and read
-by the scan as a scalar subquery. Its size is checked: where the listed keys would need more than ``MAX_BITS``, keys are
-split by hash into shards with a cascade each, and each shard's rows are judged by their own.
+by the scan as a scalar subquery. No level has more than ``MAX_BITS`` bits: where the listed keys, or the others that
+pass them by chance, would need more, keys are split by hash into shards with a cascade each. Then keys and rows are
+written once, by shard, and each shard's rows are read by their own cascade alone.
 
 Defined results: host and path of a null url, or one without ``://``, are empty; a null key isn't listed; repeated
-rows are judged alike; other columns stay in ``judge``; an empty table or list gives a result without blocks by list.
+rows are judged alike; a long url is taken whole; other columns stay in ``judge``; an empty table or list gives a result
+without blocks by list.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracewright.llm.common import cut, fresh
+from tracewright.llm.common import cut, fresh, written
 
 #: Bits and hash positions of a key in each level.
 BITS_PER_KEY, HASHES = 10, 5
@@ -75,19 +77,35 @@ class Cascade:
         universe = keys.toDF("key").filter("key is not null").distinct()
         flags = listed.toDF("key").filter("key is not null").distinct().withColumn("listed", F.lit(True))
         universe = cut(universe.join(flags, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")))
-        total = universe.filter("listed").count()
-        self.shards = max(1, math.ceil(total * bits_per_key / max_bits))
-        self.levels = [self._build(universe.filter(self._shard(F.col("key")) == s), bits_per_key) for s in range(self.shards)]
+        n = {r["listed"]: r["count"] for r in universe.groupBy("listed").count().collect()}
+        by_chance = (1 - math.exp(-HASHES / bits_per_key)) ** HASHES
+        self.shards = math.ceil(max(1, n.get(True, 0), n.get(False, 0) * by_chance) * bits_per_key / max_bits)
+        while not self._built(universe, bits_per_key, max_bits):  # hashes dealt a shard more keys than expected
+            self.shards *= 2
+
+    def _built(self, universe: DataFrame, bits_per_key: int, max_bits: int) -> bool:
+        """Build every shard's levels; False where one would be larger than ``max_bits``."""
+        self.levels: list[list[tuple[DataFrame, int]]] = []
+        if self.shards > 1:
+            universe = written(universe.withColumn("shard", self._shard(F.col("key"))), "cascade-keys", "shard")
+        for s in range(self.shards):
+            levels = self._build(universe if self.shards == 1 else universe.filter(F.col("shard") == s).drop("shard"), bits_per_key, max_bits)
+            if levels is None:
+                return False
+            self.levels.append(levels)
+        return True
 
     def _shard(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.shards))
+        return F.coalesce(F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.shards)), F.lit(0)).cast("int")
 
-    def _build(self, universe: DataFrame, bits_per_key: int) -> list[tuple[DataFrame, int]]:
+    def _build(self, universe: DataFrame, bits_per_key: int, max_bits: int) -> list[tuple[DataFrame, int]] | None:
         levels: list[tuple[DataFrame, int]] = []
         sides = [universe.filter("listed").select("key"), universe.filter("not listed").select("key")]
         left = sides[0]
         while (n := left.count()) > 0:
             bits = 64 * math.ceil(n * bits_per_key / 64)
+            if bits > max(64, max_bits):
+                return None
             levels.append((cut(_encode(left, len(levels), bits)), bits))
             other = sides[len(levels) % 2]
             # keys of the other side that pass every level so far must be told apart by the next one
@@ -108,9 +126,12 @@ class Cascade:
 
     def flag(self, df: DataFrame, key: str, name: str) -> DataFrame:
         """``df`` with the boolean column ``name``: whether ``key`` is listed."""
+        shard = fresh(df, "_shard")
+        if self.shards > 1:
+            df = written(df.withColumn(shard, self._shard(F.col(key))), "cascade-rows", shard)
         parts = []
         for s, levels in enumerate(self.levels):
-            own = df if self.shards == 1 else df.filter(F.coalesce(self._shard(F.col(key)) == s, F.lit(s == 0)))
+            own = df if self.shards == 1 else df.filter(F.col(shard) == s).drop(shard)
             parts.append(own.withColumn(name, F.coalesce(self._member(F.col(key), levels), F.lit(False)) if levels else F.lit(False)))
         return reduce(DataFrame.union, parts)
 
