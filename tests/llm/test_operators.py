@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -126,6 +127,18 @@ def test_best_two_fit_swaps_the_smallest():
         assert max(p[4] + p[3] for p in plan) <= 1.02 * len(gaps) + 1
 
 
+def test_tighter_pair_equals_a_search_of_all_pairs():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        free = rng.integers(0, 3, 30) * (rng.random(30) < 0.4)
+        free[0] = 0
+        below = np.maximum.accumulate(np.where(free > 0, np.arange(30), 0))
+        target, least = int(rng.integers(2, 29)), int(rng.integers(1, 28))
+        pairs = [(a, b) for a in range(1, 30) for b in range(1, a + 1) if free[a] and free[b] and (a != b or free[a] > 1) and least < a + b <= target]
+        found = packing._tighter_pair(free, below, target, least)
+        assert (found is None) == (not pairs) and (found is None or sum(found) == max(map(sum, pairs)) and tuple(sorted(found, reverse=True)) in pairs)
+
+
 def test_assembled_sequences(spark):
     source = docs(spark, [(i, prose(i, 30), "en") for i in range(12)])
     placed = packing.pack(source, VOCABULARY, 256)
@@ -177,6 +190,15 @@ def test_cascade_is_exact(spark, max_bits):
     assert wrong.count() == 0 and cascade.flag(keys, "k", "hit").count() == 6000
 
 
+def test_cascade_of_a_universe_far_larger_than_the_list(spark):
+    keys = spark.range(60_000).select(F.concat(F.lit("k"), "id").alias("k"))
+    listed = keys.filter("k in ('k7', 'k77', 'k50000')")
+    cascade = urls.Cascade(keys, listed, max_bits=2048)
+    assert cascade.shards > 1 and all(bits <= 2048 for levels in cascade.levels for _, bits in levels)  # false positives are sized too
+    flagged = cascade.flag(keys.unionByName(keys.limit(1).withColumn("k", F.lit(None).cast("string"))), "k", "hit")
+    assert flagged.count() == 60_001 and {r["k"] for r in flagged.filter("hit").collect()} == {"k7", "k77", "k50000"}
+
+
 def test_quality_counts_and_verdicts(spark, clashing):
     good = [(100 + i, ". ".join(prose(i, 40) for _ in range(3)), "en") for i in range(60)]
     junk = [(900, "\n".join(["#$%& *** <> |"] * 20), "en"), (901, " ".join(f"tas{i}l%%%&&" for i in range(120)), "en")]
@@ -198,6 +220,34 @@ def test_quality_counts_and_verdicts(spark, clashing):
     assert quality.js_distance(np.array([1.0, 0]), np.array([0, 1.0])) == 1 and quality.js_distance(np.array([0.5, 0.5]), np.array([0.5, 0.5])) == 0
 
 
+def test_quality_distances_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "COMMON", 7)
+    monkeypatch.setattr(quality, "_PART", 50)  # texts in several parts
+    rows = [(i, prose(i, 60) + " É12 #x".replace(" ", "\n" if i % 2 else " ") * (i % 3), "en" if i % 4 else "es") for i in range(40)] + [(50, prose(3, 60), "es"), (51, prose(0, 60), "es")]
+    rows += [(60 + i, rows[1][1], "en") for i in range(4)]  # copies count once
+    kinds = lambda t: [sum(map(f, t)) for f in (lambda c: "a" <= c <= "z", lambda c: "A" <= c <= "Z", lambda c: c in "0123456789", lambda c: c in "#*$%&|<>", lambda c: c in " \t", lambda c: c in "\n\r\x0b\x0c", lambda c: c < "\x80" and not c.isalnum() and c not in "#*$%&|<> \t\n\r\x0b\x0c", lambda c: c >= "\x80")]
+    low = lambda t: "".join(c.lower() if c < "\x80" else c for c in t).split()
+    refs = {}
+    for lang in ("en", "es"):
+        texts = sorted({t for _, t, x in rows if x == lang})
+        words = Counter(w for t in texts for w in low(t))
+        top = sorted((w for w in words if w.isalpha()), key=lambda w: (-words[w], w))[:7]
+        classes = np.sum([kinds(t) for t in texts], axis=0)
+        share = np.array([words[w] for w in top] + [words.total() - sum(words[w] for w in top)]) / words.total()
+        refs[lang] = classes / classes.sum(), top, share
+    got = {r["doc_id"]: r for r in quality.judge(docs(spark, rows)).collect()}
+    for i, t, lang in rows:
+        classes, top, share = refs[lang]
+        words, own = low(t), np.array(kinds(t))
+        counts = np.array([words.count(w) for w in top])
+        by_class = quality.js_distance(own / own.sum(), classes)
+        by_word = quality.js_distance(np.append(counts, len(words) - counts.sum()) / len(words), share)
+        assert (got[i]["class_distance"], got[i]["word_distance"]) == (pytest.approx(by_class), pytest.approx(by_word))
+        limits = quality.Limits()
+        far = by_class > limits.class_floor + limits.class_slack / len(words) ** 0.5 or by_word > limits.word_floor + limits.word_slack / len(words) ** 0.5
+        assert got[i]["kept"] == (not got[i]["base_failed"] and not far)
+
+
 @pytest.mark.parametrize("sent", [(1000, 1_000_000), (0, 0)])
 def test_quality_references_are_of_their_own_language(spark, monkeypatch, sent):
     monkeypatch.setattr(quality, "MAX_SENT_LANGUAGES", sent[0])  # 0: references are joined, and all texts shuffled
@@ -245,6 +295,81 @@ def test_toxicity_learns_marked_words(spark, labels, clashing):
     assert toxicity.score(clashing.limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxicity_equals_the_formulas():
+    """Every probability of the docstring by dictionaries, and that those after a context sum to one."""
+    order, d, strength = toxicity.ORDER, toxicity.DISCOUNT, toxicity.STRENGTH
+    rng = random.Random(3)
+    counts = {}
+    for c in (0, 1):
+        for _ in range(120):
+            word = "".join(rng.choice("abç") for _ in range(rng.randint(1, 7))) + ("zz" if c and rng.random() < 0.3 else "")
+            for g in toxicity.grams_of(word):
+                counts.setdefault(g, [0, 0])[c] += 1
+    levels = {order: set(counts)}
+    for n in range(order - 1, 0, -1):
+        levels[n] = {g[1:] for g in levels[n + 1]}
+    letters = {g for g in levels[1]}
+
+    def shared(h, x):
+        """P of letter x after the letters h, by how many different letters stand before."""
+        n = len(h) + 1
+        below = 1 / (len(letters) + 1) if not h else shared(h[1:], x)
+        before = {g[1:]: 0 for g in levels[n + 1]}
+        for g in levels[n + 1]:
+            before[g[1:]] += 1
+        follow = {g: k for g, k in before.items() if g[:-1] == h}
+        if not follow:
+            return below
+        total = sum(follow.values())
+        return max(follow.get(h + x, 0) - d, 0) / total + d * len(follow) / total * below
+
+    def both(h, x):
+        own = {g: sum(n) for g, n in counts.items() if g[:-1] == h}
+        total = sum(own.values())
+        return max(own.get(h + x, 0) - d, 0) / total + d * len(own) / total * shared(h[1:], x)
+
+    def p(c, h, x):
+        own = {g: n[c] for g, n in counts.items() if g[:-1] == h}
+        total, kinds = sum(own.values()), sum(n > 0 for n in own.values())
+        return (max(own.get(h + x, 0) - d, 0) + (d * kinds + strength) * both(h, x)) / (total + strength)
+
+    grams = sorted(counts)
+    model = toxicity.smoothed(np.array([list(map(ord, g)) for g in grams], np.uint32), np.array([counts[g] for g in grams]))
+    for h in rng.sample(sorted({g[:-1] for g in grams}), 6):
+        for c in (0, 1):
+            unknown = p(c, h, "?")
+            assert sum(p(c, h, x) for x in letters) + unknown == pytest.approx(1)
+    place = {int(k): v for k, v in zip(model.seen, model.values)}
+    for g in rng.sample(grams, 40):
+        key = int(toxicity.hashes(np.array([list(map(ord, g))], np.uint32))[0])
+        assert place[key] == pytest.approx(np.log(p(1, g[:-1], g[-1]) / p(0, g[:-1], g[-1])), abs=1e-5)
+    for word in ("abç", "zz", "çaaazz", "qqqqqqqqq", "abq"):
+        # what isn't seen has the same shared probability in both models
+        expected = sum(np.log(p(1, g[:-1], g[-1]) / p(0, g[:-1], g[-1])) for g in toxicity.grams_of(word) if any(k[:-1] == g[:-1] for k in counts))
+        assert model.ratios(["ab", word, "x" * 50])[1] == pytest.approx(expected, abs=1e-4)
+
+
+def test_toxicity_without_rows_to_weigh_and_on_long_texts(spark):
+    fold = {k: [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == k] for k in range(4)}
+    rows = [(i, prose(i, 60) + " vilbrak" * (i % 3 == 0), "en") for i in range(400)]
+    marks = [(i, 1, int(i % 3 == 0)) for i in fold[0] + fold[1]]
+    given = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    assert toxicity.score(docs(spark, rows), given).filter("score <> 0 or predicted <> 0").count() == 0  # none in the fold that weighs
+    one = spark.createDataFrame(marks + [(i, 1, 0) for i in fold[3]], "doc_id long, quality int, toxic int")
+    assert toxicity.filter_toxic(docs(spark, rows), one).count() == 400  # one class there
+    every = spark.createDataFrame(marks + [(i, 1, int(i % 3 == 0)) for i in fold[3]], "doc_id long, quality int, toxic int")
+    repeated = rows + [(fold[0][0], f"zzz {i}", "en") for i in range(300)]  # an id that repeats is one row of the sample
+    assert toxicity.sample(docs(spark, repeated), every).count() == len(fold[0] + fold[1] + fold[3])
+    long = " ".join(prose(i, 4000) for i in range(60)) + " " + "é" * 3_000_000
+    model = toxicity.fit(docs(spark, rows), every)
+    scorer = toxicity.Scorer(model)
+    words = toxicity.words_of(long)
+    found = np.array([model.ratios([w])[0] for w in sorted(set(words))])
+    ratio = dict(zip(sorted(set(words)), found))
+    assert scorer.features([long, ""])[0, 1] == pytest.approx(sum(ratio[w] for w in words) / len(words), rel=1e-6)
+    assert sum(map(len, toxicity.parts_of(long))) == len(long) and len(list(toxicity.parts_of(long))) > 1
+
+
 def brute_classes(rows, n=5, threshold=0.8):
     sets = {}
     for i, t in rows:
@@ -294,6 +419,35 @@ def test_jaccard_counts_links_once_with_empty_blocks(spark, monkeypatch):
     assert got == {i: (root[i], links[i]) for i, _ in rows}
 
 
+def test_words_of_any_length_are_told_apart():
+    tail = " one two three four"
+    base = "a" * 70_000
+    other = base[:68_000] + "b" + base[68_001:]
+    swapped = "b" + base[1:65_536] + "a" + base[65_537:]  # the same letters a whole round of places apart
+    moved = base[:65_536] + "b" + base[65_537:]
+    huge = "c" * 3_000_000
+    sets = [next(jaccard.shingle_sets([(w + tail).encode()])).tolist() for w in (base, other, swapped, moved, huge, huge + "c")]
+    assert len({tuple(x) for x in sets}) == 6
+    text = " ".join(prose(i, 3000) for i in range(80)) + " " + huge + " " + prose(5, 100)
+    parts = list(jaccard._parts(text.encode()))
+    assert b"".join(parts) == text.encode() and len(parts) > 3
+    whole = next(jaccard.shingle_sets([text.encode()]))
+    words = text.lower().encode().split()
+    hashed = np.array([jaccard.word_hashes([w])[0][0] for w in words], np.uint64)
+    assert whole.tolist() == next(jaccard._shingled(hashed, [len(words)], 5)).tolist()
+    assert [x.tolist() for x in jaccard.shingle_sets([b"a b c d e f", text.encode(), b"", b"x"])][1] == whole.tolist()
+
+
+def test_repeated_ids_lose_no_text(spark):
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(1, a), (2, b), (2, c), (3, c + " tail"), (3, a), (4, b), (4, b), (5, ""), (5, None), (6, "short"), (6, "short"), (None, a), (7, a + " end")]
+    source = docs(spark, [(i, t, "en") for i, t in rows])
+    kept = sorted((r["doc_id"], r["text"] or "") for r in jaccard.deduplicate(source).filter("doc_id is not null").collect())
+    assert kept == sorted([(1, a), (2, b), (2, c), (5, ""), (6, "short")])
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.classes(source).filter("doc_id is not null").collect())
+    assert got == sorted([(1, 1, 2), (2, 2, 2), (2, 2, 1), (3, 2, 1), (3, 1, 2), (4, 2, 2), (4, 2, 2), (5, 5, 0), (5, 5, 0), (6, 6, 1), (6, 6, 1), (7, 1, 2)])
+
+
 def test_band_choice():
     bands, rows = jaccard.choose_bands(0.8, 0.9999)
     assert bands * rows <= jaccard.MAX_VALUES and 1 - (1 - 0.8**rows) ** bands >= 0.9999
@@ -355,13 +509,55 @@ def test_neighbours_ties_between_different_vectors(spark):
         assert [r["vec_id"] for r in got] == ids[np.lexsort((ids, -near))[:5]].tolist()
 
 
+def test_neighbours_of_extreme_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 8))
+    scale = 10.0 ** rng.choice([-300, -200, -3, 0, 5, 200, 300], 120)
+    scale[:50] = 1e-310  # below the least normal number, so digits are lost
+    given = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(x, scale))]
+    got = neighbours.search(spark.createDataFrame(given, "vec_id long, embedding array<double>"), every=10).collect()
+    unit = neighbours.unit(x)
+    for q in range(0, 120, 10):
+        near = unit @ unit[q]
+        near[q] = -2
+        own = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["vec_id"] for r in own] == np.argsort(-near)[:5].tolist() and all(abs(r["score"] - near[r["vec_id"]]) < 1e-9 for r in own)
+
+
+def test_neighbours_in_cells_of_several_cuts(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART_VECTORS", 10)
+    monkeypatch.setattr(neighbours, "SAMPLE", 480)
+    monkeypatch.setattr(neighbours, "HELD_SCORES", 1000)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 12))
+    x = centres[rng.integers(0, 30, 2500)] + 0.3 * rng.normal(size=(2500, 12))
+    router = neighbours.fit(x[:960], 250, 5)
+    assert len(router.layers) == 3 and router.cells >= 250 and router.probes < router.cells
+    best = router.best(neighbours.unit(x[:40]))
+    every = np.concatenate([e for _, e in router.by_cell(neighbours.unit(x[:40]))])
+    assert every.shape == (40, router.cells) and np.allclose(np.exp(every).sum(axis=1), 1)
+    assert all(set(b) == set(np.argsort(-e)[: router.probes]) for b, e in zip(best, every))
+    assert (router.own(neighbours.unit(x[:40])) == every.argmax(axis=1)).all()
+    got = {}
+    for r in neighbours.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit = neighbours.unit(x)
+    hit = 0
+    for q, own in got.items():
+        near = unit @ unit[q]
+        near[q] = -2
+        hit += len(own & set(np.argsort(-near)[:5].tolist()))
+    assert len(got) == 50 and hit / 250 >= 0.9
+
+
 def test_balanced_parts():
     x = neighbours.unit(np.random.default_rng(0).normal(size=(600, 8)))
     part = neighbours.balanced_parts(x, neighbours.neighbour_graph(x), 6)
     assert np.bincount(part, minlength=6).max() <= 110 and part.min() >= 0
 
 
-def test_hmm_recursions_equal_brute_force():
+@pytest.mark.parametrize("segment", [1_000_000, 4])
+def test_hmm_recursions_equal_brute_force(monkeypatch, segment):
     rng = np.random.default_rng(1)
     model = hmm.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
     texts = [rng.integers(0, 5, n) for n in (4, 1, 6, 3)]
@@ -379,14 +575,58 @@ def test_hmm_recursions_equal_brute_force():
                 move[a, b] += p
         return total, emit / total, move / total
 
+    monkeypatch.setattr(hmm, "SEGMENT_TOKENS", segment)
     group = hmm.Group(texts)
     known = [paths(t) for t in texts]
     assert np.allclose(group.log_likelihood(model), [np.log(p) for p, _, _ in known])
     counts = np.zeros((5 + 3 + 1, 3))
-    group.expected(model, counts)
+    assert group.expected(model, counts) == pytest.approx(sum(np.log(p) for p, _, _ in known))
+    assert np.allclose(counts[8], sum(np.array([model.start[s] * model.emit[t[0], s] * (_after(model, t[1:], s)) for s in range(3)]) / p for t, (p, _, _) in zip(texts, known)))
     assert np.allclose(counts[:5], sum(e for _, e, _ in known)) and np.allclose(counts[5:8], sum(m for _, _, m in known))
 
 
+def _after(model, text, state):
+    """Probability of the rest of a text after a state."""
+    return 1.0 if not len(text) else sum(model.move[state, s] * model.emit[text[0], s] * _after(model, text[1:], s) for s in range(3))
+
+
+def test_lm_score_is_the_models(spark):
+    """The score by the trained model's forward recursion in plain Python, with rare words' shares of their classes."""
+    rows = [(i, prose(i % 13, 40 + i % 7) + f" rare{i % 29}" * (i % 3 == 0) + (" neverseen" if zlib.crc32(str(i).encode()) % 10 == 0 else ""), "en") for i in range(150)]
+    source = docs(spark, rows)
+    texts = source.select("doc_id", hmm.held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("raw"))
+    known = hmm.symbols(common.cut(hmm.word_counts(texts)), 20)
+    coded = common.cut(hmm.encoded(texts, known))
+    model, likely = hmm.trained(coded, known, 3)
+    assert all(b > a - 1e-6 for a, b in zip(likely, likely[1:])) and likely[-1] - likely[-2] < hmm.TOLERANCE
+    assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1) and model.start.sum() == pytest.approx(1)
+    counts = Counter()
+    for i, t, _ in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            counts.update([*t.encode().lower().split(), b"\n"])
+    rare = [w for w in counts if w not in known.numbers and w != b"\n"]
+    # a class's known words and one unknown one share all of it
+    for k in {hmm.word_class(w) for w in rare}:
+        own = [w for w in rare if hmm.word_class(w) == k]
+        total = sum(counts[w] for w in own) + 0.1 * (len(own) + 1)
+        assert sum((counts[w] + 0.1) / total for w in own) + 0.1 / total == pytest.approx(1)
+    got = {r["doc_id"]: r["score"] for r in hmm.score(source, states=3, head=20).collect()}
+    for i, t, _ in rows[::7]:
+        words = [*t.encode().lower().split(), b"\n"]
+        log, now = 0.0, None
+        for w in words:
+            at = 0 if w == b"\n" else known.numbers.get(w)
+            if at is None:
+                k = hmm.word_class(w)
+                own = [x for x in rare if hmm.word_class(x) == k]
+                log += np.log10((counts[w] + 0.1) / (sum(counts[x] for x in own) + 0.1 * (len(own) + 1)))
+                at = len(known.numbers) + 1 + k
+            now = model.emit[at] * (model.start if now is None else now @ model.move)
+            log += np.log10(now.sum())
+            now = now / now.sum()
+        assert got[i] == pytest.approx(log, abs=1e-4)
+
+
 def test_lm_scores(spark, clashing):
     rows = [(i, prose(i % 11, 50 + i % 9) + (" rare%d" % i if i % 5 == 0 else ""), "en") for i in range(120)]
     source = docs(spark, rows).withColumns({c: F.lit("mine") for c in clashing.columns[5:]}).unionByName(clashing)
@@ -407,15 +647,69 @@ def test_lm_scores(spark, clashing):
 def test_pii_base_spans():
     rng = random.Random(9)
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-    pieces = [*"ab@@..-_%+ 0129.é\n()", "1.2.3.4", "+1 (", "4111111111111111", "a@b.c", "555-"]
+    pieces = [*"ab@@..-_%+ 0129.é\n()", "1.2.3.4", "+1 (", "4111111111111111", "4111 1111-1111 1111", "a@b.c", "555-", "12.", "0255."]
     for _ in range(5000):
         text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))
         spans = pii.base_spans(text)
         assert [s[1:] for s in spans if s[0] == "email"] == [m.span() for m in email.finditer(text)]
         assert [s[1:] for s in spans if s[0] == "ip"] == [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) < 256 for x in m[0].split("."))]
+        assert [s[1:] for s in spans if s[0] == "card"] == [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(re.sub("[^0-9]", "", m[0])) <= 19 and pii.luhn(re.sub("[^0-9]", "", m[0]))]
         assert [s[1:] for s in spans if s[0] == "phone"] == [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= sum(c in "0123456789" for c in m[0]) <= 15]
     assert pii.base_spans("4111 1111-1111 1111") == [("card", 0, 19)] and pii.base_spans("4111111111111112") == []
     assert list(pii.emails("a" * 200_000)) == []
+    began = time.time()
+    for long in ("7" * 1_000_000, "1." * 500_000, "+1" * 300_000, "a@" * 300_000, "1.2.3." * 200_000, "+1 (" + " " * 1_000_000):
+        pii.base_spans(long)
+    assert time.time() - began < 20  # in proportion to the length; a second or so each
+
+
+def test_pii_surroundings_are_words_however_long():
+    words = ["w" * 500 + x for x in "abcdefghij"]
+    text = " ".join(words) + " jo@brank.example, " + " ".join(words)
+    found = pii.Surroundings(text).of(pii.base_spans(text)[0])
+    # the comma that the entity leaves is a word of its own, without a term
+    assert [t[-1] for t, _, _ in found] == list("cdefghij") + list("abcdefg")
+    assert all(text[a:b].lower() == t for t, a, b in found)
+    glued = "Brankov:jo@brank.example|1.2.3.4,Zubkin"
+    spans = pii.base_spans(glued)
+    assert [t for t, _, _ in pii.Surroundings(glued).of(spans[0])] == ["brankov"] and [t for t, _, _ in pii.Surroundings(glued).of(spans[1])] == ["zubkin"]
+    many = "a@b.c " * 100_000
+    began = time.time()
+    assert len(pii._spans(many, {"email:a@b.c": {"zzz": 1.0}})) == 100_000 and time.time() - began < 30
+
+
+def test_pii_disclosure_equals_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(80):
+        words = prose(i, 30).split()
+        for _ in range(rng.randint(0, 3)):
+            words.insert(rng.randint(0, len(words)), rng.choice(["jo@a.example", "al@a.example", "10.1.2.3", "10.1.9.9", "+1 (555) 010-4477", "4111111111111111"]) + rng.choice(["", " Brankov", " ilgaz,"]))
+        rows.append((i, " ".join(words), "en"))
+    rows += [(200, None, "en"), (201, rows[5][1], "en")]
+    holds, near, places, held = Counter(), Counter(), {}, Counter()
+    for _, text, _ in rows:
+        text = text or ""
+        tokens = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        ents, pairs = set(), set()
+        for kind, a, b in pii.base_spans(text):
+            own = re.sub("[^0-9]", "", text[a:b]) if kind in ("card", "phone") else text[a:b].lower()
+            group = {"email": "host:" + own.split("@")[-1], "ip": "net:" + ".".join(own.split(".")[:2]), "card": "issuer:" + own[:6], "phone": "area:" + own[:4]}[kind]
+            left = [(w, s, min(e, a)) for w, s, e in tokens if s < a][-8:]
+            right = [(w, max(s, b), e) for w, s, e in tokens if e > b][:8]
+            terms = {t for _, s, e in left + right if (t := pii._term(text[s:e]))}
+            for key in (f"{kind}:{own}", group):
+                ents.add(key)
+                pairs |= {(key, t) for t in terms}
+                for t in terms:
+                    places.setdefault((key, t), set()).add(frozenset(terms))
+        holds.update(ents)
+        near.update(pairs)
+        held.update(pii.terms(text))
+    n = len(rows)
+    expected = {(e, t): np.log(near[e, t] * n / (holds[e] * max(held[t], near[e, t]))) / max(np.log(n / holds[e]), 1e-9) for (e, t), p in places.items() if len(p) >= 3}
+    got = {(r["entity"], r["term"]): r["disclosure"] for r in pii.disclosing(docs(spark, rows), pii.Rules(threshold=-1e9)).collect()}
+    assert got.keys() == expected.keys() and len(got) > 50 and all(got[k] == pytest.approx(v) for k, v in expected.items())
 
 
 @pytest.mark.parametrize("sent", [200_000, 0])
@@ -426,7 +720,7 @@ def test_pii_terms_that_disclose(spark, clashing, monkeypatch, sent):
     copies = [(300 + i, "call Zubkin at +1 (555) 010-4477 now", "en") for i in range(9)]
     source = docs(spark, near + other + copies).withColumns({c: F.lit("mine") for c in clashing.columns[5:]}).unionByName(clashing)
     pairs = {(r["entity"], r["term"]) for r in pii.disclosing(source).collect()}
-    assert ("email:jo@brank.example", "brankov") in pairs
+    assert ("email:jo@brank.example", "brankov") in pairs and ("host:brank.example", "brankov") in pairs
     assert not any(t == "zubkin" for _, t in pairs)  # nine copies are one surrounding
     rows = {r["doc_id"]: r for r in pii.find(source).collect()}
     assert "term:" in rows[2000]["spans"] and "email:" in rows[2000]["spans"] and rows[100]["spans"] == "" and rows[300]["n_phone"] == 1
@@ -456,5 +750,7 @@ def test_pii_terms_are_counted_alike_sent_or_joined(spark, monkeypatch):
     assert found[0].keys() == found[1].keys() and all(found[1][k] == pytest.approx(v) for k, v in found[0].items())
     # of 66 documents 6 hold the pair and 15 the term as a word of its own
     assert found[0]["email:jo@brank.example", "brankov"] == pytest.approx(np.log(6 * 66 / (6 * 15)) / np.log(66 / 6))
-    words = ["a\u2003b", "İI", "x,foo", "(foo)", "foo\x0bbar", "foo\x1cbar", "Σας."]
-    assert pii.terms(" ".join(words)) == {t for w in pii._WORD.findall(" ".join(words)) if (t := pii._term(w))}
+    words = ["a\u2003b", "İIx", "x,foo", "(foo)", "foo\x0bbar", "foo\x1cbar", "Σας."]
+    assert pii.terms(" ".join(words)) == {t for w in re.findall(r"[^\x20\x09-\x0D]+", " ".join(words)) if (t := pii._term(w))} == {"foo", "bar", "σας"}
+    about = pii.Surroundings(" ".join(words) + " jo@brank.example")
+    assert {t for t, _, _ in about.of(pii.base_spans(about.text)[-1])} == {"foo", "bar", "σας"}
