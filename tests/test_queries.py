@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tracewright.plans import catalog
+from tracewright.sources import files
 
 
 @pytest.fixture(scope="module")
@@ -35,4 +36,4 @@ def test_contract(spark):
 
 
 def test_listing(spark, sf_dir):
-    assert catalog.QUERIES["list_files"](spark, sf_dir).count() == len(glob.glob(f"{sf_dir}/*.parquet"))
+    assert files.list_files(spark, sf_dir, extensions=("parquet",)).count() == len(glob.glob(f"{sf_dir}/*.parquet"))

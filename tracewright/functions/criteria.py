@@ -10,9 +10,10 @@ from functools import reduce
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession, functions as F
 
-from tracewright.functions.scalar import ascii_lower, to_bound
+from tracewright.functions.scalar import ascii_lower, clamp_limit, to_bound
 
-LOWEST_LIMIT, HIGHEST_LIMIT = 1, 5000
+#: A search's limit where none is given, and the most it may be.
+DEFAULT_LIMIT, HIGHEST_LIMIT = 1000, 1000
 
 
 @dataclass(frozen=True)
@@ -25,7 +26,7 @@ class Criteria:
     level: str | None = None
     date_from: str | dt.datetime | None = None
     date_to: str | dt.datetime | None = None
-    limit: int = 1000
+    limit: int | None = DEFAULT_LIMIT
     from_offset: int = 0
     end_offset: int | None = None
     direction: str = "forward"
@@ -40,6 +41,11 @@ class Criteria:
         if self.on_bad_regex not in ("literal", "error"):
             raise ValueError(f"on_bad_regex must be literal or error, got {self.on_bad_regex!r}")
 
+    @property
+    def most(self) -> int:
+        """The limit that a search keeps to: 1 to ``HIGHEST_LIMIT``."""
+        return clamp_limit(self.limit, DEFAULT_LIMIT, HIGHEST_LIMIT)
+
     @property
     def backward(self) -> bool:
         return self.direction == "backward"

@@ -146,5 +146,8 @@ def coarsen_label(label: Column, bucket: str) -> Column:
     return F.concat(own, F.lit(":00")) if bucket == "hour" else own
 
 
-def clamp_limit(limit: int | None, default: int = 200, most: int = 5000) -> int:
+def clamp_limit(limit: int | None | Column, default: int = 200, most: int = 5000) -> int | Column:
+    """``limit``, at least 1 and at most ``most``; without one the default."""
+    if isinstance(limit, Column):
+        return F.greatest(F.lit(1), F.least(F.lit(most), F.coalesce(limit, F.lit(default))))
     return max(1, min(most, default if limit is None else limit))

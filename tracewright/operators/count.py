@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewright.functions.criteria import Criteria
-from tracewright.functions.scalar import bucket_label, check_bucket, coarsen_label
+from tracewright.functions.scalar import BUCKETS, bucket_label, check_bucket, coarsen_label
 
 MAX_BUCKETS = 10_000
 
 
+def count_error(bucket: Column, backward: Column, from_offset: Column) -> Column:
+    """What is wrong with a count's arguments, null where nothing is: its bucket, or a backward cursor, which counts don't have."""
+    return F.when(~F.coalesce(bucket.isin(list(BUCKETS)), F.lit(False)), "bucket").when(backward & (from_offset > 0), "cursor")
+
+
 def check_count(criteria: Criteria, bucket: str) -> None:
     """Counts have no backward cursor."""
     check_bucket(bucket)

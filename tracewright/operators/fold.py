@@ -1,7 +1,8 @@
 """Folding lines into records: a header and the lines that continue it.
 
 A file's lines lie in blocks. Within a block the last header is found by a window; what a block inherits comes from a
-row per block (its last header), carried along the file. Lines then belong to (file, header, chunk), chunks being cuts
+row per block (its last header), carried along the file. Sources do both in the pass that places lines, if they are
+asked for ``headers``; other lines get it here. Lines then belong to (file, header, chunk), chunks being cuts
 after ``max_continuation`` lines, and are brought together by that key. Lines are only told apart as headers and
 others; what a header says is read once, from the assembled record.
 """
@@ -25,22 +26,28 @@ def classify_lines(lines: DataFrame, parsers: Sequence[Parser] | None = None) ->
     return lines.withColumn("parsed", classify(F.col("raw"), None if parsers is None else list(parsers)))
 
 
-def line_keys(lines: DataFrame, parsers: Sequence[Parser] | None = None, max_continuation: int | None = MAX_CONTINUATION, plain_records: bool = True) -> DataFrame:
-    """Lines with ``is_header`` and the record they belong to: ``head`` (line_no of its group's first line) and ``chunk``."""
+def _with_headers(lines: DataFrame, parsers: Sequence[Parser] | None) -> DataFrame:
+    """``lines`` with ``is_header`` and ``header_line``, the line_no of the header they stand under (null above the first)."""
     lines = lines.withColumn("is_header", is_header(F.col("raw"), None if parsers is None else list(parsers)))
     within = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("_own", F.last(F.when(F.col("is_header"), F.col("line_no")), ignorenulls=True).over(within))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     last = lines.groupBy("file", "block").agg(F.max(F.when(F.col("is_header"), F.col("line_no"))).alias("_last"))
     carried = last.select("file", "block", F.last("_last", ignorenulls=True).over(before).alias("_before"))
-    lines = lines.join(carried, ["file", "block"])
+    return lines.join(carried, ["file", "block"]).withColumn("header_line", F.coalesce("_own", "_before"))
+
+
+def line_keys(lines: DataFrame, parsers: Sequence[Parser] | None = None, max_continuation: int | None = MAX_CONTINUATION, plain_records: bool = True) -> DataFrame:
+    """Lines with ``is_header`` and the record they belong to: ``head`` (line_no of its group's first line) and ``chunk``."""
+    if "header_line" not in lines.columns:
+        lines = _with_headers(lines, parsers)
     # lines above the first header are one group that begins at line 1
-    lines = lines.withColumn("_header", F.coalesce("_own", "_before")).withColumn("head", F.coalesce("_header", F.lit(1).cast("long")))
+    lines = lines.withColumn("head", F.coalesce("header_line", F.lit(1).cast("long")))
     at = F.col("line_no") - F.col("head")
     chunk = F.lit(0).cast("long") if max_continuation is None else F.floor(at / (max_continuation + 1))
     lines = lines.withColumn("chunk", chunk)
     if not plain_records:  # a line of no header's record stands alone
-        alone = F.col("_header").isNull() | (F.col("chunk") > 0)
+        alone = F.col("header_line").isNull() | (F.col("chunk") > 0)
         lines = lines.withColumns({"head": F.when(alone, F.col("line_no")).otherwise(F.col("head")), "chunk": F.when(alone, 0).otherwise(F.col("chunk"))})
     return lines
 

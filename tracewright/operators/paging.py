@@ -5,34 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tracewright.operators.fold import fold_records
+from tracewright.sources.lines import FOLDABLE
 
 
-def _last(lines: DataFrame, n: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("offset")))
-    return lines.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+def last_lines(lines: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` lines of every file, by their numbers: a row for each file says where they begin, so no file is sorted or gathered."""
+    ends = lines.groupBy("file").agg(F.max("line_no").alias("_end"))
+    return lines.join(ends, "file").filter(F.col("line_no") > F.col("_end") - n).drop("_end")
 
 
-def _first(lines: DataFrame, n: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("file").orderBy("offset"))
-    return lines.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+def first_lines(lines: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` lines of every file, likewise."""
+    begins = lines.groupBy("file").agg(F.min("line_no").alias("_begin"))
+    return lines.join(begins, "file").filter(F.col("line_no") < F.col("_begin") + n).drop("_begin")
 
 
 def fold_batch(lines: DataFrame, parsers=None) -> DataFrame:
     """Records of some lines of each file, without a limit on continuation lines; a leading continuation is a plain record."""
     first = Window.partitionBy("file").orderBy("offset")
     # a batch is small: it is numbered anew, as one block
-    renumbered = lines.withColumns({"block": F.lit(0).cast("long"), "line_no": F.row_number().over(first).cast("long")})
+    renumbered = lines.drop(*FOLDABLE).withColumns({"block": F.lit(0).cast("long"), "line_no": F.row_number().over(first).cast("long")})
     return fold_records(renumbered, parsers, max_continuation=None)
 
 
 def tail(lines: DataFrame, n: int = 100, parsers=None) -> DataFrame:
     """The last n lines of every file, as records in file order."""
-    return fold_batch(_last(lines, n), parsers)
+    return fold_batch(last_lines(lines, n), parsers)
 
 
 def tail_status(lines: DataFrame, n: int = 100) -> DataFrame:
     """Per file: next_cursor (its size), previous_cursor (the batch's first offset, null at the start), count of lines."""
-    own = _last(lines, n).groupBy("file").agg(F.min("offset").alias("_low"), F.max("end_offset").alias("next_cursor"), F.count("*").alias("count"))
+    own = last_lines(lines, n).groupBy("file").agg(F.min("offset").alias("_low"), F.max("end_offset").alias("next_cursor"), F.count("*").alias("count"))
     return own.select("file", "next_cursor", F.when(F.col("_low") > 0, F.col("_low")).alias("previous_cursor"), "count")
 
 
@@ -43,13 +46,13 @@ def page_lines(lines: DataFrame, cursor: int | None = None, limit: int = 200, di
     ``limit`` lines, from the file's start on and past the cursor.
     """
     if direction == "next":
-        return _first(lines.filter(F.col("offset") >= (cursor or 0)), limit)
+        return first_lines(lines.filter(F.col("offset") >= (cursor or 0)), limit)
     above = lines if cursor is None else lines.filter(F.col("offset") < cursor)
-    page = _last(above, limit)
+    page = last_lines(above, limit)
     if not compat or cursor is None:
         return page
     short = above.groupBy("file").agg(F.count("*").alias("_n")).filter(F.col("_n") < limit).select("file")
-    return page.join(short, "file", "left_anti").unionByName(_first(lines, limit).join(short, "file", "left_semi"))
+    return page.join(short, "file", "left_anti").unionByName(first_lines(lines, limit).join(short, "file", "left_semi"))
 
 
 def page(lines: DataFrame, cursor: int | None = None, limit: int = 200, direction: str = "next", parsers=None, compat: bool = False) -> DataFrame:

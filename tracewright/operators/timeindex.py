@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tracewright.functions.criteria import Criteria
+from tracewright.functions.parsers import Parser
+from tracewright.operators.fold import fold_records
+from tracewright.sources.files import read_records
+from tracewright.sources.ranges import read_ranges
 
 MARGIN = 300
+#: Up to so many ranges a read of kept records has as predicates; days alone prune beyond.
+MOST_PREDICATES = 200
 PROBED_BYTES = 1 << 20
 
 
@@ -59,10 +67,43 @@ def matching_blocks(index: DataFrame, criteria: Criteria, margin: int = MARGIN)
     return index.filter(keep).select("file", "block")
 
 
-def search_window(records: DataFrame, index: DataFrame, criteria: Criteria, block_bytes: int = 128 << 20, margin: int = MARGIN) -> DataFrame:
-    """Matches in the blocks that the index names, then by the exact criteria; on dated, ordered logs the same as without the index.
+def matching_ranges(index: DataFrame, files: DataFrame, criteria: Criteria, margin: int = MARGIN) -> DataFrame:
+    """(file, start, end): the bytes of the records that begin in matching blocks, blocks in a row being one range; files: file, size."""
+    by_block = Window.partitionBy("file").orderBy("block")  # a row for each block
+    ends = index.withColumn("_next", F.lead("first_header").over(by_block))
+    found = ends.join(matching_blocks(index, criteria, margin), ["file", "block"], "left_semi").join(files.select("file", "size"), "file")
+    found = found.select("file", "block", F.col("first_header").alias("start"), F.coalesce("_next", "size").alias("end"))
+    apart = F.coalesce(F.lag("end").over(by_block) < F.col("start"), F.lit(True))
+    found = found.withColumn("_range", F.sum(apart.cast("int")).over(by_block))
+    return found.groupBy("file", "_range").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_range")
+
+
+def _ranges(index: DataFrame, files: DataFrame, criteria: Criteria, margin: int) -> list[tuple[str, int, int]]:
+    """``matching_ranges`` on the driver: one window is few ranges of each file, at most one for every second block."""
+    found = matching_ranges(index, files, criteria, margin).orderBy("file", "start").toArrow()
+    return list(zip(*(found.column(x).to_pylist() for x in ("file", "start", "end"))))
+
+
+def search_text(spark: SparkSession, index: DataFrame, files: DataFrame, criteria: Criteria, parsers: Sequence[Parser] | None = None, margin: int = MARGIN) -> DataFrame:
+    """Matches in text files, of which only the byte ranges are read that a kept time index names; on dated, ordered logs the same as a search of all.
 
-    ``records`` written by ``block`` prune whole partitions; undated records outside the blocks aren't returned.
+    Undated records outside these ranges aren't returned.
     """
+    lines = read_ranges(spark, _ranges(index, files, criteria, margin))
+    return fold_records(lines, parsers).filter(criteria.predicate())
+
+
+def search_kept(spark: SparkSession, path: str, index: DataFrame, files: DataFrame, criteria: Criteria, margin: int = MARGIN) -> DataFrame:
+    """Matches in records kept by ``write_records``, of which only the days and row groups are read that a kept time index names."""
+    records = read_records(spark, path, criteria)
+    ranges = _ranges(index, files, criteria, margin)
+    if len(ranges) <= MOST_PREDICATES:
+        inside = [(F.col("file") == f) & (F.col("offset") >= a) & (F.col("offset") < b) for f, a, b in ranges]
+        records = records.filter(reduce(lambda x, y: x | y, inside, F.lit(False)))
+    return records.filter(criteria.predicate())
+
+
+def search_window(records: DataFrame, index: DataFrame, criteria: Criteria, block_bytes: int = 128 << 20, margin: int = MARGIN) -> DataFrame:
+    """Matches in any records in the blocks that the index names; ``search_text`` and ``search_kept`` read no others."""
     records = records if "block" in records.columns else records.withColumn("block", F.floor(F.col("offset") / block_bytes))
     return records.join(matching_blocks(index, criteria, margin), ["file", "block"], "left_semi").filter(criteria.predicate()).drop("block")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,6 +13,7 @@ from tracewright.functions.criteria import Criteria
 from tracewright.operators import count as C, fold, paging, search as Q, timeindex as T
 from tracewright.plans import views as V
 from tracewright.sources import files as X, lines as L
+from tracewright.sources.ranges import read_tails
 from tracewright.streaming import follow
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +25,7 @@ LOGS = [f"app-{i}.log" for i in (3, 0, 5, 1)]
 TZ = dt.timezone.utc
 DAY10, DAY12 = dt.datetime(2024, 1, 10, tzinfo=TZ), dt.datetime(2024, 1, 12, 6, 30, tzinfo=TZ)
 WINDOW_SQL = "(ts IS NULL OR ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-12 06:30:00')"
-ZONE_BYTES = 16_384
+ZONE_BYTES = V.ZONE_BYTES
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -47,30 +49,38 @@ def matching(name: str, criteria: Criteria, where: str) -> None:
 
 
 # sources and sinks
-query("list_files")(lambda spark, sf_dir: X.list_files(spark, sf_dir, extensions=("parquet",)).select("name", "size", "size_human", "driver"))
+_NAME = "CASE doc_id % 4 WHEN 0 THEN 'app-' WHEN 1 THEN '.app-' WHEN 2 THEN '.env' ELSE 'key' END || CAST(doc_id AS STRING) || CASE doc_id % 7 WHEN 0 THEN '.log' WHEN 1 THEN '.TXT' WHEN 2 THEN '.key' WHEN 3 THEN '' WHEN 4 THEN '.log.gz' ELSE '.Log' END"
+
+
+@query("list_files", f"WITH n AS (SELECT {_NAME} AS name, n_chars AS size FROM documents) SELECT name, size, 'logs/' || name AS relative_path FROM n WHERE regexp_matches(name, '(?i)\\.(log|txt)$') AND name NOT LIKE '.%'")
+def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listing with a file for each document would show; tests list real folders."""
+    docs = V.table(spark, sf_dir, "documents").select(F.expr(_NAME).alias("name"), F.col("n_chars").alias("length"))
+    listing = docs.select(F.concat(F.lit("/srv/logs/"), "name").alias("path"), F.concat(F.lit("logs/"), "name").alias("relative_path"), F.lit(0).cast("timestamp").alias("modificationTime"), "length")
+    return X.select_files(listing).select("name", "size", "relative_path")
+
+
 query("lines_from_table", V.DOCUMENT_LINES_SQL + ' SELECT file, line_no, "offset", end_offset, raw FROM d')(lambda spark, sf_dir: V.document_lines(spark, sf_dir).select("file", "line_no", "offset", "end_offset", "raw"))
 query("line_offsets", "WITH " + V.EVENT_LINES_SQL + ' SELECT file, line_no, "offset", end_offset, raw FROM event_lines')(lambda spark, sf_dir: V.event_lines(spark, sf_dir).select("file", "line_no", "offset", "end_offset", "raw"))
 
 
 @query("read_lines", "WITH " + V.EVENT_LINES_SQL + ' SELECT file, line_no, "offset", end_offset, raw FROM event_lines')
 def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event logs written as text files, a file for each, and read again by their bytes."""
-    path = V.scratch(spark, "event-logs")
-    lines = V.event_lines(spark, sf_dir)
-    lines.repartition("file").sortWithinPartitions("file", "offset").select("file", F.col("raw").alias("value")).write.partitionBy("file").text(path)
-    return L.read_lines(spark, f"{path}/*/*.txt").select(F.regexp_extract("file", "file=([^/]*)/", 1).alias("file"), "line_no", "offset", "end_offset", "raw")
+    """The event logs as text files, a file for each, read by their bytes."""
+    lines = L.read_lines(spark, f"{V.event_logs(spark, sf_dir)}/logs/*/*.txt")
+    return lines.select(V.log_name(F.col("file")).alias("file"), "line_no", "offset", "end_offset", "raw")
 
 
 @query("cap_lines", "WITH " + V.EVENT_LINES_SQL + ' SELECT file, "offset", end_offset, substr(raw, 1, 60) AS raw, strlen(raw) >= 60 AS truncated FROM event_lines')
 def cap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = V.event_lines(spark, sf_dir)
     # the view's own lines are shorter than its cap, so cutting them again is cutting them once
-    return L._capped(lines.withColumnRenamed("raw", "content"), 60, F.lit(True)).select("file", "offset", "end_offset", "raw", "truncated")
+    lines = V.event_lines(spark, sf_dir).withColumnRenamed("raw", "content")
+    return L._capped(lines, 60, False, None).select("file", "offset", "end_offset", "raw", "truncated")
 
 
 @query("read_range", "WITH " + V.EVENT_LINES_SQL + ', b AS (SELECT * FROM event_lines WHERE "offset" < 20000),' + V.records_sql("b", "r") + f' SELECT {SHOWN_SQL} FROM r WHERE "offset" >= 5000')
 def read_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = L.read_range(V.event_lines(spark, sf_dir), 5000, 20_000)
+    lines = L.read_range(V.event_lines(spark, sf_dir, headers=True), 5000, 20_000)
     return L.in_range(fold.fold_records(lines), 5000).select(SHOWN)
 
 
@@ -83,10 +93,10 @@ def write_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("search_stored", V.EVENTS_SQL + f" SELECT {SHOWN_SQL} FROM r WHERE level = 'error' AND {WINDOW_SQL}")
 def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records kept by day, of which a search with bounds reads three."""
-    path, criteria = V.scratch(spark, "records"), Criteria(level="error", date_from=DAY10, date_to=DAY12)
-    X.write_records(V.event_records(spark, sf_dir), path)
-    return X.read_records(spark, path, criteria).filter(criteria.predicate()).select(SHOWN)
+    """Records kept by day, of which a search with bounds reads three days, and of these what the index names."""
+    path, criteria = V.event_logs(spark, sf_dir), Criteria(level="error", date_from=DAY10, date_to=DAY12)
+    found = T.search_kept(spark, f"{path}/records", spark.read.parquet(f"{path}/index"), spark.read.parquet(f"{path}/files"), criteria)
+    return found.withColumn("file", V.log_name(F.col("file"))).select(SHOWN)
 
 
 over_records("to_result_json", lambda r: X.to_result_json(r).select("file", "offset", F.get_json_object("json", "$.parsed.context.k").alias("k"), F.get_json_object("json", "$.parsed.level").alias("level"), F.get_json_object("json", "$.raw").alias("raw")), "SELECT file, \"offset\", json_extract_string(context, '$.k') AS k, level, raw FROM r")
@@ -127,24 +137,24 @@ query("classify_lines", V.MIXED_SQL + " SELECT CASE event_id % 3 WHEN 0 THEN 'ap
 RECORD_COLUMNS = ["file", "offset", "end_offset", "raw", "n_lines", "parser", "level", "datetime", "channel", "message", "context"]
 over_records("fold_records", lambda r: r.select(RECORD_COLUMNS), 'SELECT file, "offset", end_offset, raw, n_lines, parser, level, datetime, channel, message, context FROM r')
 _CAPPED = V.DOCUMENT_LINES_SQL + ' SELECT file, CAST(min("offset") AS BIGINT) AS "offset", CAST(max(end_offset) AS BIGINT) AS end_offset, CAST(count(*) AS INTEGER) AS n_lines, \'plain\' AS parser, min_by(raw, line_no) AS message, md5(string_agg(raw, chr(10) ORDER BY line_no)) AS digest FROM d GROUP BY file, (line_no - 1) // 21'
-query("fold_cap", _CAPPED)(lambda spark, sf_dir: fold.fold_records(V.document_lines(spark, sf_dir), max_continuation=20).select("file", "offset", "end_offset", "n_lines", "parser", "message", F.md5("raw").alias("digest")))
-query("fold_no_plain", V.DOCUMENT_LINES_SQL + ' SELECT file, "offset", end_offset, CAST(1 AS INTEGER) AS n_lines, CAST(NULL AS STRING) AS parser FROM d')(lambda spark, sf_dir: fold.fold_records(V.document_lines(spark, sf_dir), plain_records=False).select("file", "offset", "end_offset", "n_lines", "parser"))
+query("fold_cap", _CAPPED)(lambda spark, sf_dir: fold.fold_records(V.document_lines(spark, sf_dir, headers=True), max_continuation=20).select("file", "offset", "end_offset", "n_lines", "parser", "message", F.md5("raw").alias("digest")))
+query("fold_no_plain", V.DOCUMENT_LINES_SQL + ' SELECT file, "offset", end_offset, CAST(1 AS INTEGER) AS n_lines, CAST(NULL AS STRING) AS parser FROM d')(lambda spark, sf_dir: fold.fold_records(V.document_lines(spark, sf_dir, headers=True), plain_records=False).select("file", "offset", "end_offset", "n_lines", "parser"))
 
 
-@query("record_at", V.EVENTS_SQL + ', p AS (SELECT file, "offset" + 7 AS byte FROM event_lines WHERE line_no % 5 = 0) SELECT p.file, CAST(p.byte AS BIGINT) AS byte, CASE WHEN p.byte < r.end_offset THEN r."offset" END AS "offset", CASE WHEN p.byte < r.end_offset THEN r.end_offset END AS end_offset FROM p ASOF LEFT JOIN r ON p.file = r.file AND p.byte >= r."offset"')
+@query("record_at", V.EVENTS_SQL + ', p AS (SELECT file, "offset" + 7 AS byte FROM event_lines) SELECT p.file, CAST(p.byte AS BIGINT) AS byte, CASE WHEN p.byte < r.end_offset THEN r."offset" END AS "offset", CASE WHEN p.byte < r.end_offset THEN r.end_offset END AS end_offset FROM p ASOF LEFT JOIN r ON p.file = r.file AND p.byte >= r."offset"')
 def record_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = V.event_lines(spark, sf_dir)
-    return fold.record_at(fold.fold_records(lines), lines.filter("line_no % 5 = 0").select("file", (F.col("offset") + 7).alias("byte")), ZONE_BYTES)
+    lines = V.event_lines(spark, sf_dir, headers=True)
+    return fold.record_at(fold.fold_records(lines), lines.select("file", (F.col("offset") + 7).alias("byte")), ZONE_BYTES)
 
 
-query("line_hits_to_records", V.EVENTS_SQL + f" SELECT {SHOWN_SQL} FROM r WHERE raw LIKE '%Handler.php%'")(lambda spark, sf_dir: fold.line_hits_to_records(V.event_lines(spark, sf_dir), F.col("raw").contains("Handler.php")).select(SHOWN))
+query("line_hits_to_records", V.EVENTS_SQL + f" SELECT {SHOWN_SQL} FROM r WHERE raw LIKE '%Handler.php%'")(lambda spark, sf_dir: fold.line_hits_to_records(V.event_lines(spark, sf_dir, headers=True), F.col("raw").contains("Handler.php")).select(SHOWN))
 
 # predicates
 matching("match_literal", Criteria("USER=1"), "contains(lower(raw), 'user=1')")
 matching("match_literal_case", Criteria("handle(9", case=True), "contains(raw, 'handle(9')")
 matching("match_regex", Criteria(r"ERROR: .*cents=\d*7 ", regex=True), r"regexp_matches(raw, '(?i)ERROR: .*cents=\d*7 ')")
 matching("match_regex_case", Criteria(r"^\[.*WARNING: purchase user=\d+5 ", regex=True, case=True), r"regexp_matches(raw, '^\[.*WARNING: purchase user=\d+5 ')")
-matching("match_regex_invalid", Criteria("(cents", regex=True), "contains(raw, '(cents')")
+matching("match_regex_invalid", Criteria("HANDLE(9", regex=True), "contains(lower(raw), 'handle(9')")
 matching("match_any_line", Criteria(r"^#2 .*handle\(\d*5", regex=True, scope="line"), r"regexp_matches(raw, '(?im)^#2 .*handle\(\d*5')")
 matching("no_text_query", Criteria("  "), "true")
 matching("filter_level", Criteria(level="Error"), "level = 'error'")
@@ -168,8 +178,7 @@ def _requested(lines: DataFrame) -> DataFrame:
 
 def _status(criteria: Criteria) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        lines = V.event_lines(spark, sf_dir)
-        return Q.search_status(_requested(lines), fold.fold_records(lines), criteria)
+        return Q.search_status(_requested(V.event_lines(spark, sf_dir)), V.event_records(spark, sf_dir), criteria)
 
     return run
 
@@ -194,15 +203,14 @@ query("search_status_backward", _status_sql(300, True))(_status(Criteria(level="
 
 @query("attribute_files", V.EVENTS_SQL + ', f AS (SELECT file, max(end_offset) AS size FROM event_lines GROUP BY file) SELECT f.file, f.size, m."offset", m.message FROM f LEFT JOIN (SELECT * FROM r WHERE contains(raw, \'user=11 \')) m ON f.file = m.file')
 def attribute_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = V.event_lines(spark, sf_dir)
-    return Q.attribute_files(V.files_of(lines), fold.fold_records(lines).filter(Criteria("user=11 ", case=True).predicate()).select("file", "offset", "message"))
+    return Q.attribute_files(V.files_of(V.event_lines(spark, sf_dir)), V.event_records(spark, sf_dir).filter(Criteria("user=11 ", case=True).predicate()).select("file", "offset", "message"))
 
 
 # counts
 for _bucket, _format in (("minute", "%Y-%m-%d %H:%M"), ("hour", "%Y-%m-%d %H:00"), ("day", "%Y-%m-%d")):
     over_records(f"count_buckets_{_bucket}", lambda r, b=_bucket: C.count_buckets(r, Criteria("user="), b), f"SELECT strftime(ts, '{_format}') AS bucket, count(*) AS n FROM r GROUP BY 1")
 over_records("count_summary", lambda r: C.count_summary(r, Criteria(level="error")), "SELECT count(*) AS total, count(*) FILTER (ts IS NULL) AS undated, CAST(min(epoch(ts)) AS BIGINT) AS \"first\", CAST(max(epoch(ts)) AS BIGINT) AS \"last\" FROM r WHERE level = 'error'")
-query("count_mixed", V.MIXED_SQL + f" SELECT count(*) AS total, count(*) FILTER (event_id % 3 = 2) AS undated FROM ml")(lambda spark, sf_dir: C.count_summary(fold.fold_records(V.mixed_lines(spark, sf_dir))).select("total", "undated"))
+query("count_mixed", V.MIXED_SQL + f" SELECT count(*) AS total, count(*) FILTER (event_id % 3 = 2) AS undated FROM ml")(lambda spark, sf_dir: C.count_summary(fold.fold_records(V.mixed_lines(spark, sf_dir, headers=True))).select("total", "undated"))
 _FINE = "(SELECT count(DISTINCT strftime(ts, '%Y-%m-%d %H:%M')) FROM r) <= 5000"
 over_records("count_auto", lambda r: C.count_auto(r, Criteria(), "minute", 5000), f"SELECT CASE WHEN {_FINE} THEN strftime(ts, '%Y-%m-%d %H:%M') ELSE strftime(ts, '%Y-%m-%d %H:00') END AS bucket, CAST(count(*) AS BIGINT) AS n, CASE WHEN {_FINE} THEN 'minute' ELSE 'hour' END AS used FROM r GROUP BY 1")
 over_records("bucket_map", lambda r: C.bucket_map(C.count_buckets(r, Criteria(), "day")).select(F.to_json("buckets").alias("buckets")), "SELECT '{' || string_agg('\"' || day || '\":' || n, ',' ORDER BY day) || '}' AS buckets FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM r GROUP BY 1)")
@@ -210,8 +218,7 @@ over_records("bucket_map", lambda r: C.bucket_map(C.count_buckets(r, Criteria(),
 
 @query("count_per_file", V.EVENTS_SQL + " SELECT file, (SELECT count(*) FROM r WHERE r.file = e.file AND level = 'error' AND \"offset\" < 3000) AS total, CAST(0 AS BIGINT) AS range_start, CAST(least(max(end_offset), 3000) AS BIGINT) AS range_end FROM event_lines e GROUP BY file")
 def count_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = V.event_lines(spark, sf_dir)
-    return C.count_per_file(V.files_of(lines), fold.fold_records(lines), Criteria(level="error", end_offset=3000))
+    return C.count_per_file(V.files_of(V.event_lines(spark, sf_dir)), V.event_records(spark, sf_dir), Criteria(level="error", end_offset=3000))
 
 
 # tails and pages
@@ -239,12 +246,29 @@ f AS (SELECT a.*, (SELECT max("offset") FROM h WHERE h.file = a.file AND t < epo
 SELECT file, CAST(CASE WHEN low IS NULL THEN 0 ELSE coalesce((SELECT min("offset") FROM h WHERE h.file = f.file AND "offset" > f.low), size) END AS BIGINT) AS start,
   CAST(coalesce((SELECT min("offset") FROM h WHERE h.file = f.file AND t > epoch(TIMESTAMP '2024-01-12 06:30:00') + 300 AND "offset" > coalesce(f.le, -1)), size) AS BIGINT) AS "end" FROM f""")
 def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = V.event_lines(spark, sf_dir)
-    return T.time_range(V.files_of(lines), fold.fold_records(lines), DAY10, DAY12)
+    return T.time_range(V.files_of(V.event_lines(spark, sf_dir)), V.event_records(spark, sf_dir), DAY10, DAY12)
 
 
 over_records("time_index", lambda r: T.time_index(r, ZONE_BYTES).select("file", "block", F.unix_timestamp("min_ts").alias("min_t"), F.unix_timestamp("max_ts").alias("max_t"), "headers", "undated", "first_header", "last_header"), f"SELECT file, \"offset\" // {ZONE_BYTES} AS block, CAST(min(epoch(ts)) AS BIGINT) AS min_t, CAST(max(epoch(ts)) AS BIGINT) AS max_t, count(*) AS headers, count(*) FILTER (ts IS NULL) AS undated, min(\"offset\") AS first_header, max(\"offset\") AS last_header FROM r WHERE parser = 'app' GROUP BY 1, 2")
-over_records("search_window", lambda r: T.search_window(r, T.time_index(r, ZONE_BYTES), Criteria("Handler.php", date_from=DAY10, date_to=DAY12), ZONE_BYTES).select(SHOWN), f"SELECT {SHOWN_SQL} FROM r WHERE contains(lower(raw), 'handler.php') AND {WINDOW_SQL}")
+_IN_WINDOW = Criteria("Handler.php", date_from=DAY10, date_to=DAY12)
+_IN_WINDOW_SQL = f"{V.EVENTS_SQL} SELECT {SHOWN_SQL} FROM r WHERE contains(lower(raw), 'handler.php') AND {WINDOW_SQL}"
+query("search_blocks", _IN_WINDOW_SQL)(lambda spark, sf_dir: T.search_window(V.event_records(spark, sf_dir), spark.read.parquet(f"{V.event_logs(spark, sf_dir)}/index").withColumn("file", V.log_name(F.col("file"))), _IN_WINDOW, ZONE_BYTES).select(SHOWN))
+
+
+@query("search_window", _IN_WINDOW_SQL)
+def search_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text logs and their kept index, of which the search reads the byte ranges that the window needs."""
+    path = V.event_logs(spark, sf_dir)
+    found = T.search_text(spark, spark.read.parquet(f"{path}/index"), spark.read.parquet(f"{path}/files"), _IN_WINDOW)
+    return found.withColumn("file", V.log_name(F.col("file"))).select(SHOWN)
+
+
+@query("tail_files", _batch_sql(_RANKED.format("", "DESC", 40)))
+def tail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text logs' last lines, read from their ends."""
+    lines = read_tails(spark, [f"{V.event_logs(spark, sf_dir)}/logs/file=app-{i}.log/*.txt" for i in range(8)], 40)
+    return paging.fold_batch(lines).withColumn("file", V.log_name(F.col("file"))).select(SHOWN)
+
 
 # scalar functions
 _STAMPS = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(ts AS STRING) WHEN 1 THEN ' ' || replace(substring(CAST(ts AS STRING), 1, 19), ' ', 'T') || 'Z' WHEN 2 THEN substring(CAST(ts AS STRING), 1, 10) WHEN 3 THEN '10:00' ELSE 'no date' END AS text FROM {e}"
@@ -285,22 +309,62 @@ query("parse_syslog", "SELECT event_id, ['emergency', 'alert', 'critical', 'erro
 )
 
 
+@query("register_parser", "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN 'piped' END AS parser, CASE WHEN event_id % 3 < 2 THEN event_type END AS level, CASE WHEN event_id % 3 < 2 THEN 'user ' || user_id END AS message FROM events")
+def register_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A format of the user's own, ``time|level|message``, behind the known ones."""
+    cell = lambda line, i: F.split_part(line, F.lit("|"), F.lit(i))
+    P.register_parser("piped", lambda line: line.rlike(r"^\d{4}-\S+ \S+\|\w+\|"), lambda line: P.parsed("piped", cell(line, 2), cell(line, 1), None, cell(line, 3)))
+    try:
+        lines = V.table(spark, sf_dir, "events").select("event_id", F.expr("if(event_id % 3 = 2, 'at ', '') || substring(cast(ts as string), 1, 19) || '|' || event_type || '|user ' || cast(user_id as string)").alias("raw"))
+        return lines.withColumn("p", P.classify(F.col("raw"))).select("event_id", "p.parser", "p.level", "p.message")
+    finally:
+        P.unregister_parser("piped")
+
+
+@query("register_source", "WITH " + V.EVENT_LINES_SQL + ' SELECT file, line_no, "offset", raw FROM event_lines')
+def register_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    L.register_source("event logs", lambda session, config: V.event_lines(session, config["tables"]))
+    return L.lines_of(spark, "event logs", {"tables": sf_dir}).select("file", "line_no", "offset", "raw")
+
+
+query("clamp_limit", "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 200 ELSE greatest(1, least(5000, event_id - 300)) END AS n FROM events")(
+    lambda spark, sf_dir: V.table(spark, sf_dir, "events").select("event_id", S.clamp_limit(F.when(F.col("event_id") % 11 > 0, F.col("event_id") - 300)).cast("long").alias("n"))
+)
+query("count_arg_check", "SELECT event_id, CASE WHEN event_type NOT IN ('minute', 'hour', 'day') AND event_id % 2 = 0 THEN 'bucket' WHEN event_id % 3 = 0 AND event_id % 4 > 0 THEN 'cursor' END AS wrong FROM events")(
+    lambda spark, sf_dir: V.table(spark, sf_dir, "events").select("event_id", C.count_error(F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise("hour"), F.col("event_id") % 3 == 0, F.col("event_id") % 4).alias("wrong"))
+)
+_BOUNDS = {"2024-01-12 06:30": "2024-01-12 06:30:00", "now": "2024-01-15 12:00:00", "today": "2024-01-15 00:00:00", "yesterday 14:05": "2024-01-14 14:05:00", "-36 hours": "2024-01-14 00:00:00", "2 days ago": "2024-01-13 12:00:00", "-1 week": "2024-01-08 12:00:00"}
+
+
+@query("to_bound", " UNION ALL ".join(f"SELECT '{k}' AS bound, count(*) AS n FROM events WHERE ts >= TIMESTAMP '{v}'" for k, v in _BOUNDS.items()))
+def to_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many events each form of a bound keeps, seen from noon of a day."""
+    noon = dt.datetime(2024, 1, 15, 12, tzinfo=TZ)
+    held = [F.struct(F.lit(x).alias("bound"), F.count_if(F.col("ts").cast("timestamp") >= F.lit(S.to_bound(x, noon))).alias("n")) for x in _BOUNDS]
+    return V.table(spark, sf_dir, "events").agg(F.array(*held).alias("held")).select(F.inline("held"))
+
+
 # streaming
+def _drain(stream: DataFrame, path: str) -> None:
+    """Append what is there now to a table that keeps the stream's state beside it."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
 def _drained(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """The stream's rows after all that is there now; complete results replace each other."""
     path = V.scratch(spark, name)
     if mode == "append":
-        run = stream.writeStream.format("parquet").option("path", path).outputMode("append")
+        _drain(stream, path)
     else:
         run = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).outputMode(mode)
-    run.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+        run.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as records of a stream, one line each."""
     shape = V.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = spark.readStream.schema(shape).parquet(f"{sf_dir}/[e]vents.parquet")  # a file, or a folder of them
     raw = F.expr(V._HEADER)
     return events.select(F.expr(V._FILE).alias("file"), F.col("event_id").alias("offset"), raw.alias("raw"), F.expr(f"lower({V._LEVEL})").alias("level"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"))
 
@@ -311,15 +375,50 @@ query("follow_counts", "SELECT strftime(ts, '%Y-%m-%d %H:00') AS bucket, count(*
 )
 
 
+@query("follow_lines", "WITH " + V.EVENT_LINES_SQL + ' SELECT file, "offset", end_offset, raw FROM event_lines')
+def follow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text logs followed from their beginning."""
+    parts = [follow.follow_lines(spark, f"{V.event_logs(spark, sf_dir)}/logs/file=app-{i}.log/*.txt", start="begin", max_bytes=1 << 30) for i in range(8)]
+    found = [_drained(spark, x, "follow-lines") for x in parts]
+    return reduce(DataFrame.union, found).select(V.log_name(F.col("file")).alias("file"), "offset", "end_offset", "raw")
+
+
+_OLD, _NEW = "event_id % 2 = 0", "event_id % 16 = 1"
+
+
+@query("follow_rotation", f"""WITH a AS (SELECT event_id, 'event ' || event_id || ' of ' || user_id AS raw FROM events WHERE user_id % 8 = 3),
+p AS (SELECT 1 AS part, * FROM a WHERE {_OLD} UNION ALL SELECT 2, * FROM a WHERE {_NEW})
+SELECT 'append' AS event, CAST(sum(strlen(raw) + 1) OVER w - strlen(raw) - 1 AS BIGINT) AS "offset", raw FROM p WINDOW w AS (PARTITION BY part ORDER BY event_id)
+UNION ALL SELECT 'rotated', 0, NULL""")
+def follow_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that is replaced by a shorter one between two ticks."""
+    path = V.scratch(spark, "rotated")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    log = fs_path(f"{path}/log/a.log")
+    fs = log.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(log.getParent())
+    events = V.table(spark, sf_dir, "events").filter("user_id % 8 = 3")
+    for no, keep in enumerate((_OLD, _NEW)):
+        text = events.filter(keep).select("event_id", F.expr("'event ' || cast(event_id as string) || ' of ' || cast(user_id as string)").alias("value"))
+        text.coalesce(1).sortWithinPartitions("event_id").select("value").write.text(f"{path}/part-{no}")  # one log is one file
+        fs.delete(log, False)
+        fs.rename(fs.globStatus(fs_path(f"{path}/part-{no}/*.txt"))[0].getPath(), log)
+        _drain(follow.follow_lines(spark, f"{path}/log/a.log", start="begin", max_bytes=1 << 30), f"{path}/out")
+    return spark.read.parquet(f"{path}/out").select("event", "offset", "raw")
+
+
 @query("follow_records", V.EVENTS_SQL + f" SELECT {SHOWN_SQL} FROM r QUALIFY row_number() OVER (PARTITION BY file ORDER BY \"offset\" DESC) > 1")
 def follow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event logs appended in two parts, folded as they arrive; each file's last record is still open."""
+    """The event logs appended in four parts, folded as they arrive; each file's last record is still open.
+
+    A part has a file for each of a few groups of logs, and a trigger takes as many files, in the order of writing: so
+    lines of a log come in its order, and what a micro-batch holds of it is a part.
+    """
     path = V.scratch(spark, "appended")
-    lines = V.event_lines(spark, sf_dir).withColumn("event", F.lit("append"))
-    half = lines.groupBy("file").agg((F.max("line_no") / 2).alias("half"))
-    halves = lines.join(half, "file")
-    for first in (True, False):
-        own = halves.filter((F.col("line_no") <= F.col("half")) if first else (F.col("line_no") > F.col("half")))
-        own.select("event", "file", "offset", "end_offset", "raw").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    lines = V.written(V.event_lines(spark, sf_dir).withColumn("event", F.lit("append")), "lines")
+    parts = lines.join(lines.groupBy("file").agg(F.max("line_no").alias("_all")), "file").withColumn("_part", F.floor((F.col("line_no") - 1) * 4 / F.col("_all")))
+    for part in range(4):
+        own = parts.filter(F.col("_part") == part).select("event", "file", "offset", "end_offset", "raw")
+        own.repartition(8, "file").write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8).parquet(path)
     return _drained(spark, follow.follow_records(stream), "follow-records").select(SHOWN)

@@ -5,16 +5,18 @@ Every view exists as DataFrames and as the SQL text (for DuckDB) that oracles be
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracewright.operators.fold import fold_records
-from tracewright.sources.lines import lines_from_table
+from tracewright.operators.timeindex import time_index
+from tracewright.sources.files import write_records
+from tracewright.sources.lines import lines_from_table, read_lines
+from tracewright.sources.stores import scratch, written  # noqa: F401
 
 #: Consecutive events that make a block of their log file.
 EVENTS_PER_BLOCK = 2000
+#: Block size of the kept logs' time index.
+ZONE_BYTES = 16_384
 
 _LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARNING' WHEN 'signup' THEN 'NOTICE' WHEN 'click' THEN 'INFO' ELSE 'DEBUG' END"
 _FILE = "'app-' || CAST(user_id % 8 AS STRING) || '.log'"
@@ -35,22 +37,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight application logs; some errors carry a stack trace of five lines."""
+def event_lines(spark: SparkSession, sf_dir: str, headers: bool = False) -> DataFrame:
+    """Eight application logs; some errors carry a stack trace of five lines. ``headers`` prepares them for folding."""
     events = table(spark, sf_dir, "events")
     trace = "'\\n[stacktrace]\\n#0 /srv/Handler.php(00): handle(' || {0} || ')\\n#1 /srv/Handler.php(10): handle(' || {0} || ')\\n#2 /srv/Handler.php(20): handle(' || {0} || ')\\n#3 {{main}}'".format(_ID)
     text = F.expr(f"{_HEADER} || CASE WHEN {_TRACED} THEN {trace} ELSE '' END")
-    return lines_from_table(events, F.expr(_FILE), text, ["event_id"], block=F.floor(F.col("event_id") / EVENTS_PER_BLOCK))
+    return lines_from_table(events, F.expr(_FILE), text, ["event_id"], block=F.floor(F.col("event_id") / EVENTS_PER_BLOCK), headers=headers)
 
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold_records(event_lines(spark, sf_dir))
+    return fold_records(event_lines(spark, sf_dir, headers=True))
+
+
+_kept: dict[tuple[str, str], str] = {}
+
+
+def event_logs(spark: SparkSession, sf_dir: str) -> str:
+    """A folder, made once a session, with the event logs as text (``logs/file=NAME/``), their time index, their files, and their records by day."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _kept:
+        path = scratch(spark, "event-logs")
+        lines = event_lines(spark, sf_dir).select("file", "offset", F.col("raw").alias("value"))
+        lines.repartition("file").sortWithinPartitions("file", "offset").select("file", "value").write.partitionBy("file").text(f"{path}/logs")
+        read = read_lines(spark, f"{path}/logs/*/*.txt", headers=True)
+        files_of(read).write.parquet(f"{path}/files")
+        write_records(fold_records(read), f"{path}/records")
+        time_index(spark.read.parquet(f"{path}/records"), ZONE_BYTES).write.parquet(f"{path}/index")
+        _kept[key] = path
+    return _kept[key]
+
+
+def log_name(path: Column) -> Column:
+    """The log's name in the path of its text."""
+    return F.regexp_extract(path, "file=([^/]*)/", 1)
 
 
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,17 +78,17 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_from_table(events, F.lit("app.json"), F.expr(_JSON), ["event_id"], block=F.floor(F.col("event_id") / EVENTS_PER_BLOCK))
 
 
-def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mixed_lines(spark: SparkSession, sf_dir: str, headers: bool = False) -> DataFrame:
     """One log of bracketed, JSON and undated JSON lines in turn."""
     events = table(spark, sf_dir, "events")
     text = F.expr(f"CASE event_id % 3 WHEN 0 THEN {_HEADER} WHEN 1 THEN {_JSON} ELSE '{{\"level\":\"info\",\"message\":\"undated ' || {_ID} || '\"}}' END")
-    return lines_from_table(events, F.lit("mixed.log"), text, ["event_id"], block=F.floor(F.col("event_id") / EVENTS_PER_BLOCK))
+    return lines_from_table(events, F.lit("mixed.log"), text, ["event_id"], block=F.floor(F.col("event_id") / EVENTS_PER_BLOCK), headers=headers)
 
 
-def document_lines(spark: SparkSession, sf_dir: str, max_line_length: int | None = None) -> DataFrame:
+def document_lines(spark: SparkSession, sf_dir: str, max_line_length: int | None = None, headers: bool = False) -> DataFrame:
     """A file for each document; no line is a header."""
     docs = table(spark, sf_dir, "documents")
-    return lines_from_table(docs, F.expr("'doc-' || CAST(doc_id AS STRING)"), "text", max_line_length=max_line_length)
+    return lines_from_table(docs, F.expr("'doc-' || CAST(doc_id AS STRING)"), "text", max_line_length=max_line_length, headers=headers)
 
 
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracewright.functions.criteria import Criteria
-from tracewright.functions.scalar import file_identifier, fingerprint, size_human
+from tracewright.functions.scalar import clamp_limit, file_identifier, fingerprint, size_human
+from tracewright.operators.paging import last_lines
+from tracewright.sources.stores import sizes
 
 EXTENSIONS, HIDDEN = ("log", "txt"), ("*.key", "*.pem", ".env*")
 MB = 1 << 20
@@ -22,15 +26,36 @@ def glob_pattern(glob: str) -> str:
 def list_files(spark: SparkSession, roots: str | list[str], extensions: tuple[str, ...] = EXTENSIONS, hidden: tuple[str, ...] = HIDDEN, dotfiles: bool = False, driver: str = "local") -> DataFrame:
     """All files below the roots with one of the extensions (none given: all), newest first; contents aren't read.
 
-    Spark's own listing never shows names that begin with a dot or an underscore; ``dotfiles`` is for listings of other sources.
+    Spark's own listing never shows names that begin with a dot or an underscore; with ``dotfiles`` each root is listed
+    by a task of its own instead.
     """
-    found = []
-    for root in [roots] if isinstance(roots, str) else roots:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
-        base = re.sub(r"^file:/*", "/", root).rstrip("/")
-        own = F.regexp_replace("path", r"^file:/*", "/")
-        found.append(files.withColumns({"path": own, "relative_path": F.regexp_replace(own, f"^{re.escape(base)}/", "")}))
-    files = reduce(DataFrame.unionByName, found).dropDuplicates(["path"])
+    roots = [roots] if isinstance(roots, str) else list(roots)
+    if dotfiles:
+        given = spark.createDataFrame(pa.table({"root": roots})).repartition(len(roots))
+        files = given.mapInArrow(_listed, "path string, relative_path string, modificationTime timestamp, length long")
+    else:
+        found = []
+        for root in roots:
+            listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
+            base = re.sub(r"^file:/*", "/", root).rstrip("/")
+            own = F.regexp_replace("path", r"^file:/*", "/")
+            found.append(listed.withColumns({"path": own, "relative_path": F.regexp_replace(own, f"^{re.escape(base)}/", "")}))
+        files = reduce(DataFrame.unionByName, found)
+    return select_files(files.dropDuplicates(["path"]), extensions, hidden, dotfiles, driver).orderBy(F.desc("last_modified"), "path")
+
+
+def _listed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every file below the roots."""
+    for batch in rows:
+        for root in batch.column(0).to_pylist():
+            base = re.sub(r"^file:/*", "/", root).rstrip("/")
+            found = [(re.sub(r"^file:/*", "/", f), size, time) for f, (size, time) in sizes(root, recursive=True).items()]
+            times = pa.array([int(t * 1_000_000) for _, _, t in found], pa.timestamp("us", "UTC"))
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _, _ in found], pa.string()), pa.array([f.removeprefix(f"{base}/") for f, _, _ in found], pa.string()), times, pa.array([n for _, n, _ in found], pa.int64())], ["path", "relative_path", "modificationTime", "length"])
+
+
+def select_files(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS, hidden: tuple[str, ...] = HIDDEN, dotfiles: bool = False, driver: str = "local") -> DataFrame:
+    """Of a listing (path, relative_path, modificationTime, length) the files to show, with name, identifier, readable size and fingerprint."""
     name = F.substring_index("path", "/", -1)
     keep = F.lit(True)
     if extensions:
@@ -40,8 +65,7 @@ def list_files(spark: SparkSession, roots: str | list[str], extensions: tuple[st
     for glob in hidden:
         keep &= ~name.rlike(glob_pattern(glob))
     files = files.filter(keep).withColumns({"name": name, "driver": F.lit(driver), "identifier": file_identifier(F.lit(driver), F.col("path"))})
-    files = files.select("path", "name", "relative_path", "driver", "identifier", F.col("length").alias("size"), size_human(F.col("length")).alias("size_human"), F.col("modificationTime").alias("last_modified"), fingerprint(F.col("length"), F.unix_timestamp("modificationTime")).alias("fingerprint"))
-    return files.orderBy(F.desc("last_modified"), "path")
+    return files.select("path", "name", "relative_path", "driver", "identifier", F.col("length").alias("size"), size_human(F.col("length")).alias("size_human"), F.col("modificationTime").alias("last_modified"), fingerprint(F.col("length"), F.unix_timestamp("modificationTime")).alias("fingerprint"))
 
 
 def file_info(files: DataFrame, max_mb: int = 100) -> DataFrame:
@@ -59,8 +83,7 @@ def export_policy(files: DataFrame, mode: str | Column = "full", confirm: bool |
 
 def export_tail(lines: DataFrame, n: int = 1000, most: int = 5000) -> DataFrame:
     """The last n physical lines of every file: file, offset, value (without line break, as text sinks add it)."""
-    last = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("offset")))
-    return lines.withColumn("_last", last).filter(F.col("_last") <= max(1, min(most, n))).select("file", "offset", F.col("raw").alias("value"))
+    return last_lines(lines, clamp_limit(n, most=most)).select("file", "offset", F.col("raw").alias("value"))
 
 
 def export_full(lines: DataFrame) -> DataFrame:
@@ -74,7 +97,11 @@ def write_text(exported: DataFrame, path: str) -> None:
 
 
 def write_records(records: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite") -> None:
-    """Keep records by day for repeated queries; undated ones are under a day of their own. Ranges of (day, file, offset) spread a long day over tasks."""
+    """Keep records by day for repeated queries; undated ones are under a day of their own. Ranges of (day, file, offset) spread a long day over tasks.
+
+    Rows lie in the order of file and offset, so that a file's and an offset range's rows are in few row groups, whose
+    statistics a reader's filters skip by.
+    """
     by_day = records.withColumn("day", F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("undated")))
     by_day.repartitionByRange("day", "file", "offset").sortWithinPartitions("day", "file", "offset").write.format(format).mode(mode).partitionBy("day").save(path)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,7 +18,7 @@ from tracewright.streaming.tail_source import AppendedLines, MAX_BYTES
 #: Records may be late by so much in time.
 LATENESS = "300 seconds"
 WINDOWS = {"minute": "1 minute", "hour": "1 hour", "day": "1 day"}
-_OPEN = "offset long, end_offset long, lines array<string>, header boolean"
+_OPEN = "offset long, end_offset long, lines array<string>"
 _FOLDED = "file string, offset long, end_offset long, lines array<string>"
 
 
@@ -46,7 +47,7 @@ def follow_records(lines: DataFrame, parsers=None, max_continuation: int = MAX_C
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         kept = state.get if state.exists else None
-        now = [kept[0], kept[1], list(kept[2]), kept[3]] if kept is not None else None
+        now = (kept[0], kept[1], list(kept[2])) if kept is not None else None
         if state.hasTimedOut:
             out.append((key[0], now[0], now[1], now[2]))
             state.remove()
@@ -57,20 +58,15 @@ def follow_records(lines: DataFrame, parsers=None, max_continuation: int = MAX_C
             if rotated and now is not None:
                 out.append((key[0], now[0], now[1], now[2]))
                 now = None
-            for row in rows[rows["event"] == "append"].sort_values("offset").itertuples():
-                if now is not None and (row.is_header or len(now[2]) > max_continuation):
-                    out.append((key[0], now[0], now[1], now[2]))
-                    now = None
-                if now is None:
-                    now = [row.offset, row.end_offset, [row.raw], bool(row.is_header)]
-                else:
-                    now[1] = row.end_offset
-                    now[2].append(row.raw)
+            rows = rows[rows["event"] == "append"].sort_values("offset")
+            if len(rows):
+                done, now = _folded_batch(rows, now, max_continuation)
+                out += [(key[0], *x) for x in done]
             if now is None:
                 if state.exists:
                     state.remove()
             else:
-                state.update((now[0], now[1], now[2], now[3]))
+                state.update(tuple(now))
                 if wait is not None:
                     state.setTimeoutDuration(wait)
         yield pd.DataFrame(out, columns=["file", "offset", "end_offset", "lines"])
@@ -84,6 +80,26 @@ def follow_records(lines: DataFrame, parsers=None, max_continuation: int = MAX_C
     return rows.withColumn("ts", to_ts(F.col("datetime"))).select(RECORDS)
 
 
+def _folded_batch(rows: pd.DataFrame, held: tuple | None, max_continuation: int) -> tuple[list[tuple], tuple]:
+    """A file's new lines in order: finished records (offset, end_offset, lines), and the one that stays open. ``held`` is the one that was."""
+    header = rows["is_header"].to_numpy(dtype=bool)
+    group = np.cumsum(header)
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(group) > 0]))
+    place = np.arange(len(rows)) - np.repeat(begin, np.diff(np.append(begin, len(rows))))
+    if held is not None and not header[0]:  # the first group goes on with the open record
+        place[group == 0] += len(held[2])
+    starts = np.flatnonzero(place % (max_continuation + 1) == 0)
+    raw, offset, end = rows["raw"].tolist(), rows["offset"].tolist(), rows["end_offset"].tolist()
+    done: list[tuple] = []
+    first = int(starts[0]) if len(starts) else len(rows)
+    if held is not None:
+        held = (held[0], end[first - 1] if first else held[1], held[2] + raw[:first])
+        done.append(held)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
+        done.append((offset[a], end[b - 1], raw[a:b]))
+    return done[:-1], done[-1]
+
+
 def search_stream(records: DataFrame, criteria: Criteria) -> DataFrame:
     """The records of a stream that match; the limit and cursors are a batch's."""
     return records.filter(criteria.predicate(cursor=False))

@@ -1,21 +1,27 @@
 """A streaming source of lines appended to files. Spark's file source sees new files, not appended bytes.
 
-Its offset is a byte per file; a trigger's partitions are byte ranges that executors read, each cut behind a line
-break. The checkpoint keeps the offset, so nothing is lost or sent twice over a restart. A file that has become shorter
-than its offset was rotated: an event row says so and reading restarts at byte 0.
+Its offset is a byte per file, got from a listing: the driver reads no contents. A trigger's partitions are byte ranges,
+which executors read; a range owns the lines whose line break lies in it, so its reader looks back for the first one's
+start, and an unfinished line comes with the range in which it ends. The checkpoint keeps the offset, so nothing is lost
+or sent twice over a restart. A file that has become shorter than its offset was rotated: an event row says so and
+reading restarts at byte 0.
 """
 
 from __future__ import annotations
 
-import glob as globs
 import json
-import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from tracewright.sources.ranges import line_start, lines_between
+from tracewright.sources.stores import file_system, sizes
+
 SCHEMA = "event string, file string, offset long, end_offset long, raw string"
 MAX_BYTES = 262_144
+_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+_KINDS = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
 
 class _Range(InputPartition):
@@ -31,42 +37,10 @@ class _Reader(DataSourceStreamReader):
         self.now: dict[str, int] | None = None
 
     def _sizes(self) -> dict[str, int]:
-        found = sorted(globs.glob(os.path.join(self.path, "*")) if os.path.isdir(self.path) else globs.glob(self.path))
-        return {f: os.path.getsize(f) for f in found if os.path.isfile(f)}
+        return {f: n for f, (n, _) in sizes(self.path).items()}
 
     def initialOffset(self) -> dict:
-        return {"files": json.dumps({f: self._line_start(f, n) if self.start == "end" else 0 for f, n in self._sizes().items()})}
-
-    @staticmethod
-    def _line_start(file: str, end: int) -> int:
-        """The end of the last whole line before ``end``."""
-        with open(file, "rb") as f:
-            at = end
-            while at > 0:
-                low = max(0, at - 65_536)
-                f.seek(low)
-                cut = f.read(at - low).rfind(b"\n")
-                if cut >= 0:
-                    return low + cut + 1
-                at = low
-        return 0
-
-    def _next(self, file: str, start: int, size: int) -> int:
-        """Where a tick stops: behind the last line break within the allowance, or behind the first one if a line is longer."""
-        with open(file, "rb") as f:
-            f.seek(start)
-            block = f.read(min(self.max_bytes, size - start))
-            cut = block.rfind(b"\n")
-            end = start + len(block)
-            while cut < 0 and end < size:
-                block = f.read(min(65_536, size - end))
-                if not block:
-                    break
-                first = block.find(b"\n")
-                if first >= 0:
-                    return end + first + 1
-                end += len(block)
-        return start + cut + 1 if cut >= 0 else start
+        return {"files": json.dumps({f: n if self.start == "end" else 0 for f, n in self._sizes().items()})}
 
     def latestOffset(self) -> dict:
         if self.now is None:
@@ -74,7 +48,7 @@ class _Reader(DataSourceStreamReader):
         after = {}
         for f, size in self._sizes().items():
             at = self.now.get(f, 0)
-            after[f] = self._next(f, 0 if size < at else at, size)
+            after[f] = min(size, (0 if size < at else at) + self.max_bytes)
         self.now = after
         return {"files": json.dumps(after)}
 
@@ -90,18 +64,25 @@ class _Reader(DataSourceStreamReader):
                 out.append(_Range(f, a, b, False))
         return out
 
-    def read(self, part: InputPartition) -> Iterator[tuple]:
+    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         if part.rotated:
-            yield "rotated", part.file, 0, 0, None
-        with open(part.file, "rb") as f:
-            f.seek(part.start)
-            at = part.start
-            while at < part.end:
-                line = f.readline(part.end - at)
-                if not line:
-                    break
-                yield "append", part.file, at, at + len(line), line.rstrip(b"\r\n").decode("utf-8", "replace")
-                at += len(line)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(("rotated", part.file, 0, 0, None), _KINDS)], _NAMES)
+        fs, path = file_system(part.file)
+        with fs.open_input_file(path) as f:
+            end = min(part.end, f.size())
+            # lines are cut at the range's end, so what is left behind its last line break is the next range's
+            for some in lines_between(f, line_start(f, part.start), end, end):
+                own = [(a, b, x) for a, b, x in some if b - a > len(x)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(["append"] * len(own), pa.string()),
+                        pa.array([part.file] * len(own), pa.string()),
+                        pa.array([a for a, _, _ in own], pa.int64()),
+                        pa.array([b for _, b, _ in own], pa.int64()),
+                        pa.array([x.rstrip(b"\r\n").decode("utf-8", "replace") for _, _, x in own], pa.string()),
+                    ],
+                    _NAMES,
+                )
 
 
 class AppendedLines(DataSource):
