@@ -68,6 +68,38 @@ def test_many_files_share_a_limit(spark):
     assert (back[0]["complete"], back[1]["n"], back[1]["truncated"]) == (True, 0, True)
 
 
+def test_every_file_resumes_at_its_own_cursor(spark):
+    own = [lines(spark, timed(minutes(60), 4)[0]).withColumn("file", F.lit(f)) for f in ("a.log", "b.log", "c.log")]
+    every = own[0].unionByName(own[1]).unionByName(own[2]).cache()
+    records = fold_records(every).cache()
+    for backward in (False, True):
+        cursors, seen = {"b.log": 0, "a.log": 0, "c.log": 0}, []
+        for _ in range(20):
+            names = list(cursors)
+            files = files_of(every).withColumn("file_ord", F.array_position(F.array(*map(F.lit, names)), F.col("file")).cast("long")).filter("file_ord > 0")
+            criteria = Criteria("Event", limit=25, direction="backward" if backward else "forward")
+            got = Q.search(records, criteria, cursors).collect()
+            seen += [(r["file"], json.loads(r["context"])["i"]) for r in got]
+            past = Q._with_order(records, cursors, backward).drop("file_ord")
+            status = {r["file"]: r for r in Q.search_status(files, past, criteria).collect()}
+            assert sum(r["n"] for r in status.values()) == len(got)
+            left = {f: status[f]["next_cursor"] or cursors[f] for f in names if not status[f]["complete"]}
+            cursors = left
+            if not cursors:
+                break
+        order = sorted(range(60), reverse=backward)
+        assert seen == [(f, i) for f in ("b.log", "a.log", "c.log") for i in order]
+
+
+def test_limits_and_repeated_names(spark):
+    _, records = folded(spark, app_lines(1200))
+    assert Q.search(records, Criteria("message", limit=5000)).count() == 1000 and Q.search(records, Criteria("message", limit=0)).count() == 1
+    assert Q.search(records, Criteria("message", limit=None)).count() == 1000
+    name = records.first()["file"]
+    assert Q.search(records, Criteria("message", limit=7), [name, "none.log", name]).count() == 7
+    assert Q.search(records, Criteria("message", limit=7), [f"{i}.log" for i in range(3000)] + [name]).count() == 7
+
+
 def test_predicates(spark):
     _, records = folded(spark, timed(minutes(50), 5)[0])
     n = lambda **k: records.filter(Criteria(**k).predicate()).count()

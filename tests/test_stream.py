@@ -1,3 +1,6 @@
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from samples import minutes, timed
@@ -27,6 +30,45 @@ def test_appended_lines_survive_restart_and_rotation(spark, tmp_path):
     assert spark.read.parquet(out).filter("event = 'rotated'").count() == 1 and (0, "new") in read()
 
 
+def test_small_ticks_cut_no_line(spark, tmp_path):
+    data = b"".join(b"line %d %s\r\n" % (i, b"z" * (i * 7 % 120)) for i in range(60)) + b"open end"
+    (tmp_path / "in").mkdir()
+    for name in ("a.log", "b.log"):
+        (tmp_path / "in" / name).write_bytes(data)
+    out = str(tmp_path / "out")
+    for _ in range(4):  # the allowance is shorter than some lines
+        drain(follow.follow_lines(spark, f"{tmp_path}/in/*.log", start="begin", max_bytes=3000), out, str(tmp_path / "state"))
+    found = spark.read.parquet(out)
+    starts = [0]
+    for line in data.split(b"\n")[:-1]:
+        starts.append(starts[-1] + len(line) + 1)
+    wanted = [(a, b, data[a:b].decode().rstrip("\r\n")) for a, b in zip(starts, starts[1:])]
+    for name in ("a.log", "b.log"):
+        own = found.filter(F.col("file").endswith(name)).orderBy("offset").collect()
+        assert [(r["offset"], r["end_offset"], r["raw"]) for r in own] == wanted
+
+
+def test_a_batch_folds_as_line_by_line():
+    rng = random.Random(1)
+    for most in (2, 5):
+        expected, got, held, at = [], [], None, 0
+        open_record = None
+        for _ in range(30):
+            rows = []
+            for _ in range(rng.randint(1, 9)):
+                rows.append((rng.random() < 0.3, at, at + 4, f"l{at}"))
+                at += 4
+            frame = pd.DataFrame(rows, columns=["is_header", "offset", "end_offset", "raw"])
+            done, held = follow._folded_batch(frame, held, most)
+            got += done
+            for header, a, b, raw in rows:
+                if open_record and (header or len(open_record[2]) > most):
+                    expected.append(open_record)
+                    open_record = None
+                open_record = (a, b, [raw]) if open_record is None else (open_record[0], b, open_record[2] + [raw])
+        assert got == expected and held == open_record
+
+
 def test_records_over_batches_equal_the_batch_fold(spark, tmp_path):
     own = lines(spark, timed(minutes(40), 3)[0]).withColumn("event", F.lit("append")).cache()
     n = own.count()

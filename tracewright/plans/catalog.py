@@ -75,7 +75,7 @@ def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the view's own lines are shorter than its cap, so cutting them again is cutting them once
     lines = V.event_lines(spark, sf_dir).withColumnRenamed("raw", "content")
-    return L._capped(lines, 60, False, None).select("file", "offset", "end_offset", "raw", "truncated")
+    return L.capped(lines, 60).withColumn("truncated", L.reached(60)).select("file", "offset", "end_offset", "raw", "truncated")
 
 
 @query("read_range", "WITH " + V.EVENT_LINES_SQL + ', b AS (SELECT * FROM event_lines WHERE "offset" < 20000),' + V.records_sql("b", "r") + f' SELECT {SHOWN_SQL} FROM r WHERE "offset" >= 5000')

@@ -20,24 +20,24 @@ LINES = ["file", "block", "line_no", "offset", "end_offset", "raw", "truncated"]
 FOLDABLE = ["is_header", "header_line"]
 
 
-def _placed(rows: DataFrame, order: str, headers: bool, *extra: Column) -> DataFrame:
-    """Add line_no, offset and end_offset to rows (file, block, length, raw, ``order``, with ``headers`` is_header), the file's bytes ``_all``, and ``extra`` of each block.
+def _placed(rows: DataFrame, order: str, headers: bool, held: Sequence[str] = ()) -> DataFrame:
+    """Add line_no, offset and end_offset to rows (file, block, length, raw, ``order``, with ``headers`` is_header), and the file's bytes ``_all``.
 
-    Rows and totals come from one shuffle by block. With headers the totals use all columns that the rows have, so
-    Spark's plan shuffles once and uses that twice, and the source is read once.
+    Rows and totals come from one shuffle by block. With headers the totals use all columns that the rows have (``held``
+    are numbers besides), so Spark's plan shuffles once and uses that twice, and the source is read once.
     """
     own = Window.partitionBy("file", "block").orderBy(order)
     running = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
     nothing = F.lit(0).cast("long")
     if not headers:
-        totals = rows.groupBy("file", "block").agg(F.count("*").alias("_lines"), F.sum("length").alias("_bytes"), *extra)
+        totals = rows.groupBy("file", "block").agg(F.count("*").alias("_lines"), F.sum("length").alias("_bytes"))
         rows = rows.withColumns({"_n": F.row_number().over(own).cast("long"), "_end": F.sum("length").over(running)})
     else:
         rows = rows.withColumns({"_n": F.row_number().over(own).cast("long"), "_end": F.sum("length").over(running)})
         rows = rows.withColumn("_own", F.last(F.when(F.col("is_header"), F.col("_n")), ignorenulls=True).over(running))
-        widest = F.max(F.octet_length("raw") + F.col("truncated").cast("int"))
-        totals = rows.groupBy("file", "block").agg(F.max("_n").alias("_lines"), F.max("_end").alias("_bytes"), F.max("_own").alias("_last"), F.coalesce(widest, F.lit(0)).alias("_widest"), *extra).filter("_widest >= 0")
+        widest = F.greatest(F.lit(0), F.max(F.octet_length("raw")), *map(F.max, held))
+        totals = rows.groupBy("file", "block").agg(F.max("_n").alias("_lines"), F.max("_end").alias("_bytes"), F.max("_own").alias("_last"), widest.alias("_widest")).filter("_widest >= 0")
     base = totals.withColumns({"first_line": F.coalesce(F.sum("_lines").over(before), nothing), "first_byte": F.coalesce(F.sum("_bytes").over(before), nothing), "_all": F.sum("_bytes").over(Window.partitionBy("file"))})
     if headers:
         base = base.withColumn("_before", F.last(F.col("first_line") + F.col("_last"), ignorenulls=True).over(before))
@@ -46,14 +46,18 @@ def _placed(rows: DataFrame, order: str, headers: bool, *extra: Column) -> DataF
     return rows.withColumn("header_line", F.coalesce(F.col("first_line") + F.col("_own"), "_before")) if headers else rows
 
 
-def _capped(rows: DataFrame, limit: int | None, headers: bool, parsers: Sequence[Parser] | None) -> DataFrame:
-    """raw, its length with the line break, whether it reached the limit (truncated) and, with ``headers``, whether it is a header."""
+def capped(rows: DataFrame, limit: int | None, headers: bool = False, parsers: Sequence[Parser] | None = None) -> DataFrame:
+    """raw, its length with the line break and, with ``headers``, whether it is a header, instead of ``content``."""
     text, _ = cap_bytes(F.col("content"), limit)
-    full = F.lit(False) if limit is None else F.octet_length("content") >= limit
-    rows = rows.withColumns({"length": F.octet_length("content").cast("long") + 1, "raw": rstrip_eol(text), "truncated": full}).drop("content")
+    rows = rows.withColumns({"length": F.octet_length("content").cast("long") + 1, "raw": rstrip_eol(text)}).drop("content")
     return rows.withColumn("is_header", is_header(F.col("raw"), None if parsers is None else list(parsers))) if headers else rows
 
 
+def reached(limit: int | None) -> Column:
+    """Whether a terminated line counts as cut: it has the limit's bytes or more."""
+    return F.lit(False) if limit is None else F.col("length") > limit
+
+
 def read_lines(spark: SparkSession, paths: str | list[str], max_line_length: int | None = MAX_LINE_LENGTH, headers: bool = False, parsers: Sequence[Parser] | None = None) -> DataFrame:
     """Lines of text files (file, block, line_no, offset, end_offset, raw, truncated); a block is a split of the file.
 
@@ -68,7 +72,7 @@ def read_lines(spark: SparkSession, paths: str | list[str], max_line_length: int
         F.col("value").alias("content"),
         F.monotonically_increasing_id().alias("_order"),
     )
-    placed = _placed(_capped(source, max_line_length, headers, parsers), "_order", headers)
+    placed = _placed(capped(source, max_line_length, headers, parsers), "_order", headers, ["_size"])
     # the reader swallows a byte-order mark: then three bytes are missing (or two, without a last line break)
     mark = F.when((F.col("_size") - F.col("_all")).isin(3, 2), 3).otherwise(0)
     first = F.col("line_no") == 1
@@ -76,7 +80,7 @@ def read_lines(spark: SparkSession, paths: str | list[str], max_line_length: int
     placed = placed.withColumns({
         "offset": F.when(first, 0).otherwise(F.col("offset") + mark),
         "end_offset": F.least(F.col("end_offset") + mark, F.col("_size")),
-        "truncated": F.col("truncated") & ~(open_end & (F.col("length") - 1 <= (max_line_length or 0))),
+        "truncated": reached(max_line_length) & ~(open_end & (F.col("length") - 1 <= (max_line_length or 0))),
     })
     return placed.select(*LINES, *FOLDABLE * headers)
 
@@ -89,10 +93,11 @@ def lines_from_table(df: DataFrame, file: Column | str, text: Column | str, orde
     """
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     keys = {f"_k{i}": as_col(c) for i, c in enumerate(order or [])}
-    source = df.select(as_col(file).alias("file"), (block if block is not None else F.lit(0)).cast("long").alias("block"), *(c.alias(k) for k, c in keys.items()), F.coalesce(as_col(text), F.lit("")).alias("_text"))
+    source = df.select(as_col(file).alias("file"), F.coalesce((block if block is not None else F.lit(0)).cast("long"), F.lit(0)).alias("block"), *(c.alias(k) for k, c in keys.items()), F.coalesce(as_col(text), F.lit("")).alias("_text"))
     rows = source.select("file", "block", *keys, F.posexplode(F.split("_text", "\n")).alias("_pos", "content"))
     rows = rows.withColumn("_order", F.struct(*keys, "_pos")).drop(*keys, "_pos")
-    return _placed(_capped(rows, max_line_length, headers, parsers), "_order", headers).select(*LINES, *FOLDABLE * headers)
+    placed = _placed(capped(rows, max_line_length, headers, parsers), "_order", headers)
+    return placed.withColumn("truncated", reached(max_line_length)).select(*LINES, *FOLDABLE * headers)
 
 
 def read_range(lines: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
