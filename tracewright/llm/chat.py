@@ -8,9 +8,9 @@ escaped text contains ``<|``. The loss mask is derived by prefix sums: +1 where
 Rows are turns. Every turn is encoded where it lies; then turns of a conversation are brought together in order, and
 read row by row, so that a conversation of any length passes through a task in bounded memory.
 
-Order in a conversation: turn (null first), then role, then the text's first letters, then its digest. Defined results: a null role or text counts as
-empty, a null conv_id is a conversation of its own, repeated rows are repeated turns, other columns are ignored, an
-empty table gives an empty table.
+Order in a conversation: turn (null first), then role, then the text's first letters, then its digest. Defined results:
+a null role or text counts as empty, a null conv_id is a conversation of its own, repeated rows are repeated turns, a
+long text is encoded whole, other columns are ignored, an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -127,15 +127,43 @@ def format_turns(conversations: DataFrame, vocabulary: str) -> DataFrame:
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
 
 
+READ = "conv_id long, turn long, role_key string, text_key string, said string, learnt string, whole boolean, chars long, tokens long, loss_tokens long"
+
+
+def read_back(turns: DataFrame, vocabulary: str) -> DataFrame:
+    """Every turn as its ids and mask say it: ``said`` (role, line break, text, line break), the text under the mask, the written-out turn's characters, ids, and ids under the mask.
+
+    ``whole``: the mask covers just the turn's text, which then isn't repeated in ``learnt``; such a turn's role has no line break.
+    """
+
+    def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = tokens(vocabulary)
+        for batch in rows:
+            out = []
+            for ids, loss in zip(batch.column(4), batch.column(5)):
+                ids, mask = ids.values.to_numpy(), loss.values.to_numpy().astype(bool)
+                written = use.bytes_of(ids.tolist()).decode("utf-8")
+                body = use.bytes_of(ids[1 : np.flatnonzero(ids == use.end)[0]].tolist()).decode("utf-8")
+                role, _, text = body.partition("\n")
+                text = unescape(text)
+                learnt = unescape(use.bytes_of(ids[mask].tolist()).decode("utf-8"))
+                whole = bool(learnt) and learnt == text
+                out.append((f"{unescape_role(role)}\n{text}\n", None if whole else learnt, whole, len(written), len(ids), int(mask.sum())))
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))], [x.split()[0] for x in READ.split(", ")])
+
+    return batches(turns.select("conv_id", "turn", "role_key", "text_key", "ids", "loss"), read, READ)
+
+
 def digests(turns: DataFrame, vocabulary: str) -> DataFrame:
     """What formatted conversations hold, read back from their ids and masks.
 
     turns_sha256 is of role, line break, text, line break per turn; loss_chars and loss_sha256 are of all text under the
-    loss mask; formatted_chars counts the written-out sequence. Digests grow as turns pass, so nothing is gathered.
+    loss mask; formatted_chars counts the written-out sequence. Turns are decoded where they lie; what follows in a
+    conversation's order is hashing alone, and digests grow as turns pass, so nothing is gathered.
     """
 
-    def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = tokens(vocabulary)
+    def digest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict | None = None
 
         def done(s: dict) -> pa.RecordBatch:
@@ -148,21 +176,17 @@ def digests(turns: DataFrame, vocabulary: str) -> DataFrame:
                 if state is not None:
                     yield done(state)
                 state = {"conv_id": conv_id, "n": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0, "tokens": 0, "loss_tokens": 0}
-            for ids, loss in zip(part.column(part.schema.get_field_index("ids")), part.column(part.schema.get_field_index("loss"))):
-                ids, mask = ids.values.to_numpy(), loss.values.to_numpy().astype(bool)
-                written = use.bytes_of(ids.tolist()).decode("utf-8")
-                body = use.bytes_of(ids[1 : np.flatnonzero(ids == use.end)[0]].tolist()).decode("utf-8")
-                role, _, text = body.partition("\n")
-                learnt = unescape(use.bytes_of(ids[mask].tolist()).decode("utf-8"))
+            for said, learnt, whole, chars, tokens_of, loss_tokens in zip(*(part.column(part.schema.get_field_index(x)).to_pylist() for x in ("said", "learnt", "whole", "chars", "tokens", "loss_tokens"))):
+                text = said.partition("\n")[2][:-1] if whole else learnt
                 state["n"] += 1
-                state["turns"].update(f"{unescape_role(role)}\n{unescape(text)}\n".encode())
-                state["loss"].update(learnt.encode())
-                state["loss_chars"] += len(learnt)
-                state["chars"] += len(written)
-                state["tokens"] += len(ids)
-                state["loss_tokens"] += int(mask.sum())
+                state["turns"].update(said.encode())
+                state["loss"].update(text.encode())
+                state["loss_chars"] += len(text)
+                state["chars"] += chars
+                state["tokens"] += tokens_of
+                state["loss_tokens"] += loss_tokens
         if state is not None:
             yield done(state)
 
     order = ["conv_id", "turn", "role_key", "text_key"]
-    return batches(turns.repartition("conv_id").sortWithinPartitions(*order), read, DIGESTS)
+    return batches(read_back(turns, vocabulary).repartition("conv_id").sortWithinPartitions(*order), digest, DIGESTS)

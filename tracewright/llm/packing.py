@@ -7,11 +7,12 @@ The heuristic needs the pieces' lengths only, of which there are at most ``capac
 made from the histogram of lengths (a table whose size doesn't depend on the data): each step makes one kind of bin
 and repeats it as often as the remaining counts allow. The pieces themselves never meet: each takes the place that its
 rank among the pieces of its length has in the plan. Ranks come from counts per (length, shard), so that a length
-which a third of the pieces share is numbered by many tasks.
+which a third of the pieces share is numbered by many tasks; shards deal out rows by number and grow with the table, so
+copies of one row are spread like others.
 
 Defined results: a null text counts as empty; an empty text is the end id alone; only documents longer than
-``capacity`` are cut, and only their last piece may be shorter; repeated rows are packed as often as they occur;
-other columns are ignored; an empty table gives an empty table.
+``capacity`` are cut, and only their last piece may be shorter; repeated rows are packed as often as they occur, a null
+doc_id like any other; a long text is tokenized whole; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from tracewright.llm.bpe import Codec, byte_letters
 from tracewright.llm.common import batches, cut
 
 CAPACITY = 2048
-#: The pieces of one length are numbered by so many tasks; counts per length and shard are at most capacity * SHARDS rows.
-SHARDS = 64
+#: The pieces of one length are numbered by a task for about so many pieces of the table, but by so many tasks at least.
+SHARD_ROWS, MIN_SHARDS = 20_000_000, 64
+#: Counts per length and shard are sent to tasks up to this number; more of them are joined.
+MAX_SENT_COUNTS = 1_000_000
 END = b"\0\0\0\0"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -146,22 +149,25 @@ def best_two_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int,
     return plan
 
 
-def ranked(pieces: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``pieces`` with ``rank``: its number, from 0, among the pieces of its length."""
-    sharded = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+def ranked(pieces: DataFrame, shards: int = MIN_SHARDS) -> DataFrame:
+    """``pieces``, whose ``row`` is a number of its own, with ``rank``: a number, from 0, among the pieces of the same length."""
+    sharded = pieces.withColumn("_shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
     before = Window.partitionBy("length").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     base = sharded.groupBy("length", "_shard").agg(F.count("*").alias("_n")).select("length", "_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = F.row_number().over(Window.partitionBy("length", "_shard").orderBy("doc_id", "piece", "ids_crc32"))
-    # at most capacity * shards rows of three numbers
-    return sharded.withColumn("_within", within - 1).join(F.broadcast(base), ["length", "_shard"]).withColumn("rank", F.col("_base") + F.col("_within")).drop("_shard", "_within", "_base")
+    if (CAPACITY + 1) * shards <= MAX_SENT_COUNTS:  # a row of three numbers for each length and shard
+        base = F.broadcast(base)
+    within = F.row_number().over(Window.partitionBy("length", "_shard").orderBy("row"))
+    return sharded.withColumn("_within", within - 1).join(base, ["length", "_shard"]).withColumn("rank", F.col("_base") + F.col("_within")).drop("_shard", "_within", "_base")
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """A place for every piece of every document: the columns of ``tokenized_pieces``, sequence_id, offset."""
-    pieces = cut(tokenized_pieces(docs, vocabulary, capacity))
+    # a piece's number is kept with it, so that it is the same in all that follows
+    pieces = cut(tokenized_pieces(docs, vocabulary, capacity).withColumn("row", F.monotonically_increasing_id()))
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most capacity rows
         counts[row["length"]] = row["n"]
+    shards = max(MIN_SHARDS, int(counts.sum()) // SHARD_ROWS)
     plan = np.array(best_two_fit(counts, capacity) or [(0, 0, 1, 1, 0, 0)], dtype=np.int64)
     keys = plan[:, 0] << 44 | plan[:, 1]
     order = np.argsort(keys)
@@ -175,7 +181,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
             columns = [batch.column(batch.schema.get_field_index(x)) for x in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(at[:, 4] + nth // at[:, 2]), pa.array(at[:, 5] + nth % at[:, 2] * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return batches(ranked(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), place, PIECES + ", sequence_id long, offset long")
+    return batches(ranked(pieces, shards).select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), place, PIECES + ", sequence_id long, offset long")
 
 
 def assemble(placed: DataFrame, pieces: DataFrame) -> DataFrame:
