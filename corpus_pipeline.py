@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and works on all documents that the one before it kept. All but the last
 return the columns of documents. Each stage's result is written as Parquet and read again, so that a later stage that
 loses executors starts from there.
+
+Defined results: a null or empty text is no toxic one and falls to the quality rules (it has no words); a null language
+is judged by counts alone; rows without doc_id are kept by the n-gram join, which can't name them; where an id repeats,
+each of its different texts is a document; without labels nothing is toxic; very long texts pass every stage whole;
+columns besides doc_id, text and lang, whatever their names, pass to the last stage but one; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
