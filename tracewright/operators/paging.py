@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tracewright.functions.parsers import is_header
 from tracewright.operators.fold import fold_records
 from tracewright.sources.lines import FOLDABLE
 
@@ -22,10 +23,12 @@ def first_lines(lines: DataFrame, n: int) -> DataFrame:
 
 def fold_batch(lines: DataFrame, parsers=None) -> DataFrame:
     """Records of some lines of each file, without a limit on continuation lines; a leading continuation is a plain record."""
-    first = Window.partitionBy("file").orderBy("offset")
-    # a batch is small: it is numbered anew, as one block
-    renumbered = lines.drop(*FOLDABLE).withColumns({"block": F.lit(0).cast("long"), "line_no": F.row_number().over(first).cast("long")})
-    return fold_records(renumbered, parsers, max_continuation=None)
+    # a batch is small: it is numbered anew, and its headers are found, by one window over each file's
+    by_offset = Window.partitionBy("file").orderBy("offset")
+    own = lines.drop(*FOLDABLE).withColumn("is_header", is_header(F.col("raw"), parsers))
+    own = own.withColumn("line_no", F.row_number().over(by_offset).cast("long"))
+    header = F.last(F.when(F.col("is_header"), F.col("line_no")), ignorenulls=True).over(by_offset.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return fold_records(own.withColumn("header_line", header), parsers, max_continuation=None)
 
 
 def tail(lines: DataFrame, n: int = 100, parsers=None) -> DataFrame:

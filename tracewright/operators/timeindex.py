@@ -13,6 +13,7 @@ from tracewright.functions.parsers import Parser
 from tracewright.operators.fold import fold_records
 from tracewright.sources.files import read_records
 from tracewright.sources.ranges import read_ranges
+from tracewright.sources.stores import written
 
 MARGIN = 300
 #: Up to so many ranges a read of kept records has as predicates; days alone prune beyond.
@@ -24,10 +25,11 @@ def time_range(files: DataFrame, records: DataFrame, date_from: dt.datetime | No
     """Per file (file, size): start and end of the bytes that hold the window, wide rather than narrow.
 
     start is the first header at or after ``date_from`` less the margin, end the first one behind ``date_to`` plus the
-    margin; without a dated header in the first MiB it is the whole file.
+    margin; without a dated header in the first MiB it is the whole file. Headers' places and times are written once,
+    for they are looked at three times.
     """
     stamp = F.unix_timestamp("ts")
-    headers = records.filter(F.col("parser") != "plain").select("file", "offset", stamp.alias("t"))
+    headers = written(records.filter(F.col("parser") != "plain").select("file", "offset", stamp.alias("t")), "headers")
     low = None if date_from is None else int(date_from.timestamp()) - margin
     high = None if date_to is None else int(date_to.timestamp()) + margin
     at_least = F.lit(False) if low is None else F.col("t") >= low
