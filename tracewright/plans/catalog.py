@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -378,9 +377,8 @@ query("follow_counts", "SELECT strftime(ts, '%Y-%m-%d %H:00') AS bucket, count(*
 @query("follow_lines", "WITH " + V.EVENT_LINES_SQL + ' SELECT file, "offset", end_offset, raw FROM event_lines')
 def follow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text logs followed from their beginning."""
-    parts = [follow.follow_lines(spark, f"{V.event_logs(spark, sf_dir)}/logs/file=app-{i}.log/*.txt", start="begin", max_bytes=1 << 30) for i in range(8)]
-    found = [_drained(spark, x, "follow-lines") for x in parts]
-    return reduce(DataFrame.union, found).select(V.log_name(F.col("file")).alias("file"), "offset", "end_offset", "raw")
+    stream = follow.follow_lines(spark, f"{V.event_logs(spark, sf_dir)}/logs", start="begin", max_bytes=1 << 30, recursive=True)
+    return _drained(spark, stream, "follow-lines").select(V.log_name(F.col("file")).alias("file"), "offset", "end_offset", "raw")
 
 
 _OLD, _NEW = "event_id % 2 = 0", "event_id % 16 = 1"

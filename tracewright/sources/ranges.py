@@ -161,5 +161,5 @@ def read_ranges(spark: SparkSession, ranges: Sequence[tuple[str, int, int]], max
 
 def read_tails(spark: SparkSession, paths: str | Sequence[str], n: int, max_line_length: int = MAX_LINE_LENGTH) -> DataFrame:
     """The last ``n`` lines of each file of the folders or globs, read from its end; line_no counts from the first of them."""
-    ranges = [(f, 0, size) for path in ([paths] if isinstance(paths, str) else paths) for f, (size, _) in sizes(path).items() if size]
+    ranges = [(f, 0, size) for path in ([paths] if isinstance(paths, str) else paths) for f, (size, _) in sizes(path, hidden=False).items() if size]
     return _load(spark, ranges, max_line_length=max_line_length, tail=max(1, n)).withColumnRenamed("n", "line_no").select(LINES)

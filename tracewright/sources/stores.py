@@ -35,8 +35,11 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
-def sizes(path: str, recursive: bool = False) -> dict[str, tuple[int, float]]:
-    """Size and modification time (in seconds) of a file, of the files of a folder, or of those that a glob in the last part names; only the listing is read."""
+def sizes(path: str, recursive: bool = False, hidden: bool = True) -> dict[str, tuple[int, float]]:
+    """Size and modification time (in seconds) of a file, of the files of a folder, or of those that a glob in the last part names; only the listing is read.
+
+    Without ``hidden`` names that begin with a dot or an underscore are left out, as in Spark's own listing.
+    """
     fs, own = file_system(path)
     prefix = path[: len(path) - len(own)] if path.endswith(own) else ""
     head, _, last = own.rpartition("/")
@@ -46,4 +49,4 @@ def sizes(path: str, recursive: bool = False) -> dict[str, tuple[int, float]]:
     else:
         info = fs.get_file_info(own)
         found = fs.get_file_info(pafs.FileSelector(own, recursive=recursive)) if info.type == pafs.FileType.Directory else [info]
-    return {prefix + x.path: (x.size, x.mtime.timestamp() if x.mtime else 0.0) for x in sorted(found, key=lambda x: x.path) if x.is_file}
+    return {prefix + x.path: (x.size, x.mtime.timestamp() if x.mtime else 0.0) for x in sorted(found, key=lambda x: x.path) if x.is_file and (hidden or x.base_name[:1] not in "._")}

@@ -22,10 +22,10 @@ _OPEN = "offset long, end_offset long, lines array<string>"
 _FOLDED = "file string, offset long, end_offset long, lines array<string>"
 
 
-def follow_lines(spark: SparkSession, path: str, start: str = "end", max_bytes: int = MAX_BYTES) -> DataFrame:
+def follow_lines(spark: SparkSession, path: str, start: str = "end", max_bytes: int = MAX_BYTES, recursive: bool = False) -> DataFrame:
     """A stream of appended lines (event, file, offset, end_offset, raw); rotation is an event row."""
     spark.dataSource.register(AppendedLines)
-    return spark.readStream.format("appended_lines").option("path", path).option("start", start).option("max_bytes", str(max_bytes)).load()
+    return spark.readStream.format("appended_lines").option("path", path).option("start", start).option("max_bytes", str(max_bytes)).option("recursive", str(recursive)).load()
 
 
 def follow_segments(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:

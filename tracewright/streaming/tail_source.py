@@ -34,10 +34,11 @@ class _Reader(DataSourceStreamReader):
         self.path = options["path"]
         self.start = options.get("start", "end")
         self.max_bytes = int(options.get("max_bytes", MAX_BYTES))
+        self.recursive = options.get("recursive", "false").lower() == "true"
         self.now: dict[str, int] | None = None
 
     def _sizes(self) -> dict[str, int]:
-        return {f: n for f, (n, _) in sizes(self.path).items()}
+        return {f: n for f, (n, _) in sizes(self.path, self.recursive, hidden=False).items()}
 
     def initialOffset(self) -> dict:
         return {"files": json.dumps({f: n if self.start == "end" else 0 for f, n in self._sizes().items()})}
@@ -86,7 +87,7 @@ class _Reader(DataSourceStreamReader):
 
 
 class AppendedLines(DataSource):
-    """``spark.readStream.format("appended_lines")`` with options path (a file, folder or glob), start (``begin`` or ``end``), max_bytes."""
+    """``spark.readStream.format("appended_lines")`` with options path (a file, folder or glob), recursive, start (``begin`` or ``end``), max_bytes."""
 
     @classmethod
     def name(cls) -> str:
