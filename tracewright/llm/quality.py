@@ -11,8 +11,9 @@ chance is never more than against a reference without end. Copies of a text coun
 language (null or empty) has no reference, so it is judged by its counts alone.
 
 Defined results: a null text has no words; an empty text fails the length rule; a null or empty language has no reference;
-ties between common words go to the smaller word; repeated rows give repeated results; other columns are kept by
-``filter_quality`` and ignored by ``judge``; an empty table gives an empty table.
+ties between common words go to the smaller word; repeated rows give repeated results; a very long text is measured
+whole, one document at a time; other columns are kept by ``filter_quality`` and ignored by ``judge``; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
