@@ -9,7 +9,8 @@ quadratic, and fast, for short words; words of more than ``LONG_WORD`` bytes use
 Every distinct white-space-delimited chunk is encoded once per worker and remembered in a table of bounded size.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to the empty text; repeated rows
-give repeated results; columns beyond the two named ones are ignored; an empty table gives an empty table.
+give repeated results; a very long text is encoded whole, one document at a time; columns beyond the two named ones are
+ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from tracewright.llm.common import batches
 #: From this many bytes on a word is merged with a heap.
 LONG_WORD = 160
 #: A worker remembers so many chunks and words, none longer than so many characters.
-MEMO_ROWS, WORD_ROWS, MEMO_CHARS = 200_000, 100_000, 48
+MEMO_ROWS, WORD_ROWS, MEMO_CHARS = 400_000, 200_000, 48
 _NONE = 1 << 60
 _ID_BITS = 20
 #: White space as the tokenizer's patterns see it.
