@@ -183,11 +183,11 @@ def test_urls(spark):
 
 @pytest.mark.parametrize("max_bits", [1 << 26, 600])
 def test_cascade_is_exact(spark, max_bits):
-    keys = spark.range(6000).select(F.concat(F.lit("k"), "id").alias("k"))
+    keys = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("k"))
     cascade = urls.Cascade(keys, keys.filter(F.crc32("k") % 40 == 0), bits_per_key=4, max_bits=max_bits)
     assert (cascade.shards > 1) == (max_bits == 600) and any(len(x) > 1 for x in cascade.levels)
     wrong = cascade.flag(keys, "k", "hit").filter(F.col("hit") != (F.crc32("k") % 40 == 0))
-    assert wrong.count() == 0 and cascade.flag(keys, "k", "hit").count() == 6000
+    assert wrong.count() == 0 and cascade.flag(keys, "k", "hit").count() == 4000
 
 
 def test_cascade_of_a_universe_far_larger_than_the_list(spark):
@@ -425,10 +425,10 @@ def test_words_of_any_length_are_told_apart():
     other = base[:68_000] + "b" + base[68_001:]
     swapped = "b" + base[1:65_536] + "a" + base[65_537:]  # the same letters a whole round of places apart
     moved = base[:65_536] + "b" + base[65_537:]
-    huge = "c" * 3_000_000
+    huge = "c" * 1_500_000
     sets = [next(jaccard.shingle_sets([(w + tail).encode()])).tolist() for w in (base, other, swapped, moved, huge, huge + "c")]
     assert len({tuple(x) for x in sets}) == 6
-    text = " ".join(prose(i, 3000) for i in range(80)) + " " + huge + " " + prose(5, 100)
+    text = " ".join(prose(i, 3000) for i in range(110)) + " " + huge + " " + prose(5, 100)
     parts = list(jaccard._parts(text.encode()))
     assert b"".join(parts) == text.encode() and len(parts) > 3
     whole = next(jaccard.shingle_sets([text.encode()]))
