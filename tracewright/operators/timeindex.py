@@ -91,7 +91,7 @@ def search_text(spark: SparkSession, index: DataFrame, files: DataFrame, criteri
 
     Undated records outside these ranges aren't returned.
     """
-    lines = read_ranges(spark, _ranges(index, files, criteria, margin))
+    lines = read_ranges(spark, _ranges(index, files, criteria, margin), headers=True, parsers=parsers)
     return fold_records(lines, parsers).filter(criteria.predicate())
 
 

@@ -14,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tracewright.functions.parsers import Parser, is_header
 from tracewright.sources.lines import LINES, MAX_LINE_LENGTH
 from tracewright.sources.stores import file_system, sizes
 
 SCHEMA = "file string, block long, n long, offset long, end_offset long, raw string, truncated boolean"
 SLICE_BYTES = 64 << 20
+#: A task takes slices of about so many bytes together.
+TASK_BYTES = 4 << 20
 #: Bytes that are read at a time, and in a step back.
 _READ, _STEP = 4 << 20, 64 << 10
 
@@ -56,9 +59,11 @@ def lines_between(f, start: int, end: int, size: int) -> Iterator[list[tuple[int
         yield out
 
 
-class _Slice(InputPartition):
-    def __init__(self, file: str, start: int, end: int, first: bool, tail: int):
-        self.file, self.start, self.end, self.first, self.tail = file, start, end, first, tail
+class _Slices(InputPartition):
+    """Slices that a task reads in turn: file, start, end, and whether the start is a line's."""
+
+    def __init__(self, slices: list[tuple[str, int, int, bool]]):
+        self.slices = slices
 
 
 class _Reader(DataSourceReader):
@@ -70,21 +75,35 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if self.tail:
-            return [_Slice(f, 0, end, True, self.tail) for f, _, end in self.ranges]
-        return [_Slice(f, a, min(a + self.slice_bytes, end), a == start, 0) for f, start, end in self.ranges for a in range(start, end, self.slice_bytes)]
-
-    def read(self, part: _Slice) -> Iterator[pa.RecordBatch]:
-        fs, path = file_system(part.file)
+            return [_Slices([(f, 0, end, True)]) for f, _, end in self.ranges]
+        out: list[_Slices] = []
+        room = 0
+        for f, start, end in self.ranges:
+            for a in range(start, end, self.slice_bytes):
+                b = min(a + self.slice_bytes, end)
+                if room < b - a or not out:
+                    out.append(_Slices([]))
+                    room = TASK_BYTES
+                out[-1].slices.append((f, a, b, a == start))
+                room -= b - a
+        return out
+
+    def read(self, part: _Slices) -> Iterator[pa.RecordBatch]:
+        for one in part.slices:
+            yield from self._slice(*one)
+
+    def _slice(self, file: str, begin: int, end: int, first: bool) -> Iterator[pa.RecordBatch]:
+        fs, path = file_system(file)
         with fs.open_input_file(path) as f:
             size = f.size()
-            end = min(part.end, size)
-            if part.tail:
-                start = _tail_start(f, end, part.tail)
-            elif part.first:
-                start = part.start
+            end = min(end, size)
+            if self.tail:
+                start = _tail_start(f, end, self.tail)
+            elif first:
+                start = begin
             else:
-                start = line_start(f, part.start)
-                if start < part.start:  # that line belongs to the slice before
+                start = line_start(f, begin)
+                if start < begin:  # that line belongs to the slice before
                     start = next((b for some in lines_between(f, start, start + 1, size) for _, b, _ in some), size)
             n = 0
             for some in lines_between(f, start, end, size):
@@ -94,8 +113,8 @@ class _Reader(DataSourceReader):
                 cut = [len(x) > self.limit or len(x) == self.limit and b - a > len(x) for a, b, x in some]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([part.file] * len(some)),
-                        pa.array([part.start] * len(some), pa.int64()),
+                        pa.array([file] * len(some)),
+                        pa.array([begin] * len(some), pa.int64()),
                         pa.array(range(n + 1, n + len(some) + 1), pa.int64()),
                         pa.array([a for a, _, _ in some], pa.int64()),
                         pa.array([b for _, b, _ in some], pa.int64()),
@@ -151,12 +170,22 @@ def _load(spark: SparkSession, ranges: Sequence[tuple[str, int, int]], **options
     return reader.load()
 
 
-def read_ranges(spark: SparkSession, ranges: Sequence[tuple[str, int, int]], max_line_length: int = MAX_LINE_LENGTH, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """Lines of the files' ranges (file, start, end), which begin at line starts and don't overlap; line_no counts a file's lines of all its ranges."""
+def read_ranges(spark: SparkSession, ranges: Sequence[tuple[str, int, int]], max_line_length: int = MAX_LINE_LENGTH, slice_bytes: int = SLICE_BYTES, headers: bool = False, parsers: Sequence[Parser] | None = None) -> DataFrame:
+    """Lines of the files' ranges (file, start, end), which begin at line starts and don't overlap; line_no ascends along a file, without gaps in a range.
+
+    ``headers`` says that every range begins with a header: then lines are prepared for folding by the same ``parsers``.
+    """
     rows = _load(spark, ranges, max_line_length=max_line_length, slice_bytes=slice_bytes)
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    first = rows.groupBy("file", "block").agg(F.max("n").alias("_n")).select("file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    return rows.join(first, ["file", "block"]).withColumn("line_no", F.col("_first") + F.col("n")).select(LINES)
+    if any(end - start > slice_bytes for _, start, end in ranges):  # slices of one range are numbered through
+        before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        first = rows.groupBy("file", "block").agg(F.max("n").alias("_n")).select("file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+        return rows.join(first, ["file", "block"]).withColumn("line_no", F.col("_first") + F.col("n")).select(LINES)
+    lines = rows.withColumn("line_no", F.col("block") + F.col("n")).select(LINES)
+    if not headers:
+        return lines
+    lines = lines.withColumn("is_header", is_header(F.col("raw"), None if parsers is None else list(parsers)))
+    within = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return lines.withColumn("header_line", F.last(F.when(F.col("is_header"), F.col("line_no")), ignorenulls=True).over(within))
 
 
 def read_tails(spark: SparkSession, paths: str | Sequence[str], n: int, max_line_length: int = MAX_LINE_LENGTH) -> DataFrame:
