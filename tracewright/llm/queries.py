@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tracewright.llm import chat, urls
 from tracewright.llm.bpe import round_trip_digests
 from tracewright.llm.common import table
+from tracewright.llm.ftrl import score as score_quality
 from tracewright.llm.hmm import score as score_language
 from tracewright.llm.jaccard import classes as similar_classes
 from tracewright.llm.neighbours import search as search_neighbours
 from tracewright.llm.packing import pack
 from tracewright.llm.pii import find as find_personal_data
 from tracewright.llm.quality import judge
+from tracewright.llm.repair import digests as repair_digests
 from tracewright.llm.toxicity import score as score_toxicity
+from tracewright.llm.whitening import whiten
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 CHAT_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -109,6 +112,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows with damage that a checksum of conv_id and turn deals: dropped, emptied, unpunctuated, repeated, or said by the user."""
+    said = {x: F.coalesce(F.col(x).cast("string"), F.lit(" ")) for x in ("conv_id", "turn", "role", "text")}
+    rows = conversations.select("conv_id", "turn", said["role"].alias("role"), said["text"].alias("text"), (F.crc32(F.concat_ws(":", said["conv_id"], said["turn"]).cast("binary")) % 20).alias("_fault"))
+    rows = rows.filter("_fault <> 0").withColumns({
+        "role": F.when(F.col("_fault") == 4, "user").otherwise(F.col("role")),
+        "text": F.when(F.col("_fault") == 1, "").when(F.col("_fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")),
+    })
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("_fault") == 3, 2).otherwise(1)))).drop("_fault", "_copy")
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_digests(damaged(conversations), conversations)
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat,
@@ -121,6 +148,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_personal_data": op9_personal_data,
         "op10_toxicity": op10_toxicity,
+        "op11_whitening": op11_whitening,
+        "op12_structure_repair": op12_structure_repair,
+        "op12_structure_repair": op12_structure_repair,
+        "op13_quality_classifier": op13_quality_classifier,
     }
 
 
