@@ -754,3 +754,25 @@ def test_pii_terms_are_counted_alike_sent_or_joined(spark, monkeypatch):
     assert pii.terms(" ".join(words)) == {t for w in re.findall(r"[^\x20\x09-\x0D]+", " ".join(words)) if (t := pii._term(w))} == {"foo", "bar", "σας"}
     about = pii.Surroundings(" ".join(words) + " jo@brank.example")
     assert {t for t, _, _ in about.of(pii.base_spans(about.text)[-1])} == {"foo", "bar", "σας"}
+
+
+def test_toxicity_sample_skips_what_does_not_fit_and_labels_without_documents(spark, monkeypatch):
+    assert common.fitting([5, 20, 3, 9, 2], 10) == [0, 2, 4] and common.fitting([], 3) == []
+    fold = {k: [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == k] for k in (0, 1, 3)}
+    rows = [(i, prose(i, 60) + " vilbrak" * (i % 3 == 0), "en") for i in range(400)]
+    marks = [(i, 1, int(i % 3 == 0)) for i in range(400)]
+    given = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    # far more labels of other corpora than the bounds
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 60)
+    monkeypatch.setattr(toxicity, "MAX_ORDINARY", 60)
+    foreign = spark.createDataFrame([(i, 1, i % 2) for i in range(10_000, 30_000)], "doc_id long, quality int, toxic int")
+    assert toxicity.sample(docs(spark, rows), given.union(foreign)).groupBy("toxic").count().orderBy("toxic").collect() == [(0, 60), (1, 60)]
+    assert toxicity.score(docs(spark, rows), given.union(foreign)).filter("predicted = 1").count() > 100
+    # whichever row comes first in the order of hashes, a very long text doesn't keep the others out
+    monkeypatch.undo()
+    monkeypatch.setattr(toxicity, "MAX_CHARS", 80_000)
+    first = spark.range(400).filter(F.col("id").isin(*fold[0], *fold[1], *fold[3])).withColumnRenamed("id", "doc_id").orderBy(*common.by_hash("doc_id")).first()[0]
+    long = [(i, prose(i, 60_000) if i == first else t, lang) for i, t, lang in rows]
+    kept = toxicity.sample(docs(spark, long), given).collect()
+    assert len(kept) > 100 and sum(len(r["text"]) for r in kept) <= 80_000 and first in {r["doc_id"] for r in kept}
+    assert toxicity.score(docs(spark, long), given).filter("predicted = 1").count() > 100

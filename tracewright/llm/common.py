@@ -66,6 +66,16 @@ def likely_sample(df: DataFrame, key: str, k: int, n: int) -> DataFrame:
     return near if near.select(key).count() >= k else df
 
 
+def fitting(sizes: list[int], most: int) -> list[int]:
+    """The places of those sizes that, taken one by one, fit into what the ones before left of ``most``; one that doesn't fit is skipped."""
+    out = []
+    for i, size in enumerate(sizes):
+        if size <= most:
+            most -= size
+            out.append(i)
+    return out
+
+
 def by_hash(key: str) -> list:
     """The order that samples are taken in."""
     return [F.pmod(F.xxhash64(key), F.lit(1 << 31)), F.col(key)]

@@ -18,8 +18,9 @@ thousands of ordinary words would drown a few of those. The score is a logistic
 of the length and (the marked part) as a logarithm of the sum, fitted on training rows that the counts didn't use.
 
 The model is fitted on a bounded sample of labelled rows: of the training rows at most ``MAX_TOXIC`` toxic and
-``MAX_ORDINARY`` ordinary ones, those with the least hash of doc_id, and of these in that order as many as hold
-``MAX_CHARS`` characters together. All of their sequences are in the model; tasks hold it as two sorted arrays of 64-bit
+``MAX_ORDINARY`` ordinary ones, those with the least hash of doc_id, and of these, in that order, each that fits into
+what is left of ``MAX_CHARS`` characters; a text longer than a ``LEAST_ROWS``-th of them is learnt from up to there.
+Labels without a document don't count. All of their sequences are in the model; tasks hold it as two sorted arrays of 64-bit
 hashes with a value each, 12 bytes a sequence. Everything is scored: whole texts of all documents. Labels, language,
 source and doc_id are no inputs of a score.
 
@@ -38,11 +39,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tracewright.llm.common import batches, by_hash, cut, likely_sample, mix
+from tracewright.llm.common import batches, by_hash, cut, fitting, likely_sample, mix
 
-MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 3000, 6000, 64_000_000
+MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 3000, 6000, 24_000_000
+#: A row gives the sample at most its part of the characters, if so many rows share them.
+LEAST_ROWS = 16
 #: Letters in a sequence of the highest order.
 ORDER = 6
 #: Discount of every order.
@@ -195,6 +198,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The bounded sample: text, toxic, and whether a row is for the weights rather than the counts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("_fold", fold(F.col("doc_id"))).filter("_fold <> 2")
+    # labels of other corpora's documents take nobody's place
+    known = cut(known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     parts = []
     for toxic, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY)):
@@ -203,9 +208,14 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = parts[0].union(parts[1]).select("doc_id", (F.col("_fold") == 3).alias("for_weights"), "toxic")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # at most MAX_TOXIC + MAX_ORDINARY rows of three numbers; an id that repeats is one row behind this
-    rows = cut(texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "for_weights", "toxic").agg(F.min("text").alias("text")))
-    upto = F.sum(F.length("text")).over(Window.orderBy(*by_hash("doc_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.join(F.broadcast(rows.select("doc_id", upto.alias("_upto")).filter(F.col("_upto") <= MAX_CHARS).select("doc_id")), "doc_id")
+    met = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "for_weights", "toxic").agg(F.min("text").alias("text"))
+    rows = cut(met.withColumn("text", F.substring("text", 1, max(1, MAX_CHARS // LEAST_ROWS))))
+    lengths = rows.select("doc_id", F.length("text").alias("n")).orderBy(*by_hash("doc_id")).collect()  # as many rows
+    taken = fitting([r["n"] for r in lengths], MAX_CHARS)
+    if len(taken) == len(lengths):
+        return rows
+    ids = rows.sparkSession.createDataFrame([(lengths[i]["doc_id"],) for i in taken], "doc_id long")
+    return rows.join(F.broadcast(ids), "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
