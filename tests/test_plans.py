@@ -61,7 +61,7 @@ def test_ranges_are_the_lines_between(spark, tmp_path, slice_bytes):
     every = read_lines(spark, path, max_line_length=40).select("offset", "end_offset", "raw", "truncated").orderBy("offset").collect()
     starts = [r["offset"] for r in every]
     cut = [(path, starts[10], starts[60]), (path, starts[61], starts[200]), (path, starts[290], len(data))]
-    got = ranges.read_ranges(spark, cut, max_line_length=40, slice_bytes=slice_bytes).orderBy("offset").collect()
+    got = ranges.read_ranges(ranges.ranges_of(spark, cut), max_line_length=40, slice_bytes=slice_bytes).orderBy("offset").collect()
     wanted = every[10:60] + every[61:200] + every[290:]
     assert [(r["offset"], r["end_offset"], r["raw"], r["truncated"]) for r in got] == [tuple(r) for r in wanted]
     numbers = [r["line_no"] for r in got]
@@ -87,7 +87,7 @@ def test_window_reads_what_the_index_names(spark, logs, tmp_path, monkeypatch):
     total = sum(n for n, _ in sizes(logs).values())
     for criteria in (Criteria(date_from=at(100), date_to=at(160)), Criteria("Handler.php", date_from=at(2400))):
         expected = records.filter(criteria.predicate())
-        asked = T._ranges(index, files, criteria, 300)
+        asked = [tuple(r) for r in T.matching_ranges(index, files, criteria, 300).select("file", "start", "end").collect()]
         share = (expected.agg(F.max("ts").cast("long") - F.min("ts").cast("long")).first()[0] + 1200) / (4000 * 60)
         assert sum(b - a for _, a, b in asked) < total * share * 2.2 and len(asked) <= 2
         for margin_of in (300, 0):

@@ -1,6 +1,7 @@
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from samples import minutes, timed
@@ -30,14 +31,16 @@ def test_appended_lines_survive_restart_and_rotation(spark, tmp_path):
     assert spark.read.parquet(out).filter("event = 'rotated'").count() == 1 and (0, "new") in read()
 
 
-def test_small_ticks_cut_no_line(spark, tmp_path):
+@pytest.mark.parametrize("slice_bytes", [64, 1 << 26])
+def test_small_ticks_cut_no_line_and_reach_the_end(spark, tmp_path, slice_bytes):
     data = b"".join(b"line %d %s\r\n" % (i, b"z" * (i * 7 % 120)) for i in range(60)) + b"open end"
     (tmp_path / "in").mkdir()
     for name in ("a.log", "b.log"):
         (tmp_path / "in" / name).write_bytes(data)
-    out = str(tmp_path / "out")
-    for _ in range(4):  # the allowance is shorter than some lines
-        drain(follow.follow_lines(spark, f"{tmp_path}/in/*.log", start="begin", max_bytes=3000), out, str(tmp_path / "state"))
+    out, path = str(tmp_path / "out"), f"{tmp_path}/in/*.log"
+    stream = follow.follow_lines(spark, path, start="begin", max_bytes=500, slice_bytes=slice_bytes)  # ranges are shorter than some lines
+    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).outputMode("append")
+    assert follow.drain(writer, path) == -(-len(data) // 500) and follow.drain(writer, path) <= 1
     found = spark.read.parquet(out)
     starts = [0]
     for line in data.split(b"\n")[:-1]:
@@ -48,6 +51,23 @@ def test_small_ticks_cut_no_line(spark, tmp_path):
         assert [(r["offset"], r["end_offset"], r["raw"]) for r in own] == wanted
 
 
+def test_one_run_takes_all_that_is_there(spark, tmp_path):
+    (tmp_path / "a.log").write_bytes(b"".join(b"line %d\n" % i for i in range(40)))
+    drain(follow.follow_lines(spark, str(tmp_path / "a.log"), start="begin", slice_bytes=100), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert [r["raw"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("offset").collect()] == [f"line {i}" for i in range(40)]
+
+
+def test_followed_lines_are_capped(spark, tmp_path):
+    (tmp_path / "a.log").write_bytes(b"[2026-01-01 10:00:00] a.INFO: one\n" + b"x" * 300_000 + b"\nshort\n" + b"y" * 100 + b"\n")
+    stream = follow.follow_lines(spark, str(tmp_path / "a.log"), start="begin", max_line_length=100, slice_bytes=1000)
+    drain(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    found = spark.read.parquet(str(tmp_path / "out")).orderBy("offset").collect()
+    assert [(len(r["raw"]), r["truncated"]) for r in found] == [(33, False), (100, True), (5, False), (100, True)]
+    assert [r["offset"] for r in found[1:]] == [r["end_offset"] for r in found[:-1]] and found[1]["end_offset"] == 300_035
+    drain(follow.follow_records(stream, max_continuation=2), str(tmp_path / "records"), str(tmp_path / "records-state"))
+    assert [(r["n_lines"], r["truncated"]) for r in spark.read.parquet(str(tmp_path / "records")).collect()] == [(3, True)]  # the last one is open
+
+
 def test_a_batch_folds_as_line_by_line():
     rng = random.Random(1)
     for most in (2, 5):
@@ -56,16 +76,16 @@ def test_a_batch_folds_as_line_by_line():
         for _ in range(30):
             rows = []
             for _ in range(rng.randint(1, 9)):
-                rows.append((rng.random() < 0.3, at, at + 4, f"l{at}"))
+                rows.append((rng.random() < 0.3, at, at + 4, f"l{at}", rng.random() < 0.1))
                 at += 4
-            frame = pd.DataFrame(rows, columns=["is_header", "offset", "end_offset", "raw"])
+            frame = pd.DataFrame(rows, columns=["is_header", "offset", "end_offset", "raw", "truncated"])
             done, held = follow._folded_batch(frame, held, most)
             got += done
-            for header, a, b, raw in rows:
+            for header, a, b, raw, cut in rows:
                 if open_record and (header or len(open_record[2]) > most):
                     expected.append(open_record)
                     open_record = None
-                open_record = (a, b, [raw]) if open_record is None else (open_record[0], b, open_record[2] + [raw])
+                open_record = (a, b, [raw], cut) if open_record is None else (open_record[0], b, open_record[2] + [raw], open_record[3] or cut)
         assert got == expected and held == open_record
 
 

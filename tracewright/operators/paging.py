@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tracewright.functions.parsers import is_header
 from tracewright.operators.fold import fold_records
-from tracewright.sources.lines import FOLDABLE
+from tracewright.sources.lines import FOLDABLE, LINES
+from tracewright.sources.ranges import range_lines, read_after, read_before
 
 
 def last_lines(lines: DataFrame, n: int) -> DataFrame:
@@ -63,6 +64,28 @@ def page(lines: DataFrame, cursor: int | None = None, limit: int = 200, directio
     return fold_batch(page_lines(lines, cursor, limit, direction, compat), parsers)
 
 
+def page_text(files: DataFrame, limit: int = 200, direction: str = "next", parsers=None, meter=None) -> DataFrame:
+    """The page's records of text files (file, size, cursor), of which the page's lines alone are read; as ``page`` from these cursors (a null one is the start or the end)."""
+    if direction == "next":
+        return fold_batch(read_after(files.withColumn("cursor", F.coalesce("cursor", F.lit(0).cast("long"))), limit, meter=meter), parsers)
+    return fold_batch(read_before(files.withColumn("cursor", F.least(F.coalesce("cursor", "size"), "size")), limit, meter=meter), parsers)
+
+
+def line_index(lines: DataFrame, block_bytes: int = 1 << 20) -> DataFrame:
+    """Per file and block of bytes the first line that begins in it (its number and offset), to be kept for jumps to pages."""
+    return lines.groupBy("file", F.floor(F.col("offset") / block_bytes).alias("block")).agg(F.min("line_no").alias("first_line"), F.min("offset").alias("first_offset"))
+
+
+def numbered_page(index: DataFrame, files: DataFrame, number: int, page_size: int = 200, meter=None) -> DataFrame:
+    """The lines of every file's page ``number`` (from 0), read from the block where the page begins, by a kept ``line_index``; files: file, size."""
+    wanted = number * page_size + 1
+    last = index.filter(F.col("first_line") <= wanted).groupBy("file").agg(F.max(F.struct("first_line", "first_offset")).alias("_at"))
+    begins = files.select("file", "size").join(last, "file").select("file", F.col("_at.first_line").alias("_line"), F.col("_at.first_offset").alias("start"), F.col("size").alias("end"))
+    begins = begins.withColumns({"head": F.lit(wanted + page_size) - F.col("_line"), "key": F.col("_line")})
+    lines = range_lines(begins, meter=meter).withColumn("line_no", F.col("key") + F.col("n") - 1)
+    return lines.filter(F.col("line_no") >= wanted).select(LINES)
+
+
 def page_status(lines: DataFrame, cursor: int | None = None, limit: int = 200, direction: str = "next") -> DataFrame:
     """Per file: next_cursor (null at the end), previous_cursor (null at byte 0), file_size, reached_start, reached_end, count."""
     own = page_lines(lines, cursor, limit, direction).groupBy("file").agg(F.min("offset").alias("low"), F.max("end_offset").alias("high"), F.count("*").alias("count"))

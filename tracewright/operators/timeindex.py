@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tracewright.functions.criteria import Criteria
@@ -13,7 +14,7 @@ from tracewright.functions.parsers import Parser
 from tracewright.operators.fold import fold_records
 from tracewright.sources.files import read_records
 from tracewright.sources.ranges import read_ranges
-from tracewright.sources.stores import written
+from tracewright.sources.stores import held, written
 
 MARGIN = 300
 #: Up to so many ranges a read of kept records has as predicates; days alone prune beyond.
@@ -52,55 +53,58 @@ def time_range(files: DataFrame, records: DataFrame, date_from: dt.datetime | No
 
 
 def time_index(records: DataFrame, block_bytes: int = 128 << 20) -> DataFrame:
-    """The zone map: per file and block the time span, the number of headers, of undated ones, and the first and last header."""
-    headers = records.filter(F.col("parser") != "plain")
+    """The zone map: per file and block the time span, the number of headers, of undated ones, and the first and last header.
+
+    ``untimed`` counts all records without a time, also those without a header, and ``first_record`` is the block's
+    first record of any kind: by these a window's search finds undated records as an unpruned one does.
+    """
     block = F.floor(F.col("offset") / block_bytes).alias("block")
-    return headers.groupBy("file", block).agg(F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.count("*").alias("headers"), F.count_if(F.col("ts").isNull()).alias("undated"), F.min("offset").alias("first_header"), F.max("offset").alias("last_header"))
+    headed = F.col("parser") != "plain"
+    of_header = lambda c: F.when(headed, c)
+    return records.groupBy("file", block).agg(
+        F.min(of_header(F.col("ts"))).alias("min_ts"), F.max(of_header(F.col("ts"))).alias("max_ts"), F.count_if(headed).alias("headers"), F.count_if(headed & F.col("ts").isNull()).alias("undated"),
+        F.min(of_header(F.col("offset"))).alias("first_header"), F.max(of_header(F.col("offset"))).alias("last_header"), F.count_if(F.col("ts").isNull()).alias("untimed"), F.min("offset").alias("first_record"),
+    )
 
 
 def matching_blocks(index: DataFrame, criteria: Criteria, margin: int = MARGIN) -> DataFrame:
-    """(file, block) of the blocks whose span meets the criteria's window."""
+    """(file, block) of the blocks whose span meets the criteria's window, or which hold records without a time: all that a search can return lies there."""
     low, high = criteria.bounds()
     keep = F.col("min_ts").isNotNull()
     if low is not None:
         keep &= F.col("max_ts") >= F.lit(low - dt.timedelta(seconds=margin))
     if high is not None:
         keep &= F.col("min_ts") <= F.lit(high + dt.timedelta(seconds=margin))
-    return index.filter(keep).select("file", "block")
+    return index.filter(keep | (F.col("untimed") > 0)).select("file", "block")
 
 
 def matching_ranges(index: DataFrame, files: DataFrame, criteria: Criteria, margin: int = MARGIN) -> DataFrame:
     """(file, start, end): the bytes of the records that begin in matching blocks, blocks in a row being one range; files: file, size."""
     by_block = Window.partitionBy("file").orderBy("block")  # a row for each block
-    ends = index.withColumn("_next", F.lead("first_header").over(by_block))
+    ends = index.withColumn("_next", F.lead("first_record").over(by_block))
     found = ends.join(matching_blocks(index, criteria, margin), ["file", "block"], "left_semi").join(files.select("file", "size"), "file")
-    found = found.select("file", "block", F.col("first_header").alias("start"), F.coalesce("_next", "size").alias("end"))
+    found = found.select("file", "block", F.col("first_record").alias("start"), F.coalesce("_next", "size").alias("end"))
     apart = F.coalesce(F.lag("end").over(by_block) < F.col("start"), F.lit(True))
     found = found.withColumn("_range", F.sum(apart.cast("int")).over(by_block))
     return found.groupBy("file", "_range").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_range")
 
 
-def _ranges(index: DataFrame, files: DataFrame, criteria: Criteria, margin: int) -> list[tuple[str, int, int]]:
-    """``matching_ranges`` on the driver: one window is few ranges of each file, at most one for every second block."""
-    found = matching_ranges(index, files, criteria, margin).orderBy("file", "start").toArrow()
-    return list(zip(*(found.column(x).to_pylist() for x in ("file", "start", "end"))))
+def search_text(spark: SparkSession, index: DataFrame, files: DataFrame, criteria: Criteria, parsers: Sequence[Parser] | None = None, margin: int = MARGIN, meter: Accumulator | None = None) -> DataFrame:
+    """Matches in text files, of which only the byte ranges are read that a kept time index names; the same as a search of all."""
+    ranges = held(matching_ranges(index, files, criteria, margin), "ranges")
+    return fold_records(read_ranges(ranges, headers=True, parsers=parsers, meter=meter), parsers).filter(criteria.predicate())
 
 
-def search_text(spark: SparkSession, index: DataFrame, files: DataFrame, criteria: Criteria, parsers: Sequence[Parser] | None = None, margin: int = MARGIN) -> DataFrame:
-    """Matches in text files, of which only the byte ranges are read that a kept time index names; on dated, ordered logs the same as a search of all.
+def search_kept(spark: SparkSession, path: str, index: DataFrame, files: DataFrame, criteria: Criteria, margin: int = MARGIN) -> DataFrame:
+    """Matches in records kept by ``write_records``, of which only the days and row groups are read that a kept time index names.
 
-    Undated records outside these ranges aren't returned.
+    A few ranges are predicates that skip row groups, more of them are not; the result is the same, for all that passes
+    the criteria lies in the ranges.
     """
-    lines = read_ranges(spark, _ranges(index, files, criteria, margin), headers=True, parsers=parsers)
-    return fold_records(lines, parsers).filter(criteria.predicate())
-
-
-def search_kept(spark: SparkSession, path: str, index: DataFrame, files: DataFrame, criteria: Criteria, margin: int = MARGIN) -> DataFrame:
-    """Matches in records kept by ``write_records``, of which only the days and row groups are read that a kept time index names."""
     records = read_records(spark, path, criteria)
-    ranges = _ranges(index, files, criteria, margin)
-    if len(ranges) <= MOST_PREDICATES:
-        inside = [(F.col("file") == f) & (F.col("offset") >= a) & (F.col("offset") < b) for f, a, b in ranges]
+    few = matching_ranges(index, files, criteria, margin).limit(MOST_PREDICATES + 1).collect()
+    if len(few) <= MOST_PREDICATES:
+        inside = [(F.col("file") == r["file"]) & (F.col("offset") >= r["start"]) & (F.col("offset") < r["end"]) for r in few]
         records = records.filter(reduce(lambda x, y: x | y, inside, F.lit(False)))
     return records.filter(criteria.predicate())
 

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewright.functions import parsers as P, scalar as S
 from tracewright.functions.criteria import Criteria
-from tracewright.operators import count as C, fold, paging, search as Q, timeindex as T
+from tracewright.operators import count as C, fold, paging, search as Q, seek, timeindex as T
 from tracewright.plans import views as V
 from tracewright.sources import files as X, lines as L
-from tracewright.sources.ranges import read_tails
+from tracewright.sources.ranges import files_in, read_after, read_bounded, read_tails
+from tracewright.sources.stores import file_system, sizes
 from tracewright.streaming import follow
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,6 +271,46 @@ def tail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.fold_batch(lines).withColumn("file", V.log_name(F.col("file"))).select(SHOWN)
 
 
+# the same over text logs, of which no more is read than the answer needs
+def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text logs: file, size, and the log's name."""
+    return files_in(spark, [f"{V.event_logs(spark, sf_dir)}/logs/file=app-{i}.log/*.txt" for i in range(8)]).withColumn("log", V.log_name(F.col("file")))
+
+
+def _cursors(files: DataFrame, byte: int) -> DataFrame:
+    """The logs with the start of the first line at or behind a byte as cursor, a line's place as pages give it."""
+    return files.join(read_after(files.withColumn("cursor", F.lit(byte).cast("long")), 1).select("file", F.col("offset").alias("cursor")), "file")
+
+
+def _shown(records: DataFrame) -> DataFrame:
+    return records.withColumn("file", V.log_name(F.col("file"))).select(SHOWN)
+
+
+def over_logs(name: str, make: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """A query on the text logs; ``sql`` reads their records as ``r``."""
+    query(name, f"{V.EVENTS_SQL} {sql}")(lambda spark, sf_dir: _shown(make(_logs(spark, sf_dir))))
+
+
+over_logs("search_forward_text", lambda f: seek.search_files(f.filter("log = 'app-2.log'"), Criteria("click", limit=25)), f"SELECT {SHOWN_SQL} FROM r WHERE file = 'app-2.log' AND contains(lower(raw), 'click') ORDER BY \"offset\" LIMIT 25")
+over_logs("search_backward_text", lambda f: seek.search_files(f.filter("log = 'app-2.log'"), Criteria(level="error", limit=25, direction="backward")), f"SELECT {SHOWN_SQL} FROM r WHERE file = 'app-2.log' AND level = 'error' ORDER BY \"offset\" DESC LIMIT 25")
+over_logs("search_resume_text", lambda f: seek.search_files(f.filter("log = 'app-2.log'"), Criteria("click", limit=10, from_offset=4000)), f"SELECT {SHOWN_SQL} FROM r WHERE file = 'app-2.log' AND contains(lower(raw), 'click') AND \"offset\" >= 4000 ORDER BY \"offset\" LIMIT 10")
+over_logs("search_many_text", lambda f: seek.search_files(f.withColumn("file_ord", F.array_position(F.array(*map(F.lit, LOGS)), F.col("log"))).filter("file_ord > 0"), Criteria(level="error", limit=300)), f"SELECT {SHOWN_SQL} FROM r WHERE level = 'error' AND {_ORDER} > 0 ORDER BY {_ORDER}, \"offset\" LIMIT 300")
+over_logs("search_span", lambda f: seek.search_span(f, _IN_WINDOW), f"SELECT {SHOWN_SQL} FROM r WHERE contains(lower(raw), 'handler.php') AND {WINDOW_SQL}")
+query("time_range_text", ORACLES["time_range"])(lambda spark, sf_dir: seek.time_range_files(_logs(spark, sf_dir), DAY10, DAY12).select(V.log_name(F.col("file")).alias("file"), "start", "end"))
+query("page_forward_text", ORACLES["page_forward"])(lambda spark, sf_dir: _shown(paging.page_text(_logs(spark, sf_dir).withColumn("cursor", F.lit(2500).cast("long")), 30)))
+query("page_previous_text", _batch_sql(_RANKED.format("WHERE end_offset <= (SELECT min(e.\"offset\") FROM event_lines e WHERE e.\"offset\" >= 1500 AND e.file = event_lines.file)", "DESC", 30)))(lambda spark, sf_dir: _shown(paging.page_text(_cursors(_logs(spark, sf_dir), 1500), 30, "previous")))
+query("numbered_page", "WITH " + V.EVENT_LINES_SQL + ' SELECT file, line_no, "offset", raw FROM event_lines WHERE line_no > 120 AND line_no <= 160')(lambda spark, sf_dir: paging.numbered_page(paging.line_index(L.read_lines(spark, f"{V.event_logs(spark, sf_dir)}/logs/*/*.txt").withColumn("file", F.regexp_replace("file", "^file:/+", "/")), ZONE_BYTES), _logs(spark, sf_dir), 3, 40).select(V.log_name(F.col("file")).alias("file"), "line_no", "offset", "raw"))
+query("read_bounded", "WITH " + V.EVENT_LINES_SQL + ' SELECT file, line_no, "offset", end_offset, raw FROM event_lines')(lambda spark, sf_dir: read_bounded(_logs(spark, sf_dir), slice_bytes=100_000).select(V.log_name(F.col("file")).alias("file"), "line_no", "offset", "end_offset", "raw"))
+
+
+@query("record_near", V.EVENTS_SQL + """, p AS (SELECT file, CAST(max(end_offset) * k // 7 AS BIGINT) AS byte FROM event_lines, range(1, 7) t(k) GROUP BY file, k)
+SELECT p.file, p.byte, r."offset", r.end_offset FROM p JOIN r ON p.file = r.file AND p.byte >= r."offset" AND p.byte < r.end_offset""")
+def record_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records at six bytes of every log, of which their neighbourhoods alone are read."""
+    probes = _logs(spark, sf_dir).select("file", "size", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("k")).withColumn("byte", F.expr("size * k div 7"))
+    return seek.records_near(probes).withColumn("file", V.log_name(F.col("file")))
+
+
 # scalar functions
 _STAMPS = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(ts AS STRING) WHEN 1 THEN ' ' || replace(substring(CAST(ts AS STRING), 1, 19), ' ', 'T') || 'Z' WHEN 2 THEN substring(CAST(ts AS STRING), 1, 10) WHEN 3 THEN '10:00' ELSE 'no date' END AS text FROM {e}"
 query("to_ts", "SELECT event_id, CASE WHEN event_id % 5 < 2 THEN CAST(floor(epoch(ts)) AS BIGINT) WHEN event_id % 5 = 2 THEN CAST(epoch(date_trunc('day', ts)) AS BIGINT) END AS t FROM events")(lambda spark, sf_dir: spark.sql(_STAMPS, e=V.table(spark, sf_dir, "events")).select("event_id", F.unix_timestamp(S.to_ts(F.col("text"))).alias("t")))
@@ -377,32 +419,30 @@ query("follow_counts", "SELECT strftime(ts, '%Y-%m-%d %H:00') AS bucket, count(*
 @query("follow_lines", "WITH " + V.EVENT_LINES_SQL + ' SELECT file, "offset", end_offset, raw FROM event_lines')
 def follow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text logs followed from their beginning."""
-    stream = follow.follow_lines(spark, f"{V.event_logs(spark, sf_dir)}/logs", start="begin", max_bytes=1 << 30, recursive=True)
+    stream = follow.follow_lines(spark, f"{V.event_logs(spark, sf_dir)}/logs", start="begin", recursive=True)
     return _drained(spark, stream, "follow-lines").select(V.log_name(F.col("file")).alias("file"), "offset", "end_offset", "raw")
 
 
 _OLD, _NEW = "event_id % 2 = 0", "event_id % 16 = 1"
 
 
-@query("follow_rotation", f"""WITH a AS (SELECT event_id, 'event ' || event_id || ' of ' || user_id AS raw FROM events WHERE user_id % 8 = 3),
+@query("follow_rotation", f"""WITH a AS (SELECT {V._FILE} AS file, event_id, 'event ' || event_id || ' of ' || user_id AS raw FROM events),
 p AS (SELECT 1 AS part, * FROM a WHERE {_OLD} UNION ALL SELECT 2, * FROM a WHERE {_NEW})
-SELECT 'append' AS event, CAST(sum(strlen(raw) + 1) OVER w - strlen(raw) - 1 AS BIGINT) AS "offset", raw FROM p WINDOW w AS (PARTITION BY part ORDER BY event_id)
-UNION ALL SELECT 'rotated', 0, NULL""")
+SELECT file, 'append' AS event, CAST(sum(strlen(raw) + 1) OVER w - strlen(raw) - 1 AS BIGINT) AS "offset", raw FROM p WINDOW w AS (PARTITION BY part, file ORDER BY event_id)
+UNION ALL SELECT DISTINCT file, 'rotated', 0, NULL FROM p WHERE part = 2""")
 def follow_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log that is replaced by a shorter one between two ticks."""
+    """Eight logs that shorter ones replace between two ticks. A log is one file, which one task writes."""
     path = V.scratch(spark, "rotated")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    log = fs_path(f"{path}/log/a.log")
-    fs = log.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(log.getParent())
-    events = V.table(spark, sf_dir, "events").filter("user_id % 8 = 3")
+    events = V.table(spark, sf_dir, "events").withColumn("file", F.expr(V._FILE))
+    fs, own = file_system(path)
+    fs.create_dir(f"{own}/logs")
     for no, keep in enumerate((_OLD, _NEW)):
-        text = events.filter(keep).select("event_id", F.expr("'event ' || cast(event_id as string) || ' of ' || cast(user_id as string)").alias("value"))
-        text.coalesce(1).sortWithinPartitions("event_id").select("value").write.text(f"{path}/part-{no}")  # one log is one file
-        fs.delete(log, False)
-        fs.rename(fs.globStatus(fs_path(f"{path}/part-{no}/*.txt"))[0].getPath(), log)
-        _drain(follow.follow_lines(spark, f"{path}/log/a.log", start="begin", max_bytes=1 << 30), f"{path}/out")
-    return spark.read.parquet(f"{path}/out").select("event", "offset", "raw")
+        text = events.filter(keep).select("file", "event_id", F.expr("'event ' || cast(event_id as string) || ' of ' || cast(user_id as string)").alias("value"))
+        text.repartition("file").sortWithinPartitions("file", "event_id").select("file", "value").write.partitionBy("file").text(f"{path}/part-{no}")
+        for f in sizes(f"{path}/part-{no}", recursive=True, hidden=False):
+            fs.move(file_system(f)[1], f"{own}/logs/{re.search('file=([^/]*)/', f)[1]}")
+        _drain(follow.follow_lines(spark, f"{path}/logs", start="begin"), f"{path}/out")
+    return spark.read.parquet(f"{path}/out").select(F.substring_index("file", "/", -1).alias("file"), "event", "offset", "raw")
 
 
 @query("follow_records", V.EVENTS_SQL + f" SELECT {SHOWN_SQL} FROM r QUALIFY row_number() OVER (PARTITION BY file ORDER BY \"offset\" DESC) > 1")

@@ -9,6 +9,9 @@ import uuid
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables of so many rows are held by the driver rather than written.
+HELD_ROWS = 10_000
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder all executors share, spark.checkpoint.dir. Where it is unset, a temporary one, in local mode alone."""
@@ -28,6 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame, name: str, most: int = HELD_ROWS) -> DataFrame:
+    """``df``, run once: up to ``most`` rows pass through the driver and are a local table, more are ``written``. For rows of a few numbers alone."""
+    few = df.limit(most + 1).toArrow()
+    return df.sparkSession.createDataFrame(few, df.schema) if few.num_rows <= most else written(df, name)
+
+
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of an address and the path in it; an address without a scheme is local."""
     if "://" in path or path.startswith("file:"):

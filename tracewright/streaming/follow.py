@@ -2,30 +2,58 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewright.functions.criteria import Criteria
 from tracewright.functions.parsers import classify, is_header, plain
 from tracewright.functions.scalar import to_ts
 from tracewright.operators.fold import FIELDS, MAX_CONTINUATION, RECORDS
-from tracewright.streaming.tail_source import AppendedLines, MAX_BYTES
+from tracewright.sources.lines import MAX_LINE_LENGTH
+from tracewright.sources.ranges import SLICE_BYTES
+from tracewright.sources.stores import sizes
+from tracewright.streaming.tail_source import AppendedLines
 
 #: Records may be late by so much in time.
 LATENESS = "300 seconds"
 WINDOWS = {"minute": "1 minute", "hour": "1 hour", "day": "1 day"}
-_OPEN = "offset long, end_offset long, lines array<string>"
-_FOLDED = "file string, offset long, end_offset long, lines array<string>"
+_OPEN = "offset long, end_offset long, lines array<string>, truncated boolean"
+_FOLDED = f"file string, {_OPEN}"
 
 
-def follow_lines(spark: SparkSession, path: str, start: str = "end", max_bytes: int = MAX_BYTES, recursive: bool = False) -> DataFrame:
-    """A stream of appended lines (event, file, offset, end_offset, raw); rotation is an event row."""
+def follow_lines(spark: SparkSession, path: str, start: str = "end", max_bytes: int | None = None, recursive: bool = False, max_line_length: int = MAX_LINE_LENGTH, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """A stream of appended lines (event, file, offset, end_offset, raw, truncated); rotation is an event row.
+
+    ``max_bytes`` bounds what a trigger takes of a file (None: all that is there); ``slice_bytes`` is what a task reads.
+    """
     spark.dataSource.register(AppendedLines)
-    return spark.readStream.format("appended_lines").option("path", path).option("start", start).option("max_bytes", str(max_bytes)).option("recursive", str(recursive)).load()
+    options = {"path": path, "start": start, "recursive": str(recursive), "max_line_length": str(max_line_length), "slice_bytes": str(slice_bytes)}
+    return spark.readStream.format("appended_lines").options(**options, **({} if max_bytes is None else {"max_bytes": str(max_bytes)})).load()
+
+
+def drain(writer: DataStreamWriter, path: str, recursive: bool = False) -> int:
+    """Run a stream over appended lines (of ``path``), trigger by trigger, until it has taken what is there now; the number of triggers.
+
+    What is appended meanwhile is left. The writer needs a checkpoint location; a stream without ``max_bytes`` takes one trigger.
+    """
+    goal = {f: n for f, (n, _) in sizes(path, recursive, hidden=False).items()}
+    done = 0
+    while True:
+        run = writer.trigger(availableNow=True).start()
+        run.awaitTermination()
+        if run.lastProgress is None:
+            return done
+        done += 1
+        source = json.loads(run.lastProgress.json)["sources"][0]
+        begin, end = (json.loads(x["files"]) if x else {} for x in (source["startOffset"], source["endOffset"]))
+        if begin == end or all(end.get(f, 0) >= n for f, n in goal.items()):
+            return done
 
 
 def follow_segments(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
@@ -41,22 +69,22 @@ def follow_records(lines: DataFrame, parsers=None, max_continuation: int = MAX_C
     a duration; None keeps it until then).
     """
     own = lines.withColumn("is_header", is_header(F.col("raw"), parsers))
-    own = own.select("file", "event", "offset", "end_offset", "raw", "is_header")
+    own = own.select("file", "event", "offset", "end_offset", "raw", "is_header", F.col("truncated") if "truncated" in lines.columns else F.lit(False).alias("truncated"))
     wait = None if timeout is None else int(pd.Timedelta(timeout).total_seconds() * 1000)
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         kept = state.get if state.exists else None
-        now = (kept[0], kept[1], list(kept[2])) if kept is not None else None
+        now = (kept[0], kept[1], list(kept[2]), kept[3]) if kept is not None else None
         if state.hasTimedOut:
-            out.append((key[0], now[0], now[1], now[2]))
+            out.append((key[0], *now))
             state.remove()
         else:
             # a batch's rows of one file come in any order; rotation begins a new file
             rows = pd.concat(list(frames))
             rotated = (rows["event"] == "rotated").any()
             if rotated and now is not None:
-                out.append((key[0], now[0], now[1], now[2]))
+                out.append((key[0], *now))
                 now = None
             rows = rows[rows["event"] == "append"].sort_values("offset")
             if len(rows):
@@ -69,19 +97,19 @@ def follow_records(lines: DataFrame, parsers=None, max_continuation: int = MAX_C
                 state.update(tuple(now))
                 if wait is not None:
                     state.setTimeoutDuration(wait)
-        yield pd.DataFrame(out, columns=["file", "offset", "end_offset", "lines"])
+        yield pd.DataFrame(out, columns=["file", "offset", "end_offset", "lines", "truncated"])
 
     kind = GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout
     folded = own.groupBy("file").applyInPandasWithState(fold, _FOLDED, _OPEN, "append", kind)
     first = F.col("lines")[0]
     head = F.coalesce(classify(first, parsers), plain(first))
-    rows = folded.select("file", "offset", "end_offset", "lines", F.inline(F.array(head)))
-    rows = rows.select("file", "offset", "end_offset", F.array_join("lines", "\n").alias("raw"), F.lit(False).alias("truncated"), F.size("lines").alias("n_lines"), *FIELDS[:-1], F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))).alias("extra"))
+    rows = folded.select("file", "offset", "end_offset", "lines", "truncated", F.inline(F.array(head)))
+    rows = rows.select("file", "offset", "end_offset", F.array_join("lines", "\n").alias("raw"), "truncated", F.size("lines").alias("n_lines"), *FIELDS[:-1], F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))).alias("extra"))
     return rows.withColumn("ts", to_ts(F.col("datetime"))).select(RECORDS)
 
 
 def _folded_batch(rows: pd.DataFrame, held: tuple | None, max_continuation: int) -> tuple[list[tuple], tuple]:
-    """A file's new lines in order: finished records (offset, end_offset, lines), and the one that stays open. ``held`` is the one that was."""
+    """A file's new lines in order: finished records (offset, end_offset, lines, truncated), and the one that stays open. ``held`` is the one that was."""
     header = rows["is_header"].to_numpy(dtype=bool)
     group = np.cumsum(header)
     begin = np.flatnonzero(np.concatenate([[True], np.diff(group) > 0]))
@@ -89,14 +117,14 @@ def _folded_batch(rows: pd.DataFrame, held: tuple | None, max_continuation: int)
     if held is not None and not header[0]:  # the first group goes on with the open record
         place[group == 0] += len(held[2])
     starts = np.flatnonzero(place % (max_continuation + 1) == 0)
-    raw, offset, end = rows["raw"].tolist(), rows["offset"].tolist(), rows["end_offset"].tolist()
+    raw, offset, end, cut = (rows[x].tolist() for x in ("raw", "offset", "end_offset", "truncated"))
     done: list[tuple] = []
     first = int(starts[0]) if len(starts) else len(rows)
     if held is not None:
-        held = (held[0], end[first - 1] if first else held[1], held[2] + raw[:first])
+        held = (held[0], end[first - 1] if first else held[1], held[2] + raw[:first], held[3] or any(cut[:first]))
         done.append(held)
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
-        done.append((offset[a], end[b - 1], raw[a:b]))
+        done.append((offset[a], end[b - 1], raw[a:b], any(cut[a:b])))
     return done[:-1], done[-1]
 
 
