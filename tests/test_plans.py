@@ -45,6 +45,16 @@ def test_fold_reads_its_source_once(spark, sf_dir, logs):
         assert scans(df) == 1 and "ReusedExchange" in plan
 
 
+def test_tails_and_pages_read_their_source_once(spark, sf_dir):
+    lines = V.event_lines(spark, sf_dir, headers=True)
+    for df in (paging.tail(lines, 40), paging.page(lines, 2500, 30)):
+        assert scans(df) == 1 and "WindowGroupLimit" in final_plan(df)
+    most = paging.GROUP_LIMIT + 1  # behind Spark's limit of a group the same rows come by their numbers
+    by_number = paging.last_lines(lines, most)
+    ranked = paging._ranked(lines, F.desc("line_no"), most)
+    assert by_number.exceptAll(ranked).count() == ranked.exceptAll(by_number).count() == 0
+
+
 def test_folded_alike_with_and_without_headers(spark, logs):
     columns = ["file", "offset", "end_offset", "raw", "n_lines", "level"]
     for limit in (3, None):

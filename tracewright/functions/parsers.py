@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -156,6 +157,18 @@ def classify(line: Column, use: list[Parser] | None = None) -> Column:
     return F.lit(None).cast(PARSED) if out is None else out
 
 
+_read: dict[tuple, Column] = {}
+
+
+def reading(line: str, use: list[Parser] | None = None) -> Column:
+    """``classify`` of a line that is given as an expression's text; the same columns are made but once a session, for they are large."""
+    session = SparkContext._active_spark_context  # noqa: SLF001
+    key = (None if session is None else session.applicationId, line, *(parsers() if use is None else use))
+    if key not in _read:
+        _read[key] = classify(F.expr(line), use)
+    return _read[key]
+
+
 def is_header(line: Column, use: list[Parser] | None = None) -> Column:
     """Whether some parser claims the line."""
     out = F.lit(False)

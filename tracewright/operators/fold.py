@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tracewright.functions.parsers import PARSED, Parser, classify, is_header, plain
+from tracewright.functions.parsers import PARSED, Parser, classify, is_header, plain, reading
 from tracewright.functions.scalar import to_ts
 
 MAX_CONTINUATION = 200
@@ -72,7 +72,7 @@ def _records(keyed: DataFrame, parsers: Sequence[Parser] | None, plain_records:
     )
     first = F.col("_raws")[0]
     none = F.lit(None).cast(PARSED)
-    head = F.when(F.col("_headed"), classify(first, None if parsers is None else list(parsers))).otherwise(plain(first) if plain_records else none)
+    head = F.when(F.col("_headed"), reading("_raws[0]", None if parsers is None else list(parsers))).otherwise(plain(first) if plain_records else none)
     # a generator of one row, so that the header is read once and not once for each of its fields
     rows = grouped.select("file", "offset", "end_offset", "truncated", "_raws", F.inline(F.array(head)))
     rows = rows.select(

@@ -10,18 +10,33 @@ from tracewright.sources.lines import FOLDABLE, LINES
 from tracewright.sources.ranges import range_lines, read_after, read_before
 
 
+#: Spark keeps so many rows of a group in each task before it shuffles (spark.sql.optimizer.windowGroupLimitThreshold's default).
+GROUP_LIMIT = 1000
+
+
 def last_lines(lines: DataFrame, n: int) -> DataFrame:
-    """The last ``n`` lines of every file, by their numbers: a row for each file says where they begin, so no file is sorted or gathered."""
+    """The last ``n`` lines of every file, by their numbers, from one pass: each task passes on but its own last ones of a file.
+
+    Of more lines than Spark limits before a shuffle, a row for each file says where they begin.
+    """
+    if n <= GROUP_LIMIT:
+        return _ranked(lines, F.desc("line_no"), n)
     ends = lines.groupBy("file").agg(F.max("line_no").alias("_end"))
     return lines.join(ends, "file").filter(F.col("line_no") > F.col("_end") - n).drop("_end")
 
 
 def first_lines(lines: DataFrame, n: int) -> DataFrame:
     """The first ``n`` lines of every file, likewise."""
+    if n <= GROUP_LIMIT:
+        return _ranked(lines, F.asc("line_no"), n)
     begins = lines.groupBy("file").agg(F.min("line_no").alias("_begin"))
     return lines.join(begins, "file").filter(F.col("line_no") < F.col("_begin") + n).drop("_begin")
 
 
+def _ranked(lines: DataFrame, order, n: int) -> DataFrame:
+    return lines.withColumn("_rank", F.row_number().over(Window.partitionBy("file").orderBy(order))).filter(F.col("_rank") <= n).drop("_rank")
+
+
 def fold_batch(lines: DataFrame, parsers=None) -> DataFrame:
     """Records of some lines of each file, without a limit on continuation lines; a leading continuation is a plain record."""
     # a batch is small: it is numbered anew, and its headers are found, by one window over each file's

@@ -15,7 +15,7 @@ from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracewright.functions.criteria import Criteria
-from tracewright.functions.parsers import Parser, classify, is_header
+from tracewright.functions.parsers import Parser, is_header, reading
 from tracewright.functions.scalar import to_ts
 from tracewright.operators.fold import MAX_CONTINUATION, RECORDS, fold_records
 from tracewright.operators.timeindex import MARGIN, PROBED_BYTES
@@ -25,14 +25,18 @@ from tracewright.sources.stores import held, written
 #: The first step's bytes when looking for a header, and how much each step is larger than the one before.
 STEP_BYTES, STEP_GROWTH = 16 << 10, 16
 #: The first wave's bytes of a search, over all files, and how much each wave is larger than the one before.
-WAVE_BYTES, WAVE_GROWTH = 4 << 20, 8
+WAVE_BYTES, WAVE_GROWTH = 1 << 20, 8
 #: A round of a time's bisection puts so many probes of so many bytes into what is left of a file; it ends below so many bytes.
 PROBES, PROBE_BYTES, EDGE_BYTES = 16, 8 << 10, 256 << 10
 
 
-def _headers_near(probes: DataFrame, parsers: Sequence[Parser] | None, behind: bool, meter: Accumulator | None) -> DataFrame:
-    """(file, byte, size) with ``at``: the last header at or before the byte, 0 if there is none; or (``behind``) the first one at or behind it, else the size."""
-    left = held(probes.select("file", "byte", "size").distinct().withColumns({"low": F.col("byte"), "high": F.col("byte")}), "probes")
+def _headers_near(probes: DataFrame, parsers: Sequence[Parser] | None, behind: bool, meter: Accumulator | None, few: int | None = None) -> DataFrame:
+    """Different (file, byte, size) with ``at``: the last header at or before the byte, 0 if there is none; or (``behind``) the first one at or behind it, else the size.
+
+    ``few`` says how many probes there are, if that is known and they are a local table.
+    """
+    left = probes.select("file", "byte", "size").withColumns({"low": F.col("byte"), "high": F.col("byte")})
+    left = held(left, "probes") if few is None else left
     done: list[DataFrame] = []
     step = STEP_BYTES
     while not left.isEmpty():
@@ -41,7 +45,7 @@ def _headers_near(probes: DataFrame, parsers: Sequence[Parser] | None, behind: b
             span = left.withColumns({"start": F.col("high"), "end": F.least(F.col("high") + step, "size")})
         else:
             span = left.withColumns({"start": F.greatest(F.col("low") - step, F.lit(0)), "end": F.when(F.col("low") == F.col("byte"), F.least(F.col("byte") + 1, "size")).otherwise(F.col("low"))})
-        lines = range_lines(span.select("file", F.col("byte").alias("key"), "start", "end"), meter=meter).filter(is_header(F.col("raw"), None if parsers is None else list(parsers)))
+        lines = range_lines(span.select("file", F.col("byte").alias("key"), "start", "end"), meter=meter, total=few and few * (step + 1)).filter(is_header(F.col("raw"), None if parsers is None else list(parsers)))
         best = lines.groupBy("file", F.col("key").alias("byte")).agg((F.min if behind else F.max)("offset").alias("found"))
         edge = F.when(F.col("end") >= F.col("size"), F.col("size")) if behind else F.when(F.col("start") <= 0, F.lit(0).cast("long"))
         met = held(span.join(best, ["file", "byte"], "left").withColumn("at", F.coalesce("found", edge)), "headers-near")
@@ -52,12 +56,12 @@ def _headers_near(probes: DataFrame, parsers: Sequence[Parser] | None, behind: b
 
 
 def headers_before(probes: DataFrame, parsers: Sequence[Parser] | None = None, meter: Accumulator | None = None) -> DataFrame:
-    """Probes (file, byte, size) with ``at``, the last header that begins at or before the byte; 0 where there is none."""
+    """Probes (file, byte, size), each once, with ``at``, the last header that begins at or before the byte; 0 where there is none."""
     return _headers_near(probes, parsers, False, meter)
 
 
 def headers_behind(probes: DataFrame, parsers: Sequence[Parser] | None = None, meter: Accumulator | None = None) -> DataFrame:
-    """Probes (file, byte, size) with ``at``, the first header that begins at or behind the byte; the size where there is none."""
+    """Probes (file, byte, size), each once, with ``at``, the first header that begins at or behind the byte; the size where there is none."""
     return _headers_near(probes, parsers, True, meter)
 
 
@@ -100,7 +104,7 @@ def _wave_end(spans: DataFrame, total: int, end: int, parsers: Sequence[Parser]
     into = end - met["base"]
     byte = met["top"] - into if backward else met["low"] + into
     probe = spans.sparkSession.createDataFrame([(met["file"], byte, met["size"])], "file string, byte long, size long")
-    at = (headers_before if backward else headers_behind)(probe, parsers, meter).first()["at"]
+    at = _headers_near(probe, parsers, not backward, meter, few=1).first()["at"]
     return met["base"] + (met["top"] - max(at, met["low"]) if backward else min(at, met["top"]) - met["low"])
 
 
@@ -124,7 +128,7 @@ def search_files(files: DataFrame, criteria: Criteria, parsers: Sequence[Parser]
         near, far = F.greatest(F.col("base"), F.lit(at)) - F.col("base"), F.least(F.col("base") + F.col("length"), F.lit(end)) - F.col("base")
         start, stop = (F.col("top") - far, F.col("top") - near) if criteria.backward else (F.col("low") + near, F.col("low") + far)
         part = own.select("file", "file_ord", "cursor", start.alias("start"), stop.alias("end"))
-        records = fold_records(read_ranges(part.select("file", "start", "end"), headers=True, parsers=parsers, meter=meter), parsers, max_continuation)
+        records = fold_records(read_ranges(part.select("file", "start", "end"), headers=True, parsers=parsers, meter=meter, total=end - at), parsers, max_continuation)
         matches = records.filter(criteria.predicate(cursor=False)).join(part.select("file", "file_ord", "cursor"), "file")
         if criteria.end_offset is not None:
             matches = matches.filter(F.col("offset") < criteria.end_offset)
@@ -144,7 +148,7 @@ def search_files(files: DataFrame, criteria: Criteria, parsers: Sequence[Parser]
 
 def stamped(lines: DataFrame, parsers: Sequence[Parser] | None = None) -> DataFrame:
     """Headers among lines: key, file, offset and ``t``, their time in seconds (null where they have none)."""
-    own = lines.withColumn("_parsed", classify(F.col("raw"), None if parsers is None else list(parsers))).filter("_parsed is not null")
+    own = lines.withColumn("_parsed", reading("raw", None if parsers is None else list(parsers))).filter("_parsed is not null")
     return own.select("file", "key", "offset", F.unix_timestamp(to_ts(F.col("_parsed.datetime"))).alias("t"))
 
 

@@ -228,12 +228,12 @@ def _batch_sql(lines: str) -> str:
 
 
 _RANKED = 'SELECT * FROM event_lines {0} QUALIFY row_number() OVER (PARTITION BY file ORDER BY "offset" {1}) <= {2}'
-query("tail", _batch_sql(_RANKED.format("", "DESC", 40)))(lambda spark, sf_dir: paging.tail(V.event_lines(spark, sf_dir), 40).select(SHOWN))
+query("tail", _batch_sql(_RANKED.format("", "DESC", 40)))(lambda spark, sf_dir: paging.tail(V.event_lines(spark, sf_dir, headers=True), 40).select(SHOWN))
 query("tail_conversations", "WITH t AS (SELECT 'conv-' || conv_id AS file, conv_id, turn, role || ': ' || text AS body FROM conversations), s AS (SELECT file, turn, unnest(string_split(body, chr(10))) AS raw, generate_subscripts(string_split(body, chr(10)), 1) AS seq FROM t), o AS (SELECT file, CAST(sum(strlen(raw) + 1) OVER w AS BIGINT) AS end_offset, CAST(sum(strlen(raw) + 1) OVER w - strlen(raw) - 1 AS BIGINT) AS \"offset\" FROM s WINDOW w AS (PARTITION BY file ORDER BY turn, seq)), l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY file ORDER BY \"offset\" DESC) <= 5) SELECT file, max(end_offset) AS next_cursor, CASE WHEN min(\"offset\") > 0 THEN min(\"offset\") END AS previous_cursor, count(*) AS count FROM l GROUP BY file")(
     lambda spark, sf_dir: paging.tail_status(V.conversation_lines(spark, sf_dir), 5)
 )
-query("page_forward", _batch_sql(_RANKED.format('WHERE "offset" >= 2500', "ASC", 30)))(lambda spark, sf_dir: paging.page(V.event_lines(spark, sf_dir), 2500, 30).select(SHOWN))
-query("page_previous", _batch_sql(_RANKED.format('WHERE "offset" < 1500', "DESC", 30)))(lambda spark, sf_dir: paging.page(V.event_lines(spark, sf_dir), 1500, 30, "previous").select(SHOWN))
+query("page_forward", _batch_sql(_RANKED.format('WHERE "offset" >= 2500', "ASC", 30)))(lambda spark, sf_dir: paging.page(V.event_lines(spark, sf_dir, headers=True), 2500, 30).select(SHOWN))
+query("page_previous", _batch_sql(_RANKED.format('WHERE "offset" < 1500', "DESC", 30)))(lambda spark, sf_dir: paging.page(V.event_lines(spark, sf_dir, headers=True), 1500, 30, "previous").select(SHOWN))
 query("page_previous_compat", _batch_sql(_RANKED.format("", "ASC", 60)))(lambda spark, sf_dir: paging.page(V.event_lines(spark, sf_dir), 1500, 60, "previous", compat=True).select(SHOWN))
 query("page_status", "WITH " + V.EVENT_LINES_SQL + ", p AS (" + _RANKED.format('WHERE "offset" >= 2500', "ASC", 30) + '), z AS (SELECT file, max(end_offset) AS file_size FROM event_lines GROUP BY file) SELECT z.file, CASE WHEN max(p.end_offset) < file_size THEN max(p.end_offset) END AS next_cursor, CASE WHEN min(p."offset") > 0 THEN min(p."offset") END AS previous_cursor, file_size, coalesce(min(p."offset") = 0, false) AS reached_start, coalesce(max(p.end_offset) >= file_size, true) AS reached_end, count(p.file) AS count FROM z LEFT JOIN p ON z.file = p.file GROUP BY z.file, file_size')(lambda spark, sf_dir: paging.page_status(V.event_lines(spark, sf_dir), 2500, 30))
 query("page_index", "WITH " + V.EVENT_LINES_SQL + ' SELECT file, (line_no - 1) // 200 AS page, min("offset") AS start, max(end_offset) AS "end", count(*) AS lines FROM event_lines GROUP BY 1, 2')(lambda spark, sf_dir: paging.page_index(V.event_lines(spark, sf_dir), 200))

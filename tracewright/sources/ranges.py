@@ -166,35 +166,37 @@ def ranges_of(spark: SparkSession, ranges: Sequence[tuple[str, int, int]]) -> Da
     return spark.createDataFrame(pa.table({"file": pa.array(files, pa.string()), "start": pa.array(starts, pa.int64()), "end": pa.array(ends, pa.int64())}))
 
 
-def range_lines(ranges: DataFrame, max_line_length: int | None = MAX_LINE_LENGTH, slice_bytes: int = SLICE_BYTES, meter: Accumulator | None = None) -> DataFrame:
+def range_lines(ranges: DataFrame, max_line_length: int | None = MAX_LINE_LENGTH, slice_bytes: int = SLICE_BYTES, meter: Accumulator | None = None, total: int | None = None) -> DataFrame:
     """The lines that begin in ranges (file, start, end; start may be any byte), with ``key`` (a range's own, else its start), the slice's start as ``block``, whether a line is its range's ``first``, and its place ``n`` in the slice.
 
     With a column ``head`` or ``tail`` only so many lines of a range, the first or the last ones; such a range isn't cut.
     """
-    return _sliced(ranges, max_line_length, slice_bytes, meter)[0]
+    return _sliced(ranges, max_line_length, slice_bytes, meter, total)[0]
 
 
-def _sliced(ranges: DataFrame, max_line_length: int | None, slice_bytes: int, meter: Accumulator | None) -> tuple[DataFrame, bool]:
-    """``range_lines``, and whether every range is a slice."""
+def _sliced(ranges: DataFrame, max_line_length: int | None, slice_bytes: int, meter: Accumulator | None, total: int | None = None) -> tuple[DataFrame, bool]:
+    """``range_lines``, and whether every range is a slice. ``total`` is the ranges' bytes, where they are known to be few enough for that."""
     nothing = F.lit(0).cast("long")
     given = ranges.columns
     whole = [c for c in ("head", "tail") if c in given]
     own = ranges.select("file", (F.col("key") if "key" in given else F.col("start")).alias("key"), F.col("start").alias("_start"), F.col("end").alias("_end"), *((F.col(c).cast("long") if c in given else nothing).alias(c) for c in ("head", "tail"))).filter("_start < _end")
     pieces = F.array(F.col("_start")) if whole else F.expr(f"sequence(_start, _end - 1, {slice_bytes}L)")
     cut = own.select("*", F.explode(pieces).alias("start")).select("file", "key", "start", (F.col("_end") if whole else F.least(F.col("start") + slice_bytes, F.col("_end"))).alias("end"), (F.col("start") == F.col("_start")).alias("first"), "head", "tail")
+    if total is not None and total <= slice_bytes:
+        return cut.repartition(-(-total // TASK_BYTES) or 1).mapInArrow(lambda rows: _read(rows, max_line_length, meter), SCHEMA), True
     size = cut.agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes"), F.bool_and("first").alias("whole")).first()
     tasks = max(1, min(size["n"], MOST_TASKS, max(-(-(size["bytes"] or 0) // TASK_BYTES), ranges.sparkSession.sparkContext.defaultParallelism)))
     return cut.repartition(tasks).mapInArrow(lambda rows: _read(rows, max_line_length, meter), SCHEMA), size["whole"] is not False
 
 
-def read_ranges(ranges: DataFrame, max_line_length: int | None = MAX_LINE_LENGTH, slice_bytes: int = SLICE_BYTES, headers: bool = False, parsers: Sequence[Parser] | None = None, meter: Accumulator | None = None) -> DataFrame:
+def read_ranges(ranges: DataFrame, max_line_length: int | None = MAX_LINE_LENGTH, slice_bytes: int = SLICE_BYTES, headers: bool = False, parsers: Sequence[Parser] | None = None, meter: Accumulator | None = None, total: int | None = None) -> DataFrame:
     """Lines of ranges (file, start, end) that don't overlap; line_no ascends along a file, without gaps in a range.
 
     With ``headers`` lines are prepared for folding by the same ``parsers``, and every range begins with a record: its
     first line begins one, whether it is a header or not. Ranges of a slice each are numbered by where they lie and are
-    read once; longer ones are read a second time for their slices' totals.
+    read once; longer ones are read a second time for their slices' totals. ``total`` is the ranges' bytes, if known.
     """
-    rows, whole = _sliced(ranges, max_line_length, slice_bytes, meter)
+    rows, whole = _sliced(ranges, max_line_length, slice_bytes, meter, total)
     rows = rows.withColumn("is_header", is_header(F.col("raw"), None if parsers is None else list(parsers)) if headers else F.lit(False))
     begins = F.col("is_header") | F.col("first") & (F.col("offset") > 0)
     own = Window.partitionBy("file", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
