@@ -125,6 +125,21 @@ def test_listing_with_dotfiles(spark, tmp_path):
     assert [r["name"] for r in X.list_files(spark, str(tmp_path)).collect()] == ["a.log"]
 
 
+def test_a_deep_tree_is_listed_by_levels(spark, tmp_path):
+    wanted = set()
+    for i in range(60):
+        folder = tmp_path / "/".join(f"d{i % k}" for k in range(2, 2 + i % 6)) / f"leaf{i}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f".x{i}.log").write_bytes(b"x" * i)
+        wanted.add((str(folder / f".x{i}.log"), str((folder / f".x{i}.log").relative_to(tmp_path)), i))
+    (tmp_path / "empty").mkdir()
+    found = X.list_files(spark, f"file://{tmp_path}", dotfiles=True).collect()
+    assert {(r["path"], r["relative_path"], r["size"]) for r in found} == wanted and len(found) == 60
+    one = X.list_files(spark, next(iter(wanted))[0], dotfiles=True).collect()
+    assert [(r["name"], r["relative_path"]) for r in one] == [(one[0]["name"], one[0]["name"])]
+    assert X.list_files(spark, f"{tmp_path}/no-such", dotfiles=True).count() == 0
+
+
 def test_sizes_by_glob_and_address(tmp_path):
     for name in ("a.log", "b.txt"):
         (tmp_path / name).write_bytes(b"12345")

@@ -61,6 +61,13 @@ def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.select_files(listing).select("name", "size", "relative_path")
 
 
+@query("list_logs", "WITH " + V.EVENT_LINES_SQL + " SELECT file AS name, CAST(max(end_offset) AS BIGINT) AS size, 'file=' || file AS folder FROM event_lines GROUP BY file")
+def list_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text logs' folders and files, listed level by level."""
+    found = X.list_files(spark, f"{V.event_logs(spark, sf_dir)}/logs", extensions=("txt",), dotfiles=True)
+    return found.select(V.log_name(F.col("path")).alias("name"), "size", F.substring_index("relative_path", "/", 1).alias("folder"))
+
+
 query("lines_from_table", V.DOCUMENT_LINES_SQL + ' SELECT file, line_no, "offset", end_offset, raw FROM d')(lambda spark, sf_dir: V.document_lines(spark, sf_dir).select("file", "line_no", "offset", "end_offset", "raw"))
 query("line_offsets", "WITH " + V.EVENT_LINES_SQL + ' SELECT file, line_no, "offset", end_offset, raw FROM event_lines')(lambda spark, sf_dir: V.event_lines(spark, sf_dir).select("file", "line_no", "offset", "end_offset", "raw"))
 

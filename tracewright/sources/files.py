@@ -7,15 +7,18 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracewright.functions.criteria import Criteria
 from tracewright.functions.scalar import clamp_limit, file_identifier, fingerprint, size_human
 from tracewright.operators.paging import last_lines
-from tracewright.sources.stores import sizes
+from tracewright.sources.stores import file_system, held
 
 EXTENSIONS, HIDDEN = ("log", "txt"), ("*.key", "*.pem", ".env*")
 MB = 1 << 20
+#: A listing goes so many levels of folders down, each by at most so many tasks.
+MOST_LEVELS, MOST_TASKS = 200, 1000
 
 
 def glob_pattern(glob: str) -> str:
@@ -26,32 +29,56 @@ def glob_pattern(glob: str) -> str:
 def list_files(spark: SparkSession, roots: str | list[str], extensions: tuple[str, ...] = EXTENSIONS, hidden: tuple[str, ...] = HIDDEN, dotfiles: bool = False, driver: str = "local") -> DataFrame:
     """All files below the roots with one of the extensions (none given: all), newest first; contents aren't read.
 
-    Spark's own listing never shows names that begin with a dot or an underscore; with ``dotfiles`` each root is listed
-    by a task of its own instead.
+    Spark's own listing never shows names that begin with a dot or an underscore; with ``dotfiles`` folders are listed
+    level by level instead, each level's by tasks.
     """
     roots = [roots] if isinstance(roots, str) else list(roots)
     if dotfiles:
-        given = spark.createDataFrame(pa.table({"root": roots})).repartition(len(roots))
-        files = given.mapInArrow(_listed, "path string, relative_path string, modificationTime timestamp, length long")
+        own = F.regexp_replace("path", r"^file:/*", "/")
+        base = F.rtrim(F.regexp_replace("root", r"^file:/*", "/"), F.lit("/"))
+        inner = F.expr("substr(_own, length(_base) + 2)")
+        files = listed(spark, roots).withColumns({"_own": own, "_base": base}).select(F.col("_own").alias("path"), F.when(F.col("_own") == F.col("_base"), F.substring_index("_own", "/", -1)).otherwise(inner).alias("relative_path"), "modificationTime", "length")
     else:
         found = []
         for root in roots:
-            listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
+            seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
             base = re.sub(r"^file:/*", "/", root).rstrip("/")
             own = F.regexp_replace("path", r"^file:/*", "/")
-            found.append(listed.withColumns({"path": own, "relative_path": F.regexp_replace(own, f"^{re.escape(base)}/", "")}))
+            found.append(seen.withColumns({"path": own, "relative_path": F.regexp_replace(own, f"^{re.escape(base)}/", "")}))
         files = reduce(DataFrame.unionByName, found)
     return select_files(files.dropDuplicates(["path"]), extensions, hidden, dotfiles, driver).orderBy(F.desc("last_modified"), "path")
 
 
-def _listed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every file below the roots."""
+def listed(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """Every file below the roots: root, path, modificationTime, length. A round lists the folders of one level, dealt to tasks."""
+    level = spark.createDataFrame([(x, x) for x in roots], "root string, path string")
+    found, folders = [], len(roots)
+    for _ in range(MOST_LEVELS):
+        entries = held(level.repartition(min(folders, MOST_TASKS)).mapInArrow(_entries, "root string, path string, folder boolean, modificationTime timestamp, length long"), "listing")
+        found.append(entries.filter("not folder").drop("folder"))
+        level = entries.filter("folder").select("root", "path")
+        folders = level.count()
+        if not folders:
+            return reduce(DataFrame.unionByName, found)
+    raise ValueError(f"folders lie deeper than {MOST_LEVELS} levels; a link may lead back")
+
+
+def _entries(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What folders hold; a file is its own entry, and what has gone meanwhile has none."""
     for batch in rows:
-        for root in batch.column(0).to_pylist():
-            base = re.sub(r"^file:/*", "/", root).rstrip("/")
-            found = [(re.sub(r"^file:/*", "/", f), size, time) for f, (size, time) in sizes(root, recursive=True).items()]
-            times = pa.array([int(t * 1_000_000) for _, _, t in found], pa.timestamp("us", "UTC"))
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _, _ in found], pa.string()), pa.array([f.removeprefix(f"{base}/") for f, _, _ in found], pa.string()), times, pa.array([n for _, n, _ in found], pa.int64())], ["path", "relative_path", "modificationTime", "length"])
+        for root, path in zip(*(c.to_pylist() for c in batch.columns)):
+            fs, own = file_system(path)
+            prefix = path[: len(path) - len(own)] if path.endswith(own) else ""
+            info = fs.get_file_info(own)
+            entries = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(own, allow_not_found=True))
+            entries = [x for x in entries if x.type in (pafs.FileType.File, pafs.FileType.Directory)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([root] * len(entries), pa.string()), pa.array([prefix + x.path for x in entries], pa.string()), pa.array([not x.is_file for x in entries], pa.bool_()),
+                    pa.array([int(x.mtime.timestamp() * 1_000_000) if x.mtime else 0 for x in entries], pa.timestamp("us", "UTC")), pa.array([x.size if x.is_file else 0 for x in entries], pa.int64()),
+                ],
+                ["root", "path", "folder", "modificationTime", "length"],
+            )
 
 
 def select_files(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS, hidden: tuple[str, ...] = HIDDEN, dotfiles: bool = False, driver: str = "local") -> DataFrame:
