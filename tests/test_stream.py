@@ -101,6 +101,39 @@ def test_records_over_batches_equal_the_batch_fold(spark, tmp_path):
     assert found == [r["raw"] for r in fold_records(own).orderBy("offset").collect()][:-1]  # the last one is still open
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_tasks_finish_records_and_leave_edges(spark, parts):
+    own = lines(spark, timed(minutes(200), 3)[0]).withColumn("event", F.lit("append"))
+    total = own.count()
+    ranged = own.repartitionByRange(parts, "line_no").sortWithinPartitions("line_no").cache()
+    done, left = (follow.fragments(ranged, whole).orderBy("offset").collect() for whole in (True, False))
+    assert sum(len(r["lines"]) for r in done + left) == total
+    assert len(left) <= parts * (1 + 3) and len(done) + len(left) < total  # at most a lead of one record and an open one
+    joined, held = follow._joined(((r["begins"], r["offset"], r["end_offset"], r["lines"], r["truncated"]) for r in left), None, 200)
+    found = sorted([(r["offset"], "\n".join(r["lines"])) for r in done] + [(r[0], "\n".join(r[2])) for r in [*joined, held]])
+    assert found == [(r["offset"], r["raw"]) for r in fold_records(own).orderBy("offset").collect()]
+
+
+def test_records_of_one_tick_in_small_slices(spark, tmp_path):
+    """Slices without a header, runs of continuations above the limit, headless starts, rotation: as the batch fold."""
+    rng = random.Random(5)
+    texts = [f"[2026-01-01 10:{i // 60 % 60:02d}:{i % 60:02d}] a.INFO: one {i}" if rng.random() < 0.25 else f"    at frame {i}" for i in range(300)]
+    log = tmp_path / "a.log"
+    log.write_text("".join(x + "\n" for x in texts))
+    for slice_bytes in (150, 1 << 20):
+        out, state = str(tmp_path / f"out{slice_bytes}"), str(tmp_path / f"state{slice_bytes}")
+        drain(follow.follow_records(follow.follow_lines(spark, str(log), start="begin", slice_bytes=slice_bytes), max_continuation=3), out, state)
+        found = [(r["offset"], r["n_lines"], r["raw"]) for r in spark.read.parquet(out).orderBy("offset").collect()]
+        expected, at, now = [], 0, None
+        for x in texts:
+            if now is None or x.startswith("[") or len(now[1]) > 3:
+                now = (at, [])
+                expected.append(now)
+            now[1].append(x)
+            at += len(x) + 1
+        assert found == [(a, len(x), "\n".join(x)) for a, x in expected[:-1]]
+
+
 def test_late_records_are_dropped(spark, tmp_path):
     src = str(tmp_path / "src")
     shape = "raw string, level string, ts timestamp, offset long"

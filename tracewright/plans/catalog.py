@@ -430,21 +430,22 @@ def follow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, stream, "follow-lines").select(V.log_name(F.col("file")).alias("file"), "offset", "end_offset", "raw")
 
 
-_OLD, _NEW = "event_id % 2 = 0", "event_id % 16 = 1"
+_LONG, _SHORT = "'event ' || {} || ' of ' || {}", "'event ' || {}"
 
 
-@query("follow_rotation", f"""WITH a AS (SELECT {V._FILE} AS file, event_id, 'event ' || event_id || ' of ' || user_id AS raw FROM events),
-p AS (SELECT 1 AS part, * FROM a WHERE {_OLD} UNION ALL SELECT 2, * FROM a WHERE {_NEW})
+@query("follow_rotation", f"""WITH p AS (SELECT 1 AS part, {V._FILE} AS file, event_id, {_LONG.format("event_id", "user_id")} AS raw FROM events
+UNION ALL SELECT 2, {V._FILE}, event_id, {_SHORT.format("event_id")} FROM events)
 SELECT file, 'append' AS event, CAST(sum(strlen(raw) + 1) OVER w - strlen(raw) - 1 AS BIGINT) AS "offset", raw FROM p WINDOW w AS (PARTITION BY part, file ORDER BY event_id)
 UNION ALL SELECT DISTINCT file, 'rotated', 0, NULL FROM p WHERE part = 2""")
 def follow_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight logs that shorter ones replace between two ticks. A log is one file, which one task writes."""
+    """Logs of all events that shorter ones of the same events replace between two ticks. A log is one file, which one task writes."""
     path = V.scratch(spark, "rotated")
     events = V.table(spark, sf_dir, "events").withColumn("file", F.expr(V._FILE))
+    ids = [f"cast({x} as string)" for x in ("event_id", "user_id")]
     fs, own = file_system(path)
     fs.create_dir(f"{own}/logs")
-    for no, keep in enumerate((_OLD, _NEW)):
-        text = events.filter(keep).select("file", "event_id", F.expr("'event ' || cast(event_id as string) || ' of ' || cast(user_id as string)").alias("value"))
+    for no, form in enumerate((_LONG, _SHORT)):
+        text = events.select("file", "event_id", F.expr(form.format(*ids)).alias("value"))
         text.repartition("file").sortWithinPartitions("file", "event_id").select("file", "value").write.partitionBy("file").text(f"{path}/part-{no}")
         for f in sizes(f"{path}/part-{no}", recursive=True, hidden=False):
             fs.move(file_system(f)[1], f"{own}/logs/{re.search('file=([^/]*)/', f)[1]}")

@@ -25,6 +25,8 @@ LATENESS = "300 seconds"
 WINDOWS = {"minute": "1 minute", "hour": "1 hour", "day": "1 day"}
 _OPEN = "offset long, end_offset long, lines array<string>, truncated boolean"
 _FOLDED = f"file string, {_OPEN}"
+_FRAGMENT = f"file string, event string, {_OPEN}, begins boolean"
+_FRAGMENT_COLUMNS = [x.split()[0] for x in _FRAGMENT.split(", ")]
 
 
 def follow_lines(spark: SparkSession, path: str, start: str = "end", max_bytes: int | None = None, recursive: bool = False, max_line_length: int = MAX_LINE_LENGTH, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -67,9 +69,12 @@ def follow_records(lines: DataFrame, parsers=None, max_continuation: int = MAX_C
 
     It comes out at the next header, at the limit of lines, on rotation, or after ``timeout`` without a line (given as
     a duration; None keeps it until then).
+
+    A task finishes by itself the records whose header and end lie in the lines that it reads one after another. Only
+    what is left at the edges of such runs (``fragments``) goes to the file's state, so a file's batch comes together
+    nowhere, however large; what a state step holds grows with the runs and with lines that no header precedes. The
+    lines are read twice for this, once for either.
     """
-    own = lines.withColumn("is_header", is_header(F.col("raw"), parsers))
-    own = own.select("file", "event", "offset", "end_offset", "raw", "is_header", F.col("truncated") if "truncated" in lines.columns else F.lit(False).alias("truncated"))
     wait = None if timeout is None else int(pd.Timedelta(timeout).total_seconds() * 1000)
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -82,14 +87,12 @@ def follow_records(lines: DataFrame, parsers=None, max_continuation: int = MAX_C
         else:
             # a batch's rows of one file come in any order; rotation begins a new file
             rows = pd.concat(list(frames))
-            rotated = (rows["event"] == "rotated").any()
-            if rotated and now is not None:
+            if (rows["event"] == "rotated").any() and now is not None:
                 out.append((key[0], *now))
                 now = None
             rows = rows[rows["event"] == "append"].sort_values("offset")
-            if len(rows):
-                done, now = _folded_batch(rows, now, max_continuation)
-                out += [(key[0], *x) for x in done]
+            done, now = _joined(rows[["begins", "offset", "end_offset", "lines", "truncated"]].itertuples(index=False), now, max_continuation)
+            out += [(key[0], *x) for x in done]
             if now is None:
                 if state.exists:
                     state.remove()
@@ -100,7 +103,8 @@ def follow_records(lines: DataFrame, parsers=None, max_continuation: int = MAX_C
         yield pd.DataFrame(out, columns=["file", "offset", "end_offset", "lines", "truncated"])
 
     kind = GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout
-    folded = own.groupBy("file").applyInPandasWithState(fold, _FOLDED, _OPEN, "append", kind)
+    at_edges = fragments(lines, False, parsers, max_continuation).groupBy("file").applyInPandasWithState(fold, _FOLDED, _OPEN, "append", kind)
+    folded = fragments(lines, True, parsers, max_continuation).select(at_edges.columns).union(at_edges)
     first = F.col("lines")[0]
     head = F.coalesce(classify(first, parsers), plain(first))
     rows = folded.select("file", "offset", "end_offset", "lines", "truncated", F.inline(F.array(head)))
@@ -108,6 +112,61 @@ def follow_records(lines: DataFrame, parsers=None, max_continuation: int = MAX_C
     return rows.withColumn("ts", to_ts(F.col("datetime"))).select(RECORDS)
 
 
+def fragments(lines: DataFrame, whole: bool, parsers=None, max_continuation: int = MAX_CONTINUATION) -> DataFrame:
+    """Of the lines that a task reads one after another of a file: the ``whole`` records, or what is left beside them.
+
+    Left are lines before a run's first header, one a row, and the last record of the run (``begins``), which later lines
+    may go on with; rotations pass. A run ends where the next line isn't of the same file or doesn't begin where the
+    last one ended, so lines that come in no order are all left, each as a run of its own.
+    """
+    own = lines.withColumn("is_header", is_header(F.col("raw"), parsers))
+    own = own.select("file", "event", "offset", "end_offset", "raw", "is_header", F.col("truncated") if "truncated" in lines.columns else F.lit(False).alias("truncated"))
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file = end = held = None
+        for rows in frames:
+            out: list[tuple] = []
+            append = rows["event"].to_numpy() == "append"
+            names, offset, ends = rows["file"].to_numpy(), rows["offset"].to_numpy(), rows["end_offset"].to_numpy()
+            goes_on = np.zeros(len(rows), dtype=bool)
+            goes_on[1:] = (names[1:] == names[:-1]) & (offset[1:] == ends[:-1]) & append[1:] & append[:-1]
+            if len(rows):
+                goes_on[0] = append[0] and file == names[0] and end == offset[0]
+            begin = np.flatnonzero(np.concatenate([[True], ~goes_on[1:]])) if len(rows) else []
+            for a, b in zip(begin, [*begin[1:], len(rows)]):
+                if held is not None and not goes_on[a]:
+                    out += [] if whole else [(file, "append", *held, True)]
+                    held = None
+                part = rows.iloc[a:b]
+                file, end = (names[b - 1], ends[b - 1]) if append[a] else (None, None)
+                if not append[a]:
+                    out += [] if whole else [(x.file, x.event, x.offset, x.end_offset, [], False, False) for x in part.itertuples()]
+                    continue
+                headers = np.flatnonzero(part["is_header"].to_numpy(dtype=bool))
+                lead = 0 if held is not None else int(headers[0]) if len(headers) else b - a
+                if not whole:
+                    out += [(x.file, "append", x.offset, x.end_offset, [x.raw], x.truncated, False) for x in part.iloc[:lead].itertuples()]
+                if lead < b - a:
+                    done, held = _folded_batch(part.iloc[lead:], held, max_continuation)
+                    out += [(file, "append", *x, True) for x in done] if whole else []
+            yield pd.DataFrame(out, columns=_FRAGMENT_COLUMNS)
+        if held is not None and not whole:
+            yield pd.DataFrame([(file, "append", *held, True)], columns=_FRAGMENT_COLUMNS)
+
+    return own.mapInPandas(cut, _FRAGMENT)
+
+
+def _joined(pieces: Iterator[tuple], held: tuple | None, max_continuation: int) -> tuple[list[tuple], tuple | None]:
+    """A file's fragments (begins, offset, end_offset, lines, truncated) in order: finished records, and the one that stays open."""
+    done: list[tuple] = []
+    for begins, offset, end, own, cut in pieces:
+        if held is not None and (begins or len(held[2]) > max_continuation):
+            done.append(held)
+            held = None
+        held = (int(offset), int(end), list(own), bool(cut)) if held is None else (held[0], int(end), [*held[2], *own], bool(held[3] or cut))
+    return done, held
+
+
 def _folded_batch(rows: pd.DataFrame, held: tuple | None, max_continuation: int) -> tuple[list[tuple], tuple]:
     """A file's new lines in order: finished records (offset, end_offset, lines, truncated), and the one that stays open. ``held`` is the one that was."""
     header = rows["is_header"].to_numpy(dtype=bool)
