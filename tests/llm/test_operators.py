@@ -419,6 +419,46 @@ def test_jaccard_counts_links_once_with_empty_blocks(spark, monkeypatch):
     assert got == {i: (root[i], links[i]) for i, _ in rows}
 
 
+@pytest.mark.parametrize("rounds, block", [(0, 256), (2, 256), (2, 5)])
+def test_jaccard_of_chained_groups(spark, monkeypatch, rounds, block):
+    """Groups of near copies that share two thirds of their words with the next one: links as by brute force, without meeting all that the chain reaches."""
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", block)
+    rng, rows = random.Random(8), []
+    pieces = [prose(900 + i, 60).split() for i in range(22)]
+    for i in range(20):
+        base = pieces[i] + pieces[i + 1] + pieces[i + 2]
+        for k in range(14):
+            own = list(base)
+            for _ in range(k % 5):  # some stand between two groups' buckets
+                own[rng.randrange(len(own))] = f"x{rng.randrange(1000)}"
+            rows.append((100 * i + k, " ".join(own)))
+    root, links = brute_classes(rows)
+    source = docs(spark, [(i, t, "en") for i, t in rows])
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.classes(source).collect()}
+    assert got == {i: (root[i], links[i]) for i, _ in rows}
+    reps = jaccard.signed(source).groupBy("print", "bands", "shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).withColumn("node", F.col("first"))
+    near = jaccard._buckets(reps).cache()
+    reached = [r["n"] for r in graph.components(near.select(F.col("node").alias("a"), F.col("hub").alias("b"))).groupBy("component").agg(F.count("*").alias("n")).collect()]
+    met = jaccard.meetings(reps, near).groupBy("across", "unit").agg(F.count("*").alias("n"), F.max("partners").alias("blocks")).collect()
+    if rounds and block == 256:
+        assert max(reached) > 100 and sum(r["n"] ** 2 for r in met) < sum(n * n for n in reached) / 3
+    assert block == 256 or max(r["blocks"] for r in met) > 1
+
+
+def test_jaccard_links_across_groups_count_once(spark, monkeypatch):
+    """With every text a group of its own, all links come from buckets, each from the first that a pair shares."""
+    monkeypatch.setattr(jaccard, "grouped", lambda near: near.select("node").distinct().withColumn("group", F.col("node")))
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 4)
+    base, rows = prose(78, 150).split(), []
+    for i in range(30):
+        base[(i * 11) % 150] = f"new{i}"
+        rows.append((i, " ".join(base)))
+    root, links = brute_classes(rows)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.classes(docs(spark, [(i, t, "en") for i, t in rows])).collect()}
+    assert got == {i: (root[i], links[i]) for i, _ in rows}
+
+
 def test_words_of_any_length_are_told_apart():
     tail = " one two three four"
     base = "a" * 70_000

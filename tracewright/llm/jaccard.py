@@ -3,11 +3,14 @@
 1. Every document's shingle set is hashed and signed by MinHash; documents with the same set shrink to one
    representative with a count (a map-side sum, so a group of copies of any size costs one row a task).
 2. Signatures are cut into bands of rows. Row and band counts are chosen for a target recall at the threshold.
-   Representatives shuffle on their band hashes; a hash that several share links each of them to the least one.
-3. The links' components hold all pairs to verify. A component goes to one place if it is small; a large one is cut
-   into blocks, and each pair of blocks is verified on its own. There the full shingle sets of all pairs are compared
-   by products of incidence matrices; what leaves is, per document, its links' number and a link to its least partner,
-   never the pairs.
+   Representatives shuffle on their band hashes; those that share one are its bucket.
+3. Pairs that share a band are verified on their full shingle sets. So that texts that share many bands meet once, not
+   once a band, they are first put into groups: each takes the group that is commonest in its buckets, beginning with
+   the buckets' least members. A group's pairs are verified in the group; pairs across groups in the first bucket that
+   they share, which leaves out the pairs within the bucket's commonest group. So texts that boilerplate chains to
+   others don't meet all that the chain reaches, but those that share a band. Large groups and buckets are cut into
+   blocks, and each pair of blocks is verified on its own, by products of incidence matrices; what leaves is, per
+   document, its links' number and a link to its least partner, never the pairs.
 4. Components of the verified links are the classes.
 
 Words are what lies between ASCII white space, A-Z lower-cased. A text of fewer than n words is one shingle.
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tracewright.llm.common import batches, cut, fresh, mix, runs, written
@@ -38,6 +41,8 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 MAX_VALUES = 128
 #: A block holds about so many documents or shingles at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
+#: Groups are taken over from the buckets so many times; more of them leave fewer pairs across groups.
+ROUNDS = 2
 #: Incidence matrices have so many columns at a time.
 _COLUMNS = 4096
 #: Texts are hashed in pieces of whole documents of about so many bytes.
@@ -223,10 +228,10 @@ def print_of(shingles: np.ndarray) -> bytes | None:
 
 
 def verified(docs: DataFrame, members: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, root, links) for every place where a node was compared; members: node, first (its doc_id), print, copies, component, blocks."""
+    """(node, root, links) for every place where a node was compared; members: as ``meetings`` gives them."""
 
     def compare(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(rows: list[tuple], low: int, high: int) -> pa.RecordBatch | None:
+        def settle(rows: list[tuple], across: int, unit: int, low: int, high: int) -> pa.RecordBatch | None:
             # rows that repeat the id of a node may have another text
             kept = {r[0]: (r, x) for r, x in zip(rows, shingle_sets([r[2] for r in rows], words)) if print_of(x) == r[4]}
             if len(kept) < 2:
@@ -240,6 +245,13 @@ def verified(docs: DataFrame, members: DataFrame, words: int = WORDS, threshold:
             np.fill_diagonal(links, False)
             if low != high:  # pairs within a block are compared where the block meets itself, also if its partner here is empty
                 links &= block[:, None] != block[None, :]
+            if across:  # pairs of one group are the group's; others count in the first band that they share
+                group = np.array([r[5] for r, _ in kept.values()], np.int64)
+                links &= group[:, None] != group[None, :]
+                bands = np.array([r[6] for r, _ in kept.values()], np.int64)
+                for i in np.flatnonzero(links.any(axis=1)).tolist():
+                    js = np.flatnonzero(links[i])
+                    links[i, js] = bands[i][(bands[js] == bands[i]).argmax(axis=1)] == unit
             some = links.any(axis=1)
             roots = _local_roots(links, nodes)
             return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(roots[some]), pa.array((links @ copies)[some])], ["node", "root", "links"])
@@ -247,29 +259,77 @@ def verified(docs: DataFrame, members: DataFrame, words: int = WORDS, threshold:
         held: list[tuple] = []
         seen: set[tuple] = set()
         last = None
-        for key, part, new in runs(source, ["component", "low", "high"]):
+        for key, part, new in runs(source, keys):
             if new:
-                if held and (done := settle(held, *last[1:])) is not None:
+                if held and (done := settle(held, *last)) is not None:
                     yield done
                 held = []
                 seen.clear()
             last = key
-            for row in zip(*(part.column(part.schema.get_field_index(x)).to_pylist() for x in ("node", "copies", "raw", "block", "print"))):
+            for row in zip(*(part.column(part.schema.get_field_index(x)).to_pylist() for x in ("node", "copies", "raw", "block", "print", "group", "bands"))):
                 once = row[0], hashlib.blake2b(row[2] or b"", digest_size=16).digest()
                 if once not in seen:
                     seen.add(once)
                     held.append(row)
-        if held and (done := settle(held, *last[1:])) is not None:
+        if held and (done := settle(held, *last)) is not None:
             yield done
 
+    keys = ["across", "unit", "low", "high"]
     texts = _raw(docs).withColumnRenamed("doc_id", "first").join(members, "first")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    placed = texts.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("node", "copies", "raw", "block", "print", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    keys = ["component", "low", "high"]
+    placed = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("partners") - 1)))
+    placed = placed.select("node", "copies", "raw", "block", "print", "group", "bands", "across", "unit", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     return batches(placed.repartition(*keys).sortWithinPartitions(*keys), compare, "node long, root long, links long")
 
 
+def _commonest(rows: DataFrame, key: str) -> DataFrame:
+    """For each key the group of most of its rows, of equally common ones the least."""
+    counted = rows.groupBy(key, "group").agg(F.count("*").alias("n"))
+    return counted.groupBy(key).agg(F.max(F.struct("n", (-F.col("group")).alias("least"))).alias("best")).select(key, (-F.col("best.least")).alias("group"))
+
+
+def grouped(near: DataFrame) -> DataFrame:
+    """(node, group) for the nodes of the buckets (node, band, hub); a hub is a bucket's least node."""
+    groups = cut(_commonest(near.select("node", F.col("hub").alias("group")), "node"))
+    for _ in range(ROUNDS):
+        of_band = _commonest(near.join(groups, "node").select("band", "group"), "band")
+        groups = cut(_commonest(near.join(of_band, "band").select("node", "group"), "node"))
+    return groups
+
+
+def _blocks(docs: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(docs / BLOCK_DOCS), F.ceil(shingles / BLOCK_SHINGLES))
+
+
+def meetings(reps: DataFrame, near: DataFrame) -> DataFrame:
+    """Where nodes are compared: a row for each group of several nodes (``across`` 0, the group is the unit), and for each bucket of several groups (1, the band).
+
+    A unit's nodes are in blocks; a node's block meets ``partners`` blocks, from 0 on. In a bucket, the commonest group
+    has the last blocks, which meet those of the other nodes but not each other.
+    """
+    nodes = cut(reps.join(grouped(near), "node"))
+    facts = ["node", "first", "print", "copies", "bands", "group"]
+    place = F.xxhash64("node")
+    sizes = nodes.groupBy("group").agg(F.count("*").alias("n"), F.sum("shingles").alias("s")).filter("n > 1").select("group", _blocks(F.col("n"), F.col("s")).alias("blocks"))
+    within = nodes.join(sizes, "group").select(*facts, F.lit(0).alias("across"), F.col("group").alias("unit"), F.pmod(place, F.col("blocks")).alias("block"), F.col("blocks").alias("partners"))
+
+    own = near.select("node", "band").join(nodes.select("node", "group", "shingles"), "node").groupBy("band", "group").agg(F.count("*").alias("n"), F.sum("shingles").alias("s"))
+    total = own.groupBy("band").agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", (-F.col("group")).alias("least"), "s")).alias("main"))
+    rest = _blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s"))
+    mixed = total.filter("groups > 1").select("band", (-F.col("main.least")).alias("main"), rest.alias("rest"), _blocks(F.col("main.n"), F.col("main.s")).alias("last"))
+    met = near.select("node", "band").join(mixed, "band").join(nodes, "node")
+    is_main = F.col("group") == F.col("main")
+    block = F.when(is_main, F.col("rest") + F.pmod(place, F.col("last"))).otherwise(F.pmod(place, F.col("rest")))
+    partners = F.when(is_main, F.col("rest")).otherwise(F.col("rest") + F.col("last"))
+    return within.union(met.select(*facts, F.lit(1).alias("across"), F.col("band").alias("unit"), block.alias("block"), partners.alias("partners")))
+
+
+def _buckets(reps: DataFrame) -> DataFrame:
+    """(node, band, hub) for the bands that several nodes share."""
+    banded = reps.select("node", F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
+    return banded.join(hubs, "band")
+
+
 def _classified(docs: DataFrame, words: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
     """Signatures (doc_id, print, shingles, bands) of all documents, and per shingle set: print, first (least doc_id), component, links, copies."""
     sign = written(signed(docs, words, threshold, recall), "signatures")
@@ -277,12 +337,8 @@ def _classified(docs: DataFrame, words: int, threshold: float, recall: float) ->
     sets = usable.groupBy("print", "bands", "shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     # a set's number is written with it, so that it is the same in all that follows
     reps = written(sets.withColumn("node", F.monotonically_increasing_id()), "representatives")
-    banded = reps.select("node", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
-    found = components(banded.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    members = cut(found.join(reps.select("node", "first", "print", "copies", "shingles"), "node"))
-    blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    checked = cut(verified(docs, members.join(blocks, "component").drop("shingles"), words, threshold))
+    near = written(_buckets(reps), "buckets")
+    checked = cut(verified(docs, cut(meetings(reps, near)), words, threshold))
     linked = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = linked.join(checked.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
     per_set = reps.select("print", "first", "node", "copies").join(known, "node", "left")
