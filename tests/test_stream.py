@@ -134,6 +134,16 @@ def test_records_of_one_tick_in_small_slices(spark, tmp_path):
         assert found == [(a, len(x), "\n".join(x)) for a, x in expected[:-1]]
 
 
+def test_rotation_ends_the_open_record(spark, tmp_path):
+    log, out, state = tmp_path / "a.log", str(tmp_path / "out"), str(tmp_path / "state")
+    head = "[2026-01-01 10:00:00] a.INFO: "
+    for text in (f"{head}one\n  more\n{head}two\n  of the old file\n", f"  headless\n{head}new\n"):
+        log.write_text(text)
+        drain(follow.follow_records(follow.follow_lines(spark, str(log), start="begin", slice_bytes=30)), out, state)
+    found = sorted((r["offset"], r["raw"]) for r in spark.read.parquet(out).collect())
+    assert found == sorted([(0, f"{head}one\n  more"), (len(head) + 11, f"{head}two\n  of the old file"), (0, "  headless")])
+
+
 def test_late_records_are_dropped(spark, tmp_path):
     src = str(tmp_path / "src")
     shape = "raw string, level string, ts timestamp, offset long"
