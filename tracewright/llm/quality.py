@@ -12,7 +12,8 @@ language (null or empty) has no reference, so it is judged by its counts alone.
 
 Defined results: a null text has no words; an empty text fails the length rule; a null or empty language has no reference;
 ties between common words go to the smaller word; repeated rows give repeated results; a very long text is measured
-whole, one document at a time; other columns are kept by ``filter_quality`` and ignored by ``judge``; an empty table
+whole, but by parts: in one longer than a part windows and lines are told apart by 64-bit hashes, n of which are
+wrong somewhere with a chance of n^2 / 2^65; other columns are kept by ``filter_quality`` and ignored by ``judge``; an empty table
 gives an empty table.
 """
 
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tracewright.llm.common import batches, cut, fresh, written
+from tracewright.llm.common import batches, cut, fresh, mix, written
 
 COMMON = 40
 #: References are sent to tasks up to this number; more of them are joined.
@@ -37,6 +38,8 @@ MAX_SENT_LANGUAGES = 1000
 MAX_SENT_HASHES = 1_000_000
 #: A task's word counts are passed on when it holds so many different words.
 FLUSH_WORDS = 100_000
+#: Of a text longer than a part so many different windows or lines are told apart at a time.
+HELD_KEYS = 4_000_000
 #: A task forgets the texts that it has seen when they are so many.
 SEEN_TEXTS = 100_000
 SYMBOLS = b"#*$%&|<>"
@@ -72,21 +75,22 @@ def _class_table() -> np.ndarray:
 
 
 _CLASS_OF = _class_table()
+_NOT_BLANK = re.compile(rb"[^\x20\x09-\x0D]")
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
-#: Texts are taken in parts of so many bytes.
+#: Texts are taken in parts of about so many bytes.
 _PART = 1 << 20
 
 
-def parts_of(raw: bytes) -> Iterator[bytes]:
+def parts_of(raw: bytes | memoryview) -> Iterator[bytes]:
     """A text in parts that end at white space, so that a very long one is never a list of words as a whole."""
     at = 0
     while len(raw) - at > _PART and (found := _BLANK.search(raw, at + _PART)):
-        yield raw[at : found.start()]
+        yield bytes(raw[at : found.start()])
         at = found.start()
-    yield raw[at:] if at else raw
+    yield bytes(raw[at:])
 
 
-def class_histogram(raw: bytes) -> np.ndarray:
+def class_histogram(raw: bytes | memoryview) -> np.ndarray:
     found = np.zeros(CLASSES + 1, np.int64)
     for at in range(0, len(raw), _PART):
         found += np.bincount(_CLASS_OF[np.frombuffer(raw, np.uint8, min(_PART, len(raw) - at), at)], minlength=CLASSES + 1)
@@ -133,6 +137,104 @@ def repeated_lines(raw: bytes) -> int:
     return len(with_word) - len(set(with_word))
 
 
+class Keys:
+    """Numbers of 64 bits met one array after another, each held twice at most: in bounded memory those that come again, and how many differ."""
+
+    def __init__(self) -> None:
+        self.held, self.new, self.waiting = np.zeros(0, np.uint64), [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.new.append(keys)
+        self.waiting += len(keys)
+        if self.waiting > max(_PART, len(self.held)):
+            self.pack()
+
+    def pack(self) -> None:
+        found, n = np.unique(np.concatenate([self.held, *self.new]), return_counts=True)
+        self.held, self.new, self.waiting = np.repeat(found, np.minimum(n, 2)), [], 0
+
+    def again(self) -> np.ndarray:
+        self.pack()
+        return self.held[1:][self.held[1:] == self.held[:-1]]
+
+    def different(self) -> int:
+        self.pack()
+        return len(self.held) - int((self.held[1:] == self.held[:-1]).sum())
+
+
+def _turns(n: int) -> int:
+    """In how many turns so many keys are told apart; a turn takes those that leave its number when divided by this."""
+    return max(1, -(-n // HELD_KEYS))
+
+
+def _window_keys(raw: memoryview) -> Iterator[np.ndarray]:
+    """A number for each window of three words, part by part; equal windows have equal ones."""
+    left = np.zeros(0, np.uint64)
+    for part in parts_of(raw):
+        words = part.split()
+        ids = np.concatenate([left, np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)])
+        left = ids[-2:]
+        if len(ids) > 2:
+            yield mix(mix(mix(ids[:-2]) + ids[1:-1]) + ids[2:])
+
+
+def long_repeated_words(raw: memoryview, n: int) -> int:
+    """``repeated_words`` of a text of n words, by parts: windows are told apart in turns of bounded memory, besides a byte a word."""
+    if n < 4:
+        return 0
+    covered = np.zeros(n, dtype=bool)
+    turns = np.uint64(_turns(n))
+    again = np.zeros(0, np.uint64)
+    for turn in range(int(turns) + 1):  # marks the windows of the turn before while it takes its own
+        keys, at = Keys(), 0
+        for windows in _window_keys(raw):
+            of = windows % turns
+            if len(again):
+                where = at + np.flatnonzero(of == turn - 1)
+                of_them = windows[where - at]
+                where = where[again[np.minimum(np.searchsorted(again, of_them), len(again) - 1)] == of_them]
+                for i in range(3):
+                    covered[where + i] = True
+            if turn < turns:
+                keys.add(windows[of == turn])
+            at += len(windows)
+        again = keys.again()
+    return int(covered.sum())
+
+
+def _line_key(line: memoryview) -> int:
+    if len(line) <= _PART:
+        return hash(bytes(line))
+    return int.from_bytes(hashlib.blake2b(line, digest_size=8).digest(), "little", signed=True)
+
+
+def _line_keys(raw: memoryview) -> Iterator[np.ndarray]:
+    """A number for each line with a word, some lines at a time; equal lines have equal ones."""
+    start, found = 0, []
+    for at in range(0, len(raw), _PART):
+        for end in (at + np.flatnonzero(np.frombuffer(raw, np.uint8, min(_PART, len(raw) - at), at) == 10)).tolist():
+            if _NOT_BLANK.search(raw, start, end):
+                found.append(_line_key(raw[start:end]))
+            start = end + 1
+        yield np.array(found, np.int64).view(np.uint64)
+        found = []
+    if _NOT_BLANK.search(raw, start):
+        yield np.array([_line_key(raw[start:])], np.int64).view(np.uint64)
+
+
+def long_repeated_lines(raw: memoryview) -> int:
+    """``repeated_lines`` by parts: lines are told apart in turns of bounded memory."""
+    n = sum(map(len, _line_keys(raw)))
+    turns = _turns(n)
+    different = 0
+    for turn in range(turns):
+        keys = Keys()
+        for lines in _line_keys(raw):
+            keys.add(lines[mix(lines) % np.uint64(turns) == turn])
+        different += keys.different()
+    return n - different
+
+
 Reference = tuple[np.ndarray, dict[bytes, int], np.ndarray]
 
 
@@ -189,7 +291,9 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                 batch = batch.filter(pa.array(is_repeated(batch)))
             new = []
             for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                digest = hashlib.blake2b(lang.encode() + b"\n" + raw, digest_size=16).digest()
+                key = hashlib.blake2b(lang.encode() + b"\n", digest_size=16)
+                key.update(raw)
+                digest = key.digest()
                 new.append(digest not in seen)
                 seen.add(digest)
             yield batch.filter(pa.array(new, pa.bool_()))
@@ -271,25 +375,32 @@ def _attached(docs: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch, lis
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double, base_failed boolean, kept boolean"
 
 
-def _measured(raw: bytes | None, reference: Reference | None, limits: Limits) -> tuple:
-    """Values of ``COUNTS`` for a document and its reference."""
-    raw = raw or b""
-    words = raw.split()
-    n = len(words)
+def _measured(text: pa.Scalar, reference: Reference | None, limits: Limits) -> tuple:
+    """Values of ``COUNTS`` for a document (binary) and its reference; a text longer than a part is never copied or split as a whole."""
+    whole = text.as_buffer()
+    raw: bytes | memoryview = memoryview(whole).toreadonly() if whole else b""
     classes = class_histogram(raw)
-    repeats = repeated_words(words)
+    if len(raw) <= _PART:
+        raw = bytes(raw)
+        words = raw.split()
+        n = len(words)
+        repeats, lines = repeated_words(words), repeated_lines(raw)
+    else:
+        n = sum(len(part.split()) for part in parts_of(raw))
+        repeats, lines = long_repeated_words(raw, n), long_repeated_lines(raw)
     failed = n < limits.min_words or 100 * repeats > limits.max_repeat_percent * n
     by_class = by_word = None
     if n >= max(1, limits.min_words) and reference is not None:
         shares, common, word_shares = reference
         by_class = js_distance(classes / classes.sum(), shares)
-        at = [i for i in map(common.get, raw.lower().split()) if i is not None]
-        own = np.bincount(at, minlength=len(word_shares)).astype(float)
-        own[-1] = n - len(at)
+        own = np.zeros(len(word_shares))
+        for part in parts_of(raw):
+            own += np.bincount([i for i in map(common.get, part.lower().split()) if i is not None], minlength=len(word_shares))
+        own[-1] = n - own[:-1].sum()
         by_word = js_distance(own / n, word_shares)
     distant = by_class is not None and (by_class > limits.class_floor + limits.class_slack / n**0.5 or by_word > limits.word_floor + limits.word_slack / n**0.5)
     chars = int(classes.sum()) - int(classes[_BLANK_CLASSES].sum())
-    return n, chars, int(classes[_SYMBOL]), repeated_lines(raw), repeats, by_class, by_word, failed, not (failed or distant)
+    return n, chars, int(classes[_SYMBOL]), lines, repeats, by_class, by_word, failed, not (failed or distant)
 
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -302,7 +413,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         names = ["doc_id", *(x.split()[0] for x in COUNTS.split(", "))]
         for batch in rows:
             if batch.num_rows:
-                out = [_measured(x.as_py(), own, limits) for x, own in zip(batch.column(2).cast(pa.binary()), of(batch, batch.column(1).to_pylist()))]
+                out = [_measured(x, own, limits) for x, own in zip(batch.column(2).cast(pa.binary()), of(batch, batch.column(1).to_pylist()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*out), kinds))], names)
 
     return batches(given, measure, "doc_id long, " + COUNTS)
@@ -316,7 +427,7 @@ def filter_quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     def keep(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             known = of(batch, batch.column(lang).cast(pa.string()).to_pylist())
-            kept = [_measured(x.as_py(), own, limits)[-1] for x, own in zip(batch.column(text).cast(pa.binary()), known)]
+            kept = [_measured(x, own, limits)[-1] for x, own in zip(batch.column(text).cast(pa.binary()), known)]
             yield batch.filter(pa.array(kept, pa.bool_())).select(names)
 
     return batches(given, keep, docs.schema)
