@@ -5,7 +5,8 @@
    where the table needs more, several cuts are made, each from another start, and a combination of their parts is a
    cell: there are as many cells as the table's size asks for.
 2. For each cut a small classifier (one hidden layer) learns, from a vector, how its neighbours spread over the parts.
-   A cell's probability is the product of its parts'.
+   A cell's probability is the product of its parts', so the best cells are found from each cut's best parts, without
+   scoring all of them.
 3. Every vector of the table is indexed in its most probable cell. Every query goes to several most probable cells; how
    many is the least number that reaches ``target`` recall on a second sample, none of whose vectors trained anything.
 4. In a cell all of its vectors are ranked by their exact cosine in double precision. A cell is cut into blocks of a
@@ -40,6 +41,10 @@ PART_VECTORS = 1500
 MAX_SENT_CELLS = 100_000
 #: Scores of so many pairs of vector and cell are held at a time.
 HELD_SCORES = 1 << 21
+#: The number of probes is first looked for among so many cells, then among four times as many.
+FIRST_TRIED = 256
+#: A batch of queries on their way to cells holds about so many of them.
+ROUTED_QUERIES = 20_000
 #: A block of a part holds about so many vectors; so many queries at a time are held against it.
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
 #: More than what a block's cosines by a matrix product may differ from exact ones.
@@ -85,11 +90,43 @@ class Router:
                 every = (every[:, :, None] + own[:, None, :]).reshape(len(every), -1)
             yield first, every
 
+    def ranked(self, unit: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The k most probable cells of each vector, best first, with their log-probabilities; some vectors at a time, with the first one's place.
+
+        Of a cell whose parts have the ranks r1, r2, ... in their cuts, at least r1 * r2 * ... cells are as probable. So
+        only combinations of ranks whose product is at most k can be among the best k, and they are the same for all
+        vectors: the work is that of the cells a query goes to, not of all cells.
+        """
+        k = min(k, self.cells)
+        ranks = rank_products(self.parts, k)
+        step = max(1, HELD_SCORES // len(ranks))
+        for first in range(0, len(unit), step):
+            some = unit[first : first + step]
+            score, cell = np.zeros((len(some), len(ranks))), np.zeros((len(some), len(ranks)), np.int64)
+            for own, rank in zip(self.scores(some), ranks.T):
+                order = np.argsort(-own, axis=1, kind="stable")[:, : rank.max() + 1]
+                score += np.take_along_axis(own, order, axis=1)[:, rank]
+                cell = cell * own.shape[1] + order[:, rank]
+            found = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            found = np.take_along_axis(found, np.argsort(-np.take_along_axis(score, found, axis=1), axis=1, kind="stable"), axis=1)
+            yield first, np.take_along_axis(cell, found, axis=1), np.take_along_axis(score, found, axis=1)
+
     def best(self, unit: np.ndarray) -> np.ndarray:
         """The ``probes`` most probable cells of each vector."""
         if self.probes == self.cells:
             return np.broadcast_to(np.arange(self.cells), (len(unit), self.cells))
-        return np.concatenate([np.argpartition(-every, self.probes - 1, axis=1)[:, : self.probes] for _, every in self.by_cell(unit)])
+        return np.concatenate([cells for _, cells, _ in self.ranked(unit, self.probes)])
+
+
+def rank_products(parts: list[int], k: int) -> np.ndarray:
+    """Combinations of ranks from 0, one for each cut, the product of whose successors is at most k."""
+    ranks, product = np.zeros((1, 0), np.int64), np.ones(1, np.int64)
+    for n in parts:
+        most = np.minimum(n, k // product)
+        which = np.repeat(np.arange(len(most)), most)
+        rank = np.arange(len(which)) - np.repeat(np.cumsum(most) - most, most)
+        ranks, product = np.column_stack([ranks[which], rank]), product[which] * (rank + 1)
+    return ranks
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -189,12 +226,22 @@ def fit(sample: np.ndarray, cells: int, k: int, target: float = TARGET_RECALL) -
     asked = np.arange(min(len(other), 800))
     near = neighbour_graph_of(other, asked, k)
     cell = router.own(other)[near]
-    before = []  # for each neighbour of a query, how many cells are likelier than its own
-    for first, every in router.by_cell(other[asked]):
-        own_score = np.take_along_axis(every, cell[first : first + len(every)], axis=1)
-        before += [(every > own_score[:, [j]]).sum(axis=1) for j in range(own_score.shape[1])]
-    at = np.sort(np.concatenate(before))
-    router.probes = min(router.cells, 1 + int(at[math.ceil(target * len(at)) - 1]))
+    own_score = np.zeros(cell.shape)
+    rest = cell
+    places = []
+    for n in reversed(router.parts):
+        places.append(rest % n)
+        rest = rest // n
+    for own_part, every in zip(reversed(places), router.scores(other[asked])):
+        own_score += np.take_along_axis(every, own_part, axis=1)
+    tried = FIRST_TRIED
+    while True:  # for each neighbour of a query, how many cells are likelier than its own; from ``tried`` on that isn't told apart
+        before = np.concatenate([(scores[:, :, None] > own_score[first : first + len(scores), None, :]).sum(axis=1).ravel() for first, _, scores in router.ranked(other[asked], tried)])
+        at = int(np.sort(before)[math.ceil(target * len(before)) - 1])
+        if at < tried or tried >= router.cells:
+            break
+        tried *= 4
+    router.probes = min(router.cells, 1 + at)
     return router
 
 
@@ -224,8 +271,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def search(vectors: DataFrame, k: int = 5, every: int = 50, target: float = TARGET_RECALL) -> DataFrame:
     """The k nearest of every query (vec_id divisible by ``every``) among all other rows: query_id, rank, vec_id, score."""
     usable = _usable(vectors)
-    order = F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id"))
-    different = cut(usable.withColumn("_rank", order).filter(F.col("_rank") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")))
+    # repeated rows are dropped first, by id and vector, so that no number of them meets; tasks then pass on k + 1 ids a vector
+    order = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
+    once = usable.dropDuplicates(["vec_id", "vector"]).withColumn("_rank", order).filter(F.col("_rank") <= k + 1)
+    different = cut(once.groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")))
     n = different.count()
     # at most 2 * SAMPLE vectors
     first = different.select(F.col("ids")[0].alias("first"), "vector")
@@ -240,10 +289,12 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, target: float = TARG
 
     def route(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            if batch.num_rows:
-                best = router.best(unit(_matrix(batch.column(1))))
-                who = pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(best.ravel(), pa.int64()), batch.column(1).take(who), batch.column(0).take(who)], ["part", "vector", "query_id"])
+            step = max(1, ROUTED_QUERIES // router.probes)
+            for first in range(0, batch.num_rows, step):
+                some = batch.slice(first, step)
+                best = router.best(unit(_matrix(some.column(1))))
+                who = pa.array(np.repeat(np.arange(some.num_rows), best.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(best.ravel(), pa.int64()), some.column(1).take(who), some.column(0).take(who)], ["part", "vector", "query_id"])
 
     indexed = cut(batches(different.select("vector", "ids"), index, "part long, vector array<double>, ids array<long>"))
     blocks = indexed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_VECTORS).alias("blocks"))  # a row for each cell
