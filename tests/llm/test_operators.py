@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -272,6 +273,22 @@ def test_quality_references_are_of_their_own_language(spark, monkeypatch, sent):
     assert {r["doc_id"] for r in kept.collect()} == set(rows) - dropped and kept.columns == source.columns
 
 
+@pytest.mark.parametrize("part, held", [(7, 5), (50, 1000), (3, 1)])
+def test_quality_of_long_texts_by_parts(monkeypatch, part, held):
+    """Parts and turns give what the whole text gives; lines and words may be longer than a part."""
+    monkeypatch.setattr(quality, "_PART", part)
+    monkeypatch.setattr(quality, "HELD_KEYS", held)
+    rng = random.Random(part)
+    for _ in range(60):
+        raw = b"".join(rng.choice([b"a", b"bb", b"c", b"longer-word", b" ", b"  ", b"\n", b"\n", b"\t"]) for _ in range(rng.randrange(400)))
+        view, words = memoryview(raw), raw.split()
+        assert [x for p in quality.parts_of(view) for x in p.split()] == words
+        assert quality.long_repeated_words(view, len(words)) == quality.repeated_words(words)
+        assert quality.long_repeated_lines(view) == quality.repeated_lines(raw)
+        got = quality._measured(pa.scalar(raw, pa.binary()), None, quality.Limits())
+        assert (got[0], got[3], got[4]) == (len(words), quality.repeated_lines(raw), quality.repeated_words(words))
+
+
 def test_toxicity_learns_marked_words(spark, labels, clashing):
     rows, marks = [], []
     for i in range(400):
@@ -564,6 +581,28 @@ def test_neighbours_of_extreme_vectors(spark):
         assert [r["vec_id"] for r in own] == np.argsort(-near)[:5].tolist() and all(abs(r["score"] - near[r["vec_id"]]) < 1e-9 for r in own)
 
 
+def test_best_cells_without_scoring_all(monkeypatch):
+    monkeypatch.setattr(neighbours, "HELD_SCORES", 5000)
+    x = neighbours.unit(np.random.default_rng(2).normal(size=(1000, 12)))
+    router = neighbours.fit(x, 300, 5)
+    assert len(router.parts) > 1
+    every = np.concatenate([e for _, e in router.by_cell(x[:50])])
+    for k in (1, 5, 40, router.cells):
+        cells = np.concatenate([c for _, c, _ in router.ranked(x[:50], k)])
+        scores = np.concatenate([s for _, _, s in router.ranked(x[:50], k)])
+        assert np.allclose(scores, -np.sort(-every, axis=1)[:, :k]) and np.allclose(np.take_along_axis(every, cells, axis=1), scores)
+        assert all(len(set(c)) == k for c in cells.tolist())
+    assert len(neighbours.rank_products([100] * 3, 1000)) < 20_000  # of a million cells
+
+
+def test_repeated_vectors_and_ids(spark):
+    """Many rows with one id and vector, and one vector with many ids: each id is found once, the least ids first."""
+    v, w = [1.0, 2.0, 3.0], [3.0, 1.0, 0.5]
+    rows = [(50, v)] * 3000 + [(1000 + i % 700, v) for i in range(2000)] + [(7, w), (9, w)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)).filter("query_id = 50").orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1000, 1001, 1002, 1003, 1004]
+
+
 def test_neighbours_in_cells_of_several_cuts(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "PART_VECTORS", 10)
     monkeypatch.setattr(neighbours, "SAMPLE", 480)
@@ -630,7 +669,9 @@ def _after(model, text, state):
     return 1.0 if not len(text) else sum(model.move[state, s] * model.emit[text[0], s] * _after(model, text[1:], s) for s in range(3))
 
 
-def test_lm_score_is_the_models(spark):
+@pytest.mark.parametrize("share", [50_000, 1])
+def test_lm_score_is_the_models(spark, monkeypatch, share):
+    monkeypatch.setattr(hmm, "COMMON_SHARE", share)
     """The score by the trained model's forward recursion in plain Python, with rare words' shares of their classes."""
     rows = [(i, prose(i % 13, 40 + i % 7) + f" rare{i % 29}" * (i % 3 == 0) + (" neverseen" if zlib.crc32(str(i).encode()) % 10 == 0 else ""), "en") for i in range(150)]
     source = docs(spark, rows)
@@ -667,8 +708,11 @@ def test_lm_score_is_the_models(spark):
         assert got[i] == pytest.approx(log, abs=1e-4)
 
 
-def test_lm_scores(spark, clashing):
+@pytest.mark.parametrize("share", [50_000, 1])
+def test_lm_scores(spark, clashing, monkeypatch, share):
+    monkeypatch.setattr(hmm, "COMMON_SHARE", share)  # 1: every word outside the head is joined
     rows = [(i, prose(i % 11, 50 + i % 9) + (" rare%d" % i if i % 5 == 0 else ""), "en") for i in range(120)]
+    rows.append((600, " ".join(f"{chr(97 + i % 26) * 120} Rare{i % 977}x" for i in range(9_000)), "en"))  # of several parts
     source = docs(spark, rows).withColumns({c: F.lit("mine") for c in clashing.columns[5:]}).unionByName(clashing)
     got = hmm.score(source, states=2, head=20).collect()
     counts, texts = Counter(), []
@@ -684,6 +728,15 @@ def test_lm_scores(spark, clashing):
     assert hmm.score(source.limit(0)).count() == 0
 
 
+def test_lm_sample_skips_a_text_that_does_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "SAMPLE_TOKENS", 500)
+    given, first = [], hmm.first_model
+    monkeypatch.setattr(hmm, "first_model", lambda sample, *rest: given.extend(map(len, sample)) or first(sample, *rest))
+    rows = [(i, prose(i, 20 if i % 2 else 600), "en") for i in range(40)]
+    hmm.score(docs(spark, rows), states=2, head=20)
+    assert 400 < sum(given) <= 500 and max(given) < 100
+
+
 def test_pii_base_spans():
     rng = random.Random(9)
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

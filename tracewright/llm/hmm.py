@@ -7,6 +7,8 @@ frequency (c + 0.1) / (C + 0.1 (V + 1)) among the class's training words, an unk
 is that of its symbols, summed over all state sequences, times that of its rare words given their classes.
 
 What tasks hold is bounded by ``HEAD + CLASSES``; counts of rare words stay distributed and meet the texts in a join.
+Words outside the head that are more than one in ``COMMON_SHARE`` of all tokens, held-out texts' too (there may be such
+that training never saw), aren't joined but sent to tasks, so no word's rows can fill a task of the join.
 Training starts from a bounded sample of ``SAMPLE`` texts of ``SAMPLE_TOKENS`` tokens at most; each re-estimation then
 sums expected counts over all training texts: tasks add up their own, a shuffle by symbol adds up the tasks'. They end
 when one has raised the training texts' log-likelihood by less than ``TOLERANCE`` a token.
@@ -27,7 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracewright.llm.common import batches, by_hash, likely_sample, written
+from tracewright.llm.common import batches, by_hash, fitting, likely_sample, written
+from tracewright.llm.quality import parts_of
 
 STATES, SAMPLE, SAMPLE_TOKENS, SAMPLE_ROUNDS = 8, 600, 1_000_000, 12
 #: Re-estimation ends where the log-likelihood (natural logarithm) of a training token rises by less.
@@ -40,6 +43,8 @@ GROUP_TOKENS = 400_000
 #: The recursions keep values of about so many tokens; longer groups pass in segments.
 SEGMENT_TOKENS = 1_000_000
 FLUSH_WORDS = 100_000
+#: Outside the head, words that are more than one in so many of all tokens are sent to tasks: fewer than this number.
+COMMON_SHARE = 50_000
 ADDED = 0.1
 END = b"\n"
 
@@ -55,44 +60,59 @@ def word_class(word: bytes) -> int:
 
 @dataclass
 class Symbols:
-    """Numbers of the head's words (the end token has 0), counts of all symbols, and the classes' words."""
+    """Numbers of the head's words (the end token has 0), counts of all symbols, the classes' words, and training counts of common words outside the head."""
 
     numbers: dict[bytes, int]
     counts: np.ndarray
     class_words: np.ndarray
     total: int
     distinct: int
+    common: dict[bytes, int]
 
     @property
     def size(self) -> int:
         return len(self.counts)
 
+    @property
+    def all_words(self) -> float:
+        """What a word's smoothed count is divided by."""
+        return self.total + ADDED * (self.distinct + 1)
+
+    @property
+    def class_totals(self) -> np.ndarray:
+        """What the smoothed count of a word of a class is divided by."""
+        return self.counts[len(self.numbers) + 1 :] + ADDED * (self.class_words + 1)
+
     @property
     def share(self) -> np.ndarray:
         return (self.counts + ADDED) / (self.counts + ADDED).sum()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word, n over all training texts; the end token is among them. texts: held_out, raw."""
+    """word, n over all training texts (the end token is among them), every: over all texts. texts: held_out, raw."""
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        found: dict[bool, Counter] = {False: Counter(), True: Counter()}
 
         def held() -> Iterator[pa.RecordBatch]:
-            words, n = list(found), list(found.values())
-            found.clear()
-            for i in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000], pa.binary()), pa.array(n[i : i + 50_000], pa.int64())], ["word", "n"])
+            for out, own in found.items():
+                words, n = list(own), np.fromiter(own.values(), np.int64, len(own))
+                own.clear()
+                for i in range(0, len(words), 50_000):
+                    every = n[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000], pa.binary()), pa.array(np.zeros_like(every) if out else every), pa.array(every)], ["word", "n", "every"])
 
         for batch in rows:
-            for raw in batch.column(0):
-                found.update(raw.as_py().lower().split())
-            found[END] += batch.num_rows
-            if len(found) > FLUSH_WORDS:
-                yield from held()
+            for out, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = found[out]
+                for part in parts_of(memoryview(raw.as_buffer())):
+                    own.update(part.lower().split())
+                    if len(own) > FLUSH_WORDS:
+                        yield from held()
+                own[END] += 1
         yield from held()
 
-    return batches(texts.filter("not held_out").select("raw"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return batches(texts.select("held_out", "raw"), count, "word binary, n long, every long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
 
 
 def _class_of(word: Column) -> Column:
@@ -101,9 +121,10 @@ def _class_of(word: Column) -> Column:
 
 def symbols(counts: DataFrame, head: int = HEAD) -> Symbols:
     """The symbols from the words' counts."""
-    total, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0))).first()
+    sums = (F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0)), F.coalesce(F.sum("every"), F.lit(0)))
+    total, distinct, ends, tokens = counts.agg(*sums).first()
     # words below the class of counts that the head ends in can't be in it; so tasks send few words each
-    words_only = counts.filter(F.col("word") != F.lit(END))
+    words_only = counts.filter((F.col("word") != F.lit(END)) & (F.col("n") > 0))
     size_class = F.floor(F.log2("n") * 8)
     least, held = 0, 0
     for r in sorted(words_only.groupBy(size_class.alias("c")).count().collect(), reverse=True):  # a row for each class, 8 a doubling
@@ -120,33 +141,54 @@ def symbols(counts: DataFrame, head: int = HEAD) -> Symbols:
         k = word_class(bytes(r["word"]))
         all_of[k] -= r["n"]
         words[k] -= 1
-    return Symbols(numbers, np.concatenate([[ends], [r["n"] for r in top], all_of]), words, total, distinct)
+    often = counts.filter((F.col("word") != F.lit(END)) & (F.col("every") * COMMON_SHARE > tokens)).collect()  # fewer than COMMON_SHARE rows
+    common = {bytes(r["word"]): r["n"] for r in often if bytes(r["word"]) not in numbers}
+    return Symbols(numbers, np.concatenate([[ends], [r["n"] for r in top], all_of]), words, total, distinct, common)
+
+
+CODED = "row_id long, doc_id long, held_out boolean, symbols binary, common_known long, common_base double, common_likely double, rare array<binary>"
 
 
 def encoded(texts: DataFrame, known: Symbols) -> DataFrame:
-    """Every text as symbols: row_id, doc_id, held_out, symbols (binary, unsigned 16-bit), rare (its words outside the head)."""
+    """Every text as symbols (binary, unsigned 16-bit), with what its common words outside the head give, and its rare words, part by part."""
     first = len(known.numbers) + 1
+    totals = known.class_totals
+    common = {w: (n > 0, np.log10((n + ADDED) / known.all_words), np.log10((n + ADDED) / totals[word_class(w)])) for w, n in known.common.items()}
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = known.numbers.get
+        number, often = known.numbers.get, common.get
+        names = [x.split()[0] for x in CODED.split(", ")]
         for batch in rows:
-            coded, rare = [], []
+            coded, given, rare = [], [], []
             for raw in batch.column(3):
-                words = raw.as_py().lower().split()
-                ids = list(map(number, words))
-                ids.append(0)
-                out = []
-                if None in ids:
-                    for i, x in enumerate(ids):
-                        if x is None:
-                            out.append(words[i])
-                            ids[i] = first + word_class(words[i])
-                coded.append(np.array(ids, "<u2").tobytes())
-                rare.append(b" ".join(out))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(coded, pa.binary()), pa.array(rare, pa.binary())], ["row_id", "doc_id", "held_out", "symbols", "rare"])
+                symbols, out = bytearray(), []
+                n_known, base, likely = 0, 0.0, 0.0
+                for part in parts_of(memoryview(raw.as_buffer())):
+                    words = part.lower().split()
+                    ids = list(map(number, words))
+                    if None in ids:
+                        others = []
+                        for i, x in enumerate(ids):
+                            if x is None:
+                                word = words[i]
+                                ids[i] = first + word_class(word)
+                                if found := often(word):
+                                    n_known += found[0]
+                                    base += found[1]
+                                    likely += found[2]
+                                else:
+                                    others.append(word)
+                        if others:
+                            out.append(b" ".join(others))
+                    symbols += np.array(ids, "<u2").tobytes()
+                coded.append(bytes(symbols) + b"\0\0")
+                given.append((n_known, base, likely))
+                rare.append(out)
+            values = [pa.array(x, t) for x, t in zip(zip(*given), (pa.int64(), pa.float64(), pa.float64()))] if given else [pa.array([], t) for t in (pa.int64(), pa.float64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(coded, pa.binary()), *values, pa.array(rare, pa.list_(pa.binary()))], names)
 
     source = texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "held_out", "raw")
-    return batches(source, encode, "row_id long, doc_id long, held_out boolean, symbols binary, rare binary")
+    return batches(source, encode, CODED)
 
 
 @dataclass
@@ -311,8 +353,9 @@ def trained(coded: DataFrame, known: Symbols, states: int = STATES, tolerance: f
     training = coded.filter("not held_out").select("doc_id", "row_id", "symbols")
     near = likely_sample(training, "doc_id", SAMPLE, int(known.counts[0]))  # as many end tokens as training rows
     order = [*by_hash("doc_id"), "row_id"]
-    upto = F.sum(F.octet_length("symbols") / 2).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    picked = near.orderBy(*order).limit(SAMPLE).withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_TOKENS).select("symbols").toArrow()
+    first = near.orderBy(*order).limit(SAMPLE).select("row_id", (F.octet_length("symbols") / 2).cast("long").alias("n")).collect()  # at most SAMPLE rows
+    chosen = [first[i]["row_id"] for i in fitting([r["n"] for r in first], SAMPLE_TOKENS)]
+    picked = near.filter(F.col("row_id").isin(chosen)).orderBy(*order).select("symbols").toArrow()
     model = first_model([np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in picked.column(0).combine_chunks()] if picked.num_rows else [], known, states)
     likely: list[float] = []
     while known.total and (len(likely) < 2 or likely[-1] - likely[-2] >= tolerance):
@@ -329,8 +372,7 @@ def score(docs: DataFrame, states: int = STATES, tolerance: float = TOLERANCE, h
     coded = written(encoded(texts, known), "lm-symbols")
     model, _ = trained(coded, known, states, tolerance)
 
-    total, distinct, first = known.total, known.distinct, len(known.numbers) + 1
-    all_words = total + ADDED * (distinct + 1)
+    total, first, all_words = known.total, len(known.numbers) + 1, known.all_words
     with_base = np.log10((known.counts[:first] + ADDED) / all_words)
     seen_first = known.counts[:first] > 0
 
@@ -342,12 +384,15 @@ def score(docs: DataFrame, states: int = STATES, tolerance: float = TOLERANCE, h
             likely = np.zeros(len(own))
             for some, group in groups(own):
                 likely[some] = group.log_likelihood(model)
-            values = [pa.array([len(x) for x in own], pa.int64()), pa.array([int(seen[x].sum()) for x in own], pa.int64()), pa.array([float(base[x].sum()) for x in own], pa.float64()), pa.array(likely / np.log(10), pa.float64())]
+            common_known, common_base, common_likely = (x.to_numpy() for x in batch.columns[4:7])
+            n_known = np.array([int(seen[x].sum()) for x in own], np.int64) + common_known
+            bases = np.array([float(base[x].sum()) for x in own]) + common_base
+            values = [pa.array([len(x) for x in own], pa.int64()), pa.array(n_known), pa.array(bases), pa.array(likely / np.log(10) + common_likely)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *values], ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base", "likely"])
 
-    rated = batches(coded.select("row_id", "doc_id", "held_out", "symbols"), rate, "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, likely double")
-    class_total = F.array(*(F.lit(float(x)) for x in known.counts[first:] + ADDED * (known.class_words + 1)))
-    rare = coded.filter("length(rare) > 0").select("row_id", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("word")).withColumn("word", F.col("word").cast("binary"))
+    rated = batches(coded.drop("rare"), rate, "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, likely double")
+    class_total = F.array(*(F.lit(float(x)) for x in known.class_totals))
+    rare = coded.select("row_id", F.explode("rare").alias("part")).select("row_id", F.explode(F.split(F.col("part").cast("string"), " ")).alias("word")).withColumn("word", F.col("word").cast("binary"))
     met = rare.join(counts, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     of_rare = met.groupBy("row_id").agg(
         F.sum(F.log10((F.col("c") + ADDED) / F.lit(all_words))).alias("rare_base"),
