@@ -734,7 +734,8 @@ def test_lm_sample_skips_a_text_that_does_not_fit(spark, monkeypatch):
     monkeypatch.setattr(hmm, "first_model", lambda sample, *rest: given.extend(map(len, sample)) or first(sample, *rest))
     rows = [(i, prose(i, 20 if i % 2 else 600), "en") for i in range(40)]
     hmm.score(docs(spark, rows), states=2, head=20)
-    assert 400 < sum(given) <= 500 and max(given) < 100
+    short = [i for i in range(40) if i % 2 and zlib.crc32(str(i).encode()) % 10]  # all of them fit, no long one does
+    assert given == [21] * len(short) and sum(given) <= 500
 
 
 def test_pii_base_spans():
