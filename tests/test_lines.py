@@ -1,7 +1,10 @@
+import hashlib
+import tracemalloc
+
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.sources import files as X
+from tracewright.sources import files as X, ranges
 from tracewright.sources.lines import lines_from_table, lines_of, read_lines, register_source
 
 
@@ -82,3 +85,20 @@ def test_register_source(spark):
     assert lines_of(spark, "numbers", {"n": 3}).count() == 3
     with pytest.raises(ValueError):
         lines_of(spark, "unknown", {})
+
+
+def test_short_lines_of_a_large_read_cost_a_piece_at_a_time(tmp_path):
+    data = b"event 12345\n" * 400_000 + b"x" * 600_000 + b"\n\nlast"
+    (tmp_path / "a.log").write_bytes(data)
+    tracemalloc.start()
+    with open(tmp_path / "a.log", "rb") as f:
+        found, texts = 0, hashlib.sha256()
+        for some in ranges.lines_between(f, 0, len(data), len(data)):
+            for a, b, line, ended in some:
+                assert a == found and b == a + len(line) + ended
+                found = b
+                texts.update(line + b"\n" * ended)
+        peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == len(data) and texts.digest() == hashlib.sha256(data).digest()
+    assert peak < 32 << 20

@@ -86,6 +86,8 @@ class _Reader(DataSourceStreamReader):
             # the line that this line break ends, then all that end in the range
             for some in lines_between(f, line_start(f, first - 1), end, end, self.limit):
                 own = [x for x in some if x[3]]
+                if not own:
+                    continue
                 raw, cut = rows_of(own, self.limit)
                 columns = (["append"] * len(own), [part.file] * len(own), [x[0] for x in own], [x[1] for x in own], raw, cut)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, _KINDS)], _NAMES)
