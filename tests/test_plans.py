@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import re
 
 import pytest
@@ -147,3 +148,13 @@ def test_sizes_by_glob_and_address(tmp_path):
     assert [n for n, _ in sizes(f"file://{tmp_path}/b.txt").values()] == [5]
     with open(tmp_path / "a.log", "rb") as f:
         assert ranges.line_start(f, 5) == 0
+
+
+def test_text_logs_cost_no_records_and_no_index(spark, sf_dir):
+    path = V.event_logs(spark, sf_dir)
+    assert os.listdir(path) == ["logs"]
+    read = read_lines(spark, f"{path}/logs/*/*.txt").select(V.log_name(F.col("file")).alias("file"), "offset", "raw")
+    lines = V.event_lines(spark, sf_dir).select("file", "offset", "raw")
+    assert read.exceptAll(lines).count() == lines.exceptAll(read).count() == 0
+    files, index = V.event_files(spark, sf_dir), V.event_index(spark, sf_dir)
+    assert files.count() == 8 and files.join(index, "file", "left_anti").count() == index.join(files, "file", "left_anti").count() == 0
