@@ -158,3 +158,17 @@ def test_text_logs_cost_no_records_and_no_index(spark, sf_dir):
     assert read.exceptAll(lines).count() == lines.exceptAll(read).count() == 0
     files, index = V.event_files(spark, sf_dir), V.event_index(spark, sf_dir)
     assert files.count() == 8 and files.join(index, "file", "left_anti").count() == index.join(files, "file", "left_anti").count() == 0
+
+
+@pytest.mark.parametrize("limit", [2, 200, None])
+def test_an_index_of_lines_is_that_of_their_records(spark, tmp_path, limit):
+    undated = b'{"level":"info","message":"undated"}\n' * 3
+    data = b"above\n" * 7 + timed(minutes(60), 4)[0].encode() + undated + b"  at x\n" * 450 + b'{"level":"info","time":"2026-03-01 10:00:00","message":1}\n  at y'
+    (tmp_path / "a.log").write_bytes(data)
+    (tmp_path / "b.log").write_bytes(b"no header\n" * 300)
+    for lines in (read_lines(spark, f"{tmp_path}/*.log", headers=True), read_lines(spark, f"{tmp_path}/*.log")):
+        index, wanted = T.index_lines(lines, 512, max_continuation=limit), T.time_index(fold_records(lines, max_continuation=limit), 512)
+        assert index.columns == wanted.columns and wanted.count() > 8
+        assert index.exceptAll(wanted).count() == wanted.exceptAll(index).count() == 0
+        plan = final_plan(index)
+        assert "collect_list" not in plan and scans(index) <= scans(wanted)
