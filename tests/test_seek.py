@@ -228,3 +228,16 @@ def test_bytes_read(spark, large):
     assert seek.records_near(probes, meter=meter).filter("offset is null").count() == 0 and read() < 20 << 20
     assert paging.page_text(large.withColumn("cursor", F.lit(size // 2)), 200, meter=meter).count() == 200 and read() < 1 << 20
     assert ranges.read_tails(spark, file, 1000, meter=meter).count() == 1000 and read() < 1 << 20
+
+
+def test_a_numbered_page_takes_its_index_once(spark, odd):
+    files, _, lines = odd
+    seen, index = spark.sparkContext.accumulator(0), paging.line_index(lines, 512)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    got = paging.numbered_page(index.mapInArrow(counted, index.schema), files, 11, 20)
+    assert got.count() == lines.filter("line_no > 220 and line_no <= 240").count() and seen.value == index.count()

@@ -8,6 +8,7 @@ from tracewright.functions.parsers import is_header
 from tracewright.operators.fold import fold_records
 from tracewright.sources.lines import FOLDABLE, LINES
 from tracewright.sources.ranges import range_lines, read_after, read_before
+from tracewright.sources.stores import held
 
 
 #: Spark keeps so many rows of a group in each task before it shuffles (spark.sql.optimizer.windowGroupLimitThreshold's default).
@@ -96,7 +97,8 @@ def numbered_page(index: DataFrame, files: DataFrame, number: int, page_size: in
     wanted = number * page_size + 1
     last = index.filter(F.col("first_line") <= wanted).groupBy("file").agg(F.max(F.struct("first_line", "first_offset")).alias("_at"))
     begins = files.select("file", "size").join(last, "file").select("file", F.col("_at.first_line").alias("_line"), F.col("_at.first_offset").alias("start"), F.col("size").alias("end"))
-    begins = begins.withColumns({"head": F.lit(wanted + page_size) - F.col("_line"), "key": F.col("_line")})
+    # a row for each file; looked up once, for an index may be costly to make
+    begins = held(begins.withColumns({"head": F.lit(wanted + page_size) - F.col("_line"), "key": F.col("_line")}), "pages")
     lines = range_lines(begins, meter=meter).withColumn("line_no", F.col("key") + F.col("n") - 1)
     return lines.filter(F.col("line_no") >= wanted).select(LINES)
 
