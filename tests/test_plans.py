@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from samples import T0, minutes, timed
 from tracewright.functions.criteria import Criteria
 from tracewright.operators import paging, timeindex as T
-from tracewright.operators.fold import fold_records
+from tracewright.operators.fold import fold_records, record_bounds
 from tracewright.plans import views as V
+from tracewright.plans.catalog import QUERIES
 from tracewright.sources import files as X, ranges
 from tracewright.sources.lines import read_lines
 from tracewright.sources.stores import sizes
@@ -172,3 +173,11 @@ def test_an_index_of_lines_is_that_of_their_records(spark, tmp_path, limit):
         assert index.exceptAll(wanted).count() == wanted.exceptAll(index).count() == 0
         plan = final_plan(index)
         assert "collect_list" not in plan and scans(index) <= scans(wanted)
+
+
+def test_records_are_placed_without_their_texts(spark, sf_dir, tmp_path):
+    (tmp_path / "a.log").write_bytes(b"above\n" * 7 + timed(minutes(30), 4)[0].encode() + b"  at x\n" * 450)
+    lines = read_lines(spark, f"{tmp_path}/a.log", headers=True)
+    bounds, records = record_bounds(lines), fold_records(lines).select("file", "offset", "end_offset")
+    assert bounds.exceptAll(records).count() == records.exceptAll(bounds).count() == 0 < records.count()
+    assert "collect_list" not in final_plan(QUERIES["record_at"](spark, sf_dir))
