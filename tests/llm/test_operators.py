@@ -71,6 +71,18 @@ def test_bpe_equals_the_library(spark, clashing):
     assert bpe.round_trip_digests(clashing.limit(0), VOCABULARY).count() == 0
 
 
+def test_a_waiting_worker_remembers_no_words(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"word{i}x{k}" for k in range(50))) for i in range(20)], "doc_id long, text string")
+    assert packing.tokenized_pieces(docs, VOCABULARY).count() == 20 and bpe.round_trip_digests(docs, VOCABULARY).count() == 20
+
+    def remembered(rows):
+        for _ in rows:
+            n = sum(len(use.memo) + len(use.word_memo) for known in (packing.library_tokens, bpe.codec) if known.cache_info().currsize for use in [known(VOCABULARY)])
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    assert {r["n"] for r in spark.range(16).repartition(16).mapInArrow(remembered, "n long").collect()} == {0}
+
+
 def test_bpe_on_random_texts():
     library, own = Tokenizer.from_file(VOCABULARY), bpe.Codec(VOCABULARY)
     rng = random.Random(4)

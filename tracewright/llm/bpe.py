@@ -32,7 +32,7 @@ from tracewright.llm.common import batches
 
 #: From this many bytes on a word is merged with a heap.
 LONG_WORD = 160
-#: A worker remembers so many chunks and words, none longer than so many characters.
+#: A task remembers so many chunks and words, none longer than so many characters; a worker that waits for the next task remembers none.
 MEMO_ROWS, WORD_ROWS, MEMO_CHARS = 400_000, 200_000, 48
 _NONE = 1 << 60
 _ID_BITS = 20
@@ -190,6 +190,11 @@ class Codec:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.memo.__getitem__, chunks(text)))
 
+    def forget(self) -> None:
+        """Drop what is remembered of chunks and words: a task that ends does, for its worker may go on with another stage."""
+        self.memo.clear()
+        self.word_memo.clear()
+
     def decode(self, ids: bytes) -> str:
         """The text of ids: the tokens' names joined by spaces, since the vocabulary names no decoder."""
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -210,6 +215,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", t
             found = [use.encode(x or "") for x in batch.column(1).to_pylist()]
             use.memo.trim()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array([len(x) // 4 for x in found], pa.int64())], ["doc_id", "ids", "n_tokens"])
+        use.forget()
 
     return batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), encode, "doc_id long, ids binary, n_tokens long")
 
@@ -240,5 +246,6 @@ def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                 of_text.append(hashlib.sha256(use.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
             use.memo.trim()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        use.forget()
 
     return batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

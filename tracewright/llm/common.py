@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -89,6 +90,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Free memory of the process goes back to the system, where its C library can do that; a worker waits for its next task with what it needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not the GNU library
+        pass
+
+
 def batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches bounded in rows and bytes, for texts may be long; a task gives its free memory back when it ends.
 
@@ -100,7 +110,7 @@ def batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(rows)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

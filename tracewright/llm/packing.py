@@ -83,6 +83,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
             use.memo.trim()
+        use.forget()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return batches(source, tokenize, PIECES + (", ids binary" if keep_ids else ""))
