@@ -750,6 +750,59 @@ def test_lm_sample_skips_a_text_that_does_not_fit(spark, monkeypatch):
     assert given == [21] * len(short) and sum(given) <= 500
 
 
+def test_lm_batches_of_a_task_pass_together(spark, monkeypatch):
+    """A re-estimation takes as many steps as a task's longest text has tokens, not as the longest of each batch."""
+    caught, steps, made = [], [], hmm.Group.__init__
+
+    def catch(df, fn, schema):
+        caught.append(fn)
+        raise InterruptedError
+
+    monkeypatch.setattr(hmm, "batches", catch)
+    known = hmm.Symbols({}, np.ones(1 + hmm.CLASSES), np.zeros(hmm.CLASSES), 10, 1, {})
+    with pytest.raises(InterruptedError):
+        hmm.baum_welch(spark.createDataFrame([], hmm.CODED), hmm.first_model([], known, 2), known)
+    monkeypatch.setattr(hmm.Group, "__init__", lambda self, texts: made(self, texts) or steps.append(len(self.active)))
+    rng = np.random.default_rng(3)
+    rows = [pa.RecordBatch.from_arrays([pa.array([rng.integers(0, 500, n).astype("<u2").tobytes() for n in (400, *[5] * 50)], pa.binary())], ["symbols"]) for _ in range(10)]
+    whole = pa.Table.from_batches(caught[0](iter(rows))).to_pandas().set_index("row")
+    assert sum(steps) == 400
+    steps.clear()
+    monkeypatch.setattr(hmm, "WINDOW_TOKENS", 13_000)  # two batches
+    parts = pa.Table.from_batches(caught[0](iter(rows))).to_pandas().set_index("row")
+    assert sum(steps) == 5 * 400 and np.allclose(whole, parts.loc[whole.index], rtol=1e-4) and len(whole) == len(parts)
+
+
+@pytest.mark.parametrize("size", [4 << 20, 1])
+def test_lm_words_of_a_batch(monkeypatch, size):
+    monkeypatch.setattr(hmm, "CHUNK_BYTES", size)
+    long = " ".join(f"{'ab' * 100} W{i}" for i in range(8_000))  # of several parts
+    texts = ["", " \t\n", "A", "it Is\x0bso\x0c\r ", "\x1c\x85 \x00 \u00a0x É", long, "end"]
+    got = [[] for _ in texts]
+    for owner, n_words, words in hmm.chunks(pa.array([t.encode() for t in texts], pa.binary())):
+        assert sum(n_words) == len(words)
+        assert hmm.classes_of(words).tolist() == [hmm.word_class(w) for w in words.to_pylist()]
+        at = 0
+        for i, n in zip(owner, n_words):
+            got[i] += words.to_pylist()[at : at + n]
+            at += n
+    assert got == [re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()) for t in texts]
+    assert hmm.classes_of(pa.array([b"xab", b"", b"zz", b"abcd"], pa.binary()).slice(1)).tolist() == [hmm.word_class(w) for w in (b"", b"zz", b"abcd")]
+
+
+def test_hmm_likelihood_of_improbable_tokens():
+    rng = np.random.default_rng(2)
+    model = hmm.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.random((5, 3)) * 1e-30)
+    texts = [rng.integers(0, 5, n) for n in (1, 7, 8, 9, 40, 64)]
+    for text, got in zip(texts, hmm.Group(texts).log_likelihood(model)):
+        log, now = 0.0, None
+        for w in text:
+            now = model.emit[w] * (model.start if now is None else now @ model.move)
+            log += np.log(now.sum())
+            now = now / now.sum()
+        assert got == pytest.approx(log)
+
+
 def test_pii_base_spans():
     rng = random.Random(9)
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

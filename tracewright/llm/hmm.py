@@ -21,12 +21,13 @@ results; other columns are ignored; an empty table gives an empty table, and wit
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.llm.common import batches, by_hash, fitting, likely_sample, written
@@ -42,6 +43,12 @@ PRIOR = 50.0
 GROUP_TOKENS = 400_000
 #: The recursions keep values of about so many tokens; longer groups pass in segments.
 SEGMENT_TOKENS = 1_000_000
+#: Likelihoods are scaled every so many tokens: a token's factor is above 1e-36, so that doubles hold their product.
+SCALED = 8
+#: Texts of about so many tokens (and 100 more for each text) are grouped by their lengths.
+WINDOW_TOKENS = 8_000_000
+#: Texts are taken apart into words about so many bytes at a time.
+CHUNK_BYTES = 4 << 20
 FLUSH_WORDS = 100_000
 #: Outside the head, words that are more than one in so many of all tokens are sent to tasks: fewer than this number.
 COMMON_SHARE = 50_000
@@ -58,6 +65,22 @@ def word_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % CLASSES
 
 
+#: What a byte does to a CRC-32.
+_CRC = np.array([zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], np.uint32)
+
+
+def classes_of(words: pa.Array) -> np.ndarray:
+    """``word_class`` of each of binary words."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for back in (3, 2, 1):
+        some = np.diff(ends) >= back
+        crc[some] = _CRC[(crc[some] ^ raw[ends[1:][some] - back]) & 0xFF] ^ (crc[some] >> np.uint32(8))
+    return ((crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(CLASSES)).astype(np.int64)
+
+
 @dataclass
 class Symbols:
     """Numbers of the head's words (the end token has 0), counts of all symbols, the classes' words, and training counts of common words outside the head."""
@@ -88,29 +111,60 @@ class Symbols:
         return (self.counts + ADDED) / (self.counts + ADDED).sum()
 
 
+def chunks(column: pa.Array) -> Iterator[tuple[list[int], np.ndarray, pa.Array]]:
+    """The words of a batch's texts in turns of bounded size: the rows of their parts, the words of each part, and the words, lower-cased, one after another."""
+
+    def words(rows: list[int], parts: list[bytes]) -> tuple[list[int], np.ndarray, pa.Array]:
+        raw = np.frombuffer(b"\n".join([b"", *parts, b""]).lower(), np.uint8)
+        inside = (raw != 0x20) & ((raw < 0x09) | (raw > 0x0D))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        begin, end = edges[0::2], edges[1::2]
+        offsets = np.zeros(len(begin) + 1, np.int32)
+        np.cumsum(end - begin, out=offsets[1:])
+        found = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
+        bounds = np.cumsum([0, *(len(x) + 1 for x in parts)])
+        return rows, np.diff(np.searchsorted(begin, bounds)), found
+
+    rows, parts, size = [], [], 0
+    for i, raw in enumerate(column):
+        for part in parts_of(memoryview(raw.as_buffer())):
+            if parts and size + len(part) > CHUNK_BYTES:
+                yield words(rows, parts)
+                rows, parts, size = [], [], 0
+            rows.append(i)
+            parts.append(part)
+            size += len(part)
+    if parts:
+        yield words(rows, parts)
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """word, n over all training texts (the end token is among them), every: over all texts. texts: held_out, raw."""
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bool, Counter] = {False: Counter(), True: Counter()}
+        names = ["word", "n", "every"]
+        found: list[pa.Table] = []
+        ends = {False: 0, True: 0}
 
-        def held() -> Iterator[pa.RecordBatch]:
-            for out, own in found.items():
-                words, n = list(own), np.fromiter(own.values(), np.int64, len(own))
-                own.clear()
-                for i in range(0, len(words), 50_000):
-                    every = n[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000], pa.binary()), pa.array(np.zeros_like(every) if out else every), pa.array(every)], ["word", "n", "every"])
+        def held() -> pa.Table:
+            return pa.concat_tables(found).group_by("word", use_threads=False).aggregate([("n", "sum"), ("every", "sum")]).select(["word", "n_sum", "every_sum"]).rename_columns(names)
 
         for batch in rows:
-            for out, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = found[out]
-                for part in parts_of(memoryview(raw.as_buffer())):
-                    own.update(part.lower().split())
-                    if len(own) > FLUSH_WORDS:
-                        yield from held()
-                own[END] += 1
-        yield from held()
+            out = batch.column(0).to_numpy(zero_copy_only=False)
+            ends[True] += int(out.sum())
+            ends[False] += int((~out).sum())
+            for owner, n_words, words in chunks(batch.column(1)):
+                coded = words.dictionary_encode()
+                codes, size = coded.indices.to_numpy(), len(coded.dictionary)
+                every = np.bincount(codes, minlength=size)
+                n = every - np.bincount(codes[np.repeat(out[owner], n_words)], minlength=size)
+                found.append(pa.table([coded.dictionary, n, every], names))
+                if sum(map(len, found)) > 4 * FLUSH_WORDS or sum(x.nbytes for x in found) > 16 * CHUNK_BYTES:
+                    found = [held()]
+                    if len(found[0]) > FLUSH_WORDS or found[0].nbytes > 8 * CHUNK_BYTES:
+                        yield from found.pop().to_batches(50_000)
+        found.append(pa.table([pa.array([END], pa.binary()), pa.array([ends[False]]), pa.array([sum(ends.values())])], names))
+        yield from held().to_batches(50_000)
 
     return batches(texts.select("held_out", "raw"), count, "word binary, n long, every long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
 
@@ -146,46 +200,56 @@ def symbols(counts: DataFrame, head: int = HEAD) -> Symbols:
     return Symbols(numbers, np.concatenate([[ends], [r["n"] for r in top], all_of]), words, total, distinct, common)
 
 
-CODED = "row_id long, doc_id long, held_out boolean, symbols binary, common_known long, common_base double, common_likely double, rare array<binary>"
+CODED = "row_id long, doc_id long, held_out boolean, symbols binary, n_known long, base double, likely double, rare array<binary>"
 
 
 def encoded(texts: DataFrame, known: Symbols) -> DataFrame:
-    """Every text as symbols (binary, unsigned 16-bit), with what its common words outside the head give, and its rare words, part by part."""
+    """Every text as symbols (binary, unsigned 16-bit), with what the head's and common words outside it give, and its rare words, part by part."""
     first = len(known.numbers) + 1
     totals = known.class_totals
-    common = {w: (n > 0, np.log10((n + ADDED) / known.all_words), np.log10((n + ADDED) / totals[word_class(w)])) for w, n in known.common.items()}
+    n = np.array(list(known.common.values()), float)
+    classes = classes_of(pa.array(list(known.common), pa.binary()))
+    # of the end token and the head's words, then of common words
+    given_words = pa.array([*known.numbers, *known.common], pa.binary())
+    symbol = np.concatenate([np.arange(first), first + classes]).astype(np.uint16)
+    n_known = np.concatenate([known.counts[:first] > 0, n > 0]).astype(float)
+    base = np.log10((np.concatenate([known.counts[:first], n]) + ADDED) / known.all_words)
+    likely = np.concatenate([np.zeros(first), np.log10((n + ADDED) / totals[classes])])
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, often = known.numbers.get, common.get
         names = [x.split()[0] for x in CODED.split(", ")]
         for batch in rows:
-            coded, given, rare = [], [], []
-            for raw in batch.column(3):
-                symbols, out = bytearray(), []
-                n_known, base, likely = 0, 0.0, 0.0
-                for part in parts_of(memoryview(raw.as_buffer())):
-                    words = part.lower().split()
-                    ids = list(map(number, words))
-                    if None in ids:
-                        others = []
-                        for i, x in enumerate(ids):
-                            if x is None:
-                                word = words[i]
-                                ids[i] = first + word_class(word)
-                                if found := often(word):
-                                    n_known += found[0]
-                                    base += found[1]
-                                    likely += found[2]
-                                else:
-                                    others.append(word)
-                        if others:
-                            out.append(b" ".join(others))
-                    symbols += np.array(ids, "<u2").tobytes()
-                coded.append(bytes(symbols) + b"\0\0")
-                given.append((n_known, base, likely))
-                rare.append(out)
-            values = [pa.array(x, t) for x, t in zip(zip(*given), (pa.int64(), pa.float64(), pa.float64()))] if given else [pa.array([], t) for t in (pa.int64(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(coded, pa.binary()), *values, pa.array(rare, pa.list_(pa.binary()))], names)
+            n = len(batch)
+            symbols, lengths, given, rare = [], np.zeros(n, np.int64), np.zeros((3, n)), [[] for _ in range(n)]
+            for owner, n_words, words in chunks(batch.column(3)):
+                found = pc.index_in(words, given_words)
+                left = found.is_null().to_numpy(zero_copy_only=False)
+                others = words.filter(pa.array(left))
+                place = found.fill_null(-1).to_numpy()[~left] + 1
+                ids = np.empty(len(words), np.uint16)
+                ids[~left] = symbol[place]
+                ids[left] = first + classes_of(others)
+                symbols.append(ids)
+                lengths += np.bincount(owner, weights=n_words, minlength=n).astype(np.int64)
+                of_row = np.repeat(owner, n_words)[~left]
+                for total, x in zip(given, (n_known, base, likely)):
+                    total += np.bincount(of_row, weights=x[place], minlength=n)
+                offsets = np.concatenate([[0], np.cumsum(left)])[np.concatenate([[0], np.cumsum(n_words)])].astype(np.int32)
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), others), b" ")
+                for i, some, part in zip(owner, np.diff(offsets), joined.to_pylist()):
+                    if some:
+                        rare[i].append(part)
+            # the end token's 0 after each text's symbols
+            ends = np.cumsum(lengths + 1)
+            ids = np.zeros(int(ends[-1]) if n else 0, "<u2")
+            inside = np.ones(len(ids), bool)
+            inside[ends - 1] = False
+            ids[inside] = np.concatenate(symbols) if symbols else []
+            offsets = np.zeros(n + 1, np.int32)
+            offsets[1:] = 2 * ends
+            text = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            sums = pa.array((given[0] + n_known[0]).astype(np.int64)), pa.array(given[1] + base[0]), pa.array(given[2])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], text, *sums, pa.array(rare, pa.list_(pa.binary()))], names)
 
     source = texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "held_out", "raw")
     return batches(source, encode, CODED)
@@ -207,13 +271,9 @@ class Group:
         length = length[self.order]
         self.active = len(texts) - np.searchsorted(length[::-1], np.arange(length[0]), side="right")
         self.at = np.concatenate([[0], np.cumsum(self.active)])
-        text = np.repeat(np.arange(len(texts)), length)
         place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        where = self.at[place] + text
-        self.symbols = np.empty(len(text), np.int64)
-        self.symbols[where] = np.concatenate([texts[i] for i in self.order])
-        self.text = np.empty(len(text), np.int64)
-        self.text[where] = text
+        self.symbols = np.empty(len(place), texts[0].dtype)
+        self.symbols[self.at[place] + np.repeat(np.arange(len(texts)), length)] = np.concatenate([texts[i] for i in self.order])
 
     def segments(self) -> list[tuple[int, int]]:
         """Ranges of positions with about ``SEGMENT_TOKENS`` tokens each."""
@@ -223,28 +283,47 @@ class Group:
         return list(zip(bounds, bounds[1:]))
 
     def forward(self, model: Hmm, first: int, last: int, now: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled forward values and scales by token, and the emissions, for positions from first up to last; ``now``: the values before."""
+        """Scaled forward values and scales by token, and emissions over scales, for positions from first up to last; ``now``: the values before."""
         base = self.at[first]
-        emission = model.emit[self.symbols[base : self.at[last]]]
+        emission = model.emit.take(self.symbols[base : self.at[last]], axis=0)
         values = np.empty_like(emission)
         scales = np.empty(len(emission), emission.dtype)
+        # a product with it has a row's sum in every column, so that whole blocks are divided by each other
+        ones = np.ones_like(model.move)
         for t in range(first, last):
             n = self.active[t]
             a, b = self.at[t] - base, self.at[t] - base + n
-            now = emission[a:b] * (model.start if now is None else now[:n] @ model.move)
-            scale = now.sum(axis=1)
-            now /= scale[:, None]
-            values[a:b] = now
-            scales[a:b] = scale
+            emitted, before = emission[a:b], now
+            now = values[a:b]
+            if before is None:
+                np.multiply(emitted, model.start, out=now)
+            else:
+                np.matmul(before[:n], model.move, out=now)
+                now *= emitted
+            scale = now @ ones
+            now /= scale
+            emitted /= scale
+            scales[a:b] = scale[:, 0]
         return values, scales, emission
 
     def log_likelihood(self, model: Hmm) -> np.ndarray:
         """Natural logarithm of each text's probability, in the given order."""
-        total, now = np.zeros(len(self.order)), None
-        for first, last in self.segments():
-            values, scales, _ = self.forward(model, first, last, now)
-            now = values[self.at[last - 1] - self.at[first] :]
-            total += np.bincount(self.text[self.at[first] : self.at[last]], weights=np.log(scales), minlength=len(total))
+        total = np.zeros(len(self.order))
+        ends = np.append(self.active[1:], 0)  # texts that go on after each position
+        now = None
+        for t, (n, left) in enumerate(zip(self.active.tolist(), ends.tolist())):
+            emitted = model.emit.take(self.symbols[self.at[t] : self.at[t + 1]], axis=0)
+            if now is None:
+                emitted *= model.start
+            else:
+                emitted *= now[:n] @ model.move
+            now = emitted
+            if t % SCALED == SCALED - 1:
+                scale = now.sum(axis=1)
+                total[:n] += np.log(scale)
+                now /= scale[:, None]
+            if left < n:
+                total[left:n] += np.log(now[left:].sum(axis=1))
         out = np.empty(len(self.order))
         out[self.order] = total
         return out
@@ -257,24 +336,30 @@ class Group:
         for first, last in parts[:-1]:  # a segment's forward values are made again when the backward ones come to it
             before.append(self.forward(model, first, last, before[-1])[0][self.at[last - 1] - self.at[first] :].copy())
         moves = np.zeros((states, states))
+        back = np.ascontiguousarray(model.move.T)
         likely, after = 0.0, None
         for (first, last), start in zip(reversed(parts), reversed(before)):
             values, scales, emission = self.forward(model, first, last, start)
             likely += float(np.log(scales).sum(dtype=float))
             base = self.at[first]
             for t in range(last - 1, first - 1, -1):
-                n = self.active[t]
-                a, b = self.at[t] - base, self.at[t] - base + n
-                here = np.ones((n, states), emission.dtype)
+                a, b = self.at[t] - base, self.at[t + 1] - base
+                # emission times backward value over scale, as the step before needs it; the backward value of a text's end is 1
+                here = emission[a:b]
                 if after is not None:
                     m = len(after)
-                    here[:m] = after @ model.move.T
-                    moves += values[a : a + m].T.astype(float) @ after
-                # emission times backward value over scale, as the step before needs it
-                after = emission[a:b] * here / scales[a:b, None]
-                values[a:b] *= here
+                    value = values[a : a + m]
+                    backward = after @ back
+                    moves += value.T @ after
+                    value *= backward
+                    here[:m] *= backward
+                after = here
+            where = self.symbols[base : self.at[last]].astype(np.intp)
+            by_state = np.empty(values.shape[::-1])
+            for i in range(0, len(values), 4096):  # blocks that the processor's cache holds
+                by_state[:, i : i + 4096] = values[i : i + 4096].T
             for s in range(states):
-                counts[:size, s] += np.bincount(self.symbols[base : self.at[last]], weights=values[:, s], minlength=size)
+                counts[:size, s] += np.bincount(where, weights=by_state[s], minlength=size)
             if first == 0:
                 counts[size + states] += values[: self.active[0]].sum(axis=0)
         counts[size : size + states] += moves * model.move
@@ -320,8 +405,22 @@ def first_model(sample: list[np.ndarray], known: Symbols, states: int = STATES,
     return model
 
 
-def _texts_of(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in batch.column(batch.schema.get_field_index(name))]
+def windows(rows: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
+    """Batches by bounded numbers of tokens, with their texts: the more of them, the more texts of a length pass together."""
+    held: list[pa.RecordBatch] = []
+    texts: list[np.ndarray] = []
+    size = 0
+    for batch in rows:
+        own = [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column(batch.schema.get_field_index(name))]
+        more = sum(map(len, own)) + 100 * len(own)
+        if held and size + more > WINDOW_TOKENS:
+            yield held, texts
+            held, texts, size = [], [], 0
+        held.append(batch)
+        texts += own
+        size += more
+    if held:
+        yield held, texts
 
 
 def baum_welch(coded: DataFrame, model: Hmm, known: Symbols) -> tuple[Hmm, float]:
@@ -332,8 +431,8 @@ def baum_welch(coded: DataFrame, model: Hmm, known: Symbols) -> tuple[Hmm, float
 
     def expect(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((rows_of + 1, states))
-        for batch in rows:
-            for _, group in groups(_texts_of(batch, "symbols")):
+        for _, texts in windows(rows, "symbols"):
+            for _, group in groups(texts):
                 counts[rows_of, 0] += group.expected(small, counts)
         some = np.flatnonzero(counts.any(axis=1))
         for i in range(0, len(some), 10_000):
@@ -356,7 +455,7 @@ def trained(coded: DataFrame, known: Symbols, states: int = STATES, tolerance: f
     first = near.orderBy(*order).limit(SAMPLE).select("row_id", (F.octet_length("symbols") / 2).cast("long").alias("n")).collect()  # at most SAMPLE rows
     chosen = [first[i]["row_id"] for i in fitting([r["n"] for r in first], SAMPLE_TOKENS)]
     picked = near.filter(F.col("row_id").isin(chosen)).orderBy(*order).select("symbols").toArrow()
-    model = first_model([np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in picked.column(0).combine_chunks()] if picked.num_rows else [], known, states)
+    model = first_model([np.frombuffer(x.as_buffer(), "<u2") for x in picked.column(0).combine_chunks()] if picked.num_rows else [], known, states)
     likely: list[float] = []
     while known.total and (len(likely) < 2 or likely[-1] - likely[-2] >= tolerance):
         model, total = baum_welch(coded, model, known)
@@ -372,30 +471,24 @@ def score(docs: DataFrame, states: int = STATES, tolerance: float = TOLERANCE, h
     coded = written(encoded(texts, known), "lm-symbols")
     model, _ = trained(coded, known, states, tolerance)
 
-    total, first, all_words = known.total, len(known.numbers) + 1, known.all_words
-    with_base = np.log10((known.counts[:first] + ADDED) / all_words)
-    seen_first = known.counts[:first] > 0
-
     def rate(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = np.concatenate([with_base, np.zeros(CLASSES)])
-        seen = np.concatenate([seen_first, np.zeros(CLASSES, bool)])
-        for batch in rows:
-            own = _texts_of(batch, "symbols")
-            likely = np.zeros(len(own))
-            for some, group in groups(own):
-                likely[some] = group.log_likelihood(model)
-            common_known, common_base, common_likely = (x.to_numpy() for x in batch.columns[4:7])
-            n_known = np.array([int(seen[x].sum()) for x in own], np.int64) + common_known
-            bases = np.array([float(base[x].sum()) for x in own]) + common_base
-            values = [pa.array([len(x) for x in own], pa.int64()), pa.array(n_known), pa.array(bases), pa.array(likely / np.log(10) + common_likely)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *values], ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base", "likely"])
+        for held, texts in windows(rows, "symbols"):
+            likely = np.zeros(len(texts))
+            for some, group in groups(texts):
+                likely[some] = group.log_likelihood(model) / np.log(10)
+            n_tokens, at = np.array([len(x) for x in texts], np.int64), 0
+            for batch in held:
+                own = slice(at, at + len(batch))
+                at += len(batch)
+                values = [pa.array(n_tokens[own]), *batch.columns[4:6], pa.array(likely[own] + batch.column(6).to_numpy())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *values], ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base", "likely"])
 
     rated = batches(coded.drop("rare"), rate, "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, likely double")
     class_total = F.array(*(F.lit(float(x)) for x in known.class_totals))
     rare = coded.select("row_id", F.explode("rare").alias("part")).select("row_id", F.explode(F.split(F.col("part").cast("string"), " ")).alias("word")).withColumn("word", F.col("word").cast("binary"))
     met = rare.join(counts, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     of_rare = met.groupBy("row_id").agg(
-        F.sum(F.log10((F.col("c") + ADDED) / F.lit(all_words))).alias("rare_base"),
+        F.sum(F.log10((F.col("c") + ADDED) / F.lit(known.all_words))).alias("rare_base"),
         F.sum(F.log10((F.col("c") + ADDED) / F.get(class_total, _class_of(F.col("word"))))).alias("rare_likely"),
         F.count_if(F.col("c") > 0).alias("rare_known"),
     )
@@ -405,7 +498,7 @@ def score(docs: DataFrame, states: int = STATES, tolerance: float = TOLERANCE, h
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", zero)).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
+        F.lit(int(known.total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"),
         (F.col("likely") + F.coalesce("rare_likely", zero)).alias("score"),
     )
