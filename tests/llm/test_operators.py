@@ -507,6 +507,16 @@ def test_words_of_any_length_are_told_apart():
     assert [x.tolist() for x in jaccard.shingle_sets([b"a b c d e f", text.encode(), b"", b"x"])][1] == whole.tolist()
 
 
+def test_jaccard_keeps_only_what_is_used_again(spark, monkeypatch):
+    """Each file that a task writes starts processes where Hadoop has no native library; tables that are used once aren't kept."""
+    kept = []
+    for module in (jaccard, graph):
+        monkeypatch.setattr(module, "cut", lambda df, keep=module.cut: kept.append(df.columns) or keep(df))
+    source = docs(spark, [(i, prose(700 + i // 2, 100) + f" tail{i}", "en") for i in range(12)])
+    assert sorted(r["doc_id"] for r in jaccard.deduplicate(source).collect()) == list(range(0, 12, 2))
+    assert len(kept) == 3, kept  # the nodes with their groups, the links, their edges
+
+
 def test_repeated_ids_lose_no_text(spark):
     a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
     rows = [(1, a), (2, b), (2, c), (3, c + " tail"), (3, a), (4, b), (4, b), (5, ""), (5, None), (6, "short"), (6, "short"), (None, a), (7, a + " end")]

@@ -289,10 +289,10 @@ def _commonest(rows: DataFrame, key: str) -> DataFrame:
 
 def grouped(near: DataFrame) -> DataFrame:
     """(node, group) for the nodes of the buckets (node, band, hub); a hub is a bucket's least node."""
-    groups = cut(_commonest(near.select("node", F.col("hub").alias("group")), "node"))
+    groups = _commonest(near.select("node", F.col("hub").alias("group")), "node")
     for _ in range(ROUNDS):
         of_band = _commonest(near.join(groups, "node").select("band", "group"), "band")
-        groups = cut(_commonest(near.join(of_band, "band").select("node", "group"), "node"))
+        groups = _commonest(near.join(of_band, "band").select("node", "group"), "node")
     return groups
 
 
@@ -338,7 +338,7 @@ def _classified(docs: DataFrame, words: int, threshold: float, recall: float) ->
     # a set's number is written with it, so that it is the same in all that follows
     reps = written(sets.withColumn("node", F.monotonically_increasing_id()), "representatives")
     near = written(_buckets(reps), "buckets")
-    checked = cut(verified(docs, cut(meetings(reps, near)), words, threshold))
+    checked = cut(verified(docs, meetings(reps, near), words, threshold))
     linked = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = linked.join(checked.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
     per_set = reps.select("print", "first", "node", "copies").join(known, "node", "left")
@@ -364,15 +364,16 @@ def deduplicate(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOL
     sign, per_set = _classified(docs, words, threshold, recall)
     of_class = per_set.groupBy("component").agg(F.min(F.struct("first", "print")).alias("_least")).select(F.col("_least.first").alias("doc_id"), F.col("_least.print").alias("print"))
     wordless = sign.filter(F.col("print").isNull() & F.col("doc_id").isNotNull()).select("doc_id", "print").distinct()
-    stay = cut(of_class.union(wordless))
+    stay = of_class.union(wordless)
     again = sign.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    nameless = docs.filter(F.col("doc_id").isNull())
+    if again.isEmpty():  # what stays is then used once and needn't be kept
+        return docs.join(stay.select("doc_id"), "doc_id", "left_semi").unionByName(nameless)
+    stay = cut(stay)
     again = cut(again.join(stay.select("doc_id").distinct(), "doc_id", "left_semi"))
     once = docs.join(stay.join(again, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi")
-    if again.isEmpty():
-        several = docs.limit(0)
-    else:
-        several = _of_repeated_ids(docs.join(again, "doc_id", "left_semi"), stay, words)
-    return once.unionByName(several).unionByName(docs.filter(F.col("doc_id").isNull()))
+    several = _of_repeated_ids(docs.join(again, "doc_id", "left_semi"), stay, words)
+    return once.unionByName(several).unionByName(nameless)
 
 
 def _of_repeated_ids(docs: DataFrame, stay: DataFrame, words: int) -> DataFrame:
